@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, tokens
+from . import common, language, license, mixing, quality, tokens
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(common.tables(spark, sf_dir, "documents"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,5 +23,17 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_token_files(manifest, out)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_token_files)}
-ORACLES: dict[str, str] = {}
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(common.tables(spark, sf_dir, "documents"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(common.tables(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(common.tables(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_token_files, op4_mix_sources, op5_license_scan, op6_language_id)}
+ORACLES: dict[str, str] = {"op1_quality_rules": quality.duckdb_sql()}
