@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, language, license, mixing, quality, tokens
+from . import common, jaccard, language, license, mixing, quality, tokens
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,5 +35,9 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(common.tables(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_token_files, op4_mix_sources, op5_license_scan, op6_language_id)}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(common.tables(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_token_files, op4_mix_sources, op5_license_scan, op6_language_id, op9_jaccard_join)}
 ORACLES: dict[str, str] = {"op1_quality_rules": quality.duckdb_sql()}

@@ -119,7 +119,7 @@ def style_of(spec: dict) -> str:
         return "byte"
     steps = [s.get("type") for s in (norm or {}).get("normalizers", [])]
     first = (pre.get("pretokenizers") or [{}])[0]
-    if plain and steps == ["NFC", "Replace", "Lowercase"] and first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed" and "[^\\s\\p{L}\\p{N}]+" in str(first.get("pattern")):
+    if plain and steps == ["NFC", "Replace", "Lowercase"] and first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed" and r"[^\s\p{L}\p{N}]+" in (first.get("pattern") or {}).get("Regex", ""):
         return "word"
     return "whole"
 
