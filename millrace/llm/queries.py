@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, jaccard, language, license, mixing, quality, tokens
+from . import common, jaccard, language, license, lm, mixing, packing, quality, tokens, topk
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,9 +35,21 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(common.tables(spark, sf_dir, "documents"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(common.tables(spark, sf_dir, "documents"), tokens.tokenizer_path("word_bpe_49k.json"), end_id=0, capacity=2048)
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(common.tables(spark, sf_dir, "embeddings"), topk.every_nth(50))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(common.tables(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_token_files, op4_mix_sources, op5_license_scan, op6_language_id, op9_jaccard_join)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(common.tables(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_token_files, op4_mix_sources, op5_license_scan, op6_language_id, op7_best_fit_packing, op8_exact_top_k, op9_jaccard_join, op10_lm_scoring)}
 ORACLES: dict[str, str] = {"op1_quality_rules": quality.duckdb_sql()}
