@@ -1,5 +1,64 @@
-"""The corpus pipeline (filled in below)."""
-STAGES = []
+"""Corpus pipeline: documents through quality rules, language ID, near-duplicate removal, source mixing and packing.
+
+Each stage takes (spark, docs, sf_dir), works on all that the one before kept,
+and returns the columns of documents, but for the last, which returns the packed
+pieces. No stage holds rows on the driver; what models need is bounded and
+broadcast by the operators.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from millrace.llm import common, jaccard, language, mixing, packing, quality, tokens
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base and all rules keep."""
+    return quality.keep_good(docs)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the text shows; those without letters, or of no clear language, go."""
+    return language.keep_known(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest doc_id.
+
+    Five words and a similarity of 0.8, as for all stages on word shingles; the
+    query of the join by itself takes four words and 0.85.
+    """
+    return jaccard.keep_one(docs, jaccard.Settings(k=5, percent=80))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    return mixing.mixed(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens."""
+    return packing.pack(docs, tokens.tokenizer_path("word_bpe_49k.json"), end_id=0, capacity=2048)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("mix_sources", mix_sources),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: Stages 2 to 5 (a trained model, set similarity over components, hashed draws, token ids) are beyond SQL.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn, each written to the shared folder and read again by the next."""
+    docs = common.tables(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = common.cut(docs, name)
+    return docs

@@ -25,8 +25,8 @@ from . import common
 
 #: Units longer than this are encoded where they stand and never remembered.
 LONG_UNIT = 200
-#: Units that one Python worker remembers at most.
-CACHE_UNITS = 400_000
+#: Units of one of the two generations that a Python worker remembers (about 200 bytes each).
+CACHE_UNITS = 600_000
 #: Most frequent pre-tokens whose piece counts are broadcast; the rest are joined by a shuffle.
 HOT_UNITS = 300_000
 
@@ -56,7 +56,12 @@ class Encoder:
         self.style = style_of(spec)
         self.wide = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.special_in = re.compile("|".join(map(re.escape, self.special))).search if self.special else None
+        # A special token never merges with what stands beside it.
+        self.between = next((t["content"] for t in spec.get("added_tokens", []) if t.get("special")), None) if self.style != "whole" else None
+        self.between_id = self.library.token_to_id(self.between) if self.between else None
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.wide).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -76,38 +81,52 @@ class Encoder:
     def parts(self, unit: str) -> tuple[str, ...]:
         """A unit as a word and the closing marks after it, if the tokenizer surely parts them."""
         if self.style == "word" and unit.isascii():
-            unit = unit if any(s in unit for s in self.special) else unit.lower()
+            unit = unit if self.special_in and self.special_in(unit) else unit.lower()
         word = unit.rstrip(_CLOSING)
         if word and word != unit and word[-1] < "ɐ" and word[-1].isalpha():
             return (word, unit[len(word) :])
         return (unit,)
 
+    def each(self, units: list[str]) -> list[bytes]:
+        """Ids of each unit on its own: one text, with a special token between units, takes the library less time than many."""
+        if self.between is None or any(map(self.special_in, units)):
+            return self.ids_of(units)
+        ids = self.ids_of([self.between.join(units)])[0]
+        ends = np.flatnonzero(np.frombuffer(ids, self.wide) == self.between_id) * self.wide.itemsize
+        starts = [0, *(ends + self.wide.itemsize).tolist()]
+        return [ids[a:b] for a, b in zip(starts, [*ends.tolist(), len(ids)], strict=True)]
+
     def learn(self, units: set[str]) -> None:
-        """Encode the units that are not remembered yet, all at once."""
+        """Encode the units that are not remembered, all at once. Two generations: what was not met lately is forgotten."""
         if len(self.known) > CACHE_UNITS:
-            self.known = {}
-        new = [u for u in units if u not in self.known]
-        split = {u: self.parts(u) for u in new}
-        todo = list({p for ps in split.values() for p in ps if p not in self.known})
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        new = units - known.keys()
+        for u in new & old.keys():
+            known[u] = old[u]
+        split = {u: self.parts(u) for u in new - old.keys()}
+        todo = list({p for ps in split.values() for p in ps} - known.keys())
         for k in range(0, len(todo), 4096):
-            self.known.update(zip(todo[k : k + 4096], self.ids_of(todo[k : k + 4096]), strict=True))
+            known.update(zip(todo[k : k + 4096], self.each(todo[k : k + 4096]), strict=True))
         for u, ps in split.items():
             if len(ps) > 1 or ps[0] != u:
-                self.known[u] = b"".join(map(self.known.__getitem__, ps))
+                known[u] = b"".join(map(known.__getitem__, ps))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as bytes, in order; memory follows a few hundred texts, not the batch."""
         for k in range(0, len(texts), 512):
             split = [self.units(t) for t in texts[k : k + 512]]
-            long = {u for us in split if us for u in us if len(u) > LONG_UNIT}
-            self.learn({u for us in split if us for u in us if len(u) <= LONG_UNIT})
+            met = set().union(*(us for us in split if us))
+            long = {u for u in met if len(u) > LONG_UNIT}
+            self.learn(met - long)
+            get = self.known.__getitem__
             for text, us in zip(texts[k : k + 512], split, strict=True):
                 if us is None:
                     yield self.ids_of([text])[0]
                 elif long and not long.isdisjoint(us):
-                    yield b"".join(self.ids_of([u])[0] if u in long else self.known[u] for u in us)
+                    yield b"".join(self.ids_of([u])[0] if u in long else get(u) for u in us)
                 else:
-                    yield b"".join(map(self.known.__getitem__, us))
+                    yield b"".join(map(get, us))
 
 
 def style_of(spec: dict) -> str:
@@ -169,7 +188,7 @@ def pre_token_pieces(texts: DataFrame, path: str) -> DataFrame:
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc, unit = encoder(path), batch.column("unit")
-        pieces = [len(e.ids) for e in enc.library.encode_batch_fast(unit.to_pylist(), add_special_tokens=False)]
+        pieces = [len(ids) // enc.wide.itemsize for ids in enc.each(unit.to_pylist())]
         return pa.RecordBatch.from_arrays([unit, batch.column("n"), pa.array(pieces, pa.int32())], ["unit", "n", "pieces"])
 
     counts = common.map_arrow(texts.select("text"), _unit_counts(path), "unit string, n long")
@@ -250,7 +269,7 @@ def _fs(uri: str):
 
 
 def write_token_files(docs: DataFrame, out: str, path: str, end_id: int | None = None, partitions: int | None = None) -> DataFrame:
-    """Encode ``docs`` in ascending (doc_id, text) order into binary files below ``out``; returns the manifest.
+    """Encode ``docs`` in ascending doc_id order (equal ones by a hash of the text, then the text) into binary files below ``out``; returns the manifest.
 
     Each shard holds three flat little-endian files: ``NAME.ids`` (unsigned 16-bit
     ids, 32-bit for vocabularies over 65,536), ``NAME.off`` (64-bit offsets in ids,
@@ -261,12 +280,13 @@ def write_token_files(docs: DataFrame, out: str, path: str, end_id: int | None =
     own and renames when done, so a repeated or doubled task does no harm; the
     manifest names the files of the attempt that counted.
 
-    Null text is empty (only the end id), equal doc_ids keep text order.
+    Null text is empty (only the end id).
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.col("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # a hash, for the keys of a sample go to the driver
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
