@@ -161,7 +161,7 @@ class Lists:
     """Inverted lists of a block of sets, and the T-occurrence search of one set in them."""
 
     def __init__(self, sets: list[np.ndarray], percent: int) -> None:
-        self.sizes, self.percent = np.array([len(s) for s in sets]), percent
+        self.sets, self.sizes, self.percent = sets, np.array([len(s) for s in sets]), percent
         flat = np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(flat, kind="stable")  # owners stay in order within a list
@@ -171,14 +171,15 @@ class Lists:
         self.keys = flat[self.starts]
         self.ends = np.append(self.starts[1:], len(flat))
 
-    def search(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places, overlaps) of the block's sets that link with ``s``.
+    def search(self, s: np.ndarray, after: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """(places, overlaps) of the block's sets past place ``after`` that link with ``s``.
 
         A partner shares at least T = ceil(percent |s| / 100) elements. Of the
         lists of s the L longest are put aside; the others are merged, and only
         sets with T - L or more occurrences there can reach T. For these the long
-        lists are probed by binary search, the longest last, and who can't
-        reach its own bound any more is let go.
+        lists are probed by binary search: list by list, the longest last, where
+        who can't reach its own bound any more is let go; or, for a few
+        candidates, all lists at once in the candidate's own sorted elements.
         """
         at = np.searchsorted(self.keys, s)
         at = at[(at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == s)]
@@ -186,10 +187,14 @@ class Lists:
         if len(at) < need:
             return _NONE
         length = self.ends[at] - self.starts[at]
-        at = at[np.argsort(length, kind="stable")]
+        order = np.argsort(length, kind="stable")
+        at = at[order]
         aside = self._aside(need, int(length.max()))
         short, long = at[: len(at) - aside], at[len(at) - aside :]
         merged = np.concatenate([self.owner[a:b] for a, b in zip(self.starts[short].tolist(), self.ends[short].tolist(), strict=True)])
+        merged = merged[merged > after]
+        if not len(merged):
+            return _NONE
         merged.sort()
         first = np.flatnonzero(np.concatenate([[True], merged[1:] != merged[:-1]]))
         count = np.diff(np.append(first, len(merged)))
@@ -198,6 +203,11 @@ class Lists:
         bound = -(-self.percent * (len(s) + self.sizes[places]) // (100 + self.percent))
         sized = (100 * self.sizes[places] >= self.percent * len(s)) & (self.percent * self.sizes[places] <= 100 * len(s)) & (count + aside >= bound)
         places, count, bound = places[sized], count[sized], bound[sized]
+        if len(places) <= len(long) // 8:
+            probed = self.keys[long]
+            count = count + np.array([np.count_nonzero(probed == t[np.minimum(np.searchsorted(t, probed), len(t) - 1)]) for t in (self.sets[p] for p in places.tolist())], np.int64)
+            stay = count >= bound
+            return places[stay], count[stay]
         for i, (a, b) in enumerate(zip(self.starts[long].tolist(), self.ends[long].tolist(), strict=True)):
             if not len(places):
                 return _NONE
@@ -236,9 +246,7 @@ def search_block(left: list[tuple], right: list[tuple] | None, percent: int, sch
         return x
 
     for q, (qid, qcopies, s) in enumerate(queries):
-        places, _ = index.search(s)
-        if right is None:
-            places = places[places > q]
+        places, _ = index.search(s, q if right is None else -1)
         c = int(classes.of(len(s)))
         places = places[np.minimum(low[places], c) == scheme]
         if not len(places):
