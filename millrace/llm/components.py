@@ -63,7 +63,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     smallest neighbour, so a hot node's edges stay rows of their own, counted
     into one minimum before the shuffle. Each round is written to the shared folder.
     """
-    now = common.cut(contract(edges).distinct(), "edges")
+    # A hot group leaves each task that met it an edge a node: few tasks, of 16 bytes a row, leave few.
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    now = common.cut(contract(edges.coalesce(max(1, n // 16))).distinct(), "edges")
     for _ in range(rounds):
         if now.limit(1).count() == 0:
             break
