@@ -41,15 +41,14 @@ class Model:
     longest: int
 
 
-def _features(text: str, longest: int) -> tuple[Counter, Counter]:
-    words = Counter(_WORD.findall(text.lower()))
+def _grams(words: Counter, longest: int) -> Counter:
     grams: Counter = Counter()
     for w, n in words.items():
         w = f" {w} "
         for k in range(1, longest + 1):
             for i in range(len(w) - k + 1):
                 grams[w[i : i + k]] += n
-    return words, grams
+    return grams
 
 
 def fit(docs: DataFrame, train: F.Column, settings: Settings = Settings(), text: str = "text", lang: str = "lang") -> Model:
@@ -68,11 +67,11 @@ def fit(docs: DataFrame, train: F.Column, settings: Settings = Settings(), text:
         rows = rows.filter(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: dict[tuple, int] = {}
+        # Words are added up by language first: n-grams are then cut from each distinct word once.
+        by_lang: dict[str, Counter] = {}
         for t, at in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-            for kind, found in enumerate(_features(t, settings.longest)):
-                for f, n in found.items():
-                    out[kind, f, at] = out.get((kind, f, at), 0) + n
+            by_lang.setdefault(at, Counter()).update(_WORD.findall(t.lower()))
+        out = {(kind, f, at): n for at, words in by_lang.items() for kind, found in enumerate((words, _grams(words, settings.longest))) for f, n in found.items()}
         kind, feature, at = zip(*out, strict=True) if out else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(feature, pa.string()), pa.array(at, pa.string()), pa.array(list(out.values()), pa.int64())], ["kind", "feature", "lang", "n"])
 
