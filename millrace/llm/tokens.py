@@ -35,6 +35,7 @@ HOT_UNITS = 300_000
 _JOINED_BLANKS = re.compile("[^\\S \n][ \n]|᠎")
 _OTHER_BLANKS = ("\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0")
 _CLOSING = ".,;:!?|"
+_CLOSING_SET = frozenset(_CLOSING)
 
 
 class Encoder:
@@ -104,8 +105,11 @@ class Encoder:
         new = units - known.keys()
         for u in new & old.keys():
             known[u] = old[u]
-        split = {u: self.parts(u) for u in new - old.keys()}
-        todo = list({p for ps in split.values() for p in ps} - known.keys())
+        fresh = new - old.keys()
+        # Most units are a word as it is; only the others are looked into.
+        whole = {u for u in fresh if u[-1:] not in _CLOSING_SET and (self.style == "byte" or u == u.lower())}
+        split = {u: self.parts(u) for u in fresh - whole}
+        todo = list(whole.union(*split.values()) - known.keys())
         for k in range(0, len(todo), 4096):
             known.update(zip(todo[k : k + 4096], self.each(todo[k : k + 4096]), strict=True))
         for u, ps in split.items():
