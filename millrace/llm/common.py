@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import cut, new_path, shared_dir
 
-__all__ = ["cut", "map_arrow", "new_path", "shared_dir", "small", "tables"]
+__all__ = ["claim", "cut", "map_arrow", "new_path", "shared_dir", "small", "tables"]
 
 #: Deletes nothing but A-Z -> a-z: the case folding that the word operators use.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -39,6 +39,20 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
     return df.mapInArrow(run, schema)
 
 
+_holder: list = [None, None]
+
+
+def claim(name: str, forget: Callable[[], None]) -> None:
+    """Called by a task whose operator remembers things in its worker process: what another operator remembered is forgotten.
+
+    Workers outlive stages; so the memory of a run of several operators is that of the largest, not their sum.
+    """
+    if _holder[0] != name:
+        if _holder[1] is not None:
+            _holder[1]()
+        _holder[:] = [name, forget]
+
+
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,9 +36,11 @@ class Settings:
 
 @dataclass
 class Model:
+    """Features beside a row of log probabilities each, a column a language."""
+
     langs: list[str]
-    words: dict[str, tuple[float, ...]]
-    grams: dict[str, tuple[float, ...]]
+    words: tuple[list[str], np.ndarray]
+    grams: tuple[list[str], np.ndarray]
     longest: int
 
 
@@ -79,29 +82,31 @@ def fit(docs: DataFrame, train: F.Column, settings: Settings = Settings(), text:
     totals = counts.filter("kind = 0").groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").collect()
     langs = [r.lang for r in totals]
     if not langs:
-        return Model([], {}, {}, settings.longest)
-    maps: list[dict[str, tuple[float, ...]]] = []
+        return Model([], ([], np.zeros((0, 0))), ([], np.zeros((0, 0))), settings.longest)
+    kinds = []
     for kind, most in ((0, settings.words), (1, settings.grams)):
         own = counts.filter(F.col("kind") == kind)
         size = {r.lang: r.n for r in own.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        by_lang = own.groupBy("feature").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("ns"))
-        top = by_lang.filter(F.col("all") >= settings.min_count).orderBy(F.desc("all"), "feature").limit(most).collect()
-        v = len(top) + 1
-        maps.append({r.feature: tuple(math.log((r.ns.get(at, 0) + 1) / (size.get(at, 0) + v)) for at in langs) for r in top})
-    return Model(langs, maps[0], maps[1], settings.longest)
+        ns = F.array(*[F.coalesce(F.sum(F.when(F.col("lang") == at, F.col("n"))), F.lit(0)) for at in langs])
+        by_lang = own.groupBy("feature").agg(F.sum("n").alias("all"), ns.alias("ns"))
+        top = by_lang.filter(F.col("all") >= settings.min_count).orderBy(F.desc("all"), "feature").limit(most).select("feature", "ns").toArrow()
+        n = np.array(top.column("ns").combine_chunks().flatten().to_numpy(), float).reshape(-1, len(langs)) if top.num_rows else np.zeros((0, len(langs)))
+        kinds.append((top.column("feature").to_pylist(), np.log((n + 1) / (np.array([size.get(at, 0) for at in langs]) + len(n) + 1))))
+    return Model(langs, *kinds, settings.longest)
 
 
 class Scorer:
     """Log frequencies of words, known or backed off; remembers some hundred thousand words."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.known = model, dict(model.words)
+        rows = lambda kind: dict(zip(kind[0], map(tuple, kind[1].tolist()), strict=True))
+        self.model, self.known, self.grams = model, rows(model.words), rows(model.grams)
 
     def word(self, w: str) -> tuple[float, ...]:
         got = self.known.get(w)
         if got is None:
             got = self.back_off(w)
-            if len(self.known) < 600_000 and len(w) < 40:
+            if len(self.known) < 350_000 and len(w) < 40:
                 self.known[w] = got
         return got
 
@@ -110,7 +115,7 @@ class Scorer:
 
         Mean over the pieces, so that an unseen word weighs as a known one.
         """
-        w, grams, i, found = f" {w} ", self.model.grams, 0, []
+        w, grams, i, found = f" {w} ", self.grams, 0, []
         while i < len(w):
             for k in range(min(self.model.longest, len(w) - i), 0, -1):
                 if (g := grams.get(w[i : i + k])) is not None:
@@ -143,9 +148,10 @@ _scorers: dict[str, Scorer] = {}
 def predict(docs: DataFrame, model: Model, columns: dict[str, str] | None = None, text: str = "text") -> DataFrame:
     """``columns`` (name -> type; doc_id by default) of each row, lang_pred and score. Only ``text`` is looked at."""
     columns = columns or {"doc_id": "long"}
-    shared, key = docs.sparkSession.sparkContext.broadcast(model), str(id(model)) + str(len(model.words))
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), str(id(model)) + str(len(model.words[0]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        common.claim("language", _scorers.clear)
         if key not in _scorers:
             _scorers.clear()
             _scorers[key] = Scorer(shared.value)
@@ -182,9 +188,10 @@ def keep_known(docs: DataFrame, settings: Settings = Settings(), least: float =
     """The rows of ``docs`` whose text has a language, predicted with a score of ``least`` or more; all their columns."""
     learnt = F.coalesce(fold() != HELD_OUT, F.lit(False))
     model = fit(docs.select(F.col("doc_id"), "text", "lang"), learnt, settings)
-    shared, key = docs.sparkSession.sparkContext.broadcast(model), str(id(model)) + str(len(model.words))
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), str(id(model)) + str(len(model.words[0]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        common.claim("language", _scorers.clear)
         if key not in _scorers:
             _scorers.clear()
             _scorers[key] = Scorer(shared.value)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from .common import ASCII_LOWER
+from .common import ASCII_LOWER, claim
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -23,7 +23,7 @@ class WordHashes(dict):
     """64-bit hashes of words as bytes, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 600_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -42,6 +42,7 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     ws = words(text)
     if not ws:
         return np.zeros(0, np.uint64)
+    claim("words", _hashes.clear)
     h = np.fromiter(map(_hashes.__getitem__, ws), np.uint64, len(ws))
     n = min(k, len(ws))
     out = h[: len(h) - n + 1] + np.uint64(n)

@@ -26,7 +26,7 @@ from . import common
 #: Units longer than this are encoded where they stand and never remembered.
 LONG_UNIT = 200
 #: Units of one of the two generations that a Python worker remembers (about 200 bytes each).
-CACHE_UNITS = 600_000
+CACHE_UNITS = 450_000
 #: Most frequent pre-tokens whose piece counts are broadcast; the rest are joined by a shuffle.
 HOT_UNITS = 300_000
 
@@ -152,6 +152,7 @@ _encoders: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """One Encoder a worker process and file: tasks that follow each other share what it remembers."""
+    common.claim("encoder", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

@@ -173,7 +173,7 @@ def test_language_edges(edge, empty, docs):
 
 
 def test_language_back_off():
-    m = language.Model(["a", "b"], {"ab": (-1.0, -2.0)}, {" x": (-1.0, -5.0), "y": (-3.0, -1.0), " ": (-1.0, -1.0)}, 3)
+    m = language.Model(["a", "b"], (["ab"], np.array([[-1.0, -2.0]])), ([" x", "y", " "], np.array([[-1.0, -5.0], [-3.0, -1.0], [-1.0, -1.0]])), 3)
     s = language.Scorer(m)
     assert s.word("ab") == (-1.0, -2.0)
     assert s.word("xy") == pytest.approx((-5 / 3, -7 / 3))  # " x", "y", " "
