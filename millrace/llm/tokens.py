@@ -99,8 +99,6 @@ class Encoder:
 
     def learn(self, units: set[str]) -> None:
         """Encode the units that are not remembered, all at once. Two generations: what was not met lately is forgotten."""
-        if len(self.known) > CACHE_UNITS:
-            self.old, self.known = self.known, {}
         known, old = self.known, self.old
         new = units - known.keys()
         for u in new & old.keys():
@@ -117,20 +115,27 @@ class Encoder:
                 known[u] = b"".join(map(known.__getitem__, ps))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as bytes, in order; memory follows a few hundred texts, not the batch."""
+        """The ids of each text as bytes, in order; memory follows a few hundred texts, not the batch.
+
+        Each unit is looked up once; only what is missing is looked at again.
+        """
         for k in range(0, len(texts), 512):
+            if len(self.known) > CACHE_UNITS:
+                self.old, self.known = self.known, {}
+            get = self.known.get
             split = [self.units(t) for t in texts[k : k + 512]]
-            met = set().union(*(us for us in split if us))
+            ids = [None if us is None else list(map(get, us)) for us in split]
+            missing = [[i for i, v in enumerate(found) if v is None] if found and None in found else () for found in ids]
+            met = {us[i] for us, gaps in zip(split, missing, strict=True) for i in gaps}
             long = {u for u in met if len(u) > LONG_UNIT}
             self.learn(met - long)
-            get = self.known.__getitem__
-            for text, us in zip(texts[k : k + 512], split, strict=True):
-                if us is None:
+            for text, us, found, gaps in zip(texts[k : k + 512], split, ids, missing, strict=True):
+                if found is None:
                     yield self.ids_of([text])[0]
-                elif long and not long.isdisjoint(us):
-                    yield b"".join(self.ids_of([u])[0] if u in long else get(u) for u in us)
-                else:
-                    yield b"".join(map(get, us))
+                    continue
+                for i in gaps:
+                    found[i] = self.ids_of([us[i]])[0] if us[i] in long else get(us[i])
+                yield b"".join(found)
 
 
 def style_of(spec: dict) -> str:
