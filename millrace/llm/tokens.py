@@ -222,7 +222,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
     spark = docs.sparkSession
     rows = docs.select(*[F.col(c) for c in keep], F.col(text).alias("text")) if text not in keep else docs.select(*keep)
     pieces = common.cut(pre_token_pieces(rows, path), "pieces")
-    top = pieces.orderBy(F.desc("n"), "unit").limit(hot).select("unit", "pieces").toArrow()
+    top = common.frequent(pieces, "n", hot).select("unit", "pieces").toArrow()
     known = spark.sparkContext.broadcast(dict(zip(top.column("unit").to_pylist(), top.column("pieces").to_pylist(), strict=True)))
 
     fields = [f for f in rows.schema.fields if f.name in keep]
