@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .envelope import from_events
@@ -102,16 +103,31 @@ def frame_delim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return framing.delimited(_document_blobs(spark, sf_dir), 10, 1 << 20).select("path", "record_index", "file_offset", F.decode("record", "utf-8").alias("record"))
 
 
+def _framed_by_key(rows: DataFrame, width: int = 1 << 14) -> DataFrame:
+    """The records of a file per key, framed from blobs of ``width`` values of the sequence each.
+
+    A blob's place in its file is the prefix sum of the blobs before it, so no
+    value grows with the rows of a key.
+    """
+    body = F.encode("payload", "utf-8")
+    record = F.concat(codecs.uint_be(F.length(body), 1), body)
+    at = F.coalesce(F.floor(F.col("sequence") / width), F.lit(-1)).cast("long")
+    ranged = rows.select(F.col("key").cast("string").alias("of"), at.alias("at"), "sequence", record.alias("r")).withColumn("path", F.concat_ws("/", F.col("at").cast("string"), "of"))
+    ordered = F.array_sort(F.collect_list(F.struct("sequence", "r")))
+    blobs = ranged.groupBy("path").agg(F.unhex(F.array_join(F.transform(ordered, lambda x: F.hex(x["r"])), "")).alias("content"))
+    before = W.partitionBy("of").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    sizes = ranged.groupBy("path", "of", "at").agg(F.count("r").alias("n"), F.sum(F.length("r")).alias("size"))
+    bases = sizes.select("path", "of", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("size"))
+    out = framing.length_prefixed(blobs, 1, 255).join(bases, "path")
+    return out.select(F.col("of").alias("path"), (F.col("record_index") + F.col("n")).alias("record_index"), (F.col("file_offset") + F.col("size")).alias("file_offset"), F.decode(F.expr("substring(record, 2)"), "utf-8").alias("record"))
+
+
 @query(
     "SELECT CAST(user_id AS VARCHAR) AS path, row_number() OVER w - 1 AS record_index, CAST(coalesce(sum(strlen(props) + 1) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS file_offset, props AS record "
     "FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"
 )
 def frame_len_prefixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.encode("payload", "utf-8")
-    record = F.concat(codecs.uint_be(F.length(body), 1), body)
-    ordered = F.array_sort(F.collect_list(F.struct("sequence", record.alias("r"))))
-    blobs = events(spark, sf_dir).groupBy(F.col("key").cast("string").alias("path")).agg(F.unhex(F.array_join(F.transform(ordered, lambda x: F.hex(x["r"])), "")).alias("content"))
-    return framing.length_prefixed(blobs, 1, 255).select("path", "record_index", "file_offset", F.decode(F.expr("substring(record, 2)"), "utf-8").alias("record"))
+    return _framed_by_key(events(spark, sf_dir))
 
 
 @query("SELECT CAST(r_regionkey AS VARCHAR) AS path, i AS record_index, l AS loop_index, r_name[i * 2 + 1:i * 2 + 2] AS record FROM (SELECT r_regionkey, r_name, unnest(range(strlen(r_name) // 2)) AS i FROM region), (SELECT CAST(unnest(range(3)) AS INTEGER) AS l)")
@@ -347,8 +363,6 @@ def metrics_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ENV}, t AS (SELECT schema_id, ts_ns // {HOUR_NS} AS tick, count(*) AS n FROM env GROUP BY 1, 2), c AS (SELECT CAST(schema_id AS INTEGER) AS schema_id, tick, CAST(sum(n) OVER (PARTITION BY schema_id ORDER BY tick) AS BIGINT) AS total FROM t) SELECT schema_id, tick, total, CAST(total - coalesce(lag(total) OVER (PARTITION BY schema_id ORDER BY tick), 0) AS BIGINT) AS delta FROM c")
 def pps_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
     per_tick = _ticked(spark, sf_dir).groupBy("schema_id", "tick").agg(F.count("*").alias("n"))
     total = per_tick.select("schema_id", "tick", F.sum("n").over(W.partitionBy("schema_id").orderBy("tick")).alias("total"))
     return metrics.history(total, by="schema_id")
