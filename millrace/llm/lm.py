@@ -5,10 +5,11 @@ from __future__ import annotations
 import heapq
 import math
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,21 +24,26 @@ FOLDS, HELD_OUT = 7, 2
 
 @dataclass(frozen=True)
 class Settings:
-    """slots: counters of a context order (a power of two); sample: texts, at most, that mixing weights and the
-    refinement are fitted on (bounded; counts come from all training texts); sample_chars: longest text in it;
-    block: bytes after which a text's weights are adapted; rate: of that adaption; hot: words whose counts are broadcast.
+    """slots: contexts' counters, about, that a task of the join by context holds; sample: texts, at most, that a task
+    advances in step; block: bytes after which a text's weights and refinement are adapted; rate: of the weights'
+    adaption; rounds: of the fit, each over all training texts; unit: bytes of text that are scored together; hot: words
+    whose counts are broadcast.
     """
 
-    slots: int = 1 << 19
-    sample: int = 600
-    sample_chars: int = 50_000
+    slots: int = 1 << 22
+    sample: int = 512
     block: int = 2048
     rate: float = 1.0
+    rounds: int = 2
+    unit: int = 3_000_000
     hot: int = 300_000
 
 
 ORDERS = ("order2", "order4", "word")
 _GATES, _BUCKETS = 4, 33
+_PLACES = 256 * _GATES * _BUCKETS
+#: Decisions that a trained entry of the refinement, and a plain one in training, counts for.
+_TRUST = 20
 
 
 def normal(ws: list[bytes]) -> bytes:
@@ -91,23 +97,33 @@ def make_code(pairs: np.ndarray) -> Code:
 
 
 def contexts(s: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """For each byte its row in the code, and a 32-bit hash of what stands before it in each order. Texts are parted by end marks."""
+    """For each byte its row in the code, and a 64-bit hash of what stands before it in each order (without collisions
+    for the two of fixed length). Texts are parted by end marks.
+    """
     u = s.astype(np.uint32)
     p1, p2, p3, p4 = (np.concatenate([np.full(k, 10, np.uint32), u[:-k]])[: len(u)] for k in (1, 2, 3, 4))
     # What stands before an end mark belongs to another text.
-    low = [p1, np.where(p1 == 10, 10, p2)]
-    low.append(np.where(low[1] == 10, 10, p3))
-    low.append(np.where(low[2] == 10, 10, p4))
-    two = (low[0] + (low[1] << np.uint32(8)) + np.uint32(1)) * np.uint32(0x9E3779B1)
-    four = ((low[0] | (low[1] << np.uint32(8)) | (low[2] << np.uint32(16)) | (low[3] << np.uint32(24))) ^ np.uint32(0x5BD1E995)) * np.uint32(0x85EBCA77)
+    p2 = np.where(p1 == 10, 10, p2)
+    p3 = np.where(p2 == 10, 10, p3)
+    p4 = np.where(p3 == 10, 10, p4)
+    two = (p1 | (p2 << np.uint32(8))).astype(np.uint64)
+    four = (p1 | (p2 << np.uint32(8)) | (p3 << np.uint32(16)) | (p4 << np.uint32(24))).astype(np.uint64)
     # The word so far: sums of letters times powers of their place, less the sum where the word began.
     blank = (p1 == 32) | (p1 == 10)
     start = np.maximum.accumulate(np.where(blank, np.arange(len(s)), 0))
     place = np.minimum(np.arange(len(s)) - start, 63)
     total = np.concatenate([[np.uint64(0)], np.cumsum((u.astype(np.uint64) + np.uint64(7)) * _POWERS[place])])
     word = total[np.arange(len(s))] - total[start]
-    word = ((word ^ (word >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32) + np.uint32(0x27D4EB2F)
-    return p1.astype(np.int64) * 256 + s, [two, four, word]
+    return p1.astype(np.int64) * 256 + s, [_mix(x * np.uint64(4) + np.uint64(k)) if k < 2 else _mix(_mix(x) * np.uint64(4) + np.uint64(k)) for k, x in enumerate((two, four, word))]
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers."""
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    return x
 
 
 _POWERS = np.array([pow(0x2545F4914F6CDD1D, i, 1 << 64) for i in range(64)], np.uint64)
@@ -126,160 +142,226 @@ def levels(rows: np.ndarray, code: Code) -> Iterator[tuple[int, np.ndarray | sli
         yield d, at if d else slice(None), step >> 1, step & 1
 
 
-def slots_of(h: np.ndarray, node_hash: np.ndarray, slots: int) -> np.ndarray:
-    x = h + node_hash
-    x *= np.uint32(0x2C1B3C6D)
-    x >>= np.uint32(32 - (slots.bit_length() - 1))
-    return x.astype(np.int64)
+class Index:
+    """The distinct (context, node) keys that some text decides at, and for each byte and order where its decisions stand.
 
+    Decision ``d`` of byte ``i`` in order ``k`` has the key ``keys[at[base[k][i] + d]]``.
+    """
 
-_NODE = np.uint32(0x9E3779B1)
+    def __init__(self, s: np.ndarray, code: Code, learn: np.ndarray | None = None) -> None:
+        rows, hashes = contexts(s)
+        self.rows, self.base = rows, []
+        keys, bits, times, size = [], [], [], 0
+        for h in hashes:
+            # Bytes with the same context and the same path decide alike.
+            of, kinds = pd.factorize(h ^ _mix(rows.astype(np.uint64)))
+            one = np.zeros(len(kinds), np.int64)
+            one[of] = np.arange(len(rows))
+            n = code.length[rows[one]].astype(np.int64)
+            start = np.cumsum(n) - n
+            self.base.append((start + size)[of].astype(np.int32))
+            depth, whose = np.arange(int(n.sum())) - np.repeat(start, n), np.repeat(one, n)
+            step = code.steps[depth, rows[whose]]
+            keys.append(_mix(h[whose] + _mix((step >> 1).astype(np.uint64) + np.uint64(1))))
+            if learn is not None:
+                bits.append(step & 1)
+                times.append(np.repeat(np.bincount(of, learn, len(one)), n))
+            size += len(depth)
+        self.keys, self.at = np.unique(np.concatenate(keys), return_inverse=True)
+        if learn is not None:
+            bit, n = np.concatenate(bits), np.concatenate(times)
+            self.zero = np.bincount(self.at, n * (1 - bit), len(self.keys)).astype(np.int64)
+            self.one = np.bincount(self.at, n * bit, len(self.keys)).astype(np.int64)
+
+
+def added(tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One table (key, zeros, ones), sorted by key, of several."""
+    keys, at = np.unique(np.concatenate([t[0] for t in tables]), return_inverse=True)
+    zero, one = (np.bincount(at, np.concatenate([t[k] for t in tables]), len(keys)).astype(np.int64) for k in (1, 2))
+    return keys, zero, one
+
+
+def stretched(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return np.clip(np.log((one + 0.4) / (zero + 0.4)), -8, 8).astype(np.float32)
 
 
 class Counts:
-    """Zeros and ones met in each slot of each order."""
+    """Zeros and ones met at each (context, node)."""
 
     def __init__(self, code: Code, slots: int) -> None:
-        self.code, self.slots, self.n = code, slots, np.zeros((len(ORDERS), slots * 2), np.int64)
+        self.code, none = code, np.zeros(0, np.int64)
+        self.n = (none.astype(np.uint64), none, none)
 
-    def add(self, s: np.ndarray) -> None:
-        met: list[list[np.ndarray]] = [[] for _ in ORDERS]
-        rows, hashes = contexts(s)
-        for _, at, node, bit in levels(rows, self.code):
-            node_hash = node.astype(np.uint32) * _NODE
-            for k, h in enumerate(hashes):
-                x = slots_of(h[at], node_hash, self.slots)
-                x *= 2
-                x += bit
-                met[k].append(x)
-        for k, x in enumerate(met):
-            self.n[k] += np.bincount(np.concatenate(x), minlength=self.slots * 2)
+    def add(self, s: np.ndarray, learn: np.ndarray | None = None) -> None:
+        met = Index(s, self.code, np.ones(len(s)) if learn is None else learn)
+        self.n = added([self.n, (met.keys, met.zero, met.one)])
 
 
 @dataclass
 class Mixer:
-    """The trained model: predictors as stretched probabilities, weights by gate, and the refinement table."""
+    """The trained model: weights by gate and the refinement table; and the predictors that the texts at hand need, as
+    stretched probabilities by sorted key.
+    """
 
     code: Code
-    slots: int
-    tables: np.ndarray
+    keys: np.ndarray
+    stretch: np.ndarray
     weights: np.ndarray
     refined: np.ndarray
     block: int
     rate: float
+    step: int
 
-    def bits(self, texts: list[np.ndarray], weights: np.ndarray | None = None, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Bits of each text, and the weights it ends with.
+    def bits(self, texts: list[np.ndarray], state: tuple[np.ndarray, np.ndarray] | None = None, seen: np.ndarray | None = None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """Bits of each text, and the weights and refinement counts it ends with.
 
-        All texts advance together, a block each: within a block the weights
-        stand still, after it each text moves its own by its mean gradient. What
+        All texts advance together, a block each: within a block weights and
+        refinement stand still, after it each text moves its own weights by its
+        mean gradient and adds what came true to its own refinement counts. What
         a text gets does not depend on the texts beside it.
         """
         out = np.zeros(len(texts))
-        w = np.repeat(self.weights[None], len(texts), 0) if weights is None else weights.copy()
+        w, own = state or (np.repeat(self.weights[None], len(texts), 0), None)
+        w = w.copy()
         sizes = np.array([len(t) for t in texts])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        s = np.concatenate(texts)
-        rows, hashes = contexts(s)
+        index = Index(np.concatenate(texts), self.code)
+        rows, values = index.rows, np.zeros(len(index.keys), np.float32)
+        if len(self.keys):
+            found = np.minimum(np.searchsorted(self.keys, index.keys), len(self.keys) - 1)
+            values = np.where(self.keys[found] == index.keys, self.stretch[found], values)
+        values = values[index.at]
+        # Own counts have room for the bytes that the texts hold; a text in parts has it for all.
+        alone = len(texts) == 1
+        kinds = np.arange(256) if alone else np.flatnonzero(np.bincount(rows >> 8, minlength=256))
+        kind = np.zeros(256, np.int64)
+        kind[kinds] = np.arange(len(kinds))
+        room = len(kinds) * _GATES * _BUCKETS
+        own = np.zeros(len(texts) * room * 2, np.int32) if own is None else own.copy()
         for first in range(0, int(sizes.max(initial=0)), self.block):
             live = np.flatnonzero(sizes > first)
             spans = np.minimum(sizes[live] - first, self.block)
             at = np.repeat(starts[live] + first - (np.cumsum(spans) - spans), spans) + np.arange(int(spans.sum()))
-            row, own = rows[at], [h[at] for h in hashes]
-            before = (row >> 8) * _BUCKETS
+            row, bases = rows[at], [b[at] for b in index.base]
+            before, near = (row >> 8) * _BUCKETS, kind[row >> 8] * (_GATES * _BUCKETS)
             text = np.repeat(np.arange(len(live)), spans)
             now = w[live].astype(np.float32)
-            gradient, count = np.zeros(now.shape), np.zeros((len(live), _GATES))
+            gradient, count, met = np.zeros(now.shape), np.zeros((len(live), _GATES)), []
             for d, on, node, side in levels(row, self.code):
                 gate = min(d, _GATES - 1)
                 t = text[on]
-                node_hash = node.astype(np.uint32) * _NODE
                 bit = side.astype(np.float32)
-                st = [self.tables[k][slots_of(h[on], node_hash, self.slots)] for k, h in enumerate(own)]
+                st = [values[b[on] + d] for b in bases]
                 dot = now[:, gate, -1][t]
                 for k, x in enumerate(st):
                     dot += now[:, gate, k][t] * x
                 np.clip(dot, -12, 12, out=dot)
                 p = 1 / (1 + np.exp(-dot))
                 place = np.rint(dot * 2 + 16).clip(0, _BUCKETS - 1).astype(np.int64)
+                mine = (live[t] * room + near[on] + gate * _BUCKETS + place) * 2
                 place += before[on]
                 place += gate * 256 * _BUCKETS
                 if seen is not None:
-                    seen += np.bincount(place * 2 + side, minlength=len(seen))
-                final = (p + self.refined[place]) * np.float32(0.5)
+                    np.add.at(seen, place * 2 + side, 1)
+                zero, one = own[mine], own[mine + 1]
+                refined = self.refined[place]
+                met.append(mine + side)
+                final = (p + refined) * 0.5
                 chance = (2 * bit - 1) * final + (1 - bit)
                 # Texts stand in order, so sums by text are sums of stretches.
-                first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-                whose = t[first]
-                out[live[whose]] -= np.add.reduceat(np.log2(chance), first, dtype=np.float64)
+                edge = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+                whose = t[edge]
+                out[live[whose]] -= np.add.reduceat(np.log2(chance), edge, dtype=np.float64)
                 error = bit - p
-                count[whose, gate] += np.diff(np.append(first, len(t)))
+                count[whose, gate] += np.diff(np.append(edge, len(t)))
                 for k, x in enumerate(st):
-                    gradient[whose, gate, k] += np.add.reduceat(error * x, first)
-                gradient[whose, gate, -1] += 0.1 * np.add.reduceat(error, first)
+                    gradient[whose, gate, k] += np.add.reduceat(error * x, edge)
+                gradient[whose, gate, -1] += 0.1 * np.add.reduceat(error, edge)
             w[live] += self.rate * gradient / (count + 64)[:, :, None]
-        return out, w
-
-    def score(self, texts: list[bytes], group: int = 160_000, most: int = 3_000_000, longest: int = 1_000_000) -> list[float]:
-        """log10 probability of each text.
+            np.add.at(own, np.concatenate(met), 1)
+        return out, (w, own)
 
-        Texts of like length go together, ``group`` bytes and 64 texts or ``most``
-        bytes at once; a text over ``longest`` goes in parts, its weights with it.
-        """
+    def score(self, texts: list[bytes], most: int = 2_000_000, longest: int = 1_000_000) -> list[float]:
+        """log10 probability of each text. A text over ``longest`` goes in parts, its weights and refinement with it."""
         out = [0.0] * len(texts)
-        held: list[int] = []
-        size = 0
-
-        def flush() -> None:
-            nonlocal held, size
-            if held:
-                got, _ = self.bits([np.frombuffer(texts[i], np.uint8) for i in held])
-                for i, b in zip(held, got.tolist(), strict=True):
-                    out[i] = -b * math.log10(2)
-            held, size = [], 0
-
-        for i in sorted(range(len(texts)), key=lambda i: len(texts[i])):
-            t = texts[i]
-            if len(t) > longest:
-                w, total = None, 0.0
+        for held in groups(texts, self.step, most):
+            if len(t := texts[held[0]]) > longest:
+                state, got = None, np.zeros(1)
                 for a in range(0, len(t), longest):
-                    got, w = self.bits([np.frombuffer(t[a : a + longest], np.uint8)], w)
-                    total += float(got[0])
-                out[i] = -total * math.log10(2)
-                continue
-            held.append(i)
-            size += len(t)
-            if (size >= group and len(held) >= 64) or size >= most:
-                flush()
-        flush()
+                    bits, state = self.bits([np.frombuffer(t[a : a + longest], np.uint8)], state)
+                    got += bits
+            else:
+                got, _ = self.bits([np.frombuffer(texts[i], np.uint8) for i in held])
+            for i, b in zip(held, got.tolist(), strict=True):
+                out[i] = -b * math.log10(2)
         return out
 
 
-def empty_mixer(code: Code, counts: np.ndarray, settings: Settings) -> Mixer:
-    zero, one = counts[:, 0::2].astype(float), counts[:, 1::2].astype(float)
-    tables = np.clip(np.log((one + 0.4) / (zero + 0.4)), -8, 8).astype(np.float32)
+def groups(texts: list[bytes], step: int, most: int = 2_000_000) -> Iterator[list[int]]:
+    """Places of texts of like length: ``step`` texts at most and, if more than one, ``most`` bytes."""
+    held: list[int] = []
+    size = 0
+    for i in sorted(range(len(texts)), key=lambda i: len(texts[i])):
+        if held and (len(held) == step or size + len(texts[i]) > most):
+            yield held
+            held, size = [], 0
+        held.append(i)
+        size += len(texts[i])
+    if held:
+        yield held
+
+
+def empty_mixer(code: Code, counts: tuple[np.ndarray, np.ndarray, np.ndarray], settings: Settings) -> Mixer:
     weights = np.zeros((_GATES, len(ORDERS) + 1))
     weights[:, :-1] = 0.4
-    return Mixer(code, settings.slots, tables, weights, _plain_refined(), settings.block, settings.rate)
+    return Mixer(code, counts[0], stretched(*counts[1:]), weights, _plain_refined(), settings.block, settings.rate, settings.sample)
 
 
 def _plain_refined() -> np.ndarray:
     return np.tile(1 / (1 + np.exp(-(np.arange(_BUCKETS) / 2 - 8))), 256 * _GATES).astype(np.float32)
 
 
+def _parts(mixer: Mixer, texts: list[bytes], seen: np.ndarray | None = None, longest: int = 1_000_000) -> Iterator[tuple[int, np.ndarray]]:
+    """Bytes of each group of texts and the mean of the weights its texts end with; a long text is a group in parts."""
+    for held in groups(texts, mixer.step):
+        state = None
+        size = sum(len(texts[i]) for i in held)
+        if len(held) == 1:
+            t = texts[held[0]]
+            for a in range(0, len(t), longest):
+                _, state = mixer.bits([np.frombuffer(t[a : a + longest], np.uint8)], state, seen)
+        else:
+            _, state = mixer.bits([np.frombuffer(texts[i], np.uint8) for i in held], None, seen)
+        yield size, state[0].mean(0)
+
+
+def fit_weights(mixer: Mixer, texts: list[bytes]) -> np.ndarray:
+    """Weights after one round over ``texts``: online over groups, each group's mean of ended weights going on."""
+    given = mixer.weights
+    for _, w in _parts(mixer, texts):
+        mixer.weights = 0.5 * mixer.weights + 0.5 * w
+    out, mixer.weights = mixer.weights, given
+    return out
+
+
+def count_refined(mixer: Mixer, texts: list[bytes]) -> np.ndarray:
+    """How often a 0 and a 1 came true in each place of the refinement table."""
+    seen = np.zeros(_PLACES * 2, np.int64)
+    for _ in _parts(mixer, texts, seen):
+        pass
+    return seen
+
+
+def refine(seen: np.ndarray) -> np.ndarray:
+    zero, one = seen[0::2], seen[1::2]
+    return ((one + _TRUST * _plain_refined()) / (zero + one + _TRUST)).astype(np.float32)
+
+
 def fit_mixer(mixer: Mixer, texts: list[bytes], rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and refinement from a few hundred texts: online over groups, each group's mean of ended weights going on."""
-    groups = [[np.frombuffer(t, np.uint8) for t in texts[i : i + 16]] for i in range(0, len(texts), 16)]
+    """Weights and refinement from ``texts``."""
     for _ in range(rounds):
-        for g in groups:
-            _, w = mixer.bits(g)
-            mixer.weights = 0.5 * mixer.weights + 0.5 * w.mean(0)
-    seen = np.zeros(256 * _GATES * _BUCKETS * 2, np.int64)
-    for g in groups:
-        mixer.bits(g, seen=seen)
-    zero, one = seen[0::2], seen[1::2]
-    prior = _plain_refined()
-    mixer.refined = ((one + 20 * prior) / (zero + one + 20)).astype(np.float32)
+        mixer.weights = fit_weights(mixer, texts)
+    mixer.refined = refine(count_refined(mixer, texts))
     return mixer.weights, mixer.refined
 
 
@@ -321,68 +403,165 @@ def _pairs(counts: DataFrame) -> np.ndarray:
     return out.reshape(256, 256)
 
 
-def _context_counts(texts: DataFrame, code: Code, settings: Settings, parts: int = 16) -> np.ndarray:
-    """Counts of all training texts: what each task met, summed by Spark in two steps so that no group grows with the tasks."""
-    shared = texts.sparkSession.sparkContext.broadcast(code)
-    size = settings.slots * 2 // parts
+_UNIT = "unit long, doc_id array<long>, learn array<boolean>, size array<long>, text binary"
 
-    def rows(salt: int, blocks: list[tuple[int, np.ndarray]], kind: str) -> dict:
-        at = [(part, np.flatnonzero(n)) for part, n in blocks]
-        return {
-            "salt": pa.array([salt] * len(at), pa.int64()),
-            "part": pa.array([part for part, _ in at], pa.int32()),
-            "at": pa.array([x.astype("<u4").tobytes() for _, x in at], pa.binary()),
-            "n": pa.array([n[x].astype(kind).tobytes() for (_, x), (_, n) in zip(at, blocks, strict=True)], pa.binary()),
-        }
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, held, n = Counts(shared.value, settings.slots), [], 0
-        for batch in batches:
-            for t in batch.column("text").to_pylist():
-                held.append(normal(words(t)))
-                n += len(held[-1])
-                if n >= 800_000:
-                    counts.add(np.frombuffer(b"".join(held), np.uint8))
-                    held, n = [], 0
-        if n:
-            counts.add(np.frombuffer(b"".join(held), np.uint8))
-        yield pa.RecordBatch.from_pydict(rows(math.isqrt(common.partition_id()), list(enumerate(counts.n.reshape(-1, size))), "<u4"))
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(size, np.int64)
-        for at, n in zip(table.column("at"), table.column("n"), strict=True):
-            place = np.frombuffer(at.as_buffer(), "<u4")
-            if len(place):
-                total[place] += np.frombuffer(n.as_buffer(), "<u4" if len(n.as_buffer()) == 4 * len(place) else "<i8").astype(np.int64)
-        return pa.table(rows(table.column("salt")[0].as_py(), [(table.column("part")[0].as_py(), total)], "<i8"))
-
-    kind = "salt long, part int, at binary, n binary"
-    some = texts.select("text").mapInArrow(count, kind).groupBy("salt", "part").applyInArrow(add, kind)
-    out = np.zeros((len(ORDERS) * parts, size), np.int64)
-    for r in some.groupBy("part").applyInArrow(add, kind).collect():  # fixed size: slots of each order
-        out[r.part][np.frombuffer(r.at, "<u4")] = np.frombuffer(r.n, "<i8")
-    return out.reshape(len(ORDERS), -1)
-
-
-def train(texts: DataFrame, counts: DataFrame, settings: Settings) -> Mixer:
-    """A Mixer from column ``text`` of the training rows and their token_table()."""
-    code = make_code(_pairs(counts))
-    mixer = empty_mixer(code, _context_counts(texts, code, settings), settings)
-    fit = texts.filter(F.length("text") <= settings.sample_chars)
-    share = settings.sample / max(1, fit.count())
-    picked = fit.filter(F.pmod(F.xxhash64("text", F.lit(23)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))
-    shared = texts.sparkSession.sparkContext.broadcast(mixer)
+def pack(given: DataFrame, settings: Settings) -> DataFrame:
+    """Rows (doc_id, text, learn) as units of about ``unit`` bytes of texts in normal form, a row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = sorted(normal(words(t)) for b in batches for t in b.column("text").to_pylist())
-        if texts:
-            w, r = fit_mixer(shared.value, texts)
-            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([r.tobytes()], pa.binary())], ["w", "r"])
+        ids, held, size = common.RowIds(), [], 0
+
+        def unit() -> pa.RecordBatch:
+            row = {"unit": ids.take(1)[0], "doc_id": [h[0] for h in held], "learn": [h[1] for h in held], "size": [len(h[2]) for h in held], "text": b"".join(h[2] for h in held)}
+            return pa.RecordBatch.from_pylist([row], pa.schema([("unit", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("learn", pa.list_(pa.bool_())), ("size", pa.list_(pa.int64())), ("text", pa.binary())]))
+
+        for batch in batches:
+            for doc_id, t, learn in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "learn")), strict=True):
+                held.append((doc_id, learn, normal(words(t))))
+                size += len(held[-1][2])
+                if size >= settings.unit:
+                    yield unit()
+                    held, size = [], 0
+        if held:
+            yield unit()
+
+    return given.select("doc_id", "text", "learn").mapInArrow(run, _UNIT)
+
+
+def unpack(text: bytes, sizes: list[int]) -> list[bytes]:
+    out, at = [], 0
+    for n in sizes:
+        out.append(text[at : at + n])
+        at += n
+    return out
+
+
+def _unit_keys(texts: list[bytes], learn: list[bool], code: Code, longest: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Table (key, zeros, ones) of a unit: all keys that it decides at, and what its training texts add to them."""
+    tables, held, marks, size = [], [], [], 0
+
+    def flush() -> None:
+        nonlocal held, marks, size
+        if held:
+            met = Index(np.frombuffer(b"".join(held), np.uint8), code, np.repeat(np.array(marks, float), [len(h) for h in held]))
+            tables.append((met.keys, met.zero, met.one))
+        held, marks, size = [], [], 0
+
+    for i in sorted(range(len(texts)), key=lambda i: len(texts[i])):
+        # Texts of over ``longest`` are cut where score() cuts them.
+        for a in range(0, len(texts[i]), longest):
+            part = texts[i][a : a + longest]
+            if size + len(part) > longest or a:
+                flush()
+            held.append(part), marks.append(learn[i])
+            size += len(part)
+    flush()
+    return added(tables)
+
+
+def _narrow(n: np.ndarray) -> bytes:
+    top = int(n.max(initial=0))
+    return n.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4").tobytes()
+
+
+def _wide(b: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(b, f"<u{len(b) // n}").astype(np.int64)
 
-    for r in picked.select("text").repartition(1).mapInArrow(run, "w binary, r binary").collect():
-        mixer.weights = np.frombuffer(r.w).reshape(mixer.weights.shape).copy()
-        mixer.refined = np.frombuffer(r.r, np.float32).copy()
-    return mixer
+
+def with_predictors(units: DataFrame, code: Code, settings: Settings) -> DataFrame:
+    """``units`` with ``stretch``: what the counts of all training texts say at each key of the unit, in the order of the keys.
+
+    The counts (order, context, node) -> zeros, ones are a table that grows with
+    the texts and is held by no task: every unit sends its keys, with the counts
+    of its own training texts, to shards by key; a shard adds them up and
+    answers each unit.
+    """
+    shared = units.sparkSession.sparkContext.broadcast(code)
+    size, n_units = units.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)), F.count("*")).first()
+    shards = max(8, -(-size // (4 * settings.slots)))
+
+    def ask(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for unit in batch.to_pylist():
+            keys, zero, one = _unit_keys(unpack(unit["text"], unit["size"]), unit["learn"], shared.value)
+            edges = np.searchsorted(_shard(keys, shards), np.arange(shards + 1))
+            spans = [(i, a, b) for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if a < b]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([i for i, _, _ in spans], pa.int64()),
+                    pa.array([unit["unit"]] * len(spans), pa.int64()),
+                    pa.array([keys[a:b].tobytes() for _, a, b in spans], pa.binary()),
+                    pa.array([_narrow(zero[a:b]) for _, a, b in spans], pa.binary()),
+                    pa.array([_narrow(one[a:b]) for _, a, b in spans], pa.binary()),
+                ],
+                ["shard", "unit", "keys", "zero", "one"],
+            )
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from ask(batch)
+
+    def answer(table: pa.Table) -> pa.Table:
+        met = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
+        counts = ([_wide(b, len(k)) for b, k in zip(table.column(c).to_pylist(), met, strict=True)] for c in ("zero", "one"))
+        keys, zero, one = added(list(zip(met, *counts, strict=True)))
+        values = stretched(zero, one)
+        return pa.table({"unit": table.column("unit"), "shard": table.column("shard"), "stretch": pa.array([values[np.searchsorted(keys, k)].tobytes() for k in met], pa.binary())})
+
+    def join(left: pa.Table, right: pa.Table) -> pa.Table:
+        order = np.argsort(right.column("shard").to_numpy())
+        parts = right.column("stretch").to_pylist()
+        return left.append_column("stretch", pa.array([b"".join(parts[i] for i in order)], pa.binary()))
+
+    answers = units.mapInArrow(asked, "shard long, unit long, keys binary, zero binary, one binary").repartition(shards, "shard").groupBy("shard").applyInArrow(answer, "unit long, shard long, stretch binary")
+    parts = max(1, min(n_units, 4000))
+    return units.repartition(parts, "unit").groupBy("unit").cogroup(answers.repartition(parts, "unit").groupBy("unit")).applyInArrow(join, _UNIT + ", stretch binary")
+
+
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Shards are ranges of the keys' upper half: sorted keys have sorted shards."""
+    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def for_unit(mixer: Mixer, unit: dict) -> tuple[Mixer, list[bytes]]:
+    """``mixer`` with the predictors of a unit, and the unit's texts."""
+    texts = unpack(unit["text"], unit["size"])
+    keys = _unit_keys(texts, [False] * len(texts), mixer.code)[0]
+    return replace(mixer, keys=keys, stretch=np.frombuffer(unit["stretch"], np.float32)), texts
+
+
+def train(units: DataFrame, mixer: Mixer, settings: Settings) -> Mixer:
+    """``mixer`` fitted on all training texts of ``units``: each round, tasks go through their texts and Spark adds up what they found."""
+    context = units.sparkSession.sparkContext
+
+    def gather(find: Callable[[Mixer, list[bytes]], np.ndarray], size: int) -> np.ndarray:
+        shared = context.broadcast(mixer)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size)
+            for batch in batches:
+                for unit in batch.to_pylist():
+                    own, texts = for_unit(shared.value, unit)
+                    learnt = [t for t, learn in zip(texts, unit["learn"], strict=True) if learn]
+                    if learnt:
+                        total += find(own, learnt)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "x"])
+
+        out = np.zeros(size)
+        for r in units.mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():  # fixed size
+            out[r["at"]] = r.x
+        return out
+
+    def weights(own: Mixer, texts: list[bytes]) -> np.ndarray:
+        n = sum(map(len, texts))
+        return np.append(fit_weights(own, texts).ravel() * n, n)
+
+    for _ in range(settings.rounds):
+        found = gather(weights, mixer.weights.size + 1)
+        if found[-1]:
+            mixer = replace(mixer, weights=(found[:-1] / found[-1]).reshape(mixer.weights.shape))
+    return replace(mixer, refined=refine(gather(count_refined, _PLACES * 2)))
 
 
 def score(docs: DataFrame, learn: F.Column, settings: Settings = Settings(), text: str = "text") -> DataFrame:
@@ -392,11 +571,11 @@ def score(docs: DataFrame, learn: F.Column, settings: Settings = Settings(), tex
     counts are a table, of which the ``hot`` most frequent words reach the tasks
     by broadcast and the rest by a join of (word, document, frequency) rows. The
     score comes from the mixer: texts are coded byte by byte as decisions of a
-    prefix code; for each, predictors in hashed contexts of several orders
-    (counted over all training texts) are combined by weights that the
-    decision's gate picks and that adapt within each text, then refined by a
-    table of what came true. Both are log10 probabilities of the tokens; the
-    mixer's text is the words with one blank between and an end mark.
+    prefix code; for each, predictors in contexts of several orders (counted
+    over all training texts) are combined by weights that the decision's gate
+    picks and that adapt within each text, then refined by a table of what came
+    true, in training and in the text so far. Both are log10 probabilities of
+    the tokens; the mixer's text is the words with one blank between and an end mark.
 
     Null text is empty: one token, the end. Without any training row N and V are
     0. Repeated rows are learnt from and scored each for itself.
@@ -407,7 +586,9 @@ def score(docs: DataFrame, learn: F.Column, settings: Settings = Settings(), tex
     counts = common.cut(token_table(texts), "words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     base = math.log10(n + v + 1)
-    mixer = train(texts, counts, settings)
+    code, none = make_code(_pairs(counts)), np.zeros(0, np.int64)
+    units = common.cut(with_predictors(common.cut(pack(given, settings), "units"), code, settings), "predictors")
+    mixer = train(units, empty_mixer(code, (none.astype(np.uint64), none, none), settings), settings)
     top = common.frequent(counts, "c", settings.hot).toArrow()
     known = {t: c for t, c in zip(top.column("token").to_pylist(), top.column("c").to_pylist(), strict=True)}
     if end := counts.filter(F.length("token") == 0).first():
@@ -419,12 +600,12 @@ def score(docs: DataFrame, learn: F.Column, settings: Settings = Settings(), tex
         mixer, known = shared.value
         logs = _logs(known)
         ids = common.RowIds()
-        for batch in batches:
-            rows = ids.take(batch.num_rows)
-            own, coded, tokens, freq, at = [], [], [], [], []
-            for i, t in enumerate(batch.column("text").to_pylist()):
-                ws = words(t)
-                coded.append(normal(ws))
+        for unit in (u for b in batches for u in b.to_pylist()):
+            fitted, coded = for_unit(mixer, unit)
+            rows = ids.take(len(coded))
+            own, tokens, freq, at = [], [], [], []
+            for i, t in enumerate(coded):
+                ws = t[:-1].split(b" ") if len(t) > 1 else []
                 total, n_known = logs.get(b"", 0.0), 1 if b"" in logs else 0
                 got = Counter(ws)
                 for w, k in got.items():
@@ -434,14 +615,14 @@ def score(docs: DataFrame, learn: F.Column, settings: Settings = Settings(), tex
                     else:
                         tokens.append(w), freq.append(k), at.append(rows[i])
                 own.append((len(ws) + 1, n_known, total - (len(ws) + 1) * base))
-            scores = mixer.score(coded)
+            scores = fitted.score(coded)
             n_cold = len(tokens)
             none = lambda kind: pa.nulls(n_cold, kind)
             join = lambda a, kind: pa.concat_arrays([pa.array(a, kind), none(kind)])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([*rows, *at], pa.int64()),
-                    pa.concat_arrays([batch.column("doc_id"), none(pa.int64())]),
+                    join(unit["doc_id"], pa.int64()),
                     join([o[0] for o in own], pa.int64()),
                     join([o[1] for o in own], pa.int64()),
                     join([o[2] for o in own], pa.float64()),
@@ -454,7 +635,7 @@ def score(docs: DataFrame, learn: F.Column, settings: Settings = Settings(), tex
                 schema,
             )
 
-    rows = given.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, n_bytes long, token binary, f long")
+    rows = units.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, n_bytes long, token binary, f long")
     joined = rows.join(counts, "token", "left")
     out = joined.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
