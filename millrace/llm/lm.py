@@ -32,7 +32,7 @@ class Settings:
 
     slots: int = 1 << 22
     sample: int = 512
-    block: int = 2048
+    block: int = 64
     rate: float = 1.0
     rounds: int = 2
     unit: int = 3_000_000
@@ -264,7 +264,7 @@ class Mixer:
                 if seen is not None:
                     np.add.at(seen, place * 2 + side, 1)
                 zero, one = own[mine], own[mine + 1]
-                refined = self.refined[place]
+                refined = (_TRUST * self.refined[place] + one) / (_TRUST + zero + one)
                 met.append(mine + side)
                 final = (p + refined) * 0.5
                 chance = (2 * bit - 1) * final + (1 - bit)

@@ -1,5 +1,6 @@
 """The language model counts, fits and adapts over everything, at any size."""
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -67,3 +68,18 @@ def test_fit_reads_every_training_text(spark):
     mixer.weights = fitted.weights
     assert not np.allclose(fitted.weights, lm.empty_mixer(code, whole.n, settings).weights)
     assert fitted.refined == pytest.approx(lm.refine(lm.count_refined(mixer, texts)), abs=1e-5)
+
+
+def test_weights_and_refinement_move_within_a_short_text():
+    texts = [lm.normal(f"the cat sat on the mat number {i % 7}".encode().split()) for i in range(200)]
+    s = np.frombuffer(b"".join(texts), np.uint8)
+    code = lm.make_code(np.bincount(s[:-1].astype(int) * 256 + s[1:], minlength=1 << 16).reshape(256, 256))
+    counts = lm.Counts(code, 1)
+    counts.add(s)
+    mixer = lm.empty_mixer(code, counts.n, lm.Settings())
+    odd = b"zqx " * 250 + b"\n"
+    frozen = lm.replace(mixer, block=2048)
+    assert lm.Settings().block <= 64
+    assert mixer.score([odd])[0] / math.log10(2) > frozen.score([odd])[0] / math.log10(2) + 200
+    _, (w, own) = mixer.bits([np.frombuffer(odd, np.uint8)])
+    assert own.sum() > 1000 and not np.allclose(w[0], mixer.weights)
