@@ -302,6 +302,13 @@ def fault_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return faults.drops(spark.range(1, 5001).withColumnRenamed("id", "sequence"), faults.Faults(drop_rate=0.05))
 
 
+@query(None)
+def fault_drop_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drops over the whole stream of events: the n-th in sequence takes the n-th draw. A recursive SQL is too slow for it."""
+    placed = routing.numbered(events(spark, sf_dir).select("sequence"), name="place").withColumn("place", F.col("place") + 1)
+    return faults.drops(placed, faults.Faults(drop_rate=0.05), "place").select("sequence", "dropped")
+
+
 @query(None)
 def fault_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).select(F.col("key").alias("source"), "sequence", F.encode("payload", "utf-8").alias("payload"))
