@@ -40,7 +40,7 @@ NOTICES = {
 
 @dataclass(frozen=True)
 class Settings:
-    """coverage: part of a notice's k-grams that a span has to hold; drift: words by which merged diagonals may differ."""
+    """coverage: part of a notice's words that a span has to hold; drift: words by which merged diagonals may differ."""
 
     coverage: float = 0.75
     drift: int = 3
@@ -86,7 +86,7 @@ def scan(docs: DataFrame, settings: Settings = Settings(), text: str = "text", t
     in the template); votes are summed by diagonal; diagonals of one template
     that lie within ``drift`` words of each other and follow each other in the
     text are merged to a span; a span is verified by the share of the template's
-    k-grams it holds (all of them, on one diagonal, for a phrase). Labels: of all
+    words that agree along its diagonals (all of them, on one, for a phrase). Labels: of all
     verified spans; base labels: of the phrases. score is the best share of a
     notice or phrase held by a span, 0 to 1.
 
@@ -97,12 +97,13 @@ def scan(docs: DataFrame, settings: Settings = Settings(), text: str = "text", t
     hits = matches(docs, templates if templates is not None else template_grams(docs.sparkSession), text)
     keys = ["__row", "doc_id", "template", "label", "exact", "n_grams", "t_words"]
     # A text that repeats a notice a million times still leaves one row a diagonal and place: votes are counted before the shuffle.
-    votes = hits.groupBy(*keys, (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    votes = hits.groupBy(*keys, (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(F.collect_set("t_pos").alias("places"), F.min("pos").alias("lo"))
     # Diagonals of a notice that follow each other within the drift make one span; every other diagonal is a span.
     by = "PARTITION BY __row, template ORDER BY diagonal"
     stepped = votes.selectExpr("*", f"CASE WHEN NOT exact AND template >= 0 AND diagonal - lag(diagonal) OVER ({by}) <= {settings.drift} THEN 0 ELSE 1 END AS step")
-    spans = stepped.selectExpr("*", f"sum(step) OVER ({by}) AS span").groupBy("__row", "doc_id", "template", "label", "exact", "n_grams", "span").agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"))
-    share = "CASE WHEN template < 0 THEN 0.0D ELSE least(1.0D, votes / n_grams) END"
+    spans = stepped.selectExpr("*", f"sum(step) OVER ({by}) AS span").groupBy("__row", "doc_id", "template", "label", "exact", "t_words", "span").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"), F.min("lo").alias("lo"))
+    # A k-gram at a place holds the words from there on; words that several hold count once.
+    share = f"CASE WHEN template < 0 THEN 0.0D ELSE size(array_distinct(flatten(transform(places, p -> sequence(p, p + {K - 1}))))) / t_words END"
     found = spans.selectExpr("__row", "doc_id", "template", "CAST(lo AS LONG) AS lo", f"{share} AS share", "label", "exact").filter(f"template < 0 OR share >= CASE WHEN exact THEN 1 ELSE {settings.coverage} END")
     return found.groupBy("__row").agg(
         F.max("doc_id").alias("doc_id"),
