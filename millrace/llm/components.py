@@ -52,22 +52,42 @@ def contract(edges: DataFrame, block: int = 500_000) -> DataFrame:
         if n:
             yield out()
 
-    return edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b").mapInArrow(run, "a long, b long")
+    return edges.mapInArrow(run, "a long, b long")
+
+
+def forests(edges: DataFrame, block: int = 500_000) -> DataFrame:
+    """The same components as a written forest of each block of ``block`` edges; blocks are joined while that takes edges away.
+
+    The number of tasks follows the number of edges, not that of partitions: a
+    task always holds one block, and a hot group's edges, which every partition
+    met, are gone before any join sees them.
+    """
+    now = common.cut(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b"), "edges")
+    n, before = now.count(), None
+    while before is None or n < before // 2:
+        before = n
+        now = common.cut(contract(now.coalesce(max(1, -(-n // block))), block), "edges")
+        n = now.count()
+        if before <= block:
+            break
+    return now
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component): each node of ``edges`` (a, b) with the smallest node it reaches.
+    """(node, component): each node of ``edges`` (a, b) with the smallest node it reaches. Nodes without another are left out.
 
-    Every task first contracts its own edges. Then large-star and small-star
-    steps take turns until nothing changes: each step moves edges to the
-    smallest neighbour, so a hot node's edges stay rows of their own, counted
-    into one minimum before the shuffle. Each round is written to the shared folder.
+    Blocks of edges are first contracted to forests. Where one block held all,
+    that is the result. Else large-star and small-star steps take turns until
+    nothing changes: each step moves edges to the smallest neighbour, so a hot
+    node's edges stay rows of their own, counted into one minimum before the
+    shuffle. Each round is written to the shared folder.
     """
-    # A hot group leaves each task that met it an edge a node: few tasks, of 16 bytes a row, leave few.
-    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    now = common.cut(contract(edges.coalesce(max(1, n // 16))).distinct(), "edges")
+    now = forests(edges)
     for _ in range(rounds):
-        if now.limit(1).count() == 0:
+        # Done once every node has one edge and no parent has a parent.
+        n = now.count()
+        tops = now.select(F.col("b").alias("a")).distinct()
+        if now.select("a").distinct().count() == n and now.join(tops, "a", "left_semi").limit(1).count() == 0:
             break
         # Large star: the larger neighbours of a node go to the smallest of its neighbours and itself.
         both = now.unionByName(now.selectExpr("b AS a", "a AS b"))
@@ -77,14 +97,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.selectExpr("b AS a", "m AS b").unionByName(least.selectExpr("a", "m AS b")).filter("a <> b").distinct()
-        after = common.cut(small, "edges")
-        # Done once every node has one edge and no parent has a parent.
-        n = after.count()
-        tops = after.select("b").distinct()
-        if after.select("a").distinct().count() == n and after.join(tops.withColumnRenamed("b", "a"), "a", "left_semi").limit(1).count() == 0:
-            now = after
-            break
-        now = after
+        now = common.cut(small, "edges")
     else:
         raise RuntimeError(f"no fixed point after {rounds} rounds")
     return now.selectExpr("a AS node", "b AS component").unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

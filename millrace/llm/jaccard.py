@@ -72,7 +72,7 @@ class Classes:
 
 
 def document_sets(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_hash (128 bits of the whole set; null if empty) and node (64 of them): a row per row."""
+    """doc_id, text_hash, n_shingles, set_hash (128 bits of the whole set; null if empty) and node (64 of them): a row per row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, full, node = [], [], []
@@ -81,9 +81,10 @@ def document_sets(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
             n.append(len(s))
             full.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             node.append(int.from_bytes(full[-1][:8], "little", signed=True) if len(s) else None)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(full, pa.binary()), pa.array(node, pa.int64())], ["doc_id", "n_shingles", "set_hash", "node"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(full, pa.binary()), pa.array(node, pa.int64())], ["doc_id", "text_hash", "n_shingles", "set_hash", "node"])
 
-    return common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, n_shingles long, set_hash binary, node long")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    return common.map_arrow(given, run, "doc_id long, text_hash long, n_shingles long, set_hash binary, node long")
 
 
 def _node(s: np.ndarray) -> int:
@@ -277,26 +278,17 @@ def join(docs: DataFrame, settings: Settings = Settings(), text: str = "text") -
        inverted lists finds all links. A group of more than ``block`` sets is cut
        by hash into blocks, and a task gets a pair of blocks: no list, group or
        hot shingle is ever whole in one task;
-    4. a task returns a spanning forest of its links and the number of links per
-       set, never the pairs; components() joins the forests.
+    4. a task returns a spanning forest of its verified links and the number of
+       links per set, never the pairs; components() joins the forests.
 
     No text or word: set empty, n_shingles 0, linked with nothing, component_id
     its doc_id. Equal rows are linked as equal texts. Null doc_ids take part, but
-    never name a component unless nothing else does. Other columns are ignored.
+    never name a component unless nothing else does. Very long texts take part
+    whole. Other columns, whatever their names, are ignored; an empty table gives
+    no rows.
     """
-    spark, k = docs.sparkSession, settings.k
-    sets = common.cut(document_sets(docs, k, text), "sets")
-    by_class = sets.filter("set_hash IS NOT NULL").groupBy("set_hash").agg(F.first("node").alias("node"), F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
-    # Classes are numbered by their hash's first 64 bits and a check of the rest: equal numbers of unlike sets stay apart by set_hash.
-    classes = by_class.withColumn("cid", F.xxhash64("set_hash"))
-    groups = common.cut(candidate_groups(docs, settings, text), "groups")
-    links = common.cut(_links(docs, groups, classes, settings, text), "links")
-    comps = components(links.selectExpr("cid AS a", "root AS b"))
-    degree = links.groupBy("cid").agg(F.sum("links").alias("links"))
-    placed = classes.join(comps.selectExpr("node AS cid", "component"), "cid", "left").join(degree, "cid", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "cid"))
-    least = placed.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    known = placed.join(least, "component").select("set_hash", "class_id", "component_id", "copies", "links")
+    sets = common.cut(document_sets(docs, settings.k, text), "sets")
+    known = _placed(docs, sets, settings, text).select("set_hash", F.col("best.doc_id").alias("class_id"), F.col("component_best.doc_id").alias("component_id"), "copies", "links")
     # Rows without words have no set to look up; they join nothing and so stay out of the shuffle.
     empty = sets.filter("set_hash IS NULL").selectExpr("doc_id", "n_shingles", "doc_id AS component_id", "doc_id AS class_id", "0L AS n_links")
     out = sets.filter("set_hash IS NOT NULL").join(known, "set_hash")
@@ -309,28 +301,48 @@ def join(docs: DataFrame, settings: Settings = Settings(), text: str = "text") -
     ).unionByName(empty)
 
 
+def _placed(docs: DataFrame, sets: DataFrame, settings: Settings, text: str) -> DataFrame:
+    """set_hash, copies, best, links and component_best of every class.
+
+    best: the class's first row, by doc_id (nulls last) and text_hash;
+    component_best: the first of the component.
+    """
+    first_row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    by_class = sets.filter("set_hash IS NOT NULL").groupBy("set_hash").agg(F.first("node").alias("node"), F.min(first_row).alias("best"), F.count("*").alias("copies"))
+    # Classes get numbers of their own, which no two share, however many there are; the written table keeps them.
+    classes = common.cut(by_class.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    groups = common.cut(candidate_groups(docs, settings, text), "groups")
+    links = common.cut(_links(docs, groups, classes, settings, text), "links")
+    comps = components(links.selectExpr("cid AS a", "root AS b"))
+    degree = links.groupBy("cid").agg(F.sum("links").alias("links"))
+    placed = classes.join(comps.selectExpr("node AS cid", "component"), "cid", "left").join(degree, "cid", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "cid"))
+    least = placed.groupBy("component").agg(F.min("best").alias("component_best"))
+    return placed.join(least, "component")
+
+
 def _links(docs: DataFrame, groups: DataFrame, classes: DataFrame, settings: Settings, text: str) -> DataFrame:
     """(cid, root, links) of all search tasks."""
-    spark, k, block = docs.sparkSession, settings.k, settings.block
-    # The sets of the groups' members: one text of each class, read again and hashed again, which is cheaper than storing all sets.
-    member = classes.join(groups.select("node").distinct(), "node", "left_semi").select("class_id", "cid", "copies", "set_hash")
-    member = common.cut(member, "members")
-    wanted = common.small(member.selectExpr("class_id AS __id", "cid AS __cid", "copies AS __copies", "set_hash AS __hash"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("__doc"), F.col(text).alias("text")).join(wanted, F.col("__doc").eqNullSafe(F.col("__id")))
-
-    def build(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep, data, node = [], [], []
-        full = batch.column("__hash").to_pylist()
-        for i, t in enumerate(batch.column("text").to_pylist()):
-            s = shingle_set(t, k)
-            if len(s) and xxhash.xxh3_128_digest(s.tobytes()) == full[i]:  # an equal doc_id may hold another text
-                keep.append(i)
-                data.append(s.tobytes())
-                node.append(_node(s))
-        at = pa.array(keep, pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column("__cid").take(at), batch.column("__copies").take(at), pa.array(node, pa.int64()), pa.array(data, pa.binary())], ["cid", "copies", "node", "data"])
-
-    own = common.map_arrow(texts.select("__cid", "__copies", "__hash", "text"), build, "cid long, copies long, node long, data binary")
+    k, block = settings.k, settings.block
+    # The sets of the groups' members: a text of each class, read again and hashed again, which is cheaper than storing all sets.
+    member = common.cut(classes.join(groups.select("node").distinct(), "node", "left_semi").select("best.doc_id", "set_hash", "cid", "copies", "node"), "members")
+    wanted = common.small(member.select(F.col("doc_id").alias("__id")).distinct())
+    texts = docs.select(F.col("doc_id").cast("long").alias("__doc"), F.col(text).alias("text")).join(wanted, F.col("__doc").eqNullSafe(F.col("__id")), "left_semi").select("text")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[bytes] = set()  # a task hands on each set once, however often its text is repeated
+        for batch in batches:
+            data, full = [], []
+            for t in batch.column("text").to_pylist():
+                s = shingle_set(t, k)
+                if len(s) and (h := xxhash.xxh3_128_digest(s.tobytes())) not in met:
+                    met.add(h)
+                    data.append(s.tobytes())
+                    full.append(h)
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.binary()), pa.array(data, pa.binary())], ["set_hash", "data"])
+
+    # An equal or null doc_id may hold other texts: the set's hash decides.
+    own = texts.mapInArrow(build, "set_hash binary, data binary").join(common.small(member.drop("doc_id")), "set_hash").drop("set_hash")
     # Of rows that are all alike, one is enough; each brings the same set, so the search may also see it twice without harm to the forest.
     count = groups.groupBy("scheme", "grp").agg(F.count("*").alias("m"))
     sized = groups.join(count, ["scheme", "grp"]).withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
@@ -356,12 +368,20 @@ def _links(docs: DataFrame, groups: DataFrame, classes: DataFrame, settings: Set
 
 
 def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One document of each component, the one that names it, with all columns of ``docs``; documents without words all stay.
+    """One row of each component, the first by doc_id (nulls last) and a hash of the text, with all columns of ``docs``.
 
-    Rows that repeat the kept doc_id with an equal set are dropped as well.
+    Documents without words all stay, repeated rows of them too; of repeated rows
+    with words one stays. Columns keep their names, whatever these are; nulls and
+    very long texts are as in join(); an empty table gives no rows.
     """
-    found = join(docs, settings)
-    kept = found.filter("n_shingles = 0 OR doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = common.small(common.cut(kept, "kept"))
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "text"])
+    sets = common.cut(document_sets(docs, settings.k), "sets")
+    placed = _placed(docs, sets, settings, "text").filter("best = component_best")
+    kept = common.cut(placed.groupBy(F.col("best.doc_id").alias("__id"), F.col("best.text_hash").alias("__hash")).agg((F.max("copies") > 1).alias("__more")), "kept")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    worded = F.coalesce(F.col("__row.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    same = F.col("__row.doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("__row.text") == F.col("__hash"))
+    stay = rows.filter(worded).join(common.small(kept), same)
+    # Only rows that may come again are dealt out to be told apart.
+    once = stay.filter("NOT __more").select("__row.*")
+    again = stay.filter("__more").groupBy("__id", "__hash").agg(F.first("__row").alias("__row")).select("__row.*")
+    return once.unionByName(again).unionByName(rows.filter(~worded).select("__row.*"))
