@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Units longer than this are encoded where they stand and never remembered.
+#: Units longer than this are parted by the library's own pre-tokenizer (counts) or encoded where they stand (ids), and never remembered.
 LONG_UNIT = 200
 #: Units of one of the two generations that a Python worker remembers (about 200 bytes each).
 CACHE_UNITS = 450_000
@@ -35,7 +36,8 @@ HOT_UNITS = 300_000
 _JOINED_BLANKS = re.compile("[^\\S \n][ \n]|᠎")
 _OTHER_BLANKS = ("\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0")
 _CLOSING = ".,;:!?|"
-_CLOSING_SET = frozenset(_CLOSING)
+#: A word that ends in a letter below U+0250 is parted from closing marks by both tokenizer styles.
+_PARTED = "[A-Za-zªµºÀ-ÖØ-öø-ɏ]$"
 
 
 class Encoder:
@@ -80,7 +82,10 @@ class Encoder:
         return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if "\0" not in text else re.findall("[ \n]*[^ \n]+|[ \n]+", text)
 
     def parts(self, unit: str) -> tuple[str, ...]:
-        """A unit as a word and the closing marks after it, if the tokenizer surely parts them."""
+        """A unit as a word and the closing marks after it, if the tokenizer surely parts them; a long one as its pre-tokens."""
+        if len(unit) > LONG_UNIT and not (self.special_in and self.special_in(unit)):
+            text = self.library.normalizer.normalize_str(unit) if self.library.normalizer else unit
+            return tuple(text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text))
         if self.style == "word" and unit.isascii():
             unit = unit if self.special_in and self.special_in(unit) else unit.lower()
         word = unit.rstrip(_CLOSING)
@@ -97,45 +102,99 @@ class Encoder:
         starts = [0, *(ends + self.wide.itemsize).tolist()]
         return [ids[a:b] for a, b in zip(starts, [*ends.tolist(), len(ids)], strict=True)]
 
-    def learn(self, units: set[str]) -> None:
-        """Encode the units that are not remembered, all at once. Two generations: what was not met lately is forgotten."""
+    def marked(self, text: str) -> str | None:
+        """The text with a NUL between units, or None where it has to be encoded whole."""
+        if "\0" in text:
+            return None
+        if self.style == "word":
+            return text.replace("\n", "\0").replace(" ", "\0")
+        if self.style == "byte" and not any(x in text for x in ("  ", "\n ", " \n", "\n\n")) and text[:1] not in (" ", "\n") and text.isascii() and not any(c in text for c in _OTHER_BLANKS[:8]):
+            return text.replace(" ", "\0 ").replace("\n", "\0\n")
+        us = self.units(text)
+        return None if us is None else "\0".join(us)
+
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, most of them remembered. Two generations: what was not met lately is forgotten."""
+        if len(self.known) > CACHE_UNITS:
+            self.old, self.known = self.known, {}
         known, old = self.known, self.old
-        new = units - known.keys()
-        for u in new & old.keys():
-            known[u] = old[u]
-        fresh = new - old.keys()
-        # Most units are a word as it is; only the others are looked into.
-        whole = {u for u in fresh if u[-1:] not in _CLOSING_SET and (self.style == "byte" or u == u.lower())}
-        split = {u: self.parts(u) for u in fresh - whole}
-        todo = list(whole.union(*split.values()) - known.keys())
-        for k in range(0, len(todo), 4096):
-            known.update(zip(todo[k : k + 4096], self.each(todo[k : k + 4096]), strict=True))
-        for u, ps in split.items():
-            if len(ps) > 1 or ps[0] != u:
-                known[u] = b"".join(map(known.__getitem__, ps))
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as bytes, in order; memory follows a few hundred texts, not the batch.
-
-        Each unit is looked up once; only what is missing is looked at again.
-        """
-        for k in range(0, len(texts), 512):
-            if len(self.known) > CACHE_UNITS:
-                self.old, self.known = self.known, {}
-            get = self.known.get
-            split = [self.units(t) for t in texts[k : k + 512]]
-            ids = [None if us is None else list(map(get, us)) for us in split]
-            missing = [[i for i, v in enumerate(found) if v is None] if found and None in found else () for found in ids]
-            met = {us[i] for us, gaps in zip(split, missing, strict=True) for i in gaps}
-            long = {u for u in met if len(u) > LONG_UNIT}
-            self.learn(met - long)
-            for text, us, found, gaps in zip(texts[k : k + 512], split, ids, missing, strict=True):
-                if found is None:
-                    yield self.ids_of([text])[0]
-                    continue
-                for i in gaps:
-                    found[i] = self.ids_of([us[i]])[0] if us[i] in long else get(us[i])
-                yield b"".join(found)
+        out = list(map(known.get, words))
+        fresh = []
+        for i in (i for i, v in enumerate(out) if v is None):
+            if (got := old.get(words[i])) is not None:
+                out[i] = known[words[i]] = got
+            else:
+                fresh.append(i)
+        for k in range(0, len(fresh), 16_384):
+            part = [words[i] for i in fresh[k : k + 16_384]]
+            ids = self.each(part)
+            known.update(zip(part, ids, strict=True))
+            for i, v in zip(fresh[k : k + 16_384], ids, strict=True):
+                out[i] = v
+        return out
+
+    def unit_ids(self, units: pa.Array) -> list[bytes]:
+        """Ids of distinct units: as words and the closing marks after them, see parts(), but for all units at once."""
+        long = pc.greater(pc.utf8_length(units), LONG_UNIT)
+        plain = units
+        if self.style == "word":
+            fold = pc.equal(pc.utf8_length(units), pc.binary_length(units))
+            for t in self.special:
+                fold = pc.and_(fold, pc.invert(pc.match_substring(units, t)))
+            plain = pc.if_else(fold, pc.ascii_lower(units), units)
+        word = pc.utf8_rtrim(plain, _CLOSING)
+        parted = pc.and_(pc.match_substring_regex(word, _PARTED), pc.not_equal(word, plain))
+        word = pc.if_else(pc.or_(parted, long), word, plain)
+        words = pc.if_else(long, "", word).dictionary_encode()
+        ids = self.word_ids(_listed(words.dictionary))
+        out = list(map(ids.__getitem__, _listed(words.indices)))
+        at = np.flatnonzero(np.asarray(pc.and_(parted, pc.invert(long))))
+        marks = [p[len(w) :] for p, w in zip(_listed(plain.take(pa.array(at))), _listed(word.take(pa.array(at))), strict=True)]
+        kinds = list(dict.fromkeys(marks))
+        known = dict(zip(kinds, self.word_ids(kinds), strict=True))
+        for i, m in zip(at.tolist(), marks, strict=True):
+            out[i] += known[m]
+        for i in np.flatnonzero(np.asarray(long)).tolist():
+            out[i] = self.ids_of([units[i].as_py()])[0]
+        return out
+
+    def encode(self, texts: list[str], block: int = 8_000_000) -> Iterator[bytes]:
+        """The ids of each text as bytes, in order; memory follows a block of characters, or one longer text."""
+        held, size = [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t)
+            if size >= block:
+                yield from self._block(held)
+                held, size = [], 0
+        yield from self._block(held)
+
+    def _block(self, texts: list[str]) -> Iterator[bytes]:
+        """Every distinct unit is looked up once; the texts' ids are gathered from the units' in one flat array."""
+        marked = [self.marked(t) for t in texts]
+        split = pc.split_pattern(pa.array([m for m in marked if m is not None], pa.string()), "\0")
+        units = split.flatten().dictionary_encode()
+        ids = self.unit_ids(units.dictionary)
+        size = self.wide.itemsize
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // size
+        flat, first = np.frombuffer(b"".join(ids), self.wide), np.cumsum(n) - n
+        at = units.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
+        row = 0
+        for text, m in zip(texts, marked, strict=True):
+            if m is None:
+                yield self.ids_of([text])[0]
+                continue
+            own = at[ends[row] : ends[row + 1]]
+            row += 1
+            length = n[own]
+            stop = np.cumsum(length)
+            yield flat[np.arange(int(stop[-1])) + np.repeat(first[own] - stop + length, length)].tobytes()
+
+
+def _listed(values: pa.Array) -> list:
+    """As to_pylist(), by numpy, which takes less time."""
+    return values.to_numpy(zero_copy_only=False).tolist()
 
 
 def style_of(spec: dict) -> str:
@@ -181,7 +240,7 @@ def _unit_counts(path: str):
                 seen.update(us)
         out: dict[str, int] = {}
         for u, n in seen.items():
-            if u and len(u) <= LONG_UNIT:
+            if u:
                 for p in enc.parts(u):
                     out[p] = out.get(p, 0) + n
         return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], ["unit", "n"])
@@ -216,8 +275,8 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
     (pre-token, document, frequency) rows.
 
     Null text counts as empty: 0 bytes, 0 tokens. Repeated rows and equal or null
-    doc_ids give a row each. Texts without safe cuts (see Encoder) and units over
-    LONG_UNIT characters are counted in place. Other columns are ignored.
+    doc_ids give a row each. Texts without safe cuts (see Encoder) are counted in
+    place. Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(*[F.col(c) for c in keep], F.col(text).alias("text")) if text not in keep else docs.select(*keep)
@@ -241,21 +300,17 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
                 for u, k in Counter(us).items():
                     if (c := whole.get(u)) is not None:
                         total += c * k
-                    elif len(u) > LONG_UNIT:
-                        total += k * (len(enc.ids_of([u])[0]) // enc.wide.itemsize)
                     elif u:
                         ps = enc.parts(u)
                         cs = [hot_pieces.get(p) for p in ps]
                         if None not in cs:
-                            if len(whole) < CACHE_UNITS:
+                            if len(whole) < CACHE_UNITS and len(u) <= LONG_UNIT:
                                 whole[u] = sum(cs)
                             total += k * sum(cs)
                         else:
-                            for p, c in zip(ps, cs, strict=True):
-                                if c is None:
-                                    at.append(i), unit.append(p), n.append(k), own.append(False)
-                                else:
-                                    total += k * c
+                            total += k * sum(c for c in cs if c is not None)
+                            for p, times in Counter(p for p, c in zip(ps, cs, strict=True) if c is None).items():
+                                at.append(i), unit.append(p), n.append(k * times), own.append(False)
                 # The document's own row: no pre-token ends in a blank after a digit, so it meets none, and rows spread evenly.
                 at.append(i), unit.append(f"{row_ids[i]} "), n.append(total), own.append(True)
                 size.append(len(text.encode("utf-8", "surrogatepass")))

@@ -70,6 +70,15 @@ def test_token_counts(edge, path, hot):
     assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in tokens.token_counts(edge, path, hot=hot).collect()) == want
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_token_counts_of_a_table_and_of_text_without_blanks(spark, docs, path):
+    library = Tokenizer.from_file(path)
+    long = spark.createDataFrame([(-1, "abc,Déf.12-" * 300), (-2, "x" * 5000 + "!" * 300), (-3, "東京都は" * 200), (-4, "ab<|endoftext|>" * 100), (-5, "a\u0301É'll" * 90)], "doc_id long, text string")
+    df = docs.select("doc_id", "text").unionByName(long)
+    want = Counter((i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in pairs(df))
+    assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in tokens.token_counts(df, path, hot=2000).collect()) == want
+
+
 def test_token_counts_empty(empty):
     assert tokens.token_counts(empty, WORD).count() == 0
 
