@@ -1,4 +1,4 @@
-"""Operator 8: exact top-k by inner product with an M-tree of metric pages."""
+"""Operator 8: exact top-k by inner product with an M-tree of metric pages, searched best first."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,27 +17,35 @@ from . import common
 
 @dataclass(frozen=True)
 class Settings:
-    """k: neighbours; scale: components become floor(scale * x); pivots: routing vectors, a bounded sample whose size
-    does not follow the data; page: vectors of a leaf page; queries: queries that meet a page at once.
+    """k: neighbours; scale: components become floor(scale * x); pivots: routing vectors on top of the tree, a bounded
+    sample whose size does not follow the data; page: vectors of a leaf page; fanout: pivots that a fuller node is split
+    by; deal: vectors of one node that a task splits; first: pages that a query visits before its bound is looked at
+    again; queries: queries that meet a page at once.
     """
 
     k: int = 5
     scale: int = 256
     pivots: int = 256
-    page: int = 1024
-    queries: int = 512
+    page: int = 512
+    fanout: int = 32
+    deal: int = 50_000
+    first: int = 8
+    queries: int = 256
 
 
-#: Distances are compared with this slack, far above their rounding and far below one unit of a score.
-_SLACK = 1e-7
+#: Part of the largest norm by which distances are compared with slack, far above their rounding.
+_SLACK = 1e-6
 
 
 def whole_vectors(table: DataFrame, scale: int, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, v): components as floor(scale * x), x as double; vectors that are null, empty, or hold a null or non-finite component are left out."""
-    x = F.col(embedding)
-    good = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < 2.0**40))
-    # A guard inside the conversion too: filters may be evaluated after it.
-    v = F.transform(x, lambda c: F.when(F.abs(c.cast("double")) < 2.0**40, F.floor(c.cast("double") * scale)).cast("long"))
+    """(vec_id, v): components as floor(scale * x), x as double, whole numbers held as doubles.
+
+    Vectors that are null, empty, or hold a component that is null or, scaled, not finite are left out.
+    """
+    scaled = F.transform(F.col(embedding), lambda c: c.cast("double") * scale)
+    good = F.col(embedding).isNotNull() & (F.size(embedding) > 0) & F.forall(scaled, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    # From 2^52 on doubles are whole; below, the long that floor() gives holds them.
+    v = F.transform(scaled, lambda c: F.when(F.abs(c) < 2.0**52, F.floor(c).cast("double")).otherwise(c))
     return table.filter(good & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"))
 
 
@@ -47,39 +56,46 @@ class Metric:
     """
 
     def __init__(self, top: float) -> None:
-        self.top = top
+        self.top, self.slack = top, _SLACK * np.sqrt(top)
 
     def extended(self, v: np.ndarray) -> np.ndarray:
         norm = np.einsum("ij,ij->i", v, v)
         return np.hstack([v, np.sqrt(np.maximum(self.top - norm, 0.0))[:, None]])
 
+    @staticmethod
+    def flat(q: np.ndarray) -> np.ndarray:
+        return np.hstack([q, np.zeros((len(q), 1))])
+
     @staticmethod
     def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         d = np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b)[None] - 2 * (a @ b.T)
         return np.sqrt(np.maximum(d, 0.0))
 
     def reach(self, q: np.ndarray, score: np.ndarray) -> np.ndarray:
-        """The distance within which all products of ``score`` or more lie."""
-        d = np.einsum("ij,ij->i", q, q) + self.top - 2 * score
-        return np.sqrt(np.maximum(d, 0.0))
+        """The distance within which all products of ``score`` or more lie; without a score everything lies within."""
+        norm = np.einsum("ij,ij->i", q, q)
+        d = np.sqrt(np.maximum(norm + self.top - 2 * np.where(np.isfinite(score), score, 0), 0.0))
+        return np.where(np.isfinite(score) & np.isfinite(d), d + self.slack + _SLACK * np.sqrt(norm), np.inf)
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: in doubles while they are sure to be exact, else in 64-bit integers."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
-    return np.rint(q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64) if most < 2**52 else q @ x.T
+    """Exact inner products of one query: in doubles while they are sure to be exact, else in Python's whole numbers."""
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * len(q)
+    if most < 2**52:
+        return x @ q
+    own = [int(c) for c in q.tolist()]
+    return np.array([sum(a * int(b) for a, b in zip(own, row, strict=True)) for row in x.tolist()], object)
 
 
 @dataclass
 class Tree:
-    """Routing levels: top pivots with covering radii over leaf pivots, which hold the distance to their parent."""
+    """Routing levels: top pivots over leaf pivots, which hold the distance to their parent; leaves' covering radii."""
 
     top: np.ndarray
     parent: np.ndarray
     leaves: np.ndarray
     to_parent: np.ndarray
-    radius: np.ndarray | None = None
-    n: np.ndarray | None = None
+    radius: np.ndarray
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(leaf, distance to its pivot): down the nearest top pivot, then its nearest leaf."""
@@ -103,149 +119,244 @@ def build_tree(sample: np.ndarray) -> Tree:
     top = sample[chosen]
     d = Metric.distances(sample, top)
     parent = d.argmin(1)
-    return Tree(top, parent, sample, d[np.arange(len(sample)), parent])
+    return Tree(top, parent, sample, d[np.arange(len(sample)), parent], np.full(len(sample), -np.inf))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.int64)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def search(table: DataFrame, is_query: F.Column, settings: Settings = Settings()) -> DataFrame:
-    """query_id, rank, vec_id, score: for each query vector its k largest integer inner products, ties to the smaller vec_id.
+def search(table: DataFrame, is_query: F.Column, settings: Settings = Settings(), computed: Accumulator | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: for each query row its k largest integer inner products, ties to the smaller vec_id.
 
     Candidates are all rows but those with the query's own vec_id. Vectors meet
-    only vectors of their own length. Repeated rows are candidates each for
-    itself, and a vec_id that stands twice asks once, with the smaller of its vectors.
-
-    The tree: vectors go down routing pivots into leaf pages, each entry kept
-    with its distance to the page's pivot and sorted by it, each page with its
-    covering radius. The search goes best first in two rounds: a query first
-    visits the leaf nearest to it, which gives a score it is sure to reach; in
-    the second it visits only pages whose ball lies within that reach, and in a
-    page only entries whose stored distance the triangle inequality allows. All
-    bounds are safe, so results are exact. Routing nodes are a bounded sample,
-    broadcast; pages and queries meet by a join, in blocks.
+    only vectors of their own length. Repeated rows are candidates, and ask, each
+    for itself. A product beyond 64 bits is ranked as it is and returned as the
+    nearest 64-bit number. Other columns are ignored; an empty table gives no rows.
+
+    The tree: vectors go down routing pivots (a bounded sample, broadcast); a node
+    of more than a page is split by pivots of its own, level by level, until
+    pages fit, so that every node has a pivot, a covering radius and the
+    distance of its pivot to its parent's, and a page its entries by distance to
+    its pivot. The search is best first, in steps that all queries take
+    together: down to the page nearest to the query, which gives a score that
+    it is sure to reach; then over the nodes that lie within that reach, where
+    the stored distance to the parent spares the distances to nodes that it
+    alone rules out; the pages found are visited in the order of their bounds,
+    ``first`` of them before the reach is tightened and the others measured
+    against it. In a page only entries are multiplied whose stored distance the
+    triangle inequality allows. All bounds are safe, so results are exact.
+    ``computed`` adds up the products that were computed.
     """
     spark = table.sparkSession
     given = common.cut(whole_vectors(table, settings.scale).withColumn("d", F.size("v")), "vectors")
-    queries_of = table.filter(is_query).select(F.col("vec_id").cast("long").alias("vec_id")).distinct()
+    asking = common.cut(whole_vectors(table.filter(is_query), settings.scale).select(F.monotonically_increasing_id().alias("q"), "vec_id", "v"), "queries")
     out = None
     for d in [r.d for r in given.select("d").distinct().orderBy("d").collect()]:
-        own = given.filter(F.col("d") == d).drop("d")
-        got = _search(own, own.join(common.small(queries_of), "vec_id", "left_semi").groupBy("vec_id").agg(F.min("v").alias("v")), settings)
+        got = _search(given.filter(F.col("d") == d).drop("d"), asking.filter(F.size("v") == d), settings, computed)
         out = got if out is None else out.unionByName(got)
     return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
 
-def _search(given: DataFrame, queries: DataFrame, settings: Settings) -> DataFrame:
+_ENTRY = "node string, dist double, vec_id long, v array<double>"
+
+
+def _split(entries: DataFrame, sizes: DataFrame, metric: Metric, settings: Settings, level: int) -> tuple[DataFrame, DataFrame]:
+    """(entries, nodes) one level down: of the nodes with over a page of entries.
+
+    A node's pivots are ``fanout`` of its entries, by hash; entries go to the
+    nearest. They are dealt over tasks with a copy of the pivots each, so that
+    no task holds a node. Where all pivots are equal, entries are dealt to pages in turn.
+    """
+    full = sizes.filter(F.col("n") > settings.page).select("node", "n")
+    own = entries.join(common.small(full), "node")
+    key = F.xxhash64("vec_id", F.lit(level))
+    picked = own.withColumn("rank", F.row_number().over(W.partitionBy("node").orderBy(key, "vec_id", "v"))).filter(F.col("rank") <= settings.fanout)
+    heads = picked.groupBy("node").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("rank", "v", "dist"))).alias("pivots"))
+    heads = common.cut(heads.withColumn("alike", F.size(F.array_distinct("pivots.v")) == 1), "pivots")
+    parts = F.ceil(F.col("n") / settings.deal).cast("int")
+    head_rows = heads.select("node", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("kind"), "n", "alike", "pivots.v", F.lit(None).cast("long").alias("vec_id"))
+    entry_rows = own.select("node", F.pmod(F.xxhash64("vec_id", F.lit(7)), parts).cast("int").alias("part"), F.lit(1).alias("kind"), "n", F.lit(False).alias("alike"), F.array("v").alias("v"), "vec_id")
+    n_parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = head_rows.unionByName(entry_rows).repartition(n_parts, "node", "part").sortWithinPartitions("node", "part", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, alike, n, met = np.zeros((0, 0)), False, 0, 0
+        for b in batches:
+            kinds, nodes, ids = b.column("kind").to_numpy(), b.column("node").to_pylist(), b.column("vec_id")
+            vectors = b.column("v")
+            edges = np.flatnonzero(np.concatenate([[True], (kinds[1:] == 0) | (kinds[:-1] == 0)])).tolist()
+            for a, z in zip(edges, [*edges[1:], len(kinds)], strict=True):
+                if not kinds[a]:
+                    pivots, alike, n = metric.extended(_matrix(vectors[a].values)), b.column("alike")[a].as_py(), b.column("n")[a].as_py()
+                    continue
+                x = vectors.slice(a, z - a).flatten()
+                d = Metric.distances(metric.extended(_matrix(x)), pivots)
+                own_ids = ids.slice(a, z - a)
+                child = (np.arange(met, met + z - a) % -(-n // settings.page)) if alike else d.argmin(1)
+                met += z - a
+                dist = d[:, 0] if alike else d.min(1)
+                yield pa.RecordBatch.from_arrays([pa.array([f"{nodes[a]}.{c}" for c in child.tolist()], pa.string()), pa.array(dist), own_ids, x], ["node", "dist", "vec_id", "v"])
+
+    children = common.cut(dealt.mapInArrow(run, _ENTRY), "entries")
+    below = children.groupBy("node").agg(F.count("*").alias("n"), F.max("dist").alias("radius")).withColumn("parent", F.regexp_replace("node", r"\.[0-9]+$", ""))
+    place = F.when(F.col("alike"), F.lit(0)).otherwise(F.regexp_extract("node", r"([0-9]+)$", 1).cast("int"))
+    pivot = F.get("pivots", place)
+    nodes = below.join(common.small(heads.withColumnRenamed("node", "parent").drop("n")), "parent").select("node", "parent", "n", "radius", pivot["v"].alias("pivot"), pivot["dist"].alias("to_parent"))
+    return children, common.cut(nodes, "nodes")
+
+
+def _search(given: DataFrame, queries: DataFrame, settings: Settings, computed: Accumulator | None) -> DataFrame:
     spark, k = given.sparkSession, settings.k
-    top = given.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double")))).first()[0]
+    top = given.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))).first()[0]
     metric = Metric(top)
     # The sample is held by a hash of the id, so reruns agree.
     picked = given.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(settings.pivots).select("v").toArrow()
-    tree = build_tree(metric.extended(_matrix(picked.column("v").combine_chunks()).astype(float)))
-    shared = spark.sparkContext.broadcast((metric, tree))
+    tree = build_tree(metric.extended(_matrix(picked.column("v").combine_chunks())))
+    shared = spark.sparkContext.broadcast(tree)
 
     def into_leaves(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m, t = shared.value
-        leaf, dist = t.assign(m.extended(_matrix(batch.column("v")).astype(float)))
-        return pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(dist), batch.column("vec_id"), batch.column("v")], ["leaf", "dist", "vec_id", "v"])
-
-    entries = common.cut(common.map_arrow(given, into_leaves, "leaf long, dist double, vec_id long, v array<long>"), "entries")
-    leaves = entries.groupBy("leaf").agg(F.count("*").alias("n"), F.max("dist").alias("radius")).collect()  # a row a pivot: bounded
-    tree.n, tree.radius = np.zeros(len(tree.leaves), np.int64), np.full(len(tree.leaves), -np.inf)
-    for r in leaves:
-        tree.n[r.leaf], tree.radius[r.leaf] = r.n, r.radius
-    shared = spark.sparkContext.broadcast((metric, tree))
-
-    # A leaf of more than a page is dealt into pages by hash: equal or clustered vectors never meet in one task.
-    n_pages = {int(r.leaf): -(-r.n // settings.page) for r in leaves}
-    sizes = spark.createDataFrame([(leaf, n) for leaf, n in n_pages.items()], "leaf long, pages long")
-    dealt = entries.join(F.broadcast(sizes), "leaf").withColumn("page", F.pmod(F.xxhash64("vec_id", "dist"), F.col("pages")))
+        leaf, dist = shared.value.assign(metric.extended(_matrix(batch.column("v"))))
+        return pa.RecordBatch.from_arrays([pa.array(list(map(str, leaf.tolist())), pa.string()), pa.array(dist), batch.column("vec_id"), batch.column("v")], ["node", "dist", "vec_id", "v"])
+
+    # Levels: the entries of each, all its nodes with size and radius, and below the routing pivots a table of nodes.
+    entries = common.cut(common.map_arrow(given, into_leaves, _ENTRY), "entries")
+    sizes = common.cut(entries.groupBy("node").agg(F.count("*").alias("n"), F.max("dist").alias("radius")), "sizes")
+    for r in sizes.collect():  # a row a routing pivot: bounded
+        tree.radius[int(r.node)] = r.radius
+    known = spark.sparkContext.broadcast(tree)
+    levels, ready = [], []
+    while True:
+        fit = sizes.filter(F.col("n") <= settings.page).select("node")
+        ready.append(entries.join(common.small(fit), "node"))
+        if sizes.filter(F.col("n") > settings.page).limit(1).count() == 0 or len(levels) == 40:
+            break
+        entries, sizes = _split(entries, sizes, metric, settings, len(levels))
+        levels.append(sizes)
+    at_pages = ready[0]
+    for more in ready[1:]:
+        at_pages = at_pages.unionByName(more)
+    if len(levels) == 40:  # vectors that no pivots part: whatever is left is dealt by hash
+        at_pages = at_pages.unionByName(entries.join(common.small(sizes.filter(F.col("n") > settings.page).select("node")), "node"))
 
     def pack(page: pa.Table) -> pa.Table:
-        order = np.argsort(page.column("dist").to_numpy(), kind="stable")
+        dist = page.column("dist").to_numpy()
+        order = np.argsort(dist, kind="stable")
         v = _matrix(page.column("v").combine_chunks())[order]
-        return pa.table({"leaf": page.column("leaf")[:1], "page": page.column("page")[:1], "dists": pa.array([page.column("dist").to_numpy()[order].tobytes()], pa.binary()), "ids": pa.array([page.column("vec_id").to_numpy()[order].tobytes()], pa.binary()), "vectors": pa.array([v.tobytes()], pa.binary())})
-
-    pages = common.cut(dealt.groupBy("leaf", "page").applyInArrow(pack, "leaf long, page long, dists binary, ids binary, vectors binary"), "pages")
-
-    def nearest(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """Round one: each query to its nearest leaf that is not empty."""
-        m, t = shared.value
-        q = _matrix(batch.column("v"))
-        d = Metric.distances(np.hstack([q, np.zeros((len(q), 1))]).astype(float), t.leaves)
-        d[:, t.n == 0] = np.inf
-        leaf = d.argmin(1)
-        return _blocks(np.arange(len(q)), leaf, batch.column("vec_id").to_numpy(), q, np.full(len(q), -np.inf))
-
-    def allowed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """Round two: each query to every leaf whose ball is within its reach."""
-        m, t = shared.value
-        q, score = _matrix(batch.column("v")), batch.column("least").to_numpy(zero_copy_only=False).astype(float)
-        flat = np.hstack([q, np.zeros((len(q), 1))]).astype(float)
-        reach = np.where(np.isfinite(score), m.reach(flat[:, :-1], np.where(np.isfinite(score), score, 0)), np.inf) * (1 + _SLACK) + _SLACK
-        # The stored distance to the parent spares the distance to leaves that it alone rules out.
-        up = Metric.distances(flat, t.top)
-        far = np.abs(up[:, t.parent] - t.to_parent[None]) - t.radius[None] * (1 + _SLACK) > reach[:, None]
-        far |= (t.n == 0)[None]
-        rows, cols = np.nonzero(~far)
-        keep = np.zeros(len(rows), bool)
-        for c in np.unique(cols):
-            at = np.flatnonzero(cols == c)
-            dist = Metric.distances(flat[rows[at]], t.leaves[c : c + 1])[:, 0]
-            keep[at] = dist - t.radius[c] * (1 + _SLACK) <= reach[rows[at]]
-        return _blocks(rows[keep], cols[keep], batch.column("vec_id").to_numpy(), q, score)
-
-    def _blocks(rows, leaf, ids, q, score) -> pa.RecordBatch:
-        found: list[tuple] = []
-        for c in np.unique(leaf):
-            own = rows[leaf == c]
-            for s in range(0, len(own), settings.queries):
-                at = own[s : s + settings.queries]
-                found.append((int(c), ids[at].tobytes(), np.ascontiguousarray(q[at]).tobytes(), score[at].tobytes()))
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)], ["leaf", "q_ids", "q", "q_least"])
+        return pa.table({"node": page.column("node")[:1], "dists": pa.array([dist[order].tobytes()], pa.binary()), "ids": pa.array([page.column("vec_id").to_numpy()[order].tobytes()], pa.binary()), "vectors": pa.array([np.ascontiguousarray(v).tobytes()], pa.binary())})
+
+    pages = common.cut(at_pages.groupBy("node").applyInArrow(pack, "node string, dists binary, ids binary, vectors binary"), "pages")
+
+    def routes(nearest_only: bool):
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            """(q, node, dq, bound): each query and the nodes under the routing pivots that are nearest, or within its reach."""
+            t, q = known.value, _matrix(batch.column("v"))
+            flat = metric.flat(q)
+            reach = metric.reach(q, batch.column("least").to_numpy(zero_copy_only=False).astype(float))
+            if nearest_only:
+                d = Metric.distances(flat, t.leaves)
+                d[:, np.isinf(t.radius)] = np.inf
+                rows, cols = np.arange(len(q)), d.argmin(1)
+                dq = d[rows, cols]
+            else:
+                # The stored distance to the parent spares the distance to leaves that it alone rules out.
+                up = Metric.distances(flat, t.top)
+                near = np.isfinite(t.radius)[None] & ~(np.abs(up[:, t.parent] - t.to_parent[None]) - t.radius[None] > reach[:, None] + metric.slack)
+                rows, cols = np.nonzero(near)
+                dq = np.empty(len(rows))
+                for c in np.unique(cols):
+                    at = np.flatnonzero(cols == c)
+                    dq[at] = Metric.distances(flat[rows[at]], t.leaves[c : c + 1])[:, 0]
+            bound = dq - t.radius[cols]
+            keep = ~(bound > reach[rows] + metric.slack)
+            return pa.RecordBatch.from_arrays([batch.column("q").take(pa.array(rows[keep])), pa.array([str(c) for c in cols[keep].tolist()], pa.string()), pa.array(dq[keep]), pa.array(bound[keep])], ["q", "node", "dq", "bound"])
+
+        return run
+
+    def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Distances of queries to the pivots of nodes that the parent's distance has not ruled out."""
+        flat, pivot = metric.flat(_matrix(batch.column("v"))), metric.extended(_matrix(batch.column("pivot")))
+        reach = metric.reach(flat[:, :-1], batch.column("least").to_numpy(zero_copy_only=False).astype(float))
+        dq = np.sqrt(np.maximum(np.einsum("ij,ij->i", flat, flat) + np.einsum("ij,ij->i", pivot, pivot) - 2 * np.einsum("ij,ij->i", flat, pivot), 0))
+        bound = dq - batch.column("radius").to_numpy()
+        keep = pa.array(~(bound > reach + metric.slack))
+        return pa.RecordBatch.from_arrays([batch.column("q").filter(keep), batch.column("node").filter(keep), pa.array(dq).filter(keep), pa.array(bound).filter(keep)], ["q", "node", "dq", "bound"])
+
+    # The reach of a query as a column, with the slack of both its ends; without end where it has no score yet.
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))
+    reached = F.sqrt(F.greatest(norm * norm + F.lit(top) - 2 * F.col("least"), F.lit(0.0))) + F.lit(3 * float(metric.slack)) + 2 * _SLACK * norm
+    found_schema = "q long, node string, dq double, bound double"
+
+    def descend(asked: DataFrame, nearest_only: bool) -> DataFrame:
+        """(q, node, dq, bound) of the pages to visit: ``asked`` has q, vec_id, v and least."""
+        now = common.cut(common.map_arrow(asked, routes(nearest_only), found_schema), "frontier")
+        out = now
+        for nodes in levels:
+            below = nodes.select(F.col("parent").alias("node_up"), "node", "pivot", "to_parent", "radius")
+            met = now.select("q", F.col("node").alias("node_up"), "dq").join(below, "node_up").join(common.small(asked.select("q", "v", "least")), "q")
+            # |q - pivot| is no less than the difference of the two distances to the parent's pivot.
+            ruled_out = F.abs(F.col("dq") - F.col("to_parent")) - F.col("radius") > reached
+            now = common.cut(common.map_arrow(met.filter(~ruled_out | F.isnan(reached)).select("q", "v", "least", "node", "pivot", "radius"), measure, found_schema), "frontier")
+            if nearest_only:
+                now = common.cut(now.groupBy("q").agg(F.min_by(F.struct("node", "dq", "bound"), "dq").alias("x")).select("q", "x.*"), "frontier")
+            out = out.unionByName(now)
+        return out.join(common.small(pages.select("node")), "node", "left_semi").select("q", "node", "dq", "bound")
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, t = shared.value
         for batch in batches:
             out: list[tuple] = []
             for r in batch.to_pylist():
-                ids, dists, q_ids = (np.frombuffer(r[c], kind) for c, kind in (("ids", np.int64), ("dists", np.float64), ("q_ids", np.int64)))
-                x, q = np.frombuffer(r["vectors"], np.int64).reshape(len(ids), -1), np.frombuffer(r["q"], np.int64).reshape(len(q_ids), -1)
-                least = np.frombuffer(r["q_least"], np.float64)
-                flat = np.hstack([q, np.zeros((len(q), 1))]).astype(float)
-                to_pivot = Metric.distances(flat, t.leaves[r["leaf"]][None])[:, 0]
-                reach = np.where(np.isfinite(least), m.reach(flat[:, :-1], np.where(np.isfinite(least), least, 0)), np.inf) * (1 + _SLACK) + _SLACK
+                ids, dists = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["dists"])
+                x = np.frombuffer(r["vectors"]).reshape(len(ids), -1)
+                q = np.array([a["v"] for a in r["asked"]])
+                least = np.array([a["least"] for a in r["asked"]])
+                reach, dq = metric.reach(q, least), np.array([a["dq"] for a in r["asked"]])
                 # Only entries at a distance from the pivot that the triangle inequality allows.
-                lo, hi = np.searchsorted(dists, to_pivot - reach, "left"), np.searchsorted(dists, to_pivot + reach, "right")
-                a, b = int(lo.min()), int(hi.max())
-                if a >= b:
-                    continue
-                s = products(q, x[a:b])
-                for i in range(len(q)):
-                    sure = s[i, lo[i] - a : max(lo[i], hi[i]) - a]
-                    at = np.flatnonzero((sure >= least[i]) & (ids[lo[i] : max(lo[i], hi[i])] != q_ids[i])) + lo[i]
-                    if len(at) > k:
-                        at = at[np.lexsort((ids[at], -s[i, at - a]))[:k]]
-                    out += [(int(q_ids[i]), int(ids[j]), int(s[i, j - a])) for j in at]
-            yield pa.RecordBatch.from_pydict({c: pa.array([o[i] for o in out], pa.int64()) for i, c in enumerate(("query_id", "vec_id", "score"))})
-
-    def best(asked: DataFrame) -> DataFrame:
-        """The k best of each query among what its visits found; a task hands on k rows a query at most."""
-        met = pages.join(asked, "leaf").select("leaf", "ids", "dists", "vectors", "q_ids", "q", "q_least").mapInArrow(visit, "query_id long, vec_id long, score long")
-        return met.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
-
-    asked = common.cut(common.map_arrow(queries, nearest, "leaf long, q_ids binary, q binary, q_least binary"), "asked")
-    first = common.cut(best(asked), "first")
-    # A query with fewer than k found in its first leaf has no sure score yet and visits all.
-    least = first.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("least"))
-    known = queries.join(least, "vec_id", "left").select("vec_id", "v", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
-    second = common.cut(common.map_arrow(known, allowed, "leaf long, q_ids binary, q binary, q_least binary"), "asked")
-    return best(second).select("query_id", "rank", "vec_id", "score")
+                lo, hi = np.searchsorted(dists, dq - reach - metric.slack, "left"), np.searchsorted(dists, dq + reach + metric.slack, "right")
+                for i, a in enumerate(r["asked"]):
+                    if lo[i] >= hi[i]:
+                        continue
+                    s, own = products(q[i], x[lo[i] : hi[i]]), ids[lo[i] : hi[i]]
+                    if computed is not None:
+                        computed.add(len(own))
+                    at = np.flatnonzero((s >= least[i]) & (own != a["vec_id"]))
+                    best = sorted((-int(s[j]), int(own[j])) for j in at.tolist())[:k] if len(at) <= 4 * k or s.dtype == object else [(-int(s[j]), int(own[j])) for j in at[np.lexsort((own[at], -s[at]))[:k]].tolist()]
+                    out += [(a["q"], i_, min(max(-s_, -(1 << 63)), (1 << 63) - 1), float(-s_), n) for n, (s_, i_) in enumerate(best)]
+            names = ("q", "vec_id", "score", "near", "nth")
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32()))], list(names))
+
+    def visits(pairs: DataFrame, asked: DataFrame) -> DataFrame:
+        """What queries find in the pages of ``pairs`` (q, node, dq): k rows a query and page at most."""
+        held = pairs.join(common.small(asked.select("q", "vec_id", "v", "least")), "q").withColumn("block", F.pmod(F.xxhash64("q"), F.lit(1 << 20)))
+        count = held.groupBy("node").agg(F.count("*").alias("m"))
+        blocks = held.join(common.small(count), "node").withColumn("block", F.col("block") % F.ceil(F.col("m") / settings.queries))
+        met = blocks.groupBy("node", "block").agg(F.collect_list(F.struct("q", "vec_id", "v", "least", "dq")).alias("asked"))
+        return met.join(pages, "node").select("ids", "dists", "vectors", "asked").mapInArrow(visit, "q long, vec_id long, score long, near double, nth int")
+
+    by_rank = W.partitionBy("q").orderBy(F.desc("near"), F.desc("score"), "vec_id")
+
+    def best(found: DataFrame) -> DataFrame:
+        """The k best of each query: the window drops the rest before the shuffle."""
+        return found.withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= k).select("q", "vec_id", "score", "near", "rank")
+
+    def bounded(found: DataFrame, before: DataFrame) -> DataFrame:
+        """The queries with the score that each is sure to reach, and the distance that goes with it."""
+        more = found.filter(F.col("rank") == k).select("q", F.col("near").alias("more"))
+        least = F.greatest("least", F.coalesce("more", F.lit(float("-inf"))))
+        known = before.select("q", "vec_id", "v", "least").join(common.small(more), "q", "left").select("q", "vec_id", "v", least.alias("least"))
+        return common.cut(known.withColumn("reach", reached), "asked")
+
+    # Down to the nearest page; then all pages within that reach, the nearest few of them first.
+    plain = common.cut(queries.withColumn("least", F.lit(float("-inf"))), "asked")
+    asked = bounded(common.cut(best(visits(descend(plain, True), plain)), "found"), plain)
+    plan = common.cut(descend(asked, False).withColumn("nth", F.row_number().over(W.partitionBy("q").orderBy("bound", "node"))), "plan")
+    early = common.cut(best(visits(plan.filter(F.col("nth") <= settings.first), asked)), "found")
+    again = bounded(early, asked)
+    late = plan.filter(F.col("nth") > settings.first).join(common.small(again.select("q", "reach")), "q").filter(~(F.col("bound") > F.col("reach")))
+    found = best(early.drop("rank").unionByName(best(visits(late.drop("reach"), again)).drop("rank")))
+    return found.join(common.small(queries.select("q", F.col("vec_id").alias("query_id"))), "q").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def every_nth(n: int) -> F.Column:
     return F.pmod(F.col("vec_id"), F.lit(n)) == 0
-

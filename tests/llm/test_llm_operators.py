@@ -255,18 +255,19 @@ def brute_top(rows, is_query, k):
     good = []
     for i, v in rows:
         if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
-            good.append((i, np.floor(256 * np.array(v, np.float64)).astype(np.int64)))
+            good.append((i, np.floor(256 * np.array(v, np.float64)).tolist()))
     out = []
-    for q in sorted({i for i, _ in good if is_query(i)}):
-        x = min((v.tolist() for i, v in good if i == q))
-        near = sorted((-int(np.dot(x, v)), i) for i, v in good if i != q and len(v) == len(x))[:k]
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(near)]
-    return out
+    for q, x in good:
+        if is_query(q):
+            own = [int(c) for c in x]
+            near = sorted((-sum(a * int(b) for a, b in zip(own, v)), i) for i, v in good if i != q and len(v) == len(x))[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(near)]
+    return sorted(out)
 
 
 def test_top_k(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
-    small = topk.Settings(pivots=16, page=20, queries=3)
+    small = topk.Settings(pivots=8, page=10, fanout=3, deal=15, first=2, queries=3)
     want = brute_top([(r.vec_id, r.embedding) for r in df.collect()], lambda i: i % 50 == 0, 5)
     for settings in (topk.Settings(), small):
         got = topk.search(df, topk.every_nth(50), settings).select("query_id", "rank", "vec_id", "score")
@@ -275,13 +276,27 @@ def test_top_k(spark):
 
 def test_top_k_edges(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, None), (4, [nan, 1.0]), (5, [1.0, None]), (6, [inf, 0.0]), (7, [-1.0, 2.0]), (7, [3.0, 0.0]), (None, [1.0, 1.0]), (50, [0.0, 0.0]), (100, [0.1]), (101, [0.2]), (8, [])]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, leaf string")
-    got = topk.search(df, topk.every_nth(50), topk.Settings(pivots=2, page=2)).select("query_id", "rank", "vec_id", "score").collect()
-    assert sorted(map(tuple, got)) == brute_top([(i, v and [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows], lambda i: i % 50 == 0, 5)
+    rows = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, None), (4, [nan, 1.0]), (5, [1.0, None]), (6, [inf, 0.0]), (7, [-1.0, 2.0]), (7, [3.0, 0.0]), (None, [1.0, 1.0]), (50, [0.0, 0.0]), (50, [2.0, -3.0]), (100, [0.1]), (101, [0.2]), (8, []), (9, [2.0**41, 1.0]), (10, [-(2.0**41), 1.0])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, node string")
+    want = brute_top([(i, v and [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows], lambda i: i % 50 == 0, 5)
+    for settings in (topk.Settings(), topk.Settings(pivots=2, page=2, fanout=2, deal=3, first=1)):
+        got = topk.search(df, topk.every_nth(50), settings).select("query_id", "rank", "vec_id", "score").collect()
+        assert sorted(map(tuple, got)) == want
     assert topk.search(df.limit(0), topk.every_nth(50)).count() == 0
 
 
+def test_top_k_spares_products(spark):
+    """Clustered vectors, one of them a third of all: exact, and few of all pairs are multiplied."""
+    r = np.random.default_rng(3)
+    middles = r.normal(0, 4, (30, 8))
+    rows = [(i, [float(x) for x in middles[i % 30] + r.normal(0, 0.05, 8)]) for i in range(3000)] + [(3000 + i, [float(x) for x in middles[0]]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    computed = spark.sparkContext.accumulator(0)
+    got = topk.search(df, topk.every_nth(50), topk.Settings(pivots=16, page=64, fanout=8, deal=500), computed).collect()
+    assert sorted((x.query_id, x.rank, x.vec_id, x.score) for x in got) == brute_top(rows, lambda i: i % 50 == 0, 5)
+    assert 0 < computed.value < 0.2 * 90 * len(rows)
+
+
 # ---------------------------------------------------------------- 9
 
 
