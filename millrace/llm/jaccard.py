@@ -345,7 +345,7 @@ def _links(docs: DataFrame, groups: DataFrame, classes: DataFrame, settings: Set
     own = texts.mapInArrow(build, "set_hash binary, data binary").join(common.small(member.drop("doc_id")), "set_hash").drop("set_hash")
     # Of rows that are all alike, one is enough; each brings the same set, so the search may also see it twice without harm to the forest.
     count = groups.groupBy("scheme", "grp").agg(F.count("*").alias("m"))
-    sized = groups.join(count, ["scheme", "grp"]).withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
+    sized = groups.join(common.small(count), ["scheme", "grp"]).withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
     placed = sized.withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
     # Block pairs (i, j), i <= j, that a set's block takes part in.
     pairs = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("scheme", "grp", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
