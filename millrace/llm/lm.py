@@ -5,8 +5,8 @@ from __future__ import annotations
 import heapq
 import math
 from collections import Counter
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,26 +24,33 @@ FOLDS, HELD_OUT = 7, 2
 
 @dataclass(frozen=True)
 class Settings:
-    """slots: contexts' counters, about, that a task of the join by context holds; sample: texts, at most, that a task
-    advances in step; block: bytes after which a text's weights and refinement are adapted; rate: of the weights'
-    adaption; rounds: of the fit, each over all training texts; unit: bytes of text that are scored together; hot: words
-    whose counts are broadcast.
+    """unit: bytes of text, about, whose contexts one task looks up together; together: bytes of them that advance in step;
+    shard: bytes of text, about, whose contexts of one order are added up together; window: bytes after which a text's
+    weights and refinement begin anew; rate, refine: steps of the weights and of the refinement at each decision; start:
+    first weight of every predictor; hot: words whose counts are broadcast.
     """
 
-    slots: int = 1 << 22
-    sample: int = 512
-    block: int = 64
-    rate: float = 1.0
-    rounds: int = 2
-    unit: int = 3_000_000
+    unit: int = 4_000_000
+    together: int = 4_000_000
+    shard: int = 64_000_000
+    window: int = 2048
+    rate: float = 0.02
+    refine: float = 0.02
+    start: float = 0.3
     hot: int = 300_000
 
 
-ORDERS = ("order2", "order4", "word")
-_GATES, _BUCKETS = 4, 33
-_PLACES = 256 * _GATES * _BUCKETS
-#: Decisions that a trained entry of the refinement, and a plain one in training, counts for.
-_TRUST = 20
+#: Contexts by name: how many bytes before, or the word so far; and the bits that a context has.
+ORDERS = {"three": 24, "four": 32, "word": 40}
+#: Bytes that a context may look back; what stands before a text are end marks.
+LEAD = 24
+END = 10
+_DEPTHS, _KNOWN, _BUCKETS = 4, 3, 33
+_GATES = _DEPTHS * _KNOWN
+#: Stretched probabilities go through the shuffle in sixteenths.
+_FINE = 16.0
+#: Chance that a bit has at least.
+_LEAST = 2.0**-14
 
 
 def normal(ws: list[bytes]) -> bytes:
@@ -51,318 +58,267 @@ def normal(ws: list[bytes]) -> bytes:
     return b" ".join(ws) + b"\n"
 
 
+# ---------------------------------------------------------------- the code of decisions
+
+
 @dataclass
 class Code:
-    """Prefix codes of the byte values, one for each byte before: a row ``before * 256 + byte`` has its decisions
-    depth by depth, each as node * 2 + bit.
-    """
+    """Prefix codes of the byte values, one for each byte before: row ``before * 256 + byte`` has a length and bits, from the top of 32."""
 
     length: np.ndarray
-    steps: np.ndarray
+    bits: np.ndarray
 
 
-def huffman(histogram: np.ndarray) -> list[list[tuple[int, int]]]:
-    """For each symbol its path of (node, bit); every symbol has one, met or not."""
-    heap = [(int(n) * 256 + 1, i, i) for i, n in enumerate(histogram)]
+def huffman(histogram: np.ndarray) -> list[tuple[int, int]]:
+    """(length, bits) of each byte value; every one has a code, met or not, and none is rarer than one in 4096 here."""
+    least = int(histogram.sum()) // 4096 + 1
+    heap: list[tuple[int, int, object]] = [(max(int(n), least), i, i) for i, n in enumerate(histogram)]
     heapq.heapify(heap)
-    tree: dict[int, tuple[int, int]] = {}
     following = 256
     while len(heap) > 1:
         a, b = heapq.heappop(heap), heapq.heappop(heap)
-        tree[following] = (a[2], b[2])
-        heapq.heappush(heap, (a[0] + b[0], following, following))
+        heapq.heappush(heap, (a[0] + b[0], following, (a[2], b[2])))
         following += 1
-    paths: list[list[tuple[int, int]]] = [[] for _ in range(256)]
-    stack: list[tuple[int, list[tuple[int, int]]]] = [(following - 1, [])]
+    out, stack = [(0, 0)] * 256, [(heap[0][2], 0, 0)]
     while stack:
-        at, path = stack.pop()
-        if at < 256:
-            paths[at] = path
+        at, length, bits = stack.pop()
+        if isinstance(at, tuple):
+            stack += [(at[0], length + 1, bits * 2), (at[1], length + 1, bits * 2 + 1)]
         else:
-            for bit, child in enumerate(tree[at]):
-                stack.append((child, [*path, (at - 256, bit)]))
-    return paths
+            out[at] = (length, bits << (32 - length))
+    return out
 
 
 def make_code(pairs: np.ndarray) -> Code:
     """From a 256 x 256 table of how often a byte follows another; what follows nothing met shares one code."""
     plain = huffman(pairs.sum(0))
-    rows = [huffman(pairs[b]) if pairs[b].any() else plain for b in range(256)]
-    length = np.array([len(path) for paths in rows for path in paths])
-    steps = np.zeros((int(length.max()), 1 << 16), np.int32)
-    for i, path in enumerate(path for paths in rows for path in paths):
-        for d, (node, bit) in enumerate(path):
-            steps[d, i] = node * 2 + bit
-    return Code(length.astype(np.int16), steps)
-
-
-def contexts(s: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """For each byte its row in the code, and a 64-bit hash of what stands before it in each order (without collisions
-    for the two of fixed length). Texts are parted by end marks.
-    """
-    u = s.astype(np.uint32)
-    p1, p2, p3, p4 = (np.concatenate([np.full(k, 10, np.uint32), u[:-k]])[: len(u)] for k in (1, 2, 3, 4))
-    # What stands before an end mark belongs to another text.
-    p2 = np.where(p1 == 10, 10, p2)
-    p3 = np.where(p2 == 10, 10, p3)
-    p4 = np.where(p3 == 10, 10, p4)
-    two = (p1 | (p2 << np.uint32(8))).astype(np.uint64)
-    four = (p1 | (p2 << np.uint32(8)) | (p3 << np.uint32(16)) | (p4 << np.uint32(24))).astype(np.uint64)
-    # The word so far: sums of letters times powers of their place, less the sum where the word began.
-    blank = (p1 == 32) | (p1 == 10)
-    start = np.maximum.accumulate(np.where(blank, np.arange(len(s)), 0))
-    place = np.minimum(np.arange(len(s)) - start, 63)
-    total = np.concatenate([[np.uint64(0)], np.cumsum((u.astype(np.uint64) + np.uint64(7)) * _POWERS[place])])
-    word = total[np.arange(len(s))] - total[start]
-    return p1.astype(np.int64) * 256 + s, [_mix(x * np.uint64(4) + np.uint64(k)) if k < 2 else _mix(_mix(x) * np.uint64(4) + np.uint64(k)) for k, x in enumerate((two, four, word))]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers."""
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(29)
-    return x
-
-
-_POWERS = np.array([pow(0x2545F4914F6CDD1D, i, 1 << 64) for i in range(64)], np.uint64)
-
-
-def levels(rows: np.ndarray, code: Code) -> Iterator[tuple[int, np.ndarray | slice, np.ndarray, np.ndarray]]:
-    """For each depth the places of the bytes that still decide there (in order), their nodes and bits."""
-    left, at = code.length[rows], np.arange(len(rows))
-    for d in range(len(code.steps)):
-        if d:
-            on = np.flatnonzero(left > d)
-            if not len(on):
-                return
-            at, left, rows = at[on], left[on], rows[on]
-        step = code.steps[d][rows]
-        yield d, at if d else slice(None), step >> 1, step & 1
+    rows = [x for b in range(256) for x in (huffman(pairs[b]) if pairs[b].any() else plain)]
+    return Code(np.array([x[0] for x in rows], np.int64), np.array([x[1] for x in rows], np.uint64))
 
 
-class Index:
-    """The distinct (context, node) keys that some text decides at, and for each byte and order where its decisions stand.
+# ---------------------------------------------------------------- contexts
 
-    Decision ``d`` of byte ``i`` in order ``k`` has the key ``keys[at[base[k][i] + d]]``.
-    """
+_ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
+_STEP = 0x2545F4914F6CDD1D
 
-    def __init__(self, s: np.ndarray, code: Code, learn: np.ndarray | None = None) -> None:
-        rows, hashes = contexts(s)
-        self.rows, self.base = rows, []
-        keys, bits, times, size = [], [], [], 0
-        for h in hashes:
-            # Bytes with the same context and the same path decide alike.
-            of, kinds = pd.factorize(h ^ _mix(rows.astype(np.uint64)))
-            one = np.zeros(len(kinds), np.int64)
-            one[of] = np.arange(len(rows))
-            n = code.length[rows[one]].astype(np.int64)
-            start = np.cumsum(n) - n
-            self.base.append((start + size)[of].astype(np.int32))
-            depth, whose = np.arange(int(n.sum())) - np.repeat(start, n), np.repeat(one, n)
-            step = code.steps[depth, rows[whose]]
-            keys.append(_mix(h[whose] + _mix((step >> 1).astype(np.uint64) + np.uint64(1))))
-            if learn is not None:
-                bits.append(step & 1)
-                times.append(np.repeat(np.bincount(of, learn, len(one)), n))
-            size += len(depth)
-        self.keys, self.at = np.unique(np.concatenate(keys), return_inverse=True)
-        if learn is not None:
-            bit, n = np.concatenate(bits), np.concatenate(times)
-            self.zero = np.bincount(self.at, n * (1 - bit), len(self.keys)).astype(np.int64)
-            self.one = np.bincount(self.at, n * bit, len(self.keys)).astype(np.int64)
-
-
-def added(tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One table (key, zeros, ones), sorted by key, of several."""
-    keys, at = np.unique(np.concatenate([t[0] for t in tables]), return_inverse=True)
-    zero, one = (np.bincount(at, np.concatenate([t[k] for t in tables]), len(keys)).astype(np.int64) for k in (1, 2))
-    return keys, zero, one
 
+def mixed(x: np.ndarray, bits: int) -> np.ndarray:
+    """A bijection of numbers of ``bits`` bits: contexts that are alike get far apart."""
+    mask = np.uint64((1 << bits) - 1)
+    x = x * np.uint64(_ODD[0]) & mask
+    x ^= x >> np.uint64(bits // 2)
+    return x * np.uint64(_ODD[1]) & mask
 
-def stretched(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
-    return np.clip(np.log((one + 0.4) / (zero + 0.4)), -8, 8).astype(np.float32)
 
+def unmixed(x: np.ndarray, bits: int) -> np.ndarray:
+    mask = np.uint64((1 << bits) - 1)
+    x = x * np.uint64(pow(_ODD[1], -1, 1 << 64)) & mask
+    x ^= x >> np.uint64(bits // 2)
+    return x * np.uint64(pow(_ODD[0], -1, 1 << 64)) & mask
 
-class Counts:
-    """Zeros and ones met at each (context, node)."""
 
-    def __init__(self, code: Code, slots: int) -> None:
-        self.code, none = code, np.zeros(0, np.int64)
-        self.n = (none.astype(np.uint64), none, none)
+def grams(s: np.ndarray) -> Iterator[np.ndarray]:
+    """For each order the number of (context, byte) at every place of ``s`` from LEAD on: the mixed context, then the byte.
 
-    def add(self, s: np.ndarray, learn: np.ndarray | None = None) -> None:
-        met = Index(s, self.code, np.ones(len(s)) if learn is None else learn)
-        self.n = added([self.n, (met.keys, met.zero, met.one)])
+    A context's lowest byte is the byte before. Fixed orders are exact; the word
+    so far (16 bytes of it at most) is a hash of 32 bits.
+    """
+    n = len(s) - LEAD
+    u = s.astype(np.uint64)
+    back = lambda k: u[LEAD - k : LEAD - k + n]
+    ctx, byte = np.zeros(n, np.uint64), u[LEAD:]
+    for k in range(1, 5):
+        ctx |= back(k) << np.uint64(8 * (k - 1))
+        if k >= 3:
+            yield mixed(ctx, 8 * k) << np.uint64(8) | byte
+    blank = (s == 32) | (s == END)
+    start = np.maximum.accumulate(np.where(blank, np.arange(1, len(s) + 1), 0))  # of the word that goes on after each byte
+    at = np.arange(LEAD, len(s))
+    first = np.maximum(start[LEAD - 1 : -1], at - 16)
+    # Sums of letters times powers of their places; the power of the first place is divided out.
+    power = np.full(len(s) + 1, _STEP, np.uint64)
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    total = np.concatenate([[np.uint64(0)], np.cumsum((u + np.uint64(7)) * power[:-1])])
+    inverse = np.full(len(s) + 1, pow(_STEP, -1, 1 << 64), np.uint64)
+    inverse[0] = 1
+    inverse = np.multiply.accumulate(inverse)
+    word = (total[at] - total[first]) * inverse[first]
+    word = (word ^ (word >> np.uint64(29))) * np.uint64(_ODD[0]) >> np.uint64(32)
+    yield mixed(word << np.uint64(8) | back(1), ORDERS["word"]) << np.uint64(8) | byte
 
 
-@dataclass
-class Mixer:
-    """The trained model: weights by gate and the refinement table; and the predictors that the texts at hand need, as
-    stretched probabilities by sorted key.
-    """
+class Index:
+    """The distinct (context, byte) of one order in a text, sorted, and for each place which one stands there."""
 
-    code: Code
-    keys: np.ndarray
-    stretch: np.ndarray
-    weights: np.ndarray
-    refined: np.ndarray
-    block: int
-    rate: float
-    step: int
-
-    def bits(self, texts: list[np.ndarray], state: tuple[np.ndarray, np.ndarray] | None = None, seen: np.ndarray | None = None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-        """Bits of each text, and the weights and refinement counts it ends with.
-
-        All texts advance together, a block each: within a block weights and
-        refinement stand still, after it each text moves its own weights by its
-        mean gradient and adds what came true to its own refinement counts. What
-        a text gets does not depend on the texts beside it.
-        """
-        out = np.zeros(len(texts))
-        w, own = state or (np.repeat(self.weights[None], len(texts), 0), None)
-        w = w.copy()
-        sizes = np.array([len(t) for t in texts])
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        index = Index(np.concatenate(texts), self.code)
-        rows, values = index.rows, np.zeros(len(index.keys), np.float32)
-        if len(self.keys):
-            found = np.minimum(np.searchsorted(self.keys, index.keys), len(self.keys) - 1)
-            values = np.where(self.keys[found] == index.keys, self.stretch[found], values)
-        values = values[index.at]
-        # Own counts have room for the bytes that the texts hold; a text in parts has it for all.
-        alone = len(texts) == 1
-        kinds = np.arange(256) if alone else np.flatnonzero(np.bincount(rows >> 8, minlength=256))
-        kind = np.zeros(256, np.int64)
-        kind[kinds] = np.arange(len(kinds))
-        room = len(kinds) * _GATES * _BUCKETS
-        own = np.zeros(len(texts) * room * 2, np.int32) if own is None else own.copy()
-        for first in range(0, int(sizes.max(initial=0)), self.block):
-            live = np.flatnonzero(sizes > first)
-            spans = np.minimum(sizes[live] - first, self.block)
-            at = np.repeat(starts[live] + first - (np.cumsum(spans) - spans), spans) + np.arange(int(spans.sum()))
-            row, bases = rows[at], [b[at] for b in index.base]
-            before, near = (row >> 8) * _BUCKETS, kind[row >> 8] * (_GATES * _BUCKETS)
-            text = np.repeat(np.arange(len(live)), spans)
-            now = w[live].astype(np.float32)
-            gradient, count, met = np.zeros(now.shape), np.zeros((len(live), _GATES)), []
-            for d, on, node, side in levels(row, self.code):
-                gate = min(d, _GATES - 1)
-                t = text[on]
-                bit = side.astype(np.float32)
-                st = [values[b[on] + d] for b in bases]
-                dot = now[:, gate, -1][t]
-                for k, x in enumerate(st):
-                    dot += now[:, gate, k][t] * x
-                np.clip(dot, -12, 12, out=dot)
-                p = 1 / (1 + np.exp(-dot))
-                place = np.rint(dot * 2 + 16).clip(0, _BUCKETS - 1).astype(np.int64)
-                mine = (live[t] * room + near[on] + gate * _BUCKETS + place) * 2
-                place += before[on]
-                place += gate * 256 * _BUCKETS
-                if seen is not None:
-                    np.add.at(seen, place * 2 + side, 1)
-                zero, one = own[mine], own[mine + 1]
-                refined = (_TRUST * self.refined[place] + one) / (_TRUST + zero + one)
-                met.append(mine + side)
-                final = (p + refined) * 0.5
-                chance = (2 * bit - 1) * final + (1 - bit)
-                # Texts stand in order, so sums by text are sums of stretches.
-                edge = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-                whose = t[edge]
-                out[live[whose]] -= np.add.reduceat(np.log2(chance), edge, dtype=np.float64)
-                error = bit - p
-                count[whose, gate] += np.diff(np.append(edge, len(t)))
-                for k, x in enumerate(st):
-                    gradient[whose, gate, k] += np.add.reduceat(error * x, edge)
-                gradient[whose, gate, -1] += 0.1 * np.add.reduceat(error, edge)
-            w[live] += self.rate * gradient / (count + 64)[:, :, None]
-            np.add.at(own, np.concatenate(met), 1)
-        return out, (w, own)
-
-    def score(self, texts: list[bytes], most: int = 2_000_000, longest: int = 1_000_000) -> list[float]:
-        """log10 probability of each text. A text over ``longest`` goes in parts, its weights and refinement with it."""
-        out = [0.0] * len(texts)
-        for held in groups(texts, self.step, most):
-            if len(t := texts[held[0]]) > longest:
-                state, got = None, np.zeros(1)
-                for a in range(0, len(t), longest):
-                    bits, state = self.bits([np.frombuffer(t[a : a + longest], np.uint8)], state)
-                    got += bits
-            else:
-                got, _ = self.bits([np.frombuffer(texts[i], np.uint8) for i in held])
-            for i, b in zip(held, got.tolist(), strict=True):
-                out[i] = -b * math.log10(2)
-        return out
-
-
-def groups(texts: list[bytes], step: int, most: int = 2_000_000) -> Iterator[list[int]]:
-    """Places of texts of like length: ``step`` texts at most and, if more than one, ``most`` bytes."""
-    held: list[int] = []
-    size = 0
-    for i in sorted(range(len(texts)), key=lambda i: len(texts[i])):
-        if held and (len(held) == step or size + len(texts[i]) > most):
-            yield held
-            held, size = [], 0
-        held.append(i)
-        size += len(texts[i])
-    if held:
-        yield held
-
-
-def empty_mixer(code: Code, counts: tuple[np.ndarray, np.ndarray, np.ndarray], settings: Settings) -> Mixer:
-    weights = np.zeros((_GATES, len(ORDERS) + 1))
-    weights[:, :-1] = 0.4
-    return Mixer(code, counts[0], stretched(*counts[1:]), weights, _plain_refined(), settings.block, settings.rate, settings.sample)
-
-
-def _plain_refined() -> np.ndarray:
-    return np.tile(1 / (1 + np.exp(-(np.arange(_BUCKETS) / 2 - 8))), 256 * _GATES).astype(np.float32)
-
-
-def _parts(mixer: Mixer, texts: list[bytes], seen: np.ndarray | None = None, longest: int = 1_000_000) -> Iterator[tuple[int, np.ndarray]]:
-    """Bytes of each group of texts and the mean of the weights its texts end with; a long text is a group in parts."""
-    for held in groups(texts, mixer.step):
-        state = None
-        size = sum(len(texts[i]) for i in held)
-        if len(held) == 1:
-            t = texts[held[0]]
-            for a in range(0, len(t), longest):
-                _, state = mixer.bits([np.frombuffer(t[a : a + longest], np.uint8)], state, seen)
-        else:
-            _, state = mixer.bits([np.frombuffer(texts[i], np.uint8) for i in held], None, seen)
-        yield size, state[0].mean(0)
+    def __init__(self, keys: np.ndarray) -> None:
+        of, met = pd.factorize(keys)
+        order = np.argsort(met)
+        self.keys = met[order]
+        rank = np.empty(len(met), np.int32)
+        rank[order] = np.arange(len(met), dtype=np.int32)
+        self.at = rank[of]
 
 
-def fit_weights(mixer: Mixer, texts: list[bytes]) -> np.ndarray:
-    """Weights after one round over ``texts``: online over groups, each group's mean of ended weights going on."""
-    given = mixer.weights
-    for _, w in _parts(mixer, texts):
-        mixer.weights = 0.5 * mixer.weights + 0.5 * w
-    out, mixer.weights = mixer.weights, given
-    return out
+def code_rows(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Row in the code of each (context, byte): the byte before is the context's lowest."""
+    return ((unmixed(keys >> np.uint64(8), bits) & np.uint64(255)) << np.uint64(8) | (keys & np.uint64(255))).astype(np.int64)
+
 
+def stretched(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """log odds of a 1, in sixteenths."""
+    return np.rint(np.clip(np.log((one + 0.4) / (zero + 0.4)), -7.9, 7.9) * _FINE).astype(np.int8)
+
+
+def predictions(keys: np.ndarray, n: np.ndarray, code: Code, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """What each context says at the decisions that code its byte: (values one after the other, how many each key has).
 
-def count_refined(mixer: Mixer, texts: list[bytes]) -> np.ndarray:
-    """How often a 0 and a 1 came true in each place of the refinement table."""
-    seen = np.zeros(_PLACES * 2, np.int64)
-    for _ in _parts(mixer, texts, seen):
-        pass
-    return seen
+    ``keys`` are sorted and whole contexts. Under a context, the bytes whose
+    codes begin alike stand side by side; their counts, split by the next bit,
+    are the zeros and ones met there.
+    """
+    rows = code_rows(keys, bits)
+    length = code.length[rows]
+    start = np.cumsum(length) - length
+    out = np.zeros(int(length.sum()), np.int8)
+    context = np.cumsum(np.concatenate([[0], (keys[1:] >> np.uint64(8)) != (keys[:-1] >> np.uint64(8))])) if len(keys) else np.zeros(0, np.int64)
+    place = context.astype(np.uint64) << np.uint64(32) | code.bits[rows]
+    left = np.argsort(place)
+    place, count = place[left], n[left].astype(np.int64)
+    for d in range(int(length.max(initial=0))):
+        on = length[left] > d
+        if not on.all():
+            left, place, count = left[on], place[on], count[on]
+        same = place >> np.uint64(32 - d)
+        edge = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]]))
+        bit = (place >> np.uint64(31 - d) & np.uint64(1)).astype(np.int64)
+        total, one = np.add.reduceat(count, edge), np.add.reduceat(count * bit, edge)
+        out[start[left] + d] = np.repeat(stretched(total - one, one), np.diff(np.append(edge, len(left))))
+    return out, length
+
+
+# ---------------------------------------------------------------- mixing
+
+
+class Lookup:
+    """The pieces of a unit, each behind its lead: the distinct (context, byte) of each order, where they stand, and the windows."""
+
+    def __init__(self, pieces: list[bytes], window: int) -> None:
+        s = np.frombuffer(b"".join(pieces), np.uint8)
+        ends = np.cumsum([len(p) for p in pieces])
+        starts = np.concatenate([[0], ends[:-1]])
+        keep = np.ones(len(s), bool)
+        for k in range(LEAD):
+            keep[starts + k] = False
+        self.keep = keep[LEAD:]
+        self.orders = [Index(keys[self.keep]) for keys in grams(s)]
+        self.rows = (s[LEAD - 1 : -1].astype(np.int64) * 256 + s[LEAD:])[self.keep]
+        # A piece's bytes in windows: all of the same size but the last.
+        self.n_bytes = ends - starts - LEAD
+        n = -(-self.n_bytes // window)
+        self.piece = np.repeat(np.arange(len(pieces)), n)
+        rank = np.arange(len(self.piece)) - np.repeat(np.cumsum(n) - n, n)
+        self.sizes = np.minimum(window, self.n_bytes[self.piece] - rank * window)
+
+
+def bits_of(look: Lookup, values: list[np.ndarray], code: Code, settings: Settings) -> np.ndarray:
+    """Bits of each window.
+
+    All windows advance together, a decision each: predictors of every order,
+    stretched, are combined by the weights that the gate (depth of the decision,
+    and how many of the long contexts are known) picks, then refined by a table
+    of what came true at like chances. After each decision the window's own
+    weights and table move. What a window gets does not depend on those beside it.
+    """
+    kinds = len(ORDERS) + 1
+    first_value = [(np.cumsum(size) - size).astype(np.int32) for size in (code.length[code_rows(o.keys, wide)] for o, wide in zip(look.orders, ORDERS.values(), strict=True))]
+    edges = np.concatenate([[0], np.cumsum(look.sizes)])
+    out = np.zeros(len(look.sizes))
+    # Windows of like size go together, as many as a bound on their bytes allows.
+    order = np.argsort(-look.sizes, kind="stable")
+    group = np.cumsum(look.sizes[order]) // settings.together
+    for g in range(int(group[-1]) + 1 if len(group) else 0):
+        own = order[group == g]
+        at = np.concatenate([np.arange(edges[i], edges[i + 1]) for i in own.tolist()]) if len(own) else np.zeros(0, np.int64)
+        if not len(at):
+            continue
+        length = code.length[look.rows[at]]
+        n = int(length.sum())
+        first = np.cumsum(length) - length
+        depth = np.arange(n, dtype=np.int32) - np.repeat(first.astype(np.int32), length)
+        bit = (np.repeat(code.bits[look.rows[at]].astype(np.uint32), length) >> (31 - depth).astype(np.uint32) & np.uint32(1)).astype(np.int8)
+        st = np.empty((n, kinds), np.int8)
+        st[:, -1] = 4
+        for k, (o, v) in enumerate(zip(look.orders, values, strict=True)):
+            st[:, k] = v[np.repeat(first_value[k][o.at[at]], length) + depth]
+        gate = np.minimum(depth, _DEPTHS - 1).astype(np.int8) * np.int8(_KNOWN) + (st[:, 1] != 0) + (st[:, 2] != 0)
+        ends = np.concatenate([first, [n]])[np.concatenate([[0], np.cumsum(look.sizes[own])])]
+        out[own] = _advance(st, bit, gate, ends, settings)
+    return out
 
 
-def refine(seen: np.ndarray) -> np.ndarray:
-    zero, one = seen[0::2], seen[1::2]
-    return ((one + _TRUST * _plain_refined()) / (zero + one + _TRUST)).astype(np.float32)
+def _advance(st: np.ndarray, bit: np.ndarray, gate: np.ndarray, ends: np.ndarray, settings: Settings) -> np.ndarray:
+    """Bits of windows whose decisions stand one after the other, parted at ``ends``."""
+    total = np.diff(ends)
+    order = np.argsort(-total, kind="stable")
+    start, total = ends[:-1][order], total[order]
+    lanes, kinds = len(order), st.shape[1]
+    w = np.full((lanes * _GATES, kinds), settings.start, np.float32)
+    w[:, -1] = 0
+    table = np.tile((1 / (1 + np.exp(-(np.arange(_BUCKETS) / 2 - 8)))).astype(np.float32), lanes * _GATES)
+    cost = np.zeros(lanes)
+    lane = np.arange(lanes) * _GATES
+    rate, refine, half, two, middle, top = map(np.float32, (settings.rate, settings.refine, 0.5, 2, 16.5, 32))
+    take, entries = w.take, table.take
+    for t in range(0, int(total[0]), 128):
+        # Those that still decide are always the first ones.
+        alive = np.searchsorted(-total, -np.arange(t, min(t + 128, int(total[0])))).tolist()
+        live, steps = alive[0], len(alive)
+        at = np.minimum(start[None, :live] + np.arange(t, t + steps)[:, None], len(bit) - 1)
+        xs, bs, ws = st[at].astype(np.float32), bit[at].astype(np.float32), lane[None, :live] + gate[at]
+        xs *= np.float32(1 / _FINE)
+        places = ws * _BUCKETS
+        wrong = np.zeros((steps, live), np.float32)
+        for i, m in enumerate(alive):
+            x, b, wi, j = xs[i, :m], bs[i, :m], ws[i, :m], places[i, :m]
+            own = take(wi, 0, None, "clip")
+            dot = np.einsum("ij,ij->i", own, x)
+            p = np.negative(dot)
+            np.exp(p, out=p)
+            p += 1
+            np.reciprocal(p, out=p)
+            dot *= two
+            dot += middle
+            np.maximum(dot, 0, out=dot)
+            np.minimum(dot, top, out=dot)
+            j += dot.astype(np.int64)
+            a = entries(j, None, None, "clip")
+            error = b - p
+            p += a
+            p *= half
+            p -= b
+            np.abs(p, out=wrong[i, :m])
+            step = b - a
+            step *= refine
+            a += step
+            table[j] = a
+            error *= rate
+            x *= error[:, None]
+            own += x
+            w[wi] = own
+        # Neither bit is ever out of the question.
+        chance = np.log2((1 - wrong) * (1 - 2 * _LEAST) + _LEAST, dtype=np.float64)
+        chance[np.arange(t, t + steps)[:, None] >= total[None, :live]] = 0
+        cost[:live] -= chance.sum(0)
+    out = np.zeros(lanes)
+    out[order] = cost
+    return out
 
 
-def fit_mixer(mixer: Mixer, texts: list[bytes], rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and refinement from ``texts``."""
-    for _ in range(rounds):
-        mixer.weights = fit_weights(mixer, texts)
-    mixer.refined = refine(count_refined(mixer, texts))
-    return mixer.weights, mixer.refined
+def unit_bits(pieces: list[bytes], values: list[np.ndarray], code: Code, settings: Settings) -> np.ndarray:
+    """Bits of each piece of a unit."""
+    look = Lookup(pieces, settings.window)
+    return np.bincount(look.piece, bits_of(look, values, code, settings), len(pieces))
 
 
 # ---------------------------------------------------------------- Spark
@@ -403,26 +359,38 @@ def _pairs(counts: DataFrame) -> np.ndarray:
     return out.reshape(256, 256)
 
 
-_UNIT = "unit long, doc_id array<long>, learn array<boolean>, size array<long>, text binary"
+_UNIT = "unit long, doc_id array<long>, row array<long>, learn array<boolean>, size array<long>, text binary"
+_UNIT_ARROW = pa.schema([("unit", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("row", pa.list_(pa.int64())), ("learn", pa.list_(pa.bool_())), ("size", pa.list_(pa.int64())), ("text", pa.binary())])
+
+
+def cut_text(text: bytes, most: int) -> Iterator[bytes]:
+    """A text as pieces of about ``most`` bytes that end after a blank, each behind the LEAD bytes before it (end marks at first)."""
+    a, lead = 0, bytes([END]) * LEAD
+    while a < len(text):
+        b = len(text) if len(text) - a <= most else (text.rfind(b" ", a, a + most) + 1 or text.find(b" ", a + most) + 1 or len(text))
+        yield lead + text[a:b]
+        lead, a = (lead + text[max(a, b - LEAD) : b])[-LEAD:], b
 
 
 def pack(given: DataFrame, settings: Settings) -> DataFrame:
-    """Rows (doc_id, text, learn) as units of about ``unit`` bytes of texts in normal form, a row each."""
+    """Rows (doc_id, text, learn) as units of about ``unit`` bytes of texts in normal form, a row each; a longer text goes in pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, held, size = common.RowIds(), [], 0
+        units, rows, held, size = common.RowIds(), common.RowIds(), [], 0
 
         def unit() -> pa.RecordBatch:
-            row = {"unit": ids.take(1)[0], "doc_id": [h[0] for h in held], "learn": [h[1] for h in held], "size": [len(h[2]) for h in held], "text": b"".join(h[2] for h in held)}
-            return pa.RecordBatch.from_pylist([row], pa.schema([("unit", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("learn", pa.list_(pa.bool_())), ("size", pa.list_(pa.int64())), ("text", pa.binary())]))
+            row = {"unit": units.take(1)[0], "doc_id": [h[0] for h in held], "row": [h[1] for h in held], "learn": [h[2] for h in held], "size": [len(h[3]) for h in held], "text": packed(b"".join(h[3] for h in held))}
+            return pa.RecordBatch.from_pylist([row], _UNIT_ARROW)
 
         for batch in batches:
             for doc_id, t, learn in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "learn")), strict=True):
-                held.append((doc_id, learn, normal(words(t))))
-                size += len(held[-1][2])
-                if size >= settings.unit:
-                    yield unit()
-                    held, size = [], 0
+                row = rows.take(1)[0]
+                for piece in cut_text(normal(words(t)), settings.unit // 4):
+                    held.append((doc_id, row, learn, piece))
+                    size += len(piece)
+                    if size >= settings.unit:
+                        yield unit()
+                        held, size = [], 0
         if held:
             yield unit()
 
@@ -430,138 +398,95 @@ def pack(given: DataFrame, settings: Settings) -> DataFrame:
 
 
 def unpack(text: bytes, sizes: list[int]) -> list[bytes]:
-    out, at = [], 0
-    for n in sizes:
-        out.append(text[at : at + n])
-        at += n
-    return out
+    """The pieces of a unit, each behind its lead."""
+    text, ends = unpacked(text), np.cumsum(sizes).tolist()
+    return [text[b - n : b] for b, n in zip(ends, sizes, strict=True)]
 
 
-def _unit_keys(texts: list[bytes], learn: list[bool], code: Code, longest: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Table (key, zeros, ones) of a unit: all keys that it decides at, and what its training texts add to them."""
-    tables, held, marks, size = [], [], [], 0
-
-    def flush() -> None:
-        nonlocal held, marks, size
-        if held:
-            met = Index(np.frombuffer(b"".join(held), np.uint8), code, np.repeat(np.array(marks, float), [len(h) for h in held]))
-            tables.append((met.keys, met.zero, met.one))
-        held, marks, size = [], [], 0
-
-    for i in sorted(range(len(texts)), key=lambda i: len(texts[i])):
-        # Texts of over ``longest`` are cut where score() cuts them.
-        for a in range(0, len(texts[i]), longest):
-            part = texts[i][a : a + longest]
-            if size + len(part) > longest or a:
-                flush()
-            held.append(part), marks.append(learn[i])
-            size += len(part)
-    flush()
-    return added(tables)
+def packed(b: bytes) -> bytes:
+    return len(b).to_bytes(8, "little") + pa.compress(b, codec="zstd", asbytes=True)
 
 
-def _narrow(n: np.ndarray) -> bytes:
-    top = int(n.max(initial=0))
-    return n.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4").tobytes()
+def unpacked(b: bytes) -> bytes:
+    return pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True)
 
 
-def _wide(b: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(b, f"<u{len(b) // n}").astype(np.int64)
+def narrow(x: np.ndarray) -> bytes:
+    """Whole numbers by their lowest bytes, then the next ones: as many as the largest needs, zeros side by side."""
+    wide = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return packed(bytes([wide]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].T).tobytes())
 
 
-def with_predictors(units: DataFrame, code: Code, settings: Settings) -> DataFrame:
-    """``units`` with ``stretch``: what the counts of all training texts say at each key of the unit, in the order of the keys.
-
-    The counts (order, context, node) -> zeros, ones are a table that grows with
-    the texts and is held by no task: every unit sends its keys, with the counts
-    of its own training texts, to shards by key; a shard adds them up and
-    answers each unit.
-    """
-    shared = units.sparkSession.sparkContext.broadcast(code)
-    size, n_units = units.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)), F.count("*")).first()
-    shards = max(8, -(-size // (4 * settings.slots)))
-
-    def ask(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for unit in batch.to_pylist():
-            keys, zero, one = _unit_keys(unpack(unit["text"], unit["size"]), unit["learn"], shared.value)
-            edges = np.searchsorted(_shard(keys, shards), np.arange(shards + 1))
-            spans = [(i, a, b) for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if a < b]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([i for i, _, _ in spans], pa.int64()),
-                    pa.array([unit["unit"]] * len(spans), pa.int64()),
-                    pa.array([keys[a:b].tobytes() for _, a, b in spans], pa.binary()),
-                    pa.array([_narrow(zero[a:b]) for _, a, b in spans], pa.binary()),
-                    pa.array([_narrow(one[a:b]) for _, a, b in spans], pa.binary()),
-                ],
-                ["shard", "unit", "keys", "zero", "one"],
-            )
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from ask(batch)
+def widened(b: bytes) -> np.ndarray:
+    b = unpacked(b)
+    out = np.zeros(((len(b) - 1) // b[0], 8), np.uint8)
+    out[:, : b[0]] = np.frombuffer(b, np.uint8, offset=1).reshape(b[0], -1).T
+    return out.view("<u8")[:, 0]
 
-    def answer(table: pa.Table) -> pa.Table:
-        met = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
-        counts = ([_wide(b, len(k)) for b, k in zip(table.column(c).to_pylist(), met, strict=True)] for c in ("zero", "one"))
-        keys, zero, one = added(list(zip(met, *counts, strict=True)))
-        values = stretched(zero, one)
-        return pa.table({"unit": table.column("unit"), "shard": table.column("shard"), "stretch": pa.array([values[np.searchsorted(keys, k)].tobytes() for k in met], pa.binary())})
 
-    def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right.column("shard").to_numpy())
-        parts = right.column("stretch").to_pylist()
-        return left.append_column("stretch", pa.array([b"".join(parts[i] for i in order)], pa.binary()))
+def asks(unit: dict, settings: Settings, shards: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(order, shard, contexts with their bytes, counts in training texts) of a unit; shards are ranges of mixed contexts."""
+    look = Lookup(unpack(unit["text"], unit["size"]), settings.window)
+    learn = np.repeat(np.array(unit["learn"], np.float64), look.n_bytes)
+    for k, (order, wide) in enumerate(zip(look.orders, ORDERS.values(), strict=True)):
+        n = np.bincount(order.at, learn, len(order.keys)).astype(np.uint64)
+        edges = np.searchsorted(_shard(order.keys, wide, shards), np.arange(shards + 1)).tolist()
+        for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            if a < b:
+                yield k, i, narrow(np.diff(order.keys[a:b], prepend=np.uint64(0))), narrow(n[a:b])
 
-    answers = units.mapInArrow(asked, "shard long, unit long, keys binary, zero binary, one binary").repartition(shards, "shard").groupBy("shard").applyInArrow(answer, "unit long, shard long, stretch binary")
-    parts = max(1, min(n_units, 4000))
-    return units.repartition(parts, "unit").groupBy("unit").cogroup(answers.repartition(parts, "unit").groupBy("unit")).applyInArrow(join, _UNIT + ", stretch binary")
 
+def _shard(keys: np.ndarray, wide: int, shards: int) -> np.ndarray:
+    """Rises with the key; all bytes of a context are in one shard."""
+    return (((keys >> np.uint64(8)) >> np.uint64(wide - 16)) * np.uint64(shards) >> np.uint64(16)).astype(np.int64)
 
-def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Shards are ranges of the keys' upper half: sorted keys have sorted shards."""
-    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
+def answers(order: int, keys: list[bytes], counts: list[bytes], code: Code) -> list[bytes]:
+    """To each unit of a shard, from the counts of all: the predictions at its keys, in their order."""
+    asked = [np.cumsum(widened(k)) for k in keys]
+    look = Index(np.concatenate(asked))
+    n = np.bincount(look.at, np.concatenate([widened(c) for c in counts]).astype(np.float64), len(look.keys)).astype(np.int64)
+    values, size = predictions(look.keys, n, code, list(ORDERS.values())[order])
+    start, out, at = np.cumsum(size) - size, [], 0
+    for k in asked:
+        own = look.at[at : at + len(k)]
+        at += len(k)
+        stop = np.cumsum(size[own])
+        out.append(packed(values[np.arange(int(stop[-1])) + np.repeat(start[own] - stop + size[own], size[own])].tobytes()))
+    return out
 
-def for_unit(mixer: Mixer, unit: dict) -> tuple[Mixer, list[bytes]]:
-    """``mixer`` with the predictors of a unit, and the unit's texts."""
-    texts = unpack(unit["text"], unit["size"])
-    keys = _unit_keys(texts, [False] * len(texts), mixer.code)[0]
-    return replace(mixer, keys=keys, stretch=np.frombuffer(unit["stretch"], np.float32)), texts
 
+def with_predictors(units: DataFrame, code: Code, settings: Settings):
+    """``units`` beside the answers that each gets: a cogroup by unit.
 
-def train(units: DataFrame, mixer: Mixer, settings: Settings) -> Mixer:
-    """``mixer`` fitted on all training texts of ``units``: each round, tasks go through their texts and Spark adds up what they found."""
-    context = units.sparkSession.sparkContext
+    The counts (order, context, byte) of all training texts are a table that
+    grows with them and is held by no task: every unit sends its distinct
+    contexts and bytes, with the counts of its own training texts, to shards; a
+    shard adds them up and answers each unit. A frequent context comes to its
+    shard once a unit, however often the texts repeat it.
+    """
+    shared = units.sparkSession.sparkContext.broadcast(code)
+    size, n_units = units.agg(F.coalesce(F.sum(F.expr("aggregate(size, 0L, (a, x) -> a + x)")), F.lit(0)), F.count("*")).first()
+    shards = min(1 << 16, max(4, -(-size // settings.shard)))
 
-    def gather(find: Callable[[Mixer, list[bytes]], np.ndarray], size: int) -> np.ndarray:
-        shared = context.broadcast(mixer)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in (u for b in batches for u in b.to_pylist()):
+            got = list(asks(unit, settings, shards))
+            cols = zip(*got, strict=True) if got else ([], [], [], [])
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([unit["unit"]] * len(got), pa.int64()), *(pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True))], ["unit", "ord", "shard", "keys", "counts"])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(size)
-            for batch in batches:
-                for unit in batch.to_pylist():
-                    own, texts = for_unit(shared.value, unit)
-                    learnt = [t for t, learn in zip(texts, unit["learn"], strict=True) if learn]
-                    if learnt:
-                        total += find(own, learnt)
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "x"])
+    def answer(table: pa.Table) -> pa.Table:
+        got = answers(table.column("ord")[0].as_py(), table.column("keys").to_pylist(), table.column("counts").to_pylist(), shared.value)
+        return table.select(["unit", "ord", "shard"]).append_column("values", pa.array(got, pa.binary()))
 
-        out = np.zeros(size)
-        for r in units.mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():  # fixed size
-            out[r["at"]] = r.x
-        return out
+    asked = units.mapInArrow(ask, "unit long, ord int, shard int, keys binary, counts binary")
+    told = asked.repartition(shards * len(ORDERS), "ord", "shard").groupBy("ord", "shard").applyInArrow(answer, "unit long, ord int, shard int, values binary")
+    parts = max(1, min(n_units, 1 << 16))
+    return units.repartition(parts, "unit").groupBy("unit").cogroup(told.repartition(parts, "unit").groupBy("unit"))
 
-    def weights(own: Mixer, texts: list[bytes]) -> np.ndarray:
-        n = sum(map(len, texts))
-        return np.append(fit_weights(own, texts).ravel() * n, n)
 
-    for _ in range(settings.rounds):
-        found = gather(weights, mixer.weights.size + 1)
-        if found[-1]:
-            mixer = replace(mixer, weights=(found[:-1] / found[-1]).reshape(mixer.weights.shape))
-    return replace(mixer, refined=refine(gather(count_refined, _PLACES * 2)))
+_SCORED = "row long, doc_id long, n_tokens long, n_known long, base_score double, bits double, n_bytes long, token binary, f long"
 
 
 def score(docs: DataFrame, learn: F.Column, settings: Settings = Settings(), text: str = "text") -> DataFrame:
@@ -571,14 +496,18 @@ def score(docs: DataFrame, learn: F.Column, settings: Settings = Settings(), tex
     counts are a table, of which the ``hot`` most frequent words reach the tasks
     by broadcast and the rest by a join of (word, document, frequency) rows. The
     score comes from the mixer: texts are coded byte by byte as decisions of a
-    prefix code; for each, predictors in contexts of several orders (counted
-    over all training texts) are combined by weights that the decision's gate
-    picks and that adapt within each text, then refined by a table of what came
-    true, in training and in the text so far. Both are log10 probabilities of
-    the tokens; the mixer's text is the words with one blank between and an end mark.
+    prefix code; for each, predictors in contexts of several orders, counted over
+    all training texts, are combined by weights that the decision's gate picks
+    and refined by a table of what came true. Weights and table begin alike for
+    every ``window`` of a text and move after each of its decisions; contexts go
+    on across windows. Both scores are log10 probabilities of the tokens; the
+    mixer's text is the words with one blank between and an end mark.
 
     Null text is empty: one token, the end. Without any training row N and V are
-    0. Repeated rows are learnt from and scored each for itself.
+    0. Repeated rows are learnt from and scored each for itself, whatever their
+    ids; a null doc_id is an id like others. A text of any length is scored whole, in
+    pieces that tasks hold one unit at a time (a single word is not cut). Other
+    columns, whatever their names, are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
@@ -586,66 +515,67 @@ def score(docs: DataFrame, learn: F.Column, settings: Settings = Settings(), tex
     counts = common.cut(token_table(texts), "words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     base = math.log10(n + v + 1)
-    code, none = make_code(_pairs(counts)), np.zeros(0, np.int64)
-    units = common.cut(with_predictors(common.cut(pack(given, settings), "units"), code, settings), "predictors")
-    mixer = train(units, empty_mixer(code, (none.astype(np.uint64), none, none), settings), settings)
+    code = make_code(_pairs(counts))
+    units = common.cut(pack(given, settings), "units")
     top = common.frequent(counts, "c", settings.hot).toArrow()
     known = {t: c for t, c in zip(top.column("token").to_pylist(), top.column("c").to_pylist(), strict=True)}
     if end := counts.filter(F.length("token") == 0).first():
         known[b""] = end.c  # the end mark is known to every task, frequent or not
-    shared = spark.sparkContext.broadcast((mixer, known))
-    schema = ["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "n_bytes", "token", "f"]
+    shared = spark.sparkContext.broadcast((code, known))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, known = shared.value
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        code, known = shared.value
         logs = _logs(known)
-        ids = common.RowIds()
-        for unit in (u for b in batches for u in b.to_pylist()):
-            fitted, coded = for_unit(mixer, unit)
-            rows = ids.take(len(coded))
-            own, tokens, freq, at = [], [], [], []
-            for i, t in enumerate(coded):
-                ws = t[:-1].split(b" ") if len(t) > 1 else []
-                total, n_known = logs.get(b"", 0.0), 1 if b"" in logs else 0
-                got = Counter(ws)
-                for w, k in got.items():
-                    if (x := logs.get(w)) is not None:
-                        total += k * x
-                        n_known += k
-                    else:
-                        tokens.append(w), freq.append(k), at.append(rows[i])
-                own.append((len(ws) + 1, n_known, total - (len(ws) + 1) * base))
-            scores = fitted.score(coded)
-            n_cold = len(tokens)
-            none = lambda kind: pa.nulls(n_cold, kind)
-            join = lambda a, kind: pa.concat_arrays([pa.array(a, kind), none(kind)])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*rows, *at], pa.int64()),
-                    join(unit["doc_id"], pa.int64()),
-                    join([o[0] for o in own], pa.int64()),
-                    join([o[1] for o in own], pa.int64()),
-                    join([o[2] for o in own], pa.float64()),
-                    join(scores, pa.float64()),
-                    join([len(c) for c in coded], pa.int64()),
-                    # A document's own row has a key that no word can have, for it holds a blank: rows spread evenly over the join.
-                    pa.array([*(b"%d " % r for r in rows), *tokens], pa.binary()),
-                    pa.array([*([0] * len(rows)), *freq], pa.int64()),
-                ],
-                schema,
-            )
-
-    rows = units.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, n_bytes long, token binary, f long")
+        unit = left.to_pylist()[0]
+        pieces = unpack(unit["text"], unit["size"])
+        by_order: list[dict[int, bytes]] = [{} for _ in ORDERS]
+        for k, shard, b in zip(*(right.column(c).to_pylist() for c in ("ord", "shard", "values")), strict=True):
+            by_order[k][shard] = b
+        values = [np.frombuffer(b"".join(unpacked(own[i]) for i in sorted(own)), np.int8) for own in by_order]
+        bits = unit_bits(pieces, values, code, settings).tolist()
+        own, tokens, freq, at = [], [], [], []
+        for i, t in enumerate(pieces):
+            part = t[LEAD:]
+            ends = part.endswith(b"\n")
+            total, n_known = (logs.get(b"", 0.0), int(b"" in logs)) if ends else (0.0, 0)
+            ws = part.split()
+            for word, k in Counter(ws).items():
+                if (x := logs.get(word)) is not None:
+                    total += k * x
+                    n_known += k
+                else:
+                    tokens.append(word), freq.append(k), at.append(unit["row"][i])
+            size = len(ws) + ends
+            own.append((size, n_known, total - size * base, len(part)))
+        cold = lambda kind: pa.nulls(len(tokens), kind)
+        join = lambda a, kind: pa.concat_arrays([pa.array(a, kind), cold(kind)])
+        # A piece's own row has a key that no word can have, for it holds a blank: rows spread evenly over the join.
+        keys = [b"%d %d" % (unit["unit"], i) for i in range(len(own))]
+        return pa.table(
+            {
+                "row": pa.array([*unit["row"], *at], pa.int64()),
+                "doc_id": join(unit["doc_id"], pa.int64()),
+                "n_tokens": join([o[0] for o in own], pa.int64()),
+                "n_known": join([o[1] for o in own], pa.int64()),
+                "base_score": join([o[2] for o in own], pa.float64()),
+                "bits": join(bits, pa.float64()),
+                "n_bytes": join([o[3] for o in own], pa.int64()),
+                "token": pa.array([*keys, *tokens], pa.binary()),
+                "f": pa.array([*([0] * len(own)), *freq], pa.int64()),
+            }
+        )
+
+    rows = with_predictors(units, code, settings).applyInArrow(run, _SCORED)
     joined = rows.join(counts, "token", "left")
     out = joined.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
-        F.max("n_tokens").alias("n_tokens"),
-        (F.max("n_known") + F.sum(F.when(F.col("c").isNotNull(), F.col("f")).otherwise(0))).alias("n_known"),
-        (F.max("base_score") + F.sum(F.col("f") * F.log10(F.coalesce("c", F.lit(0)) + 1.0))).alias("base_score"),
-        F.max("score").alias("score"),
-        F.max("n_bytes").alias("n_bytes"),
+        F.sum("n_tokens").alias("n_tokens"),
+        (F.sum("n_known") + F.sum(F.when(F.col("c").isNotNull(), F.col("f")).otherwise(0))).alias("n_known"),
+        (F.sum("base_score") + F.sum(F.col("f") * F.log10(F.coalesce("c", F.lit(0)) + 1.0))).alias("base_score"),
+        F.sum("bits").alias("bits"),
+        F.sum("n_bytes").alias("n_bytes"),
     )
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", (-F.col("score") / math.log10(2) / F.col("n_bytes")).alias("bits_per_byte"))
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", (-F.col("bits") * math.log10(2)).alias("score"), (F.col("bits") / F.col("n_bytes")).alias("bits_per_byte"))
 
 
 _made: list = [None, None]

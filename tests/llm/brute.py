@@ -101,3 +101,54 @@ def level(sizes, weights):
         left -= sum(target[i] for i in over)
         open_ -= over
     return target
+
+
+def mixed_bits(texts, training, length, code, settings):
+    """Bits of each text by online mixing, decision by decision; ``length`` and ``code`` (32 bits, from the top) by byte before and byte."""
+
+    def contexts(line, i):
+        before = b"\n" * 24 + line[:i]
+        word = before[max(before.rfind(b" "), before.rfind(b"\n")) + 1 :][-16:]
+        return ("three", before[-3:]), ("four", before[-4:]), ("word", word, before[-1:])
+
+    follow = defaultdict(Counter)
+    for line in training:
+        for i, b in enumerate(line):
+            for c in contexts(line, i):
+                follow[c][b] += 1
+
+    def scored(line):
+        bits = 0.0
+        for i, b in enumerate(line):
+            if i % settings.window == 0:
+                weights = defaultdict(lambda: [settings.start] * 3 + [0.0])
+                table = defaultdict(dict)
+            before = line[i - 1] if i else 10
+            row = before * 256 + b
+            own = contexts(line, i)
+            for d in range(int(length[row])):
+                bit = int(code[row]) >> (31 - d) & 1
+                st = []
+                for c in own:
+                    met = [0, 0]
+                    for other, n in follow[c].items():
+                        at = before * 256 + other
+                        if length[at] > d and int(code[at]) >> (32 - d) == int(code[row]) >> (32 - d):
+                            met[int(code[at]) >> (31 - d) & 1] += n
+                    x = math.log((met[1] + 0.4) / (met[0] + 0.4))
+                    st.append(round(max(-7.9, min(7.9, x)) * 16) / 16)
+                gate = (min(d, 3), (st[1] != 0) + (st[2] != 0))
+                st.append(0.25)
+                w = weights[gate]
+                dot = sum(a * x for a, x in zip(w, st))
+                p = 1 / (1 + math.exp(-dot))
+                j = int(max(0, min(32, dot * 2 + 16.5)))
+                a = table[gate].get(j, 1 / (1 + math.exp(-(j / 2 - 8))))
+                final = (p + a) / 2
+                right = final if bit else 1 - final
+                bits -= math.log2(right * (1 - 2 * 2**-14) + 2**-14)
+                table[gate][j] = a + (bit - a) * settings.refine
+                weights[gate] = [v + settings.rate * (bit - p) * x for v, x in zip(w, st)]
+        return bits
+
+    return [scored(line) for line in texts]
