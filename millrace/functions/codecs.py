@@ -23,17 +23,22 @@ def read_uint_be(data: Column, offset: int, width: int) -> Column:
     return F.when(F.length(data) >= offset + width, value)
 
 
-def uint_le(x: Column, width: int) -> Column:
-    return F.reverse_bytes(uint_be(x, width)) if hasattr(F, "reverse_bytes") else F.unhex(_turned(F.hex(uint_be(x, width)), width))
+def turned(x: Column, width: int) -> Column:
+    """The low ``width`` bytes of ``x`` in the other order, as a BIGINT: shifts and masks, no strings."""
+    x = x.cast("long")
+    bytes_ = [F.shiftleft(F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255).cast("long")), 8 * (width - 1 - i)) for i in range(width)]
+    out = bytes_[0]
+    for b in bytes_[1:]:
+        out = out.bitwiseOR(b)
+    return out
 
 
-def _turned(digits: Column, width: int) -> Column:
-    return F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(width))])
+def uint_le(x: Column, width: int) -> Column:
+    return uint_be(turned(x, width), width)
 
 
 def read_uint_le(data: Column, offset: int, width: int) -> Column:
-    part = F.unhex(_turned(F.hex(F.substring(data, offset + 1, width)), width))
-    return F.when(F.length(data) >= offset + width, read_uint_be(part, 0, width))
+    return turned(read_uint_be(data, offset, width), width)
 
 
 # Tick: sequence u64, price u64, quantity u32, all big-endian; 20 bytes.
@@ -68,22 +73,27 @@ def slot_encode(schema_id: Column, suspect: Column, sequence: Column, ts_ns: Col
 
 def slot_decode(data: Column) -> Column:
     """A struct of the header's fields and the payload; ``error`` says why a slot can't be read, else it is null."""
-    length = read_uint_le(data, 24, 4)
-    flags = read_uint_le(data, 6, 2)
-    error = (
-        F.when(F.length(data) < SLOT_HEADER, "short slot")
-        .when(read_uint_le(data, 0, 4) != SLOT_MAGIC, "bad magic")
-        .when(F.length(data) < SLOT_HEADER + length, "payload overruns the slot")
-    )
-    return F.struct(
-        read_uint_le(data, 4, 2).alias("schema_id"),
-        (flags.bitwiseAND(FLAG_VALID) != 0).alias("valid"),
-        (flags.bitwiseAND(FLAG_SUSPECT) != 0).alias("suspect"),
-        read_uint_le(data, 8, 8).alias("sequence"),
-        read_uint_le(data, 16, 8).alias("ts_ns"),
-        F.when(error.isNull(), F.substring(data, F.lit(SLOT_HEADER + 1), length.cast("int"))).alias("payload"),
-        error.alias("error"),
-    )
+
+    def fields(s: Column) -> Column:
+        error = (
+            F.when(F.length(s["data"]) < SLOT_HEADER, "short slot")
+            .when(s["magic"] != SLOT_MAGIC, "bad magic")
+            .when(F.length(s["data"]) < SLOT_HEADER + s["n"], "payload overruns the slot")
+        )
+        return F.struct(
+            s["schema_id"].alias("schema_id"),
+            (s["flags"].bitwiseAND(FLAG_VALID) != 0).alias("valid"),
+            (s["flags"].bitwiseAND(FLAG_SUSPECT) != 0).alias("suspect"),
+            s["sequence"].alias("sequence"),
+            s["ts_ns"].alias("ts_ns"),
+            F.when(error.isNull(), F.substring(s["data"], F.lit(SLOT_HEADER + 1), s["n"].cast("int"))).alias("payload"),
+            error.alias("error"),
+        )
+
+    parts = {"magic": (0, 4), "schema_id": (4, 2), "flags": (6, 2), "sequence": (8, 8), "ts_ns": (16, 8), "n": (24, 4)}
+    # Inside transform() every part of the header is a value that is worked out once, however often it is used.
+    header = F.struct(data.alias("data"), *[read_uint_le(data, *at).alias(name) for name, at in parts.items()])
+    return F.transform(F.array(header), fields)[0]
 
 
 # Ethernet, IPv4 and UDP headers before a payload: 42 bytes.

@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from .routing import RANK, ranked
 
 
 def truncated(rows: DataFrame, max_bytes: int, payload: str = "payload") -> DataFrame:
-    """Packets cut to a slot, with ``truncated`` and the length they had."""
+    """Packets cut to a slot of ``max_bytes`` bytes, with ``truncated`` and the length they had.
+
+    Bytes are cut, not characters: a text payload becomes its UTF-8 bytes, which
+    may end inside a character.
+    """
+    text = dict(rows.dtypes)[payload] == "string"
+    data = F.encode(F.col(payload), "utf-8") if text else F.col(payload)
     n = F.octet_length(payload)
-    return rows.withColumn("original_len", n.cast("long")).withColumn("truncated", n > max_bytes).withColumn(payload, F.substring(F.col(payload), 1, max_bytes))
+    return rows.withColumn("original_len", n.cast("long")).withColumn("truncated", n > max_bytes).withColumn(payload, F.substring(data, 1, max_bytes))
 
 
 def sized(rows: DataFrame, max_bytes: int, payload: str = "payload") -> DataFrame:
@@ -20,5 +27,4 @@ def sized(rows: DataFrame, max_bytes: int, payload: str = "payload") -> DataFram
 
 def capped(rows: DataFrame, capacity: int, batch: str = "tick", order: str = "sequence") -> DataFrame:
     """Rows with ``accepted``: the first ``capacity`` of each batch."""
-    rank = F.row_number().over(W.partitionBy(batch).orderBy(order))
-    return rows.withColumn("accepted", rank <= capacity)
+    return ranked(rows, batch, order).withColumn("accepted", F.col(RANK) <= capacity).drop(RANK)

@@ -1,17 +1,18 @@
 """Framing: byte blobs to records. Input rows are (path, content); output (path, record_index, file_offset, record).
 
-Fixed and delimited framing are expressions. A length prefix can only be
-followed from record to record, so it runs in Python, a file at a time, files in
-parallel. An unfinished tail is dropped in all of them.
+Fixed framing is an expression, delimiters are found in a file's bytes at once. A
+length prefix can only be followed from record to record, so it runs a file at a
+time, files in parallel. An unfinished tail is dropped in all of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..envelope import ConfigError, DecodeError
@@ -32,24 +33,30 @@ def delimited(blobs: DataFrame, delimiter: int = 10, max_len: int = 4096, permis
     """Records that end with the byte ``delimiter``, which they keep.
 
     A record of more than ``max_len`` bytes is an error; with ``permissive`` its
-    row has a null record instead. Bytes go through ISO 8859-1, a character each.
+    row has a null record instead. Offsets are those of the delimiters in the
+    file's bytes, so nothing is dealt out.
     """
     if not 0 <= delimiter < 256 or max_len < 1:
         raise ConfigError("a delimiter is one byte, max_len 1 or more")
-    mark = chr(delimiter)
-    text = F.decode("content", "ISO-8859-1")
-    parts = blobs.select("path", F.split(text, "\\Q" + mark + "\\E", -1).alias("parts"))
-    # What follows the last delimiter is the tail.
-    kept = parts.select("path", F.slice("parts", 1, F.size("parts") - 1).alias("parts"))
-    rows = kept.select("path", F.posexplode("parts").alias("record_index", "body"))
-    record = F.encode(F.concat("body", F.lit(mark)), "ISO-8859-1")
-    long = F.length("body") + 1 > max_len
-    if permissive:
-        record = F.when(~long, record)
-    else:
-        record = F.when(long, F.raise_error(F.lit(f"decode: no delimiter within {max_len} bytes")).cast("binary")).otherwise(record)
-    before = W.partitionBy("path").orderBy("record_index").rowsBetween(W.unboundedPreceding, -1)
-    return rows.select("path", F.col("record_index").cast("long").alias("record_index"), F.coalesce(F.sum(F.length("body") + 1).over(before), F.lit(0)).cast("long").alias("file_offset"), record.alias("record"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, content in ((p, c) for b in batches for p, c in zip(b.column("path").to_pylist(), b.column("content"), strict=True)):
+            if not content.is_valid:
+                continue
+            data = np.frombuffer(content.as_buffer(), np.uint8)
+            ends = np.flatnonzero(data == delimiter) + 1  # what follows the last delimiter is the tail
+            starts = np.concatenate([[0], ends[:-1]])[: len(ends)]
+            over = ends - starts > max_len
+            if over.any() and not permissive:
+                raise DecodeError(f"decode: no delimiter within {max_len} bytes")
+            for k in range(0, len(ends), 65_536):
+                a, z = starts[k : k + 65_536], ends[k : k + 65_536]
+                offsets = np.append(a, z[-1]) - a[0]
+                records = pa.Array.from_buffers(pa.large_binary(), len(a), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[a[0] : z[-1]])])
+                records = pc.if_else(pa.array(over[k : k + 65_536]), pa.scalar(None, pa.large_binary()), records).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(a), pa.string()), pa.array(np.arange(k, k + len(a))), pa.array(a), records], ["path", "record_index", "file_offset", "record"])
+
+    return blobs.select("path", "content").mapInArrow(run, FRAMED)
 
 
 Framer = Callable[[memoryview], int | None]

@@ -38,11 +38,11 @@ def drop_oldest(rows: DataFrame, capacity: int, batch: str = "tick", order: str
 
 def overflow(rows: DataFrame, capacity: int, sink: int, overflow_sink: int | None, overflow_capacity: int, batch: str = "tick", order: str = "sequence") -> DataFrame:
     """sink_id by place in the batch: the sink, then the overflow sink, then dropped. An overflow sink equal to the sink counts as none."""
-    rank = _rank(batch, F.col(order))
+    rank = F.col(routing.RANK)
     place = F.when(rank <= capacity, sink)
     if overflow_sink is not None and overflow_sink != sink:
         place = place.when(rank <= capacity + overflow_capacity, overflow_sink)
-    return rows.withColumn("sink_id", place.otherwise(routing.DROP).cast("long"))
+    return routing.ranked(rows, batch, order).withColumn("sink_id", place.otherwise(routing.DROP).cast("long")).drop(routing.RANK)
 
 
 def unbounded(ticks: DataFrame, drain: int, run: str = "run", tick: str = "tick", arrivals: str = "arrivals") -> DataFrame:

@@ -56,6 +56,26 @@ def numbered(rows: DataFrame, order: str = "sequence", width: int = 1 << 20, nam
     return ranked.join(bases, "__bucket").withColumn(name, (F.col("__base") + F.col("__rank") - 1).cast("long")).drop("__bucket", "__base", "__rank")
 
 
+#: Name of the place that ranked() gives.
+RANK = "__rank_in_batch"
+
+
+def ranked(rows: DataFrame, batch: str, order: str = "sequence", width: int = 1 << 16) -> DataFrame:
+    """``rows`` with RANK, their place in their batch, 1 first, in the order of an integer column (nulls first).
+
+    Counted by ranges of ``width`` values within a batch, so a batch that holds
+    most rows is still ranked by many tasks; a range's first place is the prefix
+    sum of the ranges before it, a row a range.
+    """
+    bucket = F.floor(F.col(order) / width)
+    counts = rows.groupBy(F.col(batch).alias("__of"), bucket.alias("__range")).agg(F.count("*").alias("__n"))
+    before = W.partitionBy("__of").orderBy(F.col("__range").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    bases = counts.select("__of", "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    own = rows.withColumn("__at", bucket).withColumn(RANK, F.row_number().over(W.partitionBy(batch, "__at").orderBy(order)))
+    met = own.join(bases, F.col(batch).eqNullSafe(F.col("__of")) & F.col("__at").eqNullSafe(F.col("__range")))
+    return met.withColumn(RANK, F.col(RANK) + F.col("__base")).drop("__at", "__of", "__range", "__base")
+
+
 def round_robin(rows: DataFrame, sinks: list[int], order: str = "sequence", width: int = 1 << 20) -> DataFrame:
     """Sinks in turn, in arrival order."""
     placed = numbered(rows, order, width, "__place")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..envelope import ConfigError, NotImplementedBackend, backend
-from ..operators import queueing, routing
+from ..operators import batches, queueing, routing
 
 Stage = Callable[[DataFrame], DataFrame]
 Sink = Callable[[DataFrame], None]
@@ -17,12 +17,17 @@ Sink = Callable[[DataFrame], None]
 
 @dataclass(frozen=True)
 class RuntimeConfig:
-    """workers: partitions of the run; batch_size: rows a batch or trigger; backpressure: a policy of queueing.POLICIES."""
+    """workers: partitions of the run; batch_size: rows a batch; capacity: rows of a batch that a sink takes (None: all);
+    backpressure: what becomes of the others, a policy of queueing.POLICIES; overflow_sink: where they go with
+    ``overflow``; order: the integer column that rows come in; metrics: whether run() counts.
+    """
 
     workers: int = 1
     batch_size: int = 512
+    capacity: int | None = None
     backpressure: str = "block"
     overflow_sink: int | None = None
+    order: str = "sequence"
     metrics: bool = True
     affinity: str = "none"
     strict_affinity: bool = False
@@ -32,6 +37,8 @@ class RuntimeConfig:
             raise ConfigError("workers and batch_size must be 1 or more")
         if self.backpressure not in queueing.POLICIES:
             raise ConfigError(f"unknown back-pressure policy {self.backpressure!r}")
+        if self.capacity is not None and self.capacity < 1:
+            raise ConfigError("capacity must be 1 or more")
         if self.strict_affinity and self.affinity != "none":
             raise NotImplementedBackend("Spark places tasks; processors can't be pinned")
 
@@ -61,9 +68,15 @@ class Pipeline:
             backend(rows)
         return replace(self, source=rows)
 
-    def decode(self, column: str, decoder: Callable[[Column], Column]) -> Pipeline:
-        """Fields of ``decoder`` in place of ``column``; records it gives null for are dropped."""
-        step = lambda df: df.withColumn("__m", decoder(F.col(column))).filter(F.col("__m").isNotNull()).select("*", "__m.*").drop("__m", column)
+    def decode(self, column: str, decoder: Callable[[Column], Column], failfast: bool = False) -> Pipeline:
+        """Fields of ``decoder`` in place of ``column``; records it gives null for are dropped, or fail the job with ``failfast``."""
+
+        def step(df: DataFrame) -> DataFrame:
+            m = decoder(F.col(column))
+            if failfast:
+                m = F.coalesce(m, F.raise_error(F.lit("decode: a record can't be read")))
+            return df.withColumn("__m", m).filter(F.col("__m").isNotNull()).select("*", "__m.*").drop("__m", column)
+
         return self.transform(step)
 
     def transform(self, stage: Stage) -> Pipeline:
@@ -89,10 +102,29 @@ class Pipeline:
         rows = self.source
         for stage in self.stages:
             rows = rows.transform(stage)
-        return rows.transform(self.router) if self.router else routing.fixed(rows, next(iter(self.sinks), 1))
+        rows = rows.transform(self.router) if self.router else routing.fixed(rows, next(iter(self.sinks), 1))
+        return self._pressed(rows)
+
+    def _pressed(self, rows: DataFrame) -> DataFrame:
+        """Rows that find their sink full, by policy: ``block``, ``spin`` and ``adaptive_batching`` make the source wait, so nothing is lost."""
+        c = self.config
+        if c.capacity is None or c.backpressure in ("block", "spin", "adaptive_batching"):
+            return rows
+        # A batch is ``batch_size`` rows in their order; each sink takes its own part of it.
+        batched = routing.numbered(rows, c.order, name="__place").withColumn("__batch", F.struct(F.floor(F.col("__place") / c.batch_size).alias("n"), "sink_id")).drop("__place")
+        taken = batches.capped(batched, c.capacity, "__batch", c.order)
+        if c.backpressure == "overflow" and c.overflow_sink is not None:
+            over = F.when(F.col("accepted") | (F.col("sink_id") == routing.DROP), F.col("sink_id")).otherwise(F.lit(c.overflow_sink).cast("long"))
+        else:
+            over = F.when(F.col("accepted"), F.col("sink_id")).otherwise(F.lit(routing.DROP).cast("long"))
+        return taken.withColumn("sink_id", over).drop("__batch", "accepted")
 
     def run(self) -> dict[str, int]:
-        """Write each sink's rows; returns messages written per sink and dropped on purpose (``sink_id`` 0)."""
+        """Write each sink's rows; returns messages written per sink and dropped (``sink_id`` 0), or nothing without metrics.
+
+        With metrics, rows for a sink that nobody registered fail the run before
+        anything is written; without, they fail the job that meets them.
+        """
         if not self.sinks:
             raise ConfigError("a pipeline needs a sink")
         rows = self.routed()
@@ -100,11 +132,13 @@ class Pipeline:
             rows = rows.repartition(self.config.workers)
         rows = rows.persist()
         try:
-            by_sink = {r.sink_id: r.n for r in rows.groupBy("sink_id").agg(F.count("*").alias("n")).collect()}  # a row a sink
+            by_sink = {r.sink_id: r.n for r in rows.groupBy("sink_id").agg(F.count("*").alias("n")).collect()} if self.config.metrics else {}  # a row a sink
+            if strange := set(by_sink) - {routing.DROP, *self.sinks}:
+                raise routing.PlacementError(f"no sink {sorted(strange, key=str)}")
             for sink_id, df in routing.split(rows, list(self.sinks)).items():
                 self.sinks[sink_id](df.drop("sink_id"))
         finally:
             rows.unpersist()
-        if strange := set(by_sink) - {routing.DROP, *self.sinks}:
-            raise routing.PlacementError(f"no sink {sorted(strange)}")
+        if not self.config.metrics:
+            return {}
         return {"dropped": by_sink.get(routing.DROP, 0), **{f"sink_{s}": by_sink.get(s, 0) for s in self.sinks}}

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import lineage
 from .envelope import from_events
 from .functions import codecs, payload
 from .operators import batches, faults, framing, metrics, pacing, queueing, replay, routing, timeline
 from .plans import scenario
-from .plans.pipeline import Pipeline
+from .plans.pipeline import Pipeline, RuntimeConfig
+from .sources import files, pcap
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -136,6 +138,28 @@ def eof_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return framing.looped(framing.fixed(region, 2), 3).select("path", "record_index", "loop_index", F.decode("record", "utf-8").alias("record"))
 
 
+# ---------------------------------------------------------------- files
+
+
+@query("SELECT c_name || chr(10) AS record, CAST(strlen(c_name) + 1 AS BIGINT) AS n FROM customer")
+def file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names written as text files, a line each, and read back through the framed file source."""
+    out = lineage.new_path(spark, "lines")
+    spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_name").write.text(out)
+    return files.read(spark, out).select(F.decode("record", "utf-8").alias("record"), F.octet_length("record").cast("long").alias("n"))
+
+
+@query(f"WITH {ENV} SELECT CAST(key % 16 AS VARCHAR) || '.pcap' AS file, row_number() OVER (PARTITION BY key % 16 ORDER BY ts_ns, sequence) - 1 AS pkt_index, ts_ns, payload FROM env")
+def capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as UDP frames in capture files, 16 of them, written, read back and parsed."""
+    out = lineage.new_path(spark, "captures")
+    frame = codecs.udp_frame(F.encode("payload", "utf-8"), F.lit(9000))
+    packets = events(spark, sf_dir).select(F.concat((F.col("key") % 16).cast("string"), F.lit(".pcap")).alias("path"), F.col("sequence").alias("pkt_index"), "ts_ns", frame.alias("data"))
+    pcap.write(pcap.blobs(packets, nanoseconds=True), out)
+    read = pcap.read(spark, out).withColumn("m", codecs.udp_parse(F.col("data")))
+    return read.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "pkt_index", "ts_ns", F.decode("m.payload", "utf-8").alias("payload"))
+
+
 # ---------------------------------------------------------------- routing
 
 
@@ -186,10 +210,10 @@ def route_unregistered(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- batches and back-pressure
 
 
-@query("SELECT doc_id, substr(text, 1, 100) AS text, CAST(strlen(text) AS BIGINT) AS original_len, strlen(text) > 100 AS truncated FROM documents")
+@query("SELECT doc_id, hex(encode(text))[1:200] AS data, CAST(strlen(text) AS BIGINT) AS original_len, strlen(text) > 100 AS truncated FROM documents")
 def batch_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return batches.truncated(docs, 100, "text")
+    return batches.truncated(docs, 100, "text").select("doc_id", F.hex("text").alias("data"), "original_len", "truncated")
 
 
 @query(f"WITH {ENV} SELECT tick, accepted, count(*) AS n FROM (SELECT ts_ns // {HOUR_NS} AS tick, row_number() OVER (PARTITION BY ts_ns // {HOUR_NS} ORDER BY sequence) <= 10 AS accepted FROM env) GROUP BY 1, 2")
@@ -202,6 +226,17 @@ def batch_oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batches.sized(events(spark, sf_dir), 8).groupBy("payload", "oversized").agg(F.count("*").alias("n"))
 
 
+@query(
+    f"WITH {ENV}, r AS (SELECT *, schema_id % 2 + 1 AS s, (row_number() OVER (ORDER BY sequence) - 1) // 100 AS b FROM env), k AS (SELECT *, row_number() OVER (PARTITION BY b, s ORDER BY sequence) AS i FROM r) "
+    "SELECT CAST(CASE WHEN i <= 40 THEN s ELSE 9 END AS BIGINT) AS sink_id, count(*) AS n, CAST(sum(price) AS BIGINT) AS total FROM k GROUP BY 1"
+)
+def bp_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Back-pressure as a setting of a pipeline: batches of 100, of which a sink takes 40 and the overflow sink the rest."""
+    config = RuntimeConfig(batch_size=100, capacity=40, backpressure="overflow", overflow_sink=9)
+    made = Pipeline().read(events(spark, sf_dir)).route(lambda df: df.withColumn("sink_id", (F.col("schema_id") % 2 + 1).cast("long"))).configured(config)
+    return _sums(made.routed())
+
+
 def _kept_sql(order: str) -> str:
     return f"WITH {ENV} SELECT sequence, tick FROM (SELECT sequence, ts_ns // {HOUR_NS} AS tick, row_number() OVER (PARTITION BY ts_ns // {HOUR_NS} ORDER BY sequence {order}) AS r FROM env) WHERE r <= 5"
 

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..envelope import ConfigError
 from ..operators import framing
@@ -24,3 +29,28 @@ def read(spark: SparkSession, path: str, frame: str = "delimiter", eof: str = "s
         raise ConfigError(f"unknown frame {frame!r} or end-of-file rule {eof!r}")
     records = frames[frame](blobs(spark, path), **options)
     return framing.looped(records, loops) if eof == "loop" else records
+
+
+def file_sink(files: DataFrame, folder: str) -> int:
+    """Write (path, content) rows as files below ``folder``; returns how many there are.
+
+    A file is written under another name and then moved to its own, so a task that
+    is run again leaves the same files.
+    """
+    uri = folder if "://" in folder or folder.startswith("/") else folder.replace("file:", "file://", 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(uri)
+        store.create_dir(base, recursive=True)
+        n = 0
+        for path, content in ((p, c) for b in batches for p, c in zip(b.column("path").to_pylist(), b.column("content"), strict=True)):
+            part = f"{base}/.{uuid.uuid4().hex}"
+            with store.open_output_stream(part) as f:
+                f.write(content.as_buffer() if content.is_valid else b"")
+            store.move(part, f"{base}/{path}")
+            n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return files.select("path", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

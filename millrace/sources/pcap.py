@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..envelope import DecodeError
+from .files import file_sink
 
 #: Fixed values of the format: magic as read little-endian -> (byte order, ns per unit of the fraction).
 MAGICS = {0xA1B2C3D4: ("<", 1000), 0xD4C3B2A1: (">", 1000), 0xA1B23C4D: ("<", 1), 0x4D3CB2A1: (">", 1)}
@@ -69,5 +70,14 @@ def blobs(packets: DataFrame, by: str = "path", nanoseconds: bool = False) -> Da
     record = F.concat(le((F.col("ts_ns") - F.pmod("ts_ns", second)) / second), le(F.floor(F.pmod("ts_ns", second) / unit)), le(n), le(n), F.col("data"))
     head = struct.pack("<IHHiIII", 0xA1B23C4D if nanoseconds else 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
     ordered = F.array_sort(F.collect_list(F.struct("ts_ns", "pkt_index", record.alias("r"))))
-    joined = F.aggregate(ordered, F.lit(head), lambda a, x: F.concat(a, x["r"]))
+    joined = F.concat(F.lit(head), F.unhex(F.array_join(F.transform(ordered, lambda x: F.hex(x["r"])), "")))
     return packets.groupBy(by).agg(joined.alias("content"))
+
+
+def write(files: DataFrame, folder: str, name: str = "path") -> int:
+    """(path, content) rows as files of a folder on any file system that Arrow knows; returns how many there are.
+
+    A task writes under a name of its own and renames when done, so a repeated
+    task does no harm.
+    """
+    return file_sink(files.select(F.col(name).cast("string").alias("path"), "content"), folder)
