@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,20 +35,19 @@ class Settings:
     shard: int = 64_000_000
     window: int = 2048
     rate: float = 0.02
-    refine: float = 0.02
+    refine: float = 0.005
     start: float = 0.3
     hot: int = 300_000
 
 
 #: Contexts by name: how many bytes before, or the word so far; and the bits that a context has.
-ORDERS = {"three": 24, "four": 32, "word": 40}
+ORDERS = {"four": 32, "word": 40}
 #: Bytes that a context may look back; what stands before a text are end marks.
 LEAD = 24
 END = 10
-_DEPTHS, _KNOWN, _BUCKETS = 4, 3, 33
-_GATES = _DEPTHS * _KNOWN
-#: Stretched probabilities go through the shuffle in sixteenths.
-_FINE = 16.0
+_GATES = 2
+#: Stretched probabilities go through the shuffle in eighths.
+_FINE = 8.0
 #: Chance that a bit has at least.
 _LEAST = 2.0**-14
 
@@ -117,35 +116,43 @@ def unmixed(x: np.ndarray, bits: int) -> np.ndarray:
     return x * np.uint64(pow(_ODD[0], -1, 1 << 64)) & mask
 
 
-def grams(s: np.ndarray) -> Iterator[np.ndarray]:
-    """For each order the number of (context, byte) at every place of ``s`` from LEAD on: the mixed context, then the byte.
+def _powers(of: int) -> np.ndarray:
+    x = np.full(_BLOCK + 64, of, np.uint64)
+    x[0] = 1
+    return np.multiply.accumulate(x)
 
-    A context's lowest byte is the byte before. Fixed orders are exact; the word
+
+#: Places that are looked at in one go, and the powers of a step and of its inverse.
+_BLOCK = 1 << 15
+_POWER, _INVERSE = _powers(_STEP), _powers(pow(_STEP, -1, 1 << 64))
+
+
+def grams(s: np.ndarray) -> np.ndarray:
+    """The number of (context, byte) at every place of ``s`` from LEAD on, a row an order: the mixed context, then the byte.
+
+    A context's lowest byte is the byte before. Four bytes are exact; the word
     so far (16 bytes of it at most) is a hash of 32 bits.
     """
-    n = len(s) - LEAD
-    u = s.astype(np.uint64)
-    back = lambda k: u[LEAD - k : LEAD - k + n]
-    ctx, byte = np.zeros(n, np.uint64), u[LEAD:]
-    for k in range(1, 5):
-        ctx |= back(k) << np.uint64(8 * (k - 1))
-        if k >= 3:
-            yield mixed(ctx, 8 * k) << np.uint64(8) | byte
-    blank = (s == 32) | (s == END)
-    start = np.maximum.accumulate(np.where(blank, np.arange(1, len(s) + 1), 0))  # of the word that goes on after each byte
-    at = np.arange(LEAD, len(s))
-    first = np.maximum(start[LEAD - 1 : -1], at - 16)
-    # Sums of letters times powers of their places; the power of the first place is divided out.
-    power = np.full(len(s) + 1, _STEP, np.uint64)
-    power[0] = 1
-    power = np.multiply.accumulate(power)
-    total = np.concatenate([[np.uint64(0)], np.cumsum((u + np.uint64(7)) * power[:-1])])
-    inverse = np.full(len(s) + 1, pow(_STEP, -1, 1 << 64), np.uint64)
-    inverse[0] = 1
-    inverse = np.multiply.accumulate(inverse)
-    word = (total[at] - total[first]) * inverse[first]
-    word = (word ^ (word >> np.uint64(29))) * np.uint64(_ODD[0]) >> np.uint64(32)
-    yield mixed(word << np.uint64(8) | back(1), ORDERS["word"]) << np.uint64(8) | byte
+    out = np.empty((len(ORDERS), len(s) - LEAD), np.uint64)
+    for a in range(0, out.shape[1], _BLOCK):
+        part = s[a : a + _BLOCK + LEAD]
+        n = len(part) - LEAD
+        u = part.astype(np.uint64)
+        byte, ctx = u[LEAD:], u[LEAD - 1 : -1].copy()
+        for k in range(2, 5):
+            ctx |= u[LEAD - k : LEAD - k + n] << np.uint64(8 * (k - 1))
+        out[0, a : a + n] = mixed(ctx, ORDERS["four"]) << np.uint64(8) | byte
+        at = np.arange(LEAD, LEAD + n)
+        # Where the word that goes on after each byte began; its last 16 bytes count.
+        start = np.maximum.accumulate(np.where((part == 32) | (part == END), np.arange(1, len(part) + 1), 0))
+        first = np.maximum(start[LEAD - 1 : -1], at - 16)
+        # Sums of letters times powers of their places; the power of the first place is divided out.
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((u + np.uint64(7)) * _POWER[: len(u)], out=total[1:])
+        word = (total[LEAD:-1] - total[first]) * _INVERSE[first]
+        word = (word ^ (word >> np.uint64(29))) * np.uint64(_ODD[0]) >> np.uint64(32)
+        out[1, a : a + n] = mixed(word << np.uint64(8) | u[LEAD - 1 : -1], ORDERS["word"]) << np.uint64(8) | byte
+    return out
 
 
 class Index:
@@ -166,13 +173,16 @@ def code_rows(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def stretched(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """log odds of a 1, in sixteenths."""
-    return np.rint(np.clip(np.log((one + 0.4) / (zero + 0.4)), -7.9, 7.9) * _FINE).astype(np.int8)
+    """log odds of a 1, in eighths."""
+    return np.rint(np.clip(np.log((one + 0.4) / (zero + 0.4)), -7.8, 7.8) * _FINE).astype(np.int8)
 
 
 def predictions(keys: np.ndarray, n: np.ndarray, code: Code, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """What each context says at the decisions that code its byte: (values one after the other, how many each key has).
 
+    A value holds the stretched probability in its upper bits and the decision,
+    which the byte alone determines, in the lowest.
+
     ``keys`` are sorted and whole contexts. Under a context, the bytes whose
     codes begin alike stand side by side; their counts, split by the next bit,
     are the zeros and ones met there.
@@ -193,7 +203,7 @@ def predictions(keys: np.ndarray, n: np.ndarray, code: Code, bits: int) -> tuple
         edge = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]]))
         bit = (place >> np.uint64(31 - d) & np.uint64(1)).astype(np.int64)
         total, one = np.add.reduceat(count, edge), np.add.reduceat(count * bit, edge)
-        out[start[left] + d] = np.repeat(stretched(total - one, one), np.diff(np.append(edge, len(left))))
+        out[start[left] + d] = np.repeat(stretched(total - one, one) << 1, np.diff(np.append(edge, len(left)))) | bit
     return out, length
 
 
@@ -211,7 +221,8 @@ class Lookup:
         for k in range(LEAD):
             keep[starts + k] = False
         self.keep = keep[LEAD:]
-        self.orders = [Index(keys[self.keep]) for keys in grams(s)]
+        keys = grams(s)
+        self.orders = [Index(keys[k][self.keep]) for k in range(len(ORDERS))]
         self.rows = (s[LEAD - 1 : -1].astype(np.int64) * 256 + s[LEAD:])[self.keep]
         # A piece's bytes in windows: all of the same size but the last.
         self.n_bytes = ends - starts - LEAD
@@ -225,89 +236,85 @@ def bits_of(look: Lookup, values: list[np.ndarray], code: Code, settings: Settin
     """Bits of each window.
 
     All windows advance together, a decision each: predictors of every order,
-    stretched, are combined by the weights that the gate (depth of the decision,
-    and how many of the long contexts are known) picks, then refined by a table
-    of what came true at like chances. After each decision the window's own
-    weights and table move. What a window gets does not depend on those beside it.
+    stretched, are combined by the weights that the gate picks (whether the word
+    so far tells anything), and the result is refined by a scale and a shift
+    that follow what came true. After each decision the window's own weights,
+    scale and shift move. What a window gets does not depend on those beside it.
     """
     kinds = len(ORDERS) + 1
     first_value = [(np.cumsum(size) - size).astype(np.int32) for size in (code.length[code_rows(o.keys, wide)] for o, wide in zip(look.orders, ORDERS.values(), strict=True))]
     edges = np.concatenate([[0], np.cumsum(look.sizes)])
     out = np.zeros(len(look.sizes))
-    # Windows of like size go together, as many as a bound on their bytes allows.
-    order = np.argsort(-look.sizes, kind="stable")
-    group = np.cumsum(look.sizes[order]) // settings.together
-    for g in range(int(group[-1]) + 1 if len(group) else 0):
-        own = order[group == g]
-        at = np.concatenate([np.arange(edges[i], edges[i + 1]) for i in own.tolist()]) if len(own) else np.zeros(0, np.int64)
-        if not len(at):
-            continue
+    # As many windows go together as a bound on their bytes allows.
+    group = edges[1:] // settings.together
+    firsts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else []
+    for i, j in zip(firsts, [*firsts[1:], len(group)], strict=True):
+        own, at = slice(i, j), slice(edges[i], edges[j])
         length = code.length[look.rows[at]]
         n = int(length.sum())
         first = np.cumsum(length) - length
-        depth = np.arange(n, dtype=np.int32) - np.repeat(first.astype(np.int32), length)
-        bit = (np.repeat(code.bits[look.rows[at]].astype(np.uint32), length) >> (31 - depth).astype(np.uint32) & np.uint32(1)).astype(np.int8)
-        st = np.empty((n, kinds), np.int8)
-        st[:, -1] = 4
+        st = []
         for k, (o, v) in enumerate(zip(look.orders, values, strict=True)):
-            st[:, k] = v[np.repeat(first_value[k][o.at[at]], length) + depth]
-        gate = np.minimum(depth, _DEPTHS - 1).astype(np.int8) * np.int8(_KNOWN) + (st[:, 1] != 0) + (st[:, 2] != 0)
+            place = np.repeat((first_value[k][o.at[at]] - first).astype(np.int32), length)
+            place += np.arange(n, dtype=np.int32)
+            st.append(v.take(place))
         ends = np.concatenate([first, [n]])[np.concatenate([[0], np.cumsum(look.sizes[own])])]
-        out[own] = _advance(st, bit, gate, ends, settings)
+        out[own] = _advance(st, ends, settings)
     return out
 
 
-def _advance(st: np.ndarray, bit: np.ndarray, gate: np.ndarray, ends: np.ndarray, settings: Settings) -> np.ndarray:
-    """Bits of windows whose decisions stand one after the other, parted at ``ends``."""
+def _advance(st: list[np.ndarray], ends: np.ndarray, settings: Settings) -> np.ndarray:
+    """Bits of windows whose decisions stand one after the other, parted at ``ends``; predictions as predictions() gives them."""
     total = np.diff(ends)
     order = np.argsort(-total, kind="stable")
     start, total = ends[:-1][order], total[order]
-    lanes, kinds = len(order), st.shape[1]
-    w = np.full((lanes * _GATES, kinds), settings.start, np.float32)
-    w[:, -1] = 0
-    table = np.tile((1 / (1 + np.exp(-(np.arange(_BUCKETS) / 2 - 8)))).astype(np.float32), lanes * _GATES)
-    cost = np.zeros(lanes)
-    lane = np.arange(lanes) * _GATES
-    rate, refine, half, two, middle, top = map(np.float32, (settings.rate, settings.refine, 0.5, 2, 16.5, 32))
-    take, entries = w.take, table.take
-    for t in range(0, int(total[0]), 128):
+    lanes, kinds = len(order), len(st) + 1
+    # A gate's weights meet zeros where another gate is open: no window's weights are ever looked up.
+    w = np.full((_GATES * kinds, lanes), settings.start, np.float32)
+    w[kinds - 1 :: kinds] = 0
+    scale, shift, cost = np.ones(lanes, np.float32), np.zeros(lanes, np.float32), np.zeros(lanes)
+    rate, refine = np.float32(settings.rate), np.float32(settings.refine)
+    for t in range(0, int(total[0]), 64):
         # Those that still decide are always the first ones.
-        alive = np.searchsorted(-total, -np.arange(t, min(t + 128, int(total[0])))).tolist()
+        alive = np.searchsorted(-total, -np.arange(t, min(t + 64, int(total[0])))).tolist()
         live, steps = alive[0], len(alive)
-        at = np.minimum(start[None, :live] + np.arange(t, t + steps)[:, None], len(bit) - 1)
-        xs, bs, ws = st[at].astype(np.float32), bit[at].astype(np.float32), lane[None, :live] + gate[at]
-        xs *= np.float32(1 / _FINE)
-        places = ws * _BUCKETS
-        wrong = np.zeros((steps, live), np.float32)
+        at = np.minimum(start[None, :live] + np.arange(t, t + steps)[:, None], len(st[0]) - 1)
+        own = [v.take(at) for v in st]
+        bs = (own[0] & 1).astype(np.float32)
+        own = [(v >> 1).astype(np.float32) for v in own]
+        gate = own[1] != 0
+        xs = np.zeros((steps, _GATES * kinds, live), np.float32)
+        for g in range(_GATES):
+            here = (gate == g).astype(np.float32)
+            xs[:, g * kinds + kinds - 1] = here * np.float32(0.25)
+            here *= np.float32(1 / _FINE)
+            for k, x in enumerate(own):
+                np.multiply(x, here, out=xs[:, g * kinds + k])
+        rated = bs * rate
+        chance = np.zeros((steps, live), np.float32)
         for i, m in enumerate(alive):
-            x, b, wi, j = xs[i, :m], bs[i, :m], ws[i, :m], places[i, :m]
-            own = take(wi, 0, None, "clip")
-            dot = np.einsum("ij,ij->i", own, x)
-            p = np.negative(dot)
-            np.exp(p, out=p)
+            x, b, wm = xs[i, :, :m], bs[i, :m], w[:, :m]
+            dot = np.add.reduce(wm * x, 0)
+            p = np.exp(-dot)
             p += 1
-            np.reciprocal(p, out=p)
-            dot *= two
-            dot += middle
-            np.maximum(dot, 0, out=dot)
-            np.minimum(dot, top, out=dot)
-            j += dot.astype(np.int64)
-            a = entries(j, None, None, "clip")
-            error = b - p
-            p += a
-            p *= half
-            p -= b
-            np.abs(p, out=wrong[i, :m])
-            step = b - a
-            step *= refine
-            a += step
-            table[j] = a
-            error *= rate
-            x *= error[:, None]
-            own += x
-            w[wi] = own
+            np.divide(rate, p, out=p)
+            np.subtract(rated[i, :m], p, out=p)
+            x *= p
+            wm += x
+            r = dot * scale[:m]
+            r += shift[:m]
+            np.maximum(r, -60, out=r)
+            np.negative(r, out=r)
+            np.exp(r, out=r)
+            r += 1
+            r = np.reciprocal(r, out=chance[i, :m])
+            error = b - r
+            error *= refine
+            shift[:m] += error
+            error *= dot
+            scale[:m] += error
         # Neither bit is ever out of the question.
-        chance = np.log2((1 - wrong) * (1 - 2 * _LEAST) + _LEAST, dtype=np.float64)
+        chance = np.log2((1 - np.abs(bs - chance)) * (1 - 2 * _LEAST) + _LEAST, dtype=np.float64)
         chance[np.arange(t, t + steps)[:, None] >= total[None, :live]] = 0
         cost[:live] -= chance.sum(0)
     out = np.zeros(lanes)
@@ -324,17 +331,32 @@ def unit_bits(pieces: list[bytes], values: list[np.ndarray], code: Code, setting
 # ---------------------------------------------------------------- Spark
 
 
-def token_table(texts: DataFrame) -> DataFrame:
-    """(token, c) of column ``text``: words with A-Z lower-cased, and '' for the end of each text (of null text too)."""
+def unit_words(pieces: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct words, which of them each token is, its piece) of pieces in normal form; a piece ends with a word."""
+    split = pc.split_pattern(pa.array([p[LEAD:].rstrip(b" \n") for p in pieces], pa.binary()), b" ")
+    n = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+    met = split.flatten().dictionary_encode()
+    kinds = met.dictionary.to_numpy(zero_copy_only=False).tolist()
+    of, piece = met.indices.to_numpy(), np.repeat(np.arange(len(pieces)), n)
+    if b"" in kinds:  # of a piece without words
+        there = of != kinds.index(b"")
+        of, piece = of[there], piece[there]
+    return kinds, of, piece
 
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen: Counter[bytes] = Counter()
-        for t in batch.column("text").to_pylist():
-            seen.update(words(t))
-        seen[b""] += batch.num_rows
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["token", "c"])
 
-    return common.map_arrow(texts.select("text"), count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
+def token_table(units: DataFrame) -> DataFrame:
+    """(token, c) of the training texts of ``units``: words, and '' for the end of each text."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in (u for b in batches for u in b.to_pylist()):
+            learnt = [p for p, learn in zip(unpack(unit["text"], unit["size"]), unit["learn"], strict=True) if learn]
+            if learnt:
+                kinds, of, _ = unit_words(learnt)
+                n = np.bincount(of, minlength=len(kinds))
+                tokens, n = [b"", *(w for w, k in zip(kinds, n.tolist(), strict=True) if k)], [sum(p.endswith(b"\n") for p in learnt), *n[n > 0].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), pa.array(n, pa.int64())], ["token", "c"])
+
+    return units.mapInArrow(count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")).filter("c > 0")
 
 
 def _pairs(counts: DataFrame) -> np.ndarray:
@@ -511,12 +533,11 @@ def score(docs: DataFrame, learn: F.Column, settings: Settings = Settings(), tex
     """
     spark = docs.sparkSession
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    texts = given.filter("learn").select(F.coalesce("text", F.lit("")).alias("text"))
-    counts = common.cut(token_table(texts), "words")
+    units = common.cut(pack(given, settings), "units")
+    counts = common.cut(token_table(units), "words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     base = math.log10(n + v + 1)
     code = make_code(_pairs(counts))
-    units = common.cut(pack(given, settings), "units")
     top = common.frequent(counts, "c", settings.hot).toArrow()
     known = {t: c for t, c in zip(top.column("token").to_pylist(), top.column("c").to_pylist(), strict=True)}
     if end := counts.filter(F.length("token") == 0).first():
@@ -533,20 +554,17 @@ def score(docs: DataFrame, learn: F.Column, settings: Settings = Settings(), tex
             by_order[k][shard] = b
         values = [np.frombuffer(b"".join(unpacked(own[i]) for i in sorted(own)), np.int8) for own in by_order]
         bits = unit_bits(pieces, values, code, settings).tolist()
-        own, tokens, freq, at = [], [], [], []
-        for i, t in enumerate(pieces):
-            part = t[LEAD:]
-            ends = part.endswith(b"\n")
-            total, n_known = (logs.get(b"", 0.0), int(b"" in logs)) if ends else (0.0, 0)
-            ws = part.split()
-            for word, k in Counter(ws).items():
-                if (x := logs.get(word)) is not None:
-                    total += k * x
-                    n_known += k
-                else:
-                    tokens.append(word), freq.append(k), at.append(unit["row"][i])
-            size = len(ws) + ends
-            own.append((size, n_known, total - size * base, len(part)))
+        kinds, of, piece = unit_words(pieces)
+        log = np.array([logs.get(w, np.nan) for w in kinds])
+        met = ~np.isnan(log)
+        ends = np.array([p.endswith(b"\n") for p in pieces])
+        size = np.bincount(piece, minlength=len(pieces)) + ends
+        here = met[of]
+        n_known = np.bincount(piece[here], minlength=len(pieces)) + ends * (b"" in logs)
+        total = np.bincount(piece[here], log[of[here]], len(pieces)) + ends * logs.get(b"", 0.0) - size * base
+        pairs, freq = np.unique(piece[~here].astype(np.int64) * len(kinds) + of[~here], return_counts=True)
+        tokens, at = [kinds[i] for i in (pairs % max(1, len(kinds))).tolist()], np.array(unit["row"], np.int64)[pairs // max(1, len(kinds))].tolist()
+        own = list(zip(size.tolist(), n_known.tolist(), total.tolist(), (len(p) - LEAD for p in pieces), strict=True))
         cold = lambda kind: pa.nulls(len(tokens), kind)
         join = lambda a, kind: pa.concat_arrays([pa.array(a, kind), cold(kind)])
         # A piece's own row has a key that no word can have, for it holds a blank: rows spread evenly over the join.
@@ -561,7 +579,7 @@ def score(docs: DataFrame, learn: F.Column, settings: Settings = Settings(), tex
                 "bits": join(bits, pa.float64()),
                 "n_bytes": join([o[3] for o in own], pa.int64()),
                 "token": pa.array([*keys, *tokens], pa.binary()),
-                "f": pa.array([*([0] * len(own)), *freq], pa.int64()),
+                "f": pa.array([*([0] * len(own)), *freq.tolist()], pa.int64()),
             }
         )
 

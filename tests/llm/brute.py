@@ -109,7 +109,7 @@ def mixed_bits(texts, training, length, code, settings):
     def contexts(line, i):
         before = b"\n" * 24 + line[:i]
         word = before[max(before.rfind(b" "), before.rfind(b"\n")) + 1 :][-16:]
-        return ("three", before[-3:]), ("four", before[-4:]), ("word", word, before[-1:])
+        return ("four", before[-4:]), ("word", word, before[-1:])
 
     follow = defaultdict(Counter)
     for line in training:
@@ -121,8 +121,8 @@ def mixed_bits(texts, training, length, code, settings):
         bits = 0.0
         for i, b in enumerate(line):
             if i % settings.window == 0:
-                weights = defaultdict(lambda: [settings.start] * 3 + [0.0])
-                table = defaultdict(dict)
+                weights = [[settings.start] * 2 + [0.0] for _ in range(2)]
+                scale, shift = 1.0, 0.0
             before = line[i - 1] if i else 10
             row = before * 256 + b
             own = contexts(line, i)
@@ -136,19 +136,57 @@ def mixed_bits(texts, training, length, code, settings):
                         if length[at] > d and int(code[at]) >> (32 - d) == int(code[row]) >> (32 - d):
                             met[int(code[at]) >> (31 - d) & 1] += n
                     x = math.log((met[1] + 0.4) / (met[0] + 0.4))
-                    st.append(round(max(-7.9, min(7.9, x)) * 16) / 16)
-                gate = (min(d, 3), (st[1] != 0) + (st[2] != 0))
+                    st.append(round(max(-7.8, min(7.8, x)) * 8) / 8)
+                w = weights[st[1] != 0]
                 st.append(0.25)
-                w = weights[gate]
                 dot = sum(a * x for a, x in zip(w, st))
                 p = 1 / (1 + math.exp(-dot))
-                j = int(max(0, min(32, dot * 2 + 16.5)))
-                a = table[gate].get(j, 1 / (1 + math.exp(-(j / 2 - 8))))
-                final = (p + a) / 2
-                right = final if bit else 1 - final
+                r = 1 / (1 + math.exp(-(dot * scale + shift)))
+                right = r if bit else 1 - r
                 bits -= math.log2(right * (1 - 2 * 2**-14) + 2**-14)
-                table[gate][j] = a + (bit - a) * settings.refine
-                weights[gate] = [v + settings.rate * (bit - p) * x for v, x in zip(w, st)]
+                for k, x in enumerate(st):
+                    w[k] += settings.rate * (bit - p) * x
+                shift += settings.refine * (bit - r)
+                scale += settings.refine * (bit - r) * dot
         return bits
 
     return [scored(line) for line in texts]
+
+
+def languages(train, texts, longest):
+    """(language, score) of each text from (text, language) rows: words by log frequency, unseen ones by n-grams."""
+    find = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    names = sorted({at for t, at in train if find(t)})
+    kinds = [{at: Counter() for at in names} for _ in range(2)]
+    for t, at in train:
+        for w in find(t):
+            kinds[0][at][w] += 1
+            w = f" {w} "
+            for k in range(1, longest + 1):
+                for i in range(len(w) - k + 1):
+                    kinds[1][at][w[i : i + k]] += 1
+    met = [set().union(*c.values()) for c in kinds]
+    sums = [{at: sum(c[at].values()) for at in names} for c in kinds]
+    log = lambda kind, x: [math.log((kinds[kind][at][x] + 1) / (sums[kind][at] + len(met[kind]) + 1)) for at in names]
+    out = []
+    for t in texts:
+        ws = find(t)
+        if not ws or not names:
+            out.append(("und", 0.0))
+            continue
+        total = [0.0] * len(names)
+        for w in ws:
+            if w in met[0]:
+                own = log(0, w)
+            else:
+                padded, i, found = f" {w} ", 0, []
+                while i < len(padded):
+                    k = next((k for k in range(longest, 0, -1) if i + k <= len(padded) and padded[i : i + k] in met[1]), 0)
+                    if k:
+                        found.append(log(1, padded[i : i + k]))
+                    i += k or 1
+                own = [sum(x) / len(found) for x in zip(*found)] if found else [0.0] * len(names)
+            total = [a + b for a, b in zip(total, own)]
+        best = max(range(len(names)), key=lambda j: (total[j], -j))
+        out.append((names[best], 1 / sum(math.exp(max(-700, (x - total[best]) / math.sqrt(len(ws)))) for x in total)))
+    return out

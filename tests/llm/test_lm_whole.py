@@ -22,7 +22,8 @@ def table(spark, rows):
 
 
 def code_of(spark, texts):
-    return lm.make_code(lm._pairs(lm.token_table(spark.createDataFrame([(t,) for t in texts], "text string"))))
+    given = spark.createDataFrame([(0, t, True) for t in texts], "doc_id long, text string, learn boolean")
+    return lm.make_code(lm._pairs(lm.token_table(lm.pack(given, lm.Settings()))))
 
 
 def test_code_is_a_prefix_code(spark):
