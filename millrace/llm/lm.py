@@ -24,14 +24,13 @@ FOLDS, HELD_OUT = 7, 2
 
 @dataclass(frozen=True)
 class Settings:
-    """unit: bytes of text, about, whose contexts one task looks up together; together: bytes of them that advance in step;
-    shard: bytes of text, about, whose contexts of one order are added up together; window: bytes after which a text's
-    weights and refinement begin anew; rate, refine: steps of the weights and of the refinement at each decision; start:
-    first weight of every predictor; hot: words whose counts are broadcast.
+    """unit: bytes of text, about, that one task scores together; shard: bytes of text, about, whose contexts of one order
+    are added up together; window: bytes after which a text's weights and refinement begin anew; rate, refine: steps of
+    the weights and of the refinement at each decision; start: first weight of every predictor; hot: words whose counts
+    are broadcast.
     """
 
     unit: int = 4_000_000
-    together: int = 4_000_000
     shard: int = 64_000_000
     window: int = 2048
     rate: float = 0.02
@@ -48,6 +47,8 @@ END = 10
 _GATES = 2
 #: Stretched probabilities go through the shuffle in eighths.
 _FINE = 8.0
+#: Bytes whose decisions are laid out in one go.
+_PART = 1 << 18
 #: Chance that a bit has at least.
 _LEAST = 2.0**-14
 
@@ -223,7 +224,7 @@ class Lookup:
         self.keep = keep[LEAD:]
         keys = grams(s)
         self.orders = [Index(keys[k][self.keep]) for k in range(len(ORDERS))]
-        self.rows = (s[LEAD - 1 : -1].astype(np.int64) * 256 + s[LEAD:])[self.keep]
+        self.rows = (s[LEAD - 1 : -1].astype(np.uint16) * np.uint16(256) + s[LEAD:])[self.keep]
         # A piece's bytes in windows: all of the same size but the last.
         self.n_bytes = ends - starts - LEAD
         n = -(-self.n_bytes // window)
@@ -244,23 +245,23 @@ def bits_of(look: Lookup, values: list[np.ndarray], code: Code, settings: Settin
     kinds = len(ORDERS) + 1
     first_value = [(np.cumsum(size) - size).astype(np.int32) for size in (code.length[code_rows(o.keys, wide)] for o, wide in zip(look.orders, ORDERS.values(), strict=True))]
     edges = np.concatenate([[0], np.cumsum(look.sizes)])
-    out = np.zeros(len(look.sizes))
-    # As many windows go together as a bound on their bytes allows.
-    group = edges[1:] // settings.together
-    firsts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else []
-    for i, j in zip(firsts, [*firsts[1:], len(group)], strict=True):
-        own, at = slice(i, j), slice(edges[i], edges[j])
+    decisions, ends, done = [[] for _ in values], [np.zeros(1, np.int64)], 0
+    # Decisions are laid out some windows at a time, which then advance all together.
+    cuts = [0, *(np.flatnonzero(np.diff(edges[1:] // _PART)) + 1).tolist(), len(look.sizes)]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        at = slice(edges[i], edges[j])
         length = code.length[look.rows[at]]
-        n = int(length.sum())
-        first = np.cumsum(length) - length
-        st = []
+        stop = np.cumsum(length)
+        first, run = stop - length, np.arange(int(length.sum()), dtype=np.int32)
         for k, (o, v) in enumerate(zip(look.orders, values, strict=True)):
             place = np.repeat((first_value[k][o.at[at]] - first).astype(np.int32), length)
-            place += np.arange(n, dtype=np.int32)
-            st.append(v.take(place))
-        ends = np.concatenate([first, [n]])[np.concatenate([[0], np.cumsum(look.sizes[own])])]
-        out[own] = _advance(st, ends, settings)
-    return out
+            place += run
+            decisions[k].append(v.take(place))
+        ends.append(done + stop[edges[i + 1 : j + 1] - 1 - edges[i]])
+        done += len(run)
+    if not done:
+        return np.zeros(len(look.sizes))
+    return _advance([np.concatenate(d) for d in decisions], np.concatenate(ends), settings)
 
 
 def _advance(st: list[np.ndarray], ends: np.ndarray, settings: Settings) -> np.ndarray:
@@ -331,17 +332,14 @@ def unit_bits(pieces: list[bytes], values: list[np.ndarray], code: Code, setting
 # ---------------------------------------------------------------- Spark
 
 
-def unit_words(pieces: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def unit_words(pieces: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct words, which of them each token is, its piece) of pieces in normal form; a piece ends with a word."""
     split = pc.split_pattern(pa.array([p[LEAD:].rstrip(b" \n") for p in pieces], pa.binary()), b" ")
     n = pc.list_value_length(split).to_numpy(zero_copy_only=False)
     met = split.flatten().dictionary_encode()
-    kinds = met.dictionary.to_numpy(zero_copy_only=False).tolist()
     of, piece = met.indices.to_numpy(), np.repeat(np.arange(len(pieces)), n)
-    if b"" in kinds:  # of a piece without words
-        there = of != kinds.index(b"")
-        of, piece = of[there], piece[there]
-    return kinds, of, piece
+    there = of != pc.index(met.dictionary, pa.scalar(b"")).as_py()  # of a piece without words
+    return met.dictionary, of[there], piece[there]
 
 
 def token_table(units: DataFrame) -> DataFrame:
@@ -353,8 +351,8 @@ def token_table(units: DataFrame) -> DataFrame:
             if learnt:
                 kinds, of, _ = unit_words(learnt)
                 n = np.bincount(of, minlength=len(kinds))
-                tokens, n = [b"", *(w for w, k in zip(kinds, n.tolist(), strict=True) if k)], [sum(p.endswith(b"\n") for p in learnt), *n[n > 0].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), pa.array(n, pa.int64())], ["token", "c"])
+                ends = sum(p.endswith(b"\n") for p in learnt)
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array([b""], pa.binary()), kinds]), pa.array([ends, *n.tolist()], pa.int64())], ["token", "c"])
 
     return units.mapInArrow(count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")).filter("c > 0")
 
@@ -539,14 +537,11 @@ def score(docs: DataFrame, learn: F.Column, settings: Settings = Settings(), tex
     base = math.log10(n + v + 1)
     code = make_code(_pairs(counts))
     top = common.frequent(counts, "c", settings.hot).toArrow()
-    known = {t: c for t, c in zip(top.column("token").to_pylist(), top.column("c").to_pylist(), strict=True)}
-    if end := counts.filter(F.length("token") == 0).first():
-        known[b""] = end.c  # the end mark is known to every task, frequent or not
-    shared = spark.sparkContext.broadcast((code, known))
+    end = counts.filter(F.length("token") == 0).first()  # the end mark is known to every task, frequent or not
+    shared = spark.sparkContext.broadcast((code, top.column("token").combine_chunks(), np.log10(top.column("c").to_numpy() + 1.0), math.log10(end.c + 1) if end else None))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        code, known = shared.value
-        logs = _logs(known)
+        code, known, logs, end_log = shared.value
         unit = left.to_pylist()[0]
         pieces = unpack(unit["text"], unit["size"])
         by_order: list[dict[int, bytes]] = [{} for _ in ORDERS]
@@ -555,15 +550,15 @@ def score(docs: DataFrame, learn: F.Column, settings: Settings = Settings(), tex
         values = [np.frombuffer(b"".join(unpacked(own[i]) for i in sorted(own)), np.int8) for own in by_order]
         bits = unit_bits(pieces, values, code, settings).tolist()
         kinds, of, piece = unit_words(pieces)
-        log = np.array([logs.get(w, np.nan) for w in kinds])
-        met = ~np.isnan(log)
+        found = pc.index_in(kinds, known).fill_null(-1).to_numpy()
+        log, met = np.append(logs, 0.0)[found], found >= 0
         ends = np.array([p.endswith(b"\n") for p in pieces])
         size = np.bincount(piece, minlength=len(pieces)) + ends
         here = met[of]
-        n_known = np.bincount(piece[here], minlength=len(pieces)) + ends * (b"" in logs)
-        total = np.bincount(piece[here], log[of[here]], len(pieces)) + ends * logs.get(b"", 0.0) - size * base
+        n_known = np.bincount(piece[here], minlength=len(pieces)) + ends * (end_log is not None)
+        total = np.bincount(piece[here], log[of[here]], len(pieces)) + ends * (end_log or 0.0) - size * base
         pairs, freq = np.unique(piece[~here].astype(np.int64) * len(kinds) + of[~here], return_counts=True)
-        tokens, at = [kinds[i] for i in (pairs % max(1, len(kinds))).tolist()], np.array(unit["row"], np.int64)[pairs // max(1, len(kinds))].tolist()
+        tokens, at = kinds.take(pa.array(pairs % max(1, len(kinds)))), np.array(unit["row"], np.int64)[pairs // max(1, len(kinds))].tolist()
         own = list(zip(size.tolist(), n_known.tolist(), total.tolist(), (len(p) - LEAD for p in pieces), strict=True))
         cold = lambda kind: pa.nulls(len(tokens), kind)
         join = lambda a, kind: pa.concat_arrays([pa.array(a, kind), cold(kind)])
@@ -578,7 +573,7 @@ def score(docs: DataFrame, learn: F.Column, settings: Settings = Settings(), tex
                 "base_score": join([o[2] for o in own], pa.float64()),
                 "bits": join(bits, pa.float64()),
                 "n_bytes": join([o[3] for o in own], pa.int64()),
-                "token": pa.array([*keys, *tokens], pa.binary()),
+                "token": pa.concat_arrays([pa.array(keys, pa.binary()), tokens]),
                 "f": pa.array([*([0] * len(own)), *freq.tolist()], pa.int64()),
             }
         )
@@ -596,16 +591,6 @@ def score(docs: DataFrame, learn: F.Column, settings: Settings = Settings(), tex
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", (-F.col("bits") * math.log10(2)).alias("score"), (F.col("bits") / F.col("n_bytes")).alias("bits_per_byte"))
 
 
-_made: list = [None, None]
-
-
-def _logs(known: dict[bytes, int]) -> dict[bytes, float]:
-    """log10(c + 1) of the broadcast words, made once a worker."""
-    if _made[0] is not known:
-        _made[:] = [known, {w: math.log10(c + 1) for w, c in known.items()}]
-    return _made[1]
-
-
 def scored(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """score() with the held-out fold: doc_id, held_out, then its columns. Rows with null doc_id are in no fold and not learnt from."""
     out = score(docs, fold(FOLDS) != HELD_OUT, settings)
