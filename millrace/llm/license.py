@@ -40,10 +40,12 @@ NOTICES = {
 
 @dataclass(frozen=True)
 class Settings:
-    """coverage: part of a notice's words that a span has to hold; drift: words by which merged diagonals may differ."""
+    """coverage: part of a notice's words that a span has to hold; drift: words that a span may have more or less than the
+    notice, at any of its places: the diagonals merged to a span lie within so many of each other.
+    """
 
     coverage: float = 0.75
-    drift: int = 3
+    drift: int = 6
 
 
 def template_grams(spark: SparkSession, phrases: dict[str, str] = PHRASES, notices: dict[str, list[str]] = NOTICES) -> DataFrame:
@@ -83,25 +85,26 @@ def scan(docs: DataFrame, settings: Settings = Settings(), text: str = "text", t
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score: a row per row of ``docs``.
 
     Method: each match votes for the diagonal (position in the text less position
-    in the template); votes are summed by diagonal; diagonals of one template
-    that lie within ``drift`` words of each other and follow each other in the
-    text are merged to a span; a span is verified by the share of the template's
-    words that agree along its diagonals (all of them, on one, for a phrase). Labels: of all
-    verified spans; base labels: of the phrases. score is the best share of a
-    notice or phrase held by a span, 0 to 1.
+    in the template), and votes are summed by diagonal. From every diagonal of a
+    notice on, those up to ``drift`` words further are merged to a span, never
+    further: so what a span holds stands in the notice's order, up to that drift,
+    and is no longer than the notice and the drift. A span is verified by the
+    share of the template's words that agree with the text's along its diagonals,
+    each word once however often it is repeated (all of them, on one diagonal, for
+    a phrase). Labels: of all verified spans; base labels: of the phrases. score
+    is the best share of a notice or phrase held by a verified span, 0 to 1.
 
     Null text has no words: zero counts, null places, empty labels, score 0. So
-    has an empty text. Repeated rows and equal doc_ids give a row each; other
-    columns are ignored.
+    has an empty text. Repeated rows and equal or null doc_ids give a row each; a
+    text of any length is scanned whole, by the task that reads it; an empty table
+    gives no rows; other columns, whatever their names, are ignored.
     """
     hits = matches(docs, templates if templates is not None else template_grams(docs.sparkSession), text)
     keys = ["__row", "doc_id", "template", "label", "exact", "n_grams", "t_words"]
     # A text that repeats a notice a million times still leaves one row a diagonal and place: votes are counted before the shuffle.
     votes = hits.groupBy(*keys, (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(F.collect_set("t_pos").alias("places"), F.min("pos").alias("lo"))
-    # Diagonals of a notice that follow each other within the drift make one span; every other diagonal is a span.
-    by = "PARTITION BY __row, template ORDER BY diagonal"
-    stepped = votes.selectExpr("*", f"CASE WHEN NOT exact AND template >= 0 AND diagonal - lag(diagonal) OVER ({by}) <= {settings.drift} THEN 0 ELSE 1 END AS step")
-    spans = stepped.selectExpr("*", f"sum(step) OVER ({by}) AS span").groupBy("__row", "doc_id", "template", "label", "exact", "t_words", "span").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"), F.min("lo").alias("lo"))
+    merged = f"collect_list(places) OVER (PARTITION BY __row, template ORDER BY diagonal RANGE BETWEEN CURRENT ROW AND {settings.drift} FOLLOWING)"
+    spans = votes.selectExpr("*", f"CASE WHEN exact OR template < 0 THEN places ELSE array_distinct(flatten({merged})) END AS held").drop("places").withColumnRenamed("held", "places")
     # A k-gram at a place holds the words from there on; words that several hold count once.
     share = f"CASE WHEN template < 0 THEN 0.0D ELSE size(array_distinct(flatten(transform(places, p -> sequence(p, p + {K - 1}))))) / t_words END"
     found = spans.selectExpr("__row", "doc_id", "template", "CAST(lo AS LONG) AS lo", f"{share} AS share", "label", "exact").filter(f"template < 0 OR share >= CASE WHEN exact THEN 1 ELSE {settings.coverage} END")
