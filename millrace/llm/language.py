@@ -22,16 +22,13 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: labelled texts that the model is fitted on, at most (a bound on the fit, the same at every size).
-    words, grams: entries kept, at most, so that the broadcast model stays within some tens of MB.
+    """sample: labelled texts of each language that the model is fitted on, about (a bound on the fit, the same at every
+    size). All words and n-grams of these are kept.
     longest: characters of the longest n-grams; a word has one blank put on either side.
     """
 
-    sample: int = 20_000
-    words: int = 100_000
-    grams: int = 100_000
-    longest: int = 5
-    min_count: int = 2
+    sample: int = 2_000
+    longest: int = 4
 
 
 @dataclass
@@ -57,17 +54,19 @@ def _grams(words: Counter, longest: int) -> Counter:
 def fit(docs: DataFrame, train: F.Column, settings: Settings = Settings(), text: str = "text", lang: str = "lang") -> Model:
     """A model from the rows where ``train`` holds and lang and text are not null.
 
-    At most ``sample`` rows are taken, those whose hash of text is smallest, so
-    that reruns agree. Counts are made in the tasks and summed by Spark; what
-    reaches the driver is the bounded model. A language's probabilities come
-    from its own counts, with one added to each.
+    Of each language about ``sample`` rows are taken, those whose hash of doc_id
+    and text is smallest: reruns agree, rare languages stay, and copies of a text
+    come in by their share alone. Counts are made in the tasks and summed by
+    Spark; what reaches the driver is the model of the sample. A language's
+    probabilities come from its own counts, with one added to each.
     """
-    rows = docs.filter(train & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    # The bound is held by a threshold on the hash, so that no task has to gather and sort texts.
-    total = rows.count()
-    if total > settings.sample:
-        share = settings.sample / total
-        rows = rows.filter(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = docs.filter(train & F.col(lang).isNotNull() & F.col(text).isNotNull()).select("doc_id", F.col(text).alias("text"), F.col(lang).alias("lang"))
+    # The bound is held by a threshold on the hash, so that no task has to gather and sort texts. One row a language.
+    shares = {r.lang: min(1.0, settings.sample / r.n) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if any(s < 1 for s in shares.values()):
+        share = F.create_map(*[F.lit(x) for at, s in sorted(shares.items()) for x in (at, s)])
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
+    rows = rows.drop("doc_id")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         # Words are added up by language first: n-grams are then cut from each distinct word once.
@@ -84,33 +83,27 @@ def fit(docs: DataFrame, train: F.Column, settings: Settings = Settings(), text:
     if not langs:
         return Model([], ([], np.zeros((0, 0))), ([], np.zeros((0, 0))), settings.longest)
     kinds = []
-    for kind, most in ((0, settings.words), (1, settings.grams)):
+    for kind in (0, 1):
         own = counts.filter(F.col("kind") == kind)
         size = {r.lang: r.n for r in own.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
         ns = F.array(*[F.coalesce(F.sum(F.when(F.col("lang") == at, F.col("n"))), F.lit(0)) for at in langs])
-        by_lang = own.groupBy("feature").agg(F.sum("n").alias("all"), ns.alias("ns"))
-        top = by_lang.filter(F.col("all") >= settings.min_count).orderBy(F.desc("all"), "feature").limit(most).select("feature", "ns").toArrow()
-        n = np.array(top.column("ns").combine_chunks().flatten().to_numpy(), float).reshape(-1, len(langs)) if top.num_rows else np.zeros((0, len(langs)))
-        kinds.append((top.column("feature").to_pylist(), np.log((n + 1) / (np.array([size.get(at, 0) for at in langs]) + len(n) + 1))))
+        table = own.groupBy("feature").agg(ns.alias("ns")).toArrow()  # of the sample: bounded with it
+        n = np.array(table.column("ns").combine_chunks().flatten().to_numpy(), float).reshape(-1, len(langs)) if table.num_rows else np.zeros((0, len(langs)))
+        kinds.append((table.column("feature").to_pylist(), np.log((n + 1) / (np.array([size.get(at, 0) for at in langs]) + len(n) + 1))))
     return Model(langs, *kinds, settings.longest)
 
 
 class Scorer:
-    """Log frequencies of words, known or backed off; remembers some hundred thousand words."""
+    """Log frequencies of words, known or backed off; remembers some hundred thousand words beside those of the model."""
 
-    def __init__(self, model: Model) -> None:
-        rows = lambda kind: dict(zip(kind[0], map(tuple, kind[1].tolist()), strict=True))
-        self.model, self.known, self.grams = model, rows(model.words), rows(model.grams)
+    def __init__(self, model: Model, room: int = 300_000) -> None:
+        self.model, self.n, self.room = model, len(model.words[0]), room
+        self.place = {w: i for i, w in enumerate(model.words[0])}
+        self.grams = {g: i for i, g in enumerate(model.grams[0])}
+        self.rows = np.zeros((self.n + room, len(model.langs)))
+        self.rows[: self.n] = model.words[1]
 
-    def word(self, w: str) -> tuple[float, ...]:
-        got = self.known.get(w)
-        if got is None:
-            got = self.back_off(w)
-            if len(self.known) < 350_000 and len(w) < 40:
-                self.known[w] = got
-        return got
-
-    def back_off(self, w: str) -> tuple[float, ...]:
+    def back_off(self, w: str) -> np.ndarray:
         """Cover the word from the left by the longest known n-grams; what no n-gram knows says nothing.
 
         Mean over the pieces, so that an unseen word weighs as a known one.
@@ -122,40 +115,58 @@ class Scorer:
                     found.append(g)
                     break
             i += k
-        return tuple(sum(x) / len(found) for x in zip(*found, strict=True)) if found else (0.0,) * len(self.model.langs)
+        return self.model.grams[1][found].mean(0) if found else np.zeros(len(self.model.langs))
+
+    def total(self, words: Counter) -> np.ndarray:
+        """Sum over the words of a text of their log frequencies, a column a language."""
+        at, n, out = [], [], np.zeros(len(self.model.langs))
+        for w, k in words.items():
+            place = self.place.get(w)
+            if place is None:
+                if self.n == len(self.rows) or len(w) > 40:
+                    out += k * self.back_off(w)
+                    continue
+                place = self.place[w] = self.n
+                self.rows[place] = self.back_off(w)
+                self.n += 1
+            at.append(place)
+            n.append(k)
+        return out + np.array(n, float) @ self.rows[at] if at else out
 
     def text(self, text: str | None) -> tuple[str, float]:
-        words = Counter(_WORD.findall(text.lower())) if text else {}
-        if not words:
+        words = Counter(_WORD.findall(text.lower())) if text else Counter()
+        if not words or not self.model.langs:
             return UNKNOWN, 0.0
-        if not self.model.langs:
-            return UNKNOWN, 0.0
-        total = [0.0] * len(self.model.langs)
-        n = 0
-        for w, k in words.items():
-            n += k
-            for j, x in enumerate(self.word(w)):
-                total[j] += k * x
-        best = max(range(len(total)), key=lambda j: (total[j], -j))
+        total = self.total(words)
+        best = int(total.argmax())
         # Posterior of the winner at the mean evidence of a word times the root of their number: long texts are no more than sure.
-        scale = 1 / math.sqrt(n)
-        return self.model.langs[best], 1 / sum(math.exp(max(-700.0, (x - total[best]) * scale)) for x in total)
+        scale = 1 / math.sqrt(sum(words.values()))
+        return self.model.langs[best], float(1 / np.exp(np.maximum(-700.0, (total - total[best]) * scale)).sum())
+
 
+_scorers: list = [None, None]
 
-_scorers: dict[str, Scorer] = {}
+
+def _forget() -> None:
+    _scorers[:] = [None, None]
+
+
+def scorer_of(model: Model) -> Scorer:
+    """One Scorer a worker process and model: the tasks that follow each other share it."""
+    common.claim("language", _forget)
+    if _scorers[0] is not model:
+        _scorers[:] = [model, Scorer(model)]
+    return _scorers[1]
 
 
 def predict(docs: DataFrame, model: Model, columns: dict[str, str] | None = None, text: str = "text") -> DataFrame:
     """``columns`` (name -> type; doc_id by default) of each row, lang_pred and score. Only ``text`` is looked at."""
     columns = columns or {"doc_id": "long"}
-    shared, key = docs.sparkSession.sparkContext.broadcast(model), str(id(model)) + str(len(model.words[0]))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        common.claim("language", _scorers.clear)
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(shared.value)
-        got = [_scorers[key].text(t) for t in batch.column("__text").to_pylist()]
+        scorer = scorer_of(shared.value)
+        got = [scorer.text(t) for t in batch.column("__text").to_pylist()]
         return pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*columns, "lang_pred", "score"])
 
     given = docs.select(*columns, F.col(text).alias("__text"))
@@ -176,7 +187,10 @@ def identify(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     The model learns from text and lang of the rows outside the held-out fold; a
     prediction looks at the text alone. ``und`` with score 0 where the text is
     null or has no letter. A row with null doc_id is in no fold: not learnt from,
-    held_out false. With no labelled row at all every text is ``und``.
+    held_out false. With no labelled row at all every text is ``und``. Repeated rows
+    and equal doc_ids are predicted each for itself, a text of any length whole;
+    languages that are equally likely: the first by code point. An empty table gives
+    no rows; other columns, whatever their names, are ignored.
     """
     learnt = F.coalesce(fold() != HELD_OUT, F.lit(False))
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
@@ -185,20 +199,20 @@ def identify(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, settings: Settings = Settings(), least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text has a language, predicted with a score of ``least`` or more; all their columns."""
+    """The rows of ``docs`` whose text has a language, predicted with a score of ``least`` or more; all their columns.
+
+    A null text has none. Repeated rows are kept or go alike; columns may have any
+    names; an empty table gives no rows.
+    """
     learnt = F.coalesce(fold() != HELD_OUT, F.lit(False))
     model = fit(docs.select(F.col("doc_id"), "text", "lang"), learnt, settings)
-    shared, key = docs.sparkSession.sparkContext.broadcast(model), str(id(model)) + str(len(model.words[0]))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        common.claim("language", _scorers.clear)
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(shared.value)
-        got = [_scorers[key].text(t) for t in batch.column(text).to_pylist()]
+        scorer = scorer_of(shared.value)
+        got = [scorer.text(t) for t in batch.column("text").to_pylist()]
         return batch.filter(pa.array([g[0] != UNKNOWN and g[1] >= least for g in got], pa.bool_()))
 
-    text = "text"
     return common.map_arrow(docs, run, docs.schema)
 
 
