@@ -242,7 +242,6 @@ def bits_of(look: Lookup, values: list[np.ndarray], code: Code, settings: Settin
     that follow what came true. After each decision the window's own weights,
     scale and shift move. What a window gets does not depend on those beside it.
     """
-    kinds = len(ORDERS) + 1
     first_value = [(np.cumsum(size) - size).astype(np.int32) for size in (code.length[code_rows(o.keys, wide)] for o, wide in zip(look.orders, ORDERS.values(), strict=True))]
     edges = np.concatenate([[0], np.cumsum(look.sizes)])
     decisions, ends, done = [[] for _ in values], [np.zeros(1, np.int64)], 0
@@ -269,10 +268,9 @@ def _advance(st: list[np.ndarray], ends: np.ndarray, settings: Settings) -> np.n
     total = np.diff(ends)
     order = np.argsort(-total, kind="stable")
     start, total = ends[:-1][order], total[order]
-    lanes, kinds = len(order), len(st) + 1
+    lanes, kinds = len(order), len(st)
     # A gate's weights meet zeros where another gate is open: no window's weights are ever looked up.
     w = np.full((_GATES * kinds, lanes), settings.start, np.float32)
-    w[kinds - 1 :: kinds] = 0
     scale, shift, cost = np.ones(lanes, np.float32), np.zeros(lanes, np.float32), np.zeros(lanes)
     rate, refine = np.float32(settings.rate), np.float32(settings.refine)
     for t in range(0, int(total[0]), 64):
@@ -284,11 +282,9 @@ def _advance(st: list[np.ndarray], ends: np.ndarray, settings: Settings) -> np.n
         bs = (own[0] & 1).astype(np.float32)
         own = [(v >> 1).astype(np.float32) for v in own]
         gate = own[1] != 0
-        xs = np.zeros((steps, _GATES * kinds, live), np.float32)
+        xs = np.empty((steps, _GATES * kinds, live), np.float32)
         for g in range(_GATES):
-            here = (gate == g).astype(np.float32)
-            xs[:, g * kinds + kinds - 1] = here * np.float32(0.25)
-            here *= np.float32(1 / _FINE)
+            here = (gate == g) * np.float32(1 / _FINE)
             for k, x in enumerate(own):
                 np.multiply(x, here, out=xs[:, g * kinds + k])
         rated = bs * rate

@@ -1,5 +1,6 @@
 """Plain computations that results are held against."""
 
+import bisect
 import math
 import re
 import zlib
@@ -121,7 +122,7 @@ def mixed_bits(texts, training, length, code, settings):
         bits = 0.0
         for i, b in enumerate(line):
             if i % settings.window == 0:
-                weights = [[settings.start] * 2 + [0.0] for _ in range(2)]
+                weights = [[settings.start] * 2 for _ in range(2)]
                 scale, shift = 1.0, 0.0
             before = line[i - 1] if i else 10
             row = before * 256 + b
@@ -138,7 +139,6 @@ def mixed_bits(texts, training, length, code, settings):
                     x = math.log((met[1] + 0.4) / (met[0] + 0.4))
                     st.append(round(max(-7.8, min(7.8, x)) * 8) / 8)
                 w = weights[st[1] != 0]
-                st.append(0.25)
                 dot = sum(a * x for a, x in zip(w, st))
                 p = 1 / (1 + math.exp(-dot))
                 r = 1 / (1 + math.exp(-(dot * scale + shift)))
@@ -190,3 +190,13 @@ def languages(train, texts, longest):
         best = max(range(len(names)), key=lambda j: (total[j], -j))
         out.append((names[best], 1 / sum(math.exp(max(-700, (x - total[best]) / math.sqrt(len(ws)))) for x in total)))
     return out
+
+
+def best_fit(lengths, capacity):
+    """Gaps of the sequences that best-fit decreasing makes, piece by piece."""
+    gaps = []
+    for x in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(gaps, x)
+        gap = gaps.pop(at) if at < len(gaps) else capacity
+        bisect.insort(gaps, gap - x)
+    return gaps
