@@ -91,7 +91,7 @@ def scan(docs: DataFrame, settings: Settings = Settings(), text: str = "text", t
     and is no longer than the notice and the drift. A span is verified by the
     share of the template's words that agree with the text's along its diagonals,
     each word once however often it is repeated (all of them, on one diagonal, for
-    a phrase). Labels: of all verified spans; base labels: of the phrases. score
+    a phrase); of notices verified on one diagonal the best one counts. Labels: of all verified spans; base labels: of the phrases. score
     is the best share of a notice or phrase held by a verified span, 0 to 1.
 
     Null text has no words: zero counts, null places, empty labels, score 0. So
@@ -107,7 +107,9 @@ def scan(docs: DataFrame, settings: Settings = Settings(), text: str = "text", t
     spans = votes.selectExpr("*", f"CASE WHEN exact OR template < 0 THEN places ELSE array_distinct(flatten({merged})) END AS held").drop("places").withColumnRenamed("held", "places")
     # A k-gram at a place holds the words from there on; words that several hold count once.
     share = f"CASE WHEN template < 0 THEN 0.0D ELSE size(array_distinct(flatten(transform(places, p -> sequence(p, p + {K - 1}))))) / t_words END"
-    found = spans.selectExpr("__row", "doc_id", "template", "CAST(lo AS LONG) AS lo", f"{share} AS share", "label", "exact").filter(f"template < 0 OR share >= CASE WHEN exact THEN 1 ELSE {settings.coverage} END")
+    found = spans.selectExpr("__row", "doc_id", "template", "CAST(lo AS LONG) AS lo", f"{share} AS share", "label", "exact", "diagonal").filter(f"template < 0 OR share >= CASE WHEN exact THEN 1 ELSE {settings.coverage} END")
+    # Notices that are alike but for a version: of those on one diagonal the one that agrees best.
+    found = found.selectExpr("*", "max(share) OVER (PARTITION BY __row, exact, diagonal) AS best").filter("template < 0 OR share = best")
     return found.groupBy("__row").agg(
         F.max("doc_id").alias("doc_id"),
         F.max(F.when(F.col("template") < 0, F.col("lo"))).alias("n_words"),

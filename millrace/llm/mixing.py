@@ -67,7 +67,9 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     document is taken floor(rate) times and once more with the fraction's
     probability, drawn from a hash of seed, doc_id and text: reruns agree, and no
     order or partitioning matters. Rates end at 2, so no document is taken more
-    than twice. Null text has size 0; a null source is a source of its own, the
+    than twice. What a source's taken words come to spreads about its target by
+    sqrt(f (1 - f) sum of squared sizes), f the fraction of its rate: some percent
+    for fifty documents, less than one in a thousand for a million. Null text has size 0; a null source is a source of its own, the
     last. A source of size 0 has target and rate 0. Equal rows draw alike.
     """
     return _rated(docs, seed).select(F.col("__row.doc_id").alias("doc_id"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))

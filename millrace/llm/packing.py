@@ -124,7 +124,8 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 2048) -> D
 
     A document is its ids and the end id; only one longer than ``capacity`` is
     cut, into whole pieces and a last one. Null and empty texts are the end id
-    alone. Repeated rows are packed each for itself; other columns are ignored.
+    alone. Repeated rows are packed each for itself, equal lengths by rank; other
+    columns, whatever their names, are ignored; an empty table gives no rows.
     """
     parts = common.cut(pieces(docs, path, end_id, capacity), "pieces")
     return place(parts, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

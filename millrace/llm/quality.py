@@ -101,12 +101,17 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
 
 
 def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per row of ``docs`` with its counts and verdict."""
+    """One row per row of ``docs`` with its counts and verdict.
+
+    Null and empty texts have no words and fail the base. A text of any length is
+    measured whole, inside its row. Repeated rows and equal or null doc_ids get a
+    row each; an empty table gives none; extra columns, whatever their names, stay out.
+    """
     return judged(docs, rules).selectExpr("__row.doc_id AS doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "array_join(broken, ',') AS broken_rules")
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that quality() keeps, with all their columns."""
+    """The rows of ``docs`` that quality() keeps, with all their columns; null and empty texts go, repeated rows stay repeated."""
     return judged(docs, rules).filter("kept").select("__row.*")
 
 

@@ -8,6 +8,8 @@ is encoded about once.
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 import json
 import re
 import zlib
@@ -334,7 +336,7 @@ def _fs(uri: str):
 
 
 def write_token_files(docs: DataFrame, out: str, path: str, end_id: int | None = None, partitions: int | None = None) -> DataFrame:
-    """Encode ``docs`` in ascending doc_id order (equal ones by a hash of the text, then the text) into binary files below ``out``; returns the manifest.
+    """Encode ``docs`` in ascending doc_id order (equal ones by a hash of the text) into binary files below ``out``; returns the manifest.
 
     Each shard holds three flat little-endian files: ``NAME.ids`` (unsigned 16-bit
     ids, 32-bit for vocabularies over 65,536), ``NAME.off`` (64-bit offsets in ids,
@@ -345,13 +347,16 @@ def write_token_files(docs: DataFrame, out: str, path: str, end_id: int | None =
     own and renames when done, so a repeated or doubled task does no harm; the
     manifest names the files of the attempt that counted.
 
-    Null text is empty (only the end id).
+    Null text is empty (only the end id). Repeated rows are written each for itself
+    and, as equal ones may be many, parted by a running number, so that no shard
+    has to take them all. Texts of any length are written whole; an empty table
+    gives no file and an empty manifest; other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("tie"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # a hash, for the keys of a sample go to the driver
-    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("tie")]  # a hash, for the keys of a sample go to the driver
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -359,58 +364,74 @@ def write_token_files(docs: DataFrame, out: str, path: str, end_id: int | None =
         enc, shard = encoder(path), common.partition_id()
         store, base = _fs(out)
         end = b"" if end_id is None else np.array([end_id], enc.wide).tobytes()
-        name, lengths, ids, null = f"{shard:06d}-{uuid.uuid4().hex}", [0], [], []
+        name, n_docs, at = f"{shard:06d}-{uuid.uuid4().hex}", 0, 0
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
+            return
         store.create_dir(base, recursive=True)
-        with store.open_output_stream(f"{base}/{name}.ids.tmp") as f:
-            for batch in batches:
-                ids += batch.column("doc_id").fill_null(0).to_pylist()
-                null += batch.column("doc_id").is_null().to_pylist()
+        with contextlib.ExitStack() as files:
+            ids, off, doc = (files.enter_context(store.open_output_stream(f"{base}/{name}.{kind}.tmp")) for kind in _KINDS)
+            off.write(np.zeros(1, "<i8").tobytes())
+            for batch in itertools.chain([first], batches):
+                lengths = []
                 for got in enc.encode(batch.column("text").to_pylist()):
-                    f.write(got)
-                    f.write(end)
+                    ids.write(got)
+                    ids.write(end)
                     lengths.append((len(got) + len(end)) // enc.wide.itemsize)
-        if not ids:
-            store.delete_file(f"{base}/{name}.ids.tmp")
-            return
-        offsets = np.cumsum(np.array(lengths, "<i8"))
-        for kind, data in (("off", offsets), ("doc", np.array([ids, null], "<i8").T)):
-            with store.open_output_stream(f"{base}/{name}.{kind}") as f:
-                f.write(np.ascontiguousarray(data, "<i8").tobytes())
-        store.move(f"{base}/{name}.ids.tmp", f"{base}/{name}.ids")
-        yield pa.RecordBatch.from_pylist([{"shard": shard, "name": name, "n_docs": len(ids), "n_tokens": int(offsets[-1]), "width": enc.wide.itemsize}], schema=_MANIFEST)
+                ends = at + np.cumsum(np.array(lengths, "<i8"))
+                off.write(ends.tobytes())
+                null = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+                doc.write(np.ascontiguousarray(np.array([batch.column("doc_id").fill_null(0).to_numpy(), null], "<i8").T).tobytes())
+                n_docs, at = n_docs + batch.num_rows, int(ends[-1]) if len(ends) else at
+        for kind in _KINDS:
+            store.move(f"{base}/{name}.{kind}.tmp", f"{base}/{name}.{kind}")
+        yield pa.RecordBatch.from_pylist([{"shard": shard, "name": name, "n_docs": n_docs, "n_tokens": at, "width": enc.wide.itemsize}], schema=_MANIFEST)
 
     manifest = common.cut(ordered.mapInArrow(run, "shard int, name string, n_docs long, n_tokens long, width int"), "manifest")
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # one row a shard, however many documents there are
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
+#: The three files of a shard: ids, their offsets, the documents they belong to.
+_KINDS = ("ids", "off", "doc")
 _MANIFEST = pa.schema([("shard", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32())])
 
 
-def open_flat(uri: str, dtype: str) -> np.ndarray:
-    """A flat file as an array: memory-mapped on a file system of this machine, else read."""
-    from pyarrow import fs
+class Flat:
+    """A flat file as an array that is read where it is asked for: memory-mapped on a file system of this machine."""
+
+    def __init__(self, uri: str, dtype: str) -> None:
+        from pyarrow import fs
+
+        store, path = _fs(uri)
+        self.dtype = np.dtype(dtype)
+        local = isinstance(store, fs.LocalFileSystem) and store.get_file_info(path).size
+        self.map = np.memmap(path, self.dtype, "r") if local else None
+        self.file = None if local else store.open_input_file(path)
 
-    store, path = _fs(uri)
-    if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, dtype, "r") if store.get_file_info(path).size else np.zeros(0, dtype)
-    with store.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+    def read(self, a: int, b: int) -> np.ndarray:
+        if self.map is not None:
+            return self.map[a:b]
+        return np.frombuffer(self.file.read_at((b - a) * self.dtype.itemsize, a * self.dtype.itemsize), self.dtype)
 
 
 def read_token_files(manifest: DataFrame, out: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone; shards are read in parallel."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone; shards are read in parallel, a stretch at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in (r for b in batches for r in b.to_pylist()):
             at = f"{out}/{shard['name']}"
-            ids, off = open_flat(f"{at}.ids", f"<u{shard['width']}"), open_flat(f"{at}.off", "<i8")
-            doc = open_flat(f"{at}.doc", "<i8").reshape(-1, 2)
-            for k in range(0, len(doc), 4096):
-                o = np.asarray(off[k : k + 4097])
-                block = np.asarray(ids[o[0] : o[-1]], "<u4")
-                crc = [zlib.crc32(block[a:b].data) for a, b in zip((o[:-1] - o[0]).tolist(), (o[1:] - o[0]).tolist(), strict=True)]
-                d = doc[k : k + 4096]
+            ids, off, doc = Flat(f"{at}.ids", f"<u{shard['width']}"), Flat(f"{at}.off", "<i8"), Flat(f"{at}.doc", "<i8")
+            for k in range(0, shard["n_docs"], 4096):
+                stop = min(k + 4096, shard["n_docs"])
+                o, d = np.array(off.read(k, stop + 1)), np.array(doc.read(2 * k, 2 * stop)).reshape(-1, 2)
+                crc, a = [], 0
+                # Some million ids at a time; a longer document by itself.
+                while a < len(o) - 1:
+                    z = max(a + 1, int(np.searchsorted(o, o[a] + (1 << 22), "right")) - 1)
+                    block = np.asarray(ids.read(int(o[a]), int(o[z])), "<u4")
+                    crc += [zlib.crc32(block[x:y].data) for x, y in zip((o[a:z] - o[a]).tolist(), (o[a + 1 : z + 1] - o[a]).tolist(), strict=True)]
+                    a = z
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(d[:, 0]), pa.int64(), mask=d[:, 1] == 1), pa.array(o[:-1] + shard["base"]), pa.array(np.diff(o)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -1,8 +1,8 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, n_words string, label int, unit string, token string, `rank` int, score double"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, n_words string, label int, unit string, token string, `rank` int, score double, __id long, __row string, __doc int, __words int, __text string, __key int, lang_pred string"
 #: Extra columns whose names the operators use themselves.
-EXTRA = (7, "x", 1, "u", "t", 3, 0.5)
+EXTRA = (7, "x", 1, "u", "t", 3, 0.5, 9, "r", 1, 2, "t", 3, "p")
 
 LINE = "the quick brown fox jumps over the lazy dog and runs along the river until it is out of sight"
 

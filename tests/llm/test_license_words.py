@@ -23,19 +23,21 @@ def brute_labels(text, settings=license.Settings()):
         if any(ws[i : i + len(p)] == p for i in range(len(ws))):
             labels.add(label)
             score = 1.0
-    for label, notices in license.NOTICES.items():
-        for notice in notices:
-            t = notice.split()
-            agree = {}
-            for i in range(len(ws) - 2):
-                for j in range(len(t) - 2):
-                    if ws[i : i + 3] == t[j : j + 3]:
-                        agree.setdefault(i - j, set()).update((j, j + 1, j + 2))
-            for d in agree:
-                share = len(set().union(*(agree[e] for e in agree if d <= e <= d + settings.drift))) / len(t)
-                if share >= settings.coverage:
-                    labels.add(label)
-                    score = max(score, share)
+    found = {}
+    for label, notice in ((label, n) for label, ns in license.NOTICES.items() for n in ns):
+        t = notice.split()
+        agree = {}
+        for i in range(len(ws) - 2):
+            for j in range(len(t) - 2):
+                if ws[i : i + 3] == t[j : j + 3]:
+                    agree.setdefault(i - j, set()).update((j, j + 1, j + 2))
+        for d in agree:
+            share = len(set().union(*(agree[e] for e in agree if d <= e <= d + settings.drift))) / len(t)
+            if share >= settings.coverage:
+                found.setdefault(d, []).append((share, label))
+    for own in found.values():
+        labels |= {label for share, label in own if share == max(own)[0]}
+        score = max(score, max(own)[0])
     return ",".join(sorted(labels)), score
 
 

@@ -125,6 +125,16 @@ def test_mixing_comes_near(spark):
     assert all(abs(r.t / r.g - 1) < 0.06 for r in by)
 
 
+def test_mixing_of_the_table_is_within_its_spread(spark):
+    """Every source of the real table within four times the spread that the docstring states."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    by = mixing.mix(df).join(df.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g"), F.first("source_size").alias("n"), F.sum(F.col("size") * F.col("size")).alias("q")).collect()
+    assert len(by) > 10
+    for r in by:
+        f = r.g / r.n % 1
+        assert abs(r.t - r.g) <= 4 * (f * (1 - f) * r.q) ** 0.5 + 1
+
+
 def test_mixed_rows(edge, empty):
     taken = {r.doc_id: r.taken // r.size for r in mixing.mix(edge.filter("doc_id > 5")).collect() if r.size}
     got = Counter(r.doc_id for r in mixing.mixed(edge.filter("doc_id > 5")).collect())
@@ -184,9 +194,39 @@ def test_language_edges(edge, empty, docs):
 def test_language_back_off():
     m = language.Model(["a", "b"], (["ab"], np.array([[-1.0, -2.0]])), ([" x", "y", " "], np.array([[-1.0, -5.0], [-3.0, -1.0], [-1.0, -1.0]])), 3)
     s = language.Scorer(m)
-    assert s.word("ab") == (-1.0, -2.0)
-    assert s.word("xy") == pytest.approx((-5 / 3, -7 / 3))  # " x", "y", " "
+    assert s.total(Counter(["ab"])).tolist() == [-1.0, -2.0]
+    assert s.total(Counter(["xy"])).tolist() == pytest.approx([-5 / 3, -7 / 3])  # " x", "y", " "
     assert s.text("12 3") == ("und", 0.0)
+    full = language.Scorer(m, 0)
+    assert full.total(Counter({"xy": 2, "ab": 1})).tolist() == pytest.approx([-13 / 3, -20 / 3])
+
+
+def test_language_is_the_slow_version(docs):
+    rows = docs.select("doc_id", "text", "lang").collect()
+    train = [(r.text, r.lang) for r in rows if brute.fold_of(r.doc_id, 3) != 1 and r.lang is not None and r.text is not None]
+    want = brute.languages(train, [r.text for r in rows], language.Settings().longest)
+    got = {r.doc_id: r for r in language.identify(docs).collect()}
+    for r, (lang, score) in zip(rows, want, strict=True):
+        assert got[r.doc_id].lang_pred == lang and got[r.doc_id].score == pytest.approx(score, abs=1e-9)
+
+
+def test_language_sample_keeps_rare_languages_and_bounds_copies(spark):
+    rows = [(i, "the same english text", "en") for i in range(3000)] + [(5000 + i, "petit texte", "fr") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = language.fit(df, F.lit(True), language.Settings(sample=100))
+    n = dict(zip(m.words[0], np.exp(m.words[1]).tolist()))
+    assert m.langs == ["en", "fr"] and n["petit"][1] > n["petit"][0]
+    # About a hundred copies of four words: (n + 1) / (4 n + 6 words + 1).
+    copies = (1 - 7 * n["same"][0]) / (4 * n["same"][0] - 1)
+    assert 60 < copies < 140
+
+
+def test_two_models_stay_apart(spark, docs):
+    other = docs.withColumn("lang", F.concat(F.lit("x-"), "lang"))
+    one, two = language.fit(docs, F.lit(True)), language.fit(other, F.lit(True))
+    for _ in range(2):
+        a, b = (language.predict(docs, m).select("doc_id", "lang_pred").collect() for m in (one, two))
+        assert {r.doc_id: r.lang_pred if r.lang_pred == "und" else "x-" + r.lang_pred for r in a} == {r.doc_id: r.lang_pred for r in b}
 
 
 def test_language_looks_at_text_alone(docs):
@@ -227,17 +267,10 @@ def test_packing(request, table, capacity):
 
 
 def test_best_fit_is_best_fit():
+    """By runs as piece by piece."""
     r = np.random.default_rng(1)
     for _ in range(20):
         lengths = r.integers(1, 51, 200).tolist() + [7] * 50
-        gaps: list[int] = []
-        for x in sorted(lengths, reverse=True):
-            fits = [g for g in gaps if g >= x]
-            if fits:
-                gaps.remove(min(fits))
-                gaps.append(min(fits) - x)
-            else:
-                gaps.append(50 - x)
         runs = packing.best_fit(Counter(lengths), 50)
         used = Counter()
         for run in runs:
@@ -245,7 +278,7 @@ def test_best_fit_is_best_fit():
             for k in range(run.n // run.per):
                 used[run.sequence + k] += run.length * run.per
         assert sum(x.n for x in runs) == len(lengths)
-        assert sorted(50 - u for u in used.values()) == sorted(gaps)
+        assert sorted(50 - u for u in used.values()) == brute.best_fit(lengths, 50)
 
 
 # ---------------------------------------------------------------- 8
