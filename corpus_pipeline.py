@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept,
 and returns the columns of documents, but for the last, which returns the packed
 pieces. No stage holds rows on the driver; what models need is bounded and
-broadcast by the operators.
+broadcast by the operators. An empty table passes through all stages as one;
+other columns, whatever their names, stay with their rows up to the last stage.
 """
 
 from __future__ import annotations
@@ -14,17 +15,23 @@ from millrace.llm import common, jaccard, language, mixing, packing, quality, to
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base and all rules keep."""
+    """Documents that the base and all rules keep; null and empty texts go, repeated rows are judged alike."""
     return quality.keep_good(docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the text shows; those without letters, or of no clear language, go."""
+    """Documents whose language the text shows; those without letters (null and empty texts too), or of no clear language, go.
+
+    Learnt from the rows with a lang outside the held-out fold; a null doc_id is in
+    no fold. Without any labelled row no language is known, and all go.
+    """
     return language.keep_known(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest doc_id.
+    """One document of each group of near copies, the one with the smallest doc_id (null ids last).
+
+    Repeated rows are copies of each other; documents without words all stay.
 
     Five words and a similarity of 0.8, as for all stages on word shingles; the
     query of the join by itself takes four words and 0.85.
@@ -33,12 +40,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
+    """Each document as often as the mix takes it: not at all, once or twice. A null source is one of its own; equal rows draw alike."""
     return mixing.mixed(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens."""
+    """Sequences of at most 2048 tokens; longer documents in pieces, null and empty ones as their end id, repeated rows each for itself."""
     return packing.pack(docs, tokens.tokenizer_path("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
