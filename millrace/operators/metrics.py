@@ -6,11 +6,76 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Kinds of rows in an events table.
-EVENT_KINDS = (
-    "PacketGenerated", "PacketDropped", "PacketCorrupted", "RecordRead", "RecordDropped", "SlotWritten", "ConsumerRead",
-    "QueueOverflow", "ParserError", "PlacementDecision", "TickCompleted", "SimulatorStarted", "SimulatorStopped",
-)
+from ..envelope import ConfigError
+from . import batches, routing
+
+#: Names and kinds of the metrics that sources and sinks report.
+NET = {
+    "net.packets_received": "counter",
+    "net.packets_dropped": "counter",
+    "net.bytes_received": "counter",
+    "net.batches_polled": "counter",
+    "net.batch_size": "histogram",
+    "net.parse_failures": "counter",
+    "net.sink_write_failures": "counter",
+}
+STORAGE = {
+    "storage.bytes_read": "counter",
+    "storage.records_read": "counter",
+    "storage.parse_errors": "counter",
+    "storage.eof_reached": "counter",
+    "storage.loop_count": "counter",
+}
+MEMORY = {
+    "memory.messages_written": "counter",
+    "memory.ring_full": "counter",
+    "memory.oversized": "counter",
+}
+
+
+def report(rows: DataFrame, kinds: dict[str, str], values: dict[str, Column]) -> DataFrame:
+    """(metric, kind, value): aggregates of ``rows`` under the names of a set; a name without a value is not reported."""
+    if unknown := set(values) - set(kinds):
+        raise ConfigError(f"no metrics of this set: {', '.join(sorted(unknown))}")
+    one = F.array(*[F.struct(F.lit(name).alias("metric"), F.lit(kinds[name]).alias("kind"), F.coalesce(v, F.lit(0)).cast("double").alias("value")) for name, v in values.items()])
+    return rows.agg(one.alias("all")).select(F.inline("all"))
+
+
+def net(packets: DataFrame, batch_size: int, failed: Column, refused: Column, data: str = "data", order: str = "sequence") -> DataFrame:
+    """What a packet source reports of packets polled in batches in their order: ``failed`` to parse, ``refused`` by a full sink.
+
+    Batches are added up first, so the whole is one row a batch. A histogram's value is its median.
+    """
+    batched = routing.numbered(packets, order, name="__place").groupBy(F.floor(F.col("__place") / batch_size).alias("__batch"))
+    by_batch = batched.agg(F.count("*").alias("n"), F.sum(F.octet_length(data)).alias("bytes"), F.count(F.when(failed, 1)).alias("failed"), F.count(F.when(refused, 1)).alias("refused"))
+    values = {
+        "net.packets_received": F.sum("n"),
+        "net.packets_dropped": F.sum("refused"),
+        "net.bytes_received": F.sum("bytes"),
+        "net.batches_polled": F.count("*"),
+        "net.batch_size": F.median("n"),
+        "net.parse_failures": F.sum("failed"),
+        "net.sink_write_failures": F.sum("refused"),
+    }
+    return report(by_batch, NET, values)
+
+
+def storage(blobs: DataFrame, records: DataFrame, loops: int = 1) -> DataFrame:
+    """What a file source reports: ``blobs`` (content) read and framed to ``records``, where a null record is a parse error."""
+    read = blobs.agg(F.sum(F.length("content")).alias("bytes"), F.count("content").alias("files"))
+    framed = records.agg(F.count("record").alias("records"), F.count(F.when(F.col("record").isNull(), 1)).alias("errors"))
+    one = report(read, STORAGE, {"storage.bytes_read": F.sum("bytes") * loops, "storage.eof_reached": F.sum("files") * loops, "storage.loop_count": F.lit(loops - 1)})
+    return one.unionByName(report(framed, STORAGE, {"storage.records_read": F.sum("records") * loops, "storage.parse_errors": F.sum("errors") * loops}))
+
+
+def memory(rows: DataFrame, slots: int, max_bytes: int, payload: str = "payload", batch: str = "tick", order: str = "sequence") -> DataFrame:
+    """What a ring of ``slots`` slots reports that is emptied after each batch: too large payloads are refused first, then what finds it full."""
+    large = F.octet_length(payload) > max_bytes
+    offered = rows.withColumn("__large", F.coalesce(large, F.lit(False)))
+    taken = batches.capped(offered.filter("NOT __large"), slots, batch, order)
+    counted = taken.agg(F.count(F.when(F.col("accepted"), 1)).alias("written"), F.count(F.when(~F.col("accepted"), 1)).alias("full"))
+    one = report(counted, MEMORY, {"memory.messages_written": F.sum("written"), "memory.ring_full": F.sum("full")})
+    return one.unionByName(report(offered, MEMORY, {"memory.oversized": F.count(F.when(F.col("__large"), 1))}))
 
 
 def counters(events: DataFrame, kind: str = "kind", weight: Column | None = None) -> DataFrame:
@@ -38,7 +103,3 @@ def history(cumulative: DataFrame, tick: str = "tick", total: str = "total", by:
 def tail(events: DataFrame, n: int, order: str) -> DataFrame:
     """The last ``n`` events: a top-k, never a full sort."""
     return events.orderBy(F.col(order).desc()).limit(n)
-
-
-def histogram(samples: DataFrame, value: str, by: str, points: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
-    return samples.groupBy(by).agg(F.count("*").alias("n"), F.percentile_approx(value, list(points)).alias("points"))

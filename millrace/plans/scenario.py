@@ -111,7 +111,3 @@ def stats(spark: SparkSession, s: Scenario) -> DataFrame:
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
     counted = queue(spark, s).agg(F.count("*").alias("ticks"), *map(total, ("generated", "dropped", "written", "consumed", "overflow")))
     return counted.select(F.lit(s.name).alias("scenario"), "ticks", "generated", "dropped", "written", "consumed", "overflow", F.lit(s.n_ticks * s.tick_ns).cast("long").alias("clock_ns"))
-
-
-def with_drain(s: Scenario, drain: int) -> Scenario:
-    return replace(s, drain=drain)

@@ -403,6 +403,68 @@ def metrics_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.counters(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type")
 
 
+def _metrics_sql(rows: dict[str, tuple[str, str]], source: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS metric, '{kind}' AS kind, CAST(({value}) AS DOUBLE) AS value {source}" for name, (kind, value) in rows.items())
+
+
+@query(
+    f"WITH {ENV}, p AS (SELECT suspect, price < 1000 AS refused, CASE WHEN suspect THEN 20 ELSE 42 + strlen(payload) END AS b, (row_number() OVER (ORDER BY sequence) - 1) // 64 AS batch FROM env), "
+    "g AS (SELECT count(*) AS n, sum(b) AS b, sum(CAST(suspect AS INT)) AS f, sum(CAST(refused AS INT)) AS r FROM p GROUP BY batch) "
+    + _metrics_sql(
+        {
+            "net.packets_received": ("counter", "SELECT sum(n) FROM g"),
+            "net.packets_dropped": ("counter", "SELECT sum(r) FROM g"),
+            "net.bytes_received": ("counter", "SELECT sum(b) FROM g"),
+            "net.batches_polled": ("counter", "SELECT count(*) FROM g"),
+            "net.batch_size": ("histogram", "SELECT median(n) FROM g"),
+            "net.parse_failures": ("counter", "SELECT sum(f) FROM g"),
+            "net.sink_write_failures": ("counter", "SELECT sum(r) FROM g"),
+        },
+        "",
+    )
+)
+def metrics_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames in batches of 64; suspect ones are cut short and fail to parse, cheap ones find their sink full."""
+    frame = codecs.udp_frame(F.encode("payload", "utf-8"), F.lit(9000))
+    rows = events(spark, sf_dir).withColumn("data", F.when(F.col("suspect"), F.substring(frame, 1, 20)).otherwise(frame))
+    return metrics.net(rows, 64, codecs.udp_parse(F.col("data")).isNull(), F.col("price") < 1000)
+
+
+@query(
+    "WITH d AS (SELECT string_split(coalesce(text, ''), chr(10)) AS l, strlen(coalesce(text, '')) AS b FROM documents), r AS (SELECT unnest(l[1:len(l) - 1]) AS line FROM d) "
+    + _metrics_sql(
+        {
+            "storage.bytes_read": ("counter", "SELECT 2 * sum(b) FROM d"),
+            "storage.records_read": ("counter", "SELECT 2 * count(*) FROM r WHERE strlen(line) + 1 <= 500"),
+            "storage.parse_errors": ("counter", "SELECT 2 * count(*) FROM r WHERE strlen(line) + 1 > 500"),
+            "storage.eof_reached": ("counter", "SELECT 2 * count(*) FROM d"),
+            "storage.loop_count": ("counter", "SELECT 1"),
+        },
+        "",
+    )
+)
+def metrics_storage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of lines, gone over twice; a line over 500 bytes is a parse error."""
+    blobs = _document_blobs(spark, sf_dir)
+    return metrics.storage(blobs, framing.delimited(blobs, 10, 500, permissive=True), loops=2)
+
+
+@query(
+    f"WITH {ENV}, o AS (SELECT strlen(payload) > 8 AS large, ts_ns // {HOUR_NS} AS tick, sequence FROM env), t AS (SELECT row_number() OVER (PARTITION BY tick ORDER BY sequence) <= 4 AS fits FROM o WHERE NOT large) "
+    + _metrics_sql(
+        {
+            "memory.messages_written": ("counter", "SELECT count(*) FROM t WHERE fits"),
+            "memory.ring_full": ("counter", "SELECT count(*) FROM t WHERE NOT fits"),
+            "memory.oversized": ("counter", "SELECT count(*) FROM o WHERE large"),
+        },
+        "",
+    )
+)
+def metrics_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ring of four slots of eight bytes, emptied every hour."""
+    return metrics.memory(_ticked(spark, sf_dir), 4, 8)
+
+
 @query(f"WITH {ENV}, t AS (SELECT schema_id, ts_ns // {HOUR_NS} AS tick, count(*) AS n FROM env GROUP BY 1, 2), c AS (SELECT CAST(schema_id AS INTEGER) AS schema_id, tick, CAST(sum(n) OVER (PARTITION BY schema_id ORDER BY tick) AS BIGINT) AS total FROM t) SELECT schema_id, tick, total, CAST(total - coalesce(lag(total) OVER (PARTITION BY schema_id ORDER BY tick), 0) AS BIGINT) AS delta FROM c")
 def pps_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_tick = _ticked(spark, sf_dir).groupBy("schema_id", "tick").agg(F.count("*").alias("n"))
