@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -64,9 +66,19 @@ def claim(name: str, forget: Callable[[], None]) -> None:
     if _holder[0] != name:
         if _holder[1] is not None:
             _holder[1]()
+            _give_back()
         _holder[:] = [name, forget]
 
 
+def _give_back() -> None:
+    """Hand memory that is free to the system, where the C library can: else the process keeps it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

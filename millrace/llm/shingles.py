@@ -23,7 +23,7 @@ class WordHashes(dict):
     """64-bit hashes of words as bytes, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 600_000:
+        if len(self) > 300_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

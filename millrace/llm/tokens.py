@@ -29,7 +29,7 @@ from . import common
 #: Units longer than this are parted by the library's own pre-tokenizer (counts) or encoded where they stand (ids), and never remembered.
 LONG_UNIT = 200
 #: Units of one of the two generations that a Python worker remembers (about 200 bytes each).
-CACHE_UNITS = 450_000
+CACHE_UNITS = 300_000
 #: Most frequent pre-tokens whose piece counts are broadcast; the rest are joined by a shuffle.
 HOT_UNITS = 300_000
 
@@ -160,7 +160,7 @@ class Encoder:
             out[i] = self.ids_of([units[i].as_py()])[0]
         return out
 
-    def encode(self, texts: list[str], block: int = 8_000_000) -> Iterator[bytes]:
+    def encode(self, texts: list[str], block: int = 4_000_000) -> Iterator[bytes]:
         """The ids of each text as bytes, in order; memory follows a block of characters, or one longer text."""
         held, size = [], 0
         for t in texts:
