@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, jaccard, language, license, lm, mixing, packing, quality, tokens, topk
+from . import common, decontaminate, infill, jaccard, language, license, lm, mixing, packing, quality, resample, tokens, topk
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,19 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(common.tables(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_token_files, op4_mix_sources, op5_license_scan, op6_language_id, op7_best_fit_packing, op8_exact_top_k, op9_jaccard_join, op10_lm_scoring)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(common.tables(spark, sf_dir, "documents"))
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(common.tables(spark, sf_dir, "documents"), common.tables(spark, sf_dir, "benchmark"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(common.tables(spark, sf_dir, "documents"), common.tables(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_token_files, op4_mix_sources, op5_license_scan, op6_language_id, op7_best_fit_packing, op8_exact_top_k, op9_jaccard_join, op10_lm_scoring, op11_fill_in_middle, op12_decontaminate, op13_importance_resampling)}
 TOP_K_SQL = """
 WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -72,4 +84,4 @@ JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY 1) c ON c.a = d.doc_id
 LEFT JOIN (SELECT x, count(*) AS links, min(CASE WHEN same THEN y END) AS class_id FROM e GROUP BY 1) k ON k.x = d.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": quality.duckdb_sql(), "op8_exact_top_k": TOP_K_SQL, "op9_jaccard_join": JACCARD_SQL}
+ORACLES: dict[str, str] = {"op1_quality_rules": quality.duckdb_sql(), "op8_exact_top_k": TOP_K_SQL, "op9_jaccard_join": JACCARD_SQL, "op11_fill_in_middle": infill.SQL, "op12_decontaminate": decontaminate.SQL, "op13_importance_resampling": resample.SQL}
