@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+LAST = "\U0010ffff"
+
+
 @dataclass(frozen=True)
 class Grammar:
     """Units by what stands side by side: ``classes`` are Java character classes that each code point is in exactly one of;
@@ -27,7 +30,9 @@ class Grammar:
         for left, before in self.classes.items():
             after = [c for name, c in self.classes.items() if (left, name) not in self.joined]
             if after:
-                out.append(f"(?<={before})(?={after[0] if len(after) == 1 else '[' + ''.join(after) + ']'})")
+                # The regex engine looks back by code points, and not by halves of a pair, only past a group with a code point above the first plane.
+                whole = before if LAST in before else f"[{before}&&[\\x{{0}}-{LAST}]]"
+                out.append(f"(?<={whole})(?={after[0] if len(after) == 1 else '[' + ''.join(after) + ']'})")
         return "|".join(out)
 
 
@@ -39,7 +44,7 @@ def _together(*names: str) -> frozenset[tuple[str, str]]:
 #: code_points: one each. words: the blanks before a word belong to it. lines: a line ends after its newline.
 #: tokens: runs of letters, of digits and of blanks; any other code point by itself.
 GRAMMARS = {
-    "code_points": Grammar({"any": r"[\x{0}-\x{10FFFF}]"}),
+    "code_points": Grammar({"any": rf"[\x{{0}}-{LAST}]"}),
     "words": Grammar({"blank": r"[\x20\x09-\x0D]", "other": r"[^\x20\x09-\x0D]"}, _together("blank", "other") | {("blank", "other")}),
     "lines": Grammar({"end": r"[\n]", "other": r"[^\n]"}, _together("other") | {("other", "end")}),
     "tokens": Grammar({"letter": r"[\p{L}]", "digit": r"[\p{N}]", "blank": r"[\x20\x09-\x0D]", "sign": r"[^\p{L}\p{N}\x20\x09-\x0D]"}, _together("letter", "digit", "blank")),

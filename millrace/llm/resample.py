@@ -125,7 +125,8 @@ def drawn(docs: DataFrame, target: DataFrame, settings: Settings = Settings(), t
     last = ranked.filter("rank = most").select("score", "doc_id", "most").first()  # one row
     if last is None:
         return docs.limit(0)
-    scored = _scored(bucketed(rows, settings, text, keep=("__row",)), gain, settings).filter(able)
+    # A generator ends the chain: a filter on the score would be pushed below the projections, and the words split anew for every feature.
+    scored = _scored(bucketed(rows, settings, text, keep=("__row",)), gain, settings).selectExpr("__row", "inline(array(struct(doc_id, n_words, score)))").filter(able)
     same = (F.col("score") == last.score) & F.col("doc_id").eqNullSafe(F.lit(last.doc_id).cast("long"))
     later = F.lit(False) if last.doc_id is None else F.col("doc_id").isNull() | (F.col("doc_id") > last.doc_id)
     first = (F.col("score") > last.score) | ((F.col("score") == last.score) & ~same & ~later)

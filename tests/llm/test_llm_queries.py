@@ -20,6 +20,9 @@ COLUMNS = {
     8: ["query_id", "rank", "vec_id", "score"],
     9: ["doc_id", "n_shingles", "component_id"],
     10: ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+    11: ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
+    12: ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+    13: ["doc_id", "n_features", "weight", "score", "rank"],
 }
 INTS = {"piece", "rank"}
 
@@ -29,7 +32,7 @@ def test_columns(spark, name):
     df = queries.QUERIES[name](spark, SF)
     kinds = dict(df.dtypes)
     for c in COLUMNS[int(name[2:].split("_")[0])]:
-        want = "boolean" if c in ("over_limit", "held_out", "kept", "base_failed") else "string" if "label" in c or c == "lang_pred" else "double" if c in ("target", "base_score") or (c == "score" and not name.startswith("op8")) else "int" if c in INTS else "bigint"
+        want = "boolean" if c in ("over_limit", "held_out", "kept", "base_failed", "contaminated") else "string" if "label" in c or c in ("lang_pred", "form") or c.endswith("sha256") else "double" if c in ("target", "base_score") or (c == "score" and not name.startswith(("op8", "op13"))) else "int" if c in INTS and not name.startswith("op13") else "bigint"
         assert kinds[c] == want, (name, c, kinds[c])
 
 
@@ -41,5 +44,6 @@ def test_sql(spark, name):
     want, got = c.sql(queries.ORACLES[name]).df(), queries.QUERIES[name](spark, SF).toPandas()
     cols = sorted(want.columns)
     assert cols == sorted(got.columns)
-    rows = lambda df: sorted(map(tuple, df[cols].astype(str).to_numpy().tolist()))
+    plain = lambda x: None if x != x else int(x) if isinstance(x, float) and x == int(x) else x  # noqa: E731  (nulls make whole numbers doubles)
+    rows = lambda df: sorted(map(str, (tuple(map(plain, r)) for r in df[cols].astype(object).where(df[cols].notna(), None).to_numpy().tolist())))
     assert rows(got) == rows(want)
