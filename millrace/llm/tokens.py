@@ -38,8 +38,9 @@ HOT_UNITS = 300_000
 _JOINED_BLANKS = re.compile("[^\\S \n][ \n]|᠎")
 _OTHER_BLANKS = ("\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0")
 _CLOSING = ".,;:!?|"
-#: A word that ends in a letter below U+0250 is parted from closing marks by both tokenizer styles.
-_PARTED = "[A-Za-zªµºÀ-ÖØ-öø-ɏ]$"
+#: A word that ends in a letter below U+0250 is parted from closing marks by both tokenizer styles; but for U+0130,
+#: whose small form ends in a mark of its own, which joins them.
+_PARTED = "[A-Za-zªµºÀ-ÖØ-öø-įı-ɏ]$"
 
 
 class Encoder:
@@ -91,7 +92,7 @@ class Encoder:
         if self.style == "word" and unit.isascii():
             unit = unit if self.special_in and self.special_in(unit) else unit.lower()
         word = unit.rstrip(_CLOSING)
-        if word and word != unit and word[-1] < "ɐ" and word[-1].isalpha():
+        if word and word != unit and word[-1] < "ɐ" and word[-1] != "İ" and word[-1].isalpha():
             return (word, unit[len(word) :])
         return (unit,)
 
