@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +17,7 @@ from . import common
 
 UNKNOWN = "und"
 #: Runs of letters are words; digits, marks and signs say nothing about a language.
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}+")
 
 
 @dataclass(frozen=True)
@@ -82,14 +82,15 @@ def fit(docs: DataFrame, train: F.Column, settings: Settings = Settings(), text:
     langs = [r.lang for r in totals]
     if not langs:
         return Model([], ([], np.zeros((0, 0))), ([], np.zeros((0, 0))), settings.longest)
-    kinds = []
+    kinds, column = [], {at: i for i, at in enumerate(langs)}
     for kind in (0, 1):
         own = counts.filter(F.col("kind") == kind)
         size = {r.lang: r.n for r in own.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        ns = F.array(*[F.coalesce(F.sum(F.when(F.col("lang") == at, F.col("n"))), F.lit(0)) for at in langs])
-        table = own.groupBy("feature").agg(ns.alias("ns")).toArrow()  # of the sample: bounded with it
-        n = np.array(table.column("ns").combine_chunks().flatten().to_numpy(), float).reshape(-1, len(langs)) if table.num_rows else np.zeros((0, len(langs)))
-        kinds.append((table.column("feature").to_pylist(), np.log((n + 1) / (np.array([size.get(at, 0) for at in langs]) + len(n) + 1))))
+        table = own.select("feature", "lang", "n").toArrow()  # of the sample: bounded with it
+        feature, at = table.column("feature").combine_chunks().dictionary_encode(), table.column("lang").to_pylist()
+        n = np.zeros((len(feature.dictionary), len(langs)))
+        n[feature.indices.to_numpy(), [column[x] for x in at]] = table.column("n").to_numpy()
+        kinds.append((feature.dictionary.to_pylist(), np.log((n + 1) / (np.array([size.get(at, 0) for at in langs]) + len(n) + 1))))
     return Model(langs, *kinds, settings.longest)
 
 
