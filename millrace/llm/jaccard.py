@@ -20,11 +20,14 @@ from .shingles import mix, shingle_set
 
 @dataclass(frozen=True)
 class Settings:
-    """Shingles of ``k`` words; link at 100 * intersection >= percent * union; ``block``: sets that one search task indexes."""
+    """Shingles of ``k`` words; link at 100 * intersection >= percent * union; ``block`` and ``shingles``: sets, and shingles
+    in them, that one search task indexes (about: sets are dealt by hash; a larger set has a block of its own size).
+    """
 
     k: int = 4
     percent: int = 85
     block: int = 3_000
+    shingles: int = 5_000_000
 
 
 class Classes:
@@ -275,8 +278,8 @@ def join(docs: DataFrame, settings: Settings = Settings(), text: str = "text") -
     2. candidate_groups() brings any two linked sets into a common group (exact,
        see Classes); sets of no group link with none;
     3. in each group, a T-occurrence search with DivideSkip over the group's
-       inverted lists finds all links. A group of more than ``block`` sets is cut
-       by hash into blocks, and a task gets a pair of blocks: no list, group or
+       inverted lists finds all links. A group of more than ``block`` sets or
+       ``shingles`` shingles is cut by hash into blocks, and a task gets a pair of blocks: no list, group or
        hot shingle is ever whole in one task;
     4. a task returns a spanning forest of its verified links and the number of
        links per set, never the pairs; components() joins the forests.
@@ -308,7 +311,7 @@ def _placed(docs: DataFrame, sets: DataFrame, settings: Settings, text: str) ->
     component_best: the first of the component.
     """
     first_row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
-    by_class = sets.filter("set_hash IS NOT NULL").groupBy("set_hash").agg(F.first("node").alias("node"), F.min(first_row).alias("best"), F.count("*").alias("copies"))
+    by_class = sets.filter("set_hash IS NOT NULL").groupBy("set_hash").agg(F.first("node").alias("node"), F.first("n_shingles").alias("n_shingles"), F.min(first_row).alias("best"), F.count("*").alias("copies"))
     # Classes get numbers of their own, which no two share, however many there are; the written table keeps them.
     classes = common.cut(by_class.withColumn("cid", F.monotonically_increasing_id()), "classes")
     groups = common.cut(candidate_groups(docs, settings, text), "groups")
@@ -325,7 +328,7 @@ def _links(docs: DataFrame, groups: DataFrame, classes: DataFrame, settings: Set
     """(cid, root, links) of all search tasks."""
     k, block = settings.k, settings.block
     # The sets of the groups' members: a text of each class, read again and hashed again, which is cheaper than storing all sets.
-    member = common.cut(classes.join(groups.select("node").distinct(), "node", "left_semi").select("best.doc_id", "set_hash", "cid", "copies", "node"), "members")
+    member = common.cut(classes.join(groups.select("node").distinct(), "node", "left_semi").select("best.doc_id", "set_hash", "cid", "copies", "node", "n_shingles"), "members")
     wanted = common.small(member.select(F.col("doc_id").alias("__id")).distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("__doc"), F.col(text).alias("text")).join(wanted, F.col("__doc").eqNullSafe(F.col("__id")), "left_semi").select("text")
 
@@ -342,10 +345,12 @@ def _links(docs: DataFrame, groups: DataFrame, classes: DataFrame, settings: Set
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.binary()), pa.array(data, pa.binary())], ["set_hash", "data"])
 
     # An equal or null doc_id may hold other texts: the set's hash decides.
-    own = texts.mapInArrow(build, "set_hash binary, data binary").join(common.small(member.drop("doc_id")), "set_hash").drop("set_hash")
+    own = texts.mapInArrow(build, "set_hash binary, data binary").join(common.small(member.drop("doc_id", "n_shingles")), "set_hash").drop("set_hash")
     # Of rows that are all alike, one is enough; each brings the same set, so the search may also see it twice without harm to the forest.
-    count = groups.groupBy("scheme", "grp").agg(F.count("*").alias("m"))
-    sized = groups.join(common.small(count), ["scheme", "grp"]).withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
+    # Blocks follow the shingles as well as the sets: what a task holds does not grow with the length of the texts.
+    weighed = groups.join(common.small(member.select("node", "n_shingles").dropDuplicates(["node"])), "node")
+    count = weighed.groupBy("scheme", "grp").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / settings.shingles)).cast("int").alias("blocks"))
+    sized = groups.join(common.small(count), ["scheme", "grp"])
     placed = sized.withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
     # Block pairs (i, j), i <= j, that a set's block takes part in.
     pairs = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("scheme", "grp", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
