@@ -406,3 +406,48 @@ def test_lm_base(request, table, hot):
 
 def test_lm_empty(empty):
     assert lm.scored(empty).count() == 0
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_hard_texts(path):
+    """Random texts of letters, marks, blanks and special strings, short and long units, against the library."""
+    import random
+
+    r = random.Random(3)
+    ends = "aZéßİıǅŉǰΣͅ½²Ⅷ٣中한ʼn" + "".join(chr(c) for c in range(0xC0, 0x250, 3))
+    pieces = [*ends, *".,;:!?|-'\"()[]", " ", "  ", "\n", "\t", "\r\n", " ", "　", "̇", "́", "'ll", "'s", "<|endoftext|>", "1,000.5", "MERKEZİ", "word", "x" * 30]
+    texts = ["MERKEZİ.", "İ?", "İ", "MERKEZİ. " * 60, "İ.," * 120]
+    for _ in range(10_000):
+        texts.append("".join(r.choice(pieces) for _ in range(r.choice((2, 3, 5, 9, 20)))))
+    texts += ["".join(r.choice(pieces[:-2]) for _ in range(400)).replace(" ", "") for _ in range(50)]
+    library, enc = Tokenizer.from_file(path), tokens.Encoder(path)
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    got = [np.frombuffer(g, enc.wide).tolist() for g in enc.encode(texts)]
+    assert [t for t, g, w in zip(texts, got, want, strict=True) if g != w] == []
+    for t, w in zip(texts, want, strict=True):
+        us = enc.units(t)
+        n = len(library.encode(t, add_special_tokens=False).ids) if us is None else sum(len(enc.ids_of([p])[0]) // enc.wide.itemsize for u in us if u for p in enc.parts(u))
+        assert n == len(w), t
+
+
+def test_only_letters_say_a_language(spark, docs):
+    rows = [(1, "½ ² 12"), (2, "Ⅷ ① ٣ ௧"), (3, ".,;! ́̇"), (4, "é"), (5, "中"), (6, "א ½"), (7, "ª")]
+    texts = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(-i, t, None) for i, t in rows], "doc_id long, text string, lang string"))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(texts).filter("doc_id < 0").collect()}
+    assert {i for i, (p, _) in got.items() if p == "und"} == {-1, -2, -3}
+
+
+def test_many_dirty_labels(spark):
+    """Labels are rows, not columns."""
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.col("id").cast("string")).alias("text"), F.concat(F.lit("l"), F.col("id") % 700).alias("lang"))
+    assert language.identify(df).count() == 3000
+
+
+def test_blocks_follow_shingles(spark):
+    """Groups of long near copies are cut by their shingles; links stay all the same."""
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(base[: 299 - i % 7] + [f"x{i % 5}"])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.jaccard(rows, 4, 85)
+    for s in (jaccard.Settings(), jaccard.Settings(shingles=2_000), jaccard.Settings(block=7, shingles=100)):
+        assert Counter((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard.join(df, s).collect()) == want
