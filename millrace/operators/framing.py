@@ -47,6 +47,9 @@ def delimited(blobs: DataFrame, delimiter: int = 10, max_len: int = 4096, permis
             ends = np.flatnonzero(data == delimiter) + 1  # what follows the last delimiter is the tail
             starts = np.concatenate([[0], ends[:-1]])[: len(ends)]
             over = ends - starts > max_len
+            last = int(ends[-1]) if len(ends) else 0
+            if len(data) - last >= max_len:  # a tail that is already longer than a record may be
+                starts, ends, over = np.append(starts, last), np.append(ends, last), np.append(over, True)
             if over.any() and not permissive:
                 raise DecodeError(f"decode: no delimiter within {max_len} bytes")
             for k in range(0, len(ends), 65_536):
