@@ -94,10 +94,16 @@ def per_tick(rows: DataFrame, ts: str, tick_ns: int) -> DataFrame:
     return rows.groupBy(F.floor(F.col(ts) / tick_ns).alias("tick")).agg(F.count("*").alias("n"))
 
 
-def history(cumulative: DataFrame, tick: str = "tick", total: str = "total", by: str | None = None) -> DataFrame:
-    """The growth of a running total from tick to tick."""
-    w = W.partitionBy(*([by] if by else [F.lit(0)])).orderBy(tick)
-    return cumulative.withColumn("delta", (F.col(total) - F.coalesce(F.lag(total).over(w), F.lit(0))).cast("long"))
+def history(cumulative: DataFrame, tick: str = "tick", total: str = "total", by: str | None = None, per_range: int = routing.PER_RANGE) -> DataFrame:
+    """The growth of a running total from tick to tick, within ranges of ticks; a range starts from the last total of the one before."""
+    own = routing.ranged(cumulative, tick, per_range)
+    key = F.col(by) if by else F.lit(0)
+    ends = own.groupBy(key.alias("__of"), F.col("__range").alias("__part")).agg(F.max_by(total, tick).alias("__end"))
+    before = ends.select("__of", "__part", F.lag("__end").over(W.partitionBy("__of").orderBy("__part")).alias("__before"))
+    met = own.join(before, key.eqNullSafe(F.col("__of")) & (F.col("__range") == F.col("__part")))
+    w = W.partitionBy("__of", "__range").orderBy(tick)
+    last = F.when(F.row_number().over(w) == 1, F.col("__before")).otherwise(F.lag(total).over(w))
+    return met.withColumn("delta", (F.col(total) - F.coalesce(last, F.lit(0))).cast("long")).drop("__range", "__of", "__part", "__before")
 
 
 def tail(events: DataFrame, n: int, order: str) -> DataFrame:

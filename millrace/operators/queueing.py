@@ -20,20 +20,22 @@ from . import routing
 POLICIES = ("block", "spin", "drop_newest", "drop_oldest", "overflow", "adaptive_batching")
 
 
-def _rank(batch: str, order: Column) -> Column:
-    return F.row_number().over(W.partitionBy(batch).orderBy(order))
+def _first(rows: DataFrame, capacity: int, batch: str, order: Column) -> DataFrame:
+    """The first rows of each batch: a batch's rows are cut to ``capacity`` in the tasks that have them, before they meet."""
+    rank = F.row_number().over(W.partitionBy(batch).orderBy(order))
+    return rows.withColumn("__rank", rank).filter(F.col("__rank") <= capacity).drop("__rank")
 
 
 def drop_newest(rows: DataFrame, capacity: int, batch: str = "tick", order: str = "sequence") -> DataFrame:
     """The first ``capacity`` rows of each batch."""
-    return rows.withColumn("__rank", _rank(batch, F.col(order))).filter(F.col("__rank") <= capacity).drop("__rank")
+    return _first(rows, capacity, batch, F.col(order))
 
 
 def drop_oldest(rows: DataFrame, capacity: int, batch: str = "tick", order: str = "sequence", evict: bool = False) -> DataFrame:
     """As drop_newest(), which is how the policy of this name behaves; with ``evict`` the last ``capacity`` rows stay instead."""
     if not evict:
         return drop_newest(rows, capacity, batch, order)
-    return rows.withColumn("__rank", _rank(batch, F.col(order).desc())).filter(F.col("__rank") <= capacity).drop("__rank")
+    return _first(rows, capacity, batch, F.col(order).desc())
 
 
 def overflow(rows: DataFrame, capacity: int, sink: int, overflow_sink: int | None, overflow_capacity: int, batch: str = "tick", order: str = "sequence") -> DataFrame:
@@ -45,11 +47,24 @@ def overflow(rows: DataFrame, capacity: int, sink: int, overflow_sink: int | Non
     return routing.ranked(rows, batch, order).withColumn("sink_id", place.otherwise(routing.DROP).cast("long")).drop(routing.RANK)
 
 
-def unbounded(ticks: DataFrame, drain: int, run: str = "run", tick: str = "tick", arrivals: str = "arrivals") -> DataFrame:
-    """Occupancy after each tick of a queue without a limit: X_t - min(0, least X so far), X the running sum of a - D."""
-    w = W.partitionBy(run).orderBy(tick).rowsBetween(W.unboundedPreceding, 0)
-    x = ticks.withColumn("__x", F.sum(F.col(arrivals) - drain).over(w))
-    return x.withColumn("occupancy", (F.col("__x") - F.least(F.lit(0), F.min("__x").over(w))).cast("long")).drop("__x")
+def unbounded(ticks: DataFrame, drain: int, run: str = "run", tick: str = "tick", arrivals: str = "arrivals", per_range: int = routing.PER_RANGE) -> DataFrame:
+    """Occupancy after each tick of a queue without a limit: X_t - min(0, least X so far), X the running sum of a - D.
+
+    X runs within ranges of ticks; a range gives its sum and its least X, and
+    over the ranges of a run, a row each, these add up to where each range starts.
+    """
+    own = routing.ranged(ticks, tick, per_range)
+    w = W.partitionBy(run, "__range").orderBy(tick).rowsBetween(W.unboundedPreceding, 0)
+    x = own.withColumn("__x", F.sum(F.col(arrivals) - drain).over(w)).withColumn("__least", F.min("__x").over(w))
+    ranges = own.groupBy(F.col(run).alias("__of"), F.col("__range").alias("__part")).agg(F.sum(F.col(arrivals) - drain).alias("__sum"))
+    least = x.groupBy(F.col(run).alias("__of"), F.col("__range").alias("__part")).agg(F.min("__x").alias("__low"))
+    before = W.partitionBy("__of").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranges.select("__of", "__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
+    lows = least.withColumnsRenamed({"__of": "__of2", "__part": "__part2"}).join(starts, F.col("__of2").eqNullSafe(F.col("__of")) & (F.col("__part2") == F.col("__part")))
+    starts = lows.select("__of", "__part", "__base", F.coalesce(F.min(F.col("__base") + F.col("__low")).over(before), F.lit(0)).alias("__lower"))
+    met = x.join(starts, F.col(run).eqNullSafe(F.col("__of")) & (F.col("__range") == F.col("__part")))
+    occupancy = F.col("__base") + F.col("__x") - F.least(F.lit(0), F.col("__lower"), F.col("__base") + F.col("__least"))
+    return met.withColumn("occupancy", occupancy.cast("long")).drop("__range", "__x", "__least", "__of", "__part", "__base", "__lower")
 
 
 @dataclass(frozen=True)

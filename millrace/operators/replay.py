@@ -16,26 +16,26 @@ def full_speed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("release_ns", F.lit(0).cast("long"))
 
 
-def original_timing(rows: DataFrame, source: str = "source", ts: str = "ts_ns", order: str = "sequence", factor: float = 1.0, width: int = 1 << 16) -> DataFrame:
+def original_timing(rows: DataFrame, source: str = "source", ts: str = "ts_ns", order: str = "sequence", factor: float = 1.0, per_range: int = routing.PER_RANGE) -> DataFrame:
     """Distances as recorded, times ``factor`` (over 1 is slower), cut to whole ns.
 
     A row that goes back in time is due at once, but never before a row ahead of
-    it: a running maximum, taken within ranges of ``width`` values of the order,
-    and over the ranges before, of which a source has a row each. So a source
-    that holds most rows is replayed by many tasks.
+    it: a running maximum, taken within ranges of the order (see
+    routing.ranged()), and over the ranges before, of which a source has a row
+    each. So a source that holds most rows is replayed by many tasks.
     """
     if not (math.isfinite(factor) and factor > 0):
         raise ConfigError("a time scale is finite and above 0")
     begun = rows.groupBy(F.col(source).alias("__of")).agg(F.min_by(ts, order).alias("__first"))
     delta = F.greatest(F.col(ts) - F.col("__first"), F.lit(0))
     due = delta if factor == 1.0 else (delta * F.lit(factor)).cast("long")
-    timed = rows.join(begun, F.col(source).eqNullSafe(F.col("__of"))).withColumn("__due", due).drop("__of", "__first").withColumn("__at", F.floor(F.col(order) / width))
-    before = W.partitionBy("__of").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    ranges = timed.groupBy(F.col(source).alias("__of"), F.col("__at").alias("__range")).agg(F.max("__due").alias("__last"))
-    ranges = ranges.select("__of", "__range", F.max("__last").over(before).alias("__ahead"))
-    own = timed.withColumn("__run", F.max("__due").over(W.partitionBy(source, "__at").orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
-    met = own.join(ranges, F.col(source).eqNullSafe(F.col("__of")) & F.col("__at").eqNullSafe(F.col("__range")))
-    return met.withColumn("release_ns", F.greatest("__run", "__ahead").cast("long")).drop("__due", "__at", "__of", "__range", "__ahead", "__run")
+    timed = routing.ranged(rows, order, per_range).join(begun, F.col(source).eqNullSafe(F.col("__of"))).withColumn("__due", due).drop("__of", "__first")
+    before = W.partitionBy("__of").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    ranges = timed.groupBy(F.col(source).alias("__of"), F.col("__range").alias("__part")).agg(F.max("__due").alias("__last"))
+    ranges = ranges.select("__of", "__part", F.max("__last").over(before).alias("__ahead"))
+    own = timed.withColumn("__run", F.max("__due").over(W.partitionBy(source, "__range").orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
+    met = own.join(ranges, F.col(source).eqNullSafe(F.col("__of")) & (F.col("__range") == F.col("__part")))
+    return met.withColumn("release_ns", F.greatest("__run", "__ahead").cast("long")).drop("__due", "__range", "__of", "__part", "__ahead", "__run")
 
 
 def burst(rows: DataFrame, count: int, gap_ns: int, tick_ns: int = 1, order: str = "sequence") -> DataFrame:

@@ -41,44 +41,74 @@ def by_callback(rows: DataFrame, route: Callable[[DataFrame], Column]) -> DataFr
     return rows.withColumn("sink_id", F.coalesce(route(rows).cast("long"), F.lit(DROP)))
 
 
-def numbered(rows: DataFrame, order: str = "sequence", width: int = 1 << 20, name: str = "index") -> DataFrame:
-    """``rows`` with their place, 0 first, in the order of an integer column without repeats.
+#: Rows of a range, about, and ranges at most: what ranks and running values are computed by.
+PER_RANGE, MOST_RANGES = 1 << 20, 4096
 
-    Rows are counted by ranges of ``width`` values; places are the range's prefix
-    sum plus the row's rank in its range. So no task sorts more than a range, and
-    the window over ranges sees one row each.
+
+def ranged(rows: DataFrame, order: str, per_range: int = PER_RANGE, name: str = "__range") -> DataFrame:
+    """``rows`` with the number of their range, rising with a numeric column and about even in rows; nulls are in the first one.
+
+    Ranges end at quantiles of the column, not at steps of its values: stamps in
+    nanoseconds or other sparse keys give as many ranges as dense ones. One job
+    counts, one more finds the quantiles where there are rows for several ranges;
+    a range is then found by binary search, in the JVM.
+    """
+    if per_range < 1:
+        raise ConfigError("a range has 1 row or more")
+    ranges = min(-(-rows.agg(F.count(order)).first()[0] // per_range), MOST_RANGES)
+    ends: list[float] = []
+    if ranges > 1:
+        shares = ", ".join(f"{i / ranges}D" for i in range(1, ranges))
+        ends = sorted({float(x) for x in rows.agg(F.expr(f"percentile_approx(`{order}`, array({shares}), {max(10_000, 20 * ranges)})")).first()[0]})
+    if not ends:
+        return rows.withColumn(name, F.lit(0))
+    from pyspark.ml.feature import Bucketizer
+
+    # As doubles, large numbers may agree that differ: they then share a range, in which the column itself orders them.
+    low = float("-inf")
+    keyed = rows.withColumn("__double", F.coalesce(F.col(order).cast("double"), F.lit(low)))
+    found = Bucketizer(splits=[low, *ends, float("inf")], inputCol="__double", outputCol=name).transform(keyed)
+    return found.withColumn(name, F.col(name).cast("int")).drop("__double")
+
+
+def numbered(rows: DataFrame, order: str = "sequence", per_range: int = PER_RANGE, name: str = "index") -> DataFrame:
+    """``rows`` with their place, 0 first, in the order of a numeric column without repeats.
+
+    Places are the rows in the ranges before (see ranged()) and the row's rank in
+    its own. So no task sorts more than a range, and the window over ranges sees
+    one row each.
     """
-    bucket = F.floor(F.col(order) / width)
-    counts = rows.groupBy(bucket.alias("__bucket")).agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1))
-    bases = counts.select("__bucket", F.coalesce(before, F.lit(0)).alias("__base"))
-    ranked = rows.withColumn("__bucket", bucket).withColumn("__rank", F.row_number().over(W.partitionBy("__bucket").orderBy(order)))
-    return ranked.join(bases, "__bucket").withColumn(name, (F.col("__base") + F.col("__rank") - 1).cast("long")).drop("__bucket", "__base", "__rank")
+    own = ranged(rows, order, per_range)
+    counts = own.groupBy(F.col("__range").alias("__of")).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(W.orderBy("__of").rowsBetween(W.unboundedPreceding, -1))
+    bases = F.broadcast(counts.select("__of", F.coalesce(before, F.lit(0)).alias("__base")))  # MOST_RANGES rows at most
+    placed = own.withColumn("__rank", F.row_number().over(W.partitionBy("__range").orderBy(order)))
+    return placed.join(bases, F.col("__range") == F.col("__of")).withColumn(name, (F.col("__base") + F.col("__rank") - 1).cast("long")).drop("__range", "__of", "__base", "__rank")
 
 
 #: Name of the place that ranked() gives.
 RANK = "__rank_in_batch"
 
 
-def ranked(rows: DataFrame, batch: str, order: str = "sequence", width: int = 1 << 16) -> DataFrame:
-    """``rows`` with RANK, their place in their batch, 1 first, in the order of an integer column (nulls first).
+def ranked(rows: DataFrame, batch: str, order: str = "sequence", per_range: int = PER_RANGE) -> DataFrame:
+    """``rows`` with RANK, their place in their batch, 1 first, in the order of a numeric column (nulls first).
 
-    Counted by ranges of ``width`` values within a batch, so a batch that holds
-    most rows is still ranked by many tasks; a range's first place is the prefix
-    sum of the ranges before it, a row a range.
+    Counted by ranges within a batch, so a batch that holds most rows is still
+    ranked by many tasks; a range's first place is the prefix sum of the ranges
+    before it, a row a range.
     """
-    bucket = F.floor(F.col(order) / width)
-    counts = rows.groupBy(F.col(batch).alias("__of"), bucket.alias("__range")).agg(F.count("*").alias("__n"))
-    before = W.partitionBy("__of").orderBy(F.col("__range").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
-    bases = counts.select("__of", "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    own = rows.withColumn("__at", bucket).withColumn(RANK, F.row_number().over(W.partitionBy(batch, "__at").orderBy(order)))
-    met = own.join(bases, F.col(batch).eqNullSafe(F.col("__of")) & F.col("__at").eqNullSafe(F.col("__range")))
-    return met.withColumn(RANK, F.col(RANK) + F.col("__base")).drop("__at", "__of", "__range", "__base")
+    own = ranged(rows, order, per_range)
+    counts = own.groupBy(F.col(batch).alias("__of"), F.col("__range").alias("__part")).agg(F.count("*").alias("__n"))
+    before = W.partitionBy("__of").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    bases = counts.select("__of", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    placed = own.withColumn(RANK, F.row_number().over(W.partitionBy(batch, "__range").orderBy(order)))
+    met = placed.join(bases, F.col(batch).eqNullSafe(F.col("__of")) & (F.col("__range") == F.col("__part")))
+    return met.withColumn(RANK, F.col(RANK) + F.col("__base")).drop("__range", "__of", "__part", "__base")
 
 
-def round_robin(rows: DataFrame, sinks: list[int], order: str = "sequence", width: int = 1 << 20) -> DataFrame:
+def round_robin(rows: DataFrame, sinks: list[int], order: str = "sequence", per_range: int = PER_RANGE) -> DataFrame:
     """Sinks in turn, in arrival order."""
-    placed = numbered(rows, order, width, "__place")
+    placed = numbered(rows, order, per_range, "__place")
     return placed.withColumn("sink_id", _sinks(sinks)[F.pmod("__place", F.lit(len(sinks))).cast("int")]).drop("__place")
 
 

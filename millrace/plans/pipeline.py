@@ -19,7 +19,7 @@ Sink = Callable[[DataFrame], None]
 class RuntimeConfig:
     """workers: partitions of the run; batch_size: rows a batch; capacity: rows of a batch that a sink takes (None: all);
     backpressure: what becomes of the others, a policy of queueing.POLICIES; overflow_sink: where they go with
-    ``overflow``; order: the integer column that rows come in; metrics: whether run() counts.
+    ``overflow`` while it has places of its own, as many a batch; order: the integer column that rows come in; metrics: whether run() counts.
     """
 
     workers: int = 1
@@ -111,13 +111,18 @@ class Pipeline:
         if c.capacity is None or c.backpressure in ("block", "spin", "adaptive_batching"):
             return rows
         # A batch is ``batch_size`` rows in their order; each sink takes its own part of it.
-        batched = routing.numbered(rows, c.order, name="__place").withColumn("__batch", F.struct(F.floor(F.col("__place") / c.batch_size).alias("n"), "sink_id")).drop("__place")
-        taken = batches.capped(batched, c.capacity, "__batch", c.order)
-        if c.backpressure == "overflow" and c.overflow_sink is not None:
-            over = F.when(F.col("accepted") | (F.col("sink_id") == routing.DROP), F.col("sink_id")).otherwise(F.lit(c.overflow_sink).cast("long"))
-        else:
-            over = F.when(F.col("accepted"), F.col("sink_id")).otherwise(F.lit(routing.DROP).cast("long"))
-        return taken.withColumn("sink_id", over).drop("__batch", "accepted")
+        batched = routing.numbered(rows, c.order, name="__place").withColumn("__batch", F.floor(F.col("__place") / c.batch_size)).drop("__place")
+        own = batches.capped(batched.withColumn("__group", F.struct("__batch", "sink_id")), c.capacity, "__group", c.order).drop("__group")
+        drop = F.lit(routing.DROP).cast("long")
+        if c.backpressure != "overflow" or c.overflow_sink is None:
+            return own.withColumn("sink_id", F.when(F.col("accepted"), F.col("sink_id")).otherwise(drop)).drop("__batch", "accepted")
+        # What overflows and what is routed to the overflow sink share its places, in their order; then rows drop.
+        over = F.lit(c.overflow_sink).cast("long")
+        target = F.when(F.col("accepted") | (F.col("sink_id") == drop), F.col("sink_id")).otherwise(over)
+        moved = own.withColumn("sink_id", target).drop("accepted")
+        rest = moved.filter(~F.col("sink_id").eqNullSafe(over)).drop("__batch")
+        shared = batches.capped(moved.filter(F.col("sink_id").eqNullSafe(over)), c.capacity, "__batch", c.order)
+        return rest.unionByName(shared.withColumn("sink_id", F.when(F.col("accepted"), over).otherwise(drop)).drop("__batch", "accepted"))
 
     def run(self) -> dict[str, int]:
         """Write each sink's rows; returns messages written per sink and dropped (``sink_id`` 0), or nothing without metrics.

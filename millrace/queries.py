@@ -179,15 +179,14 @@ def file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read(spark, out).select(F.decode("record", "utf-8").alias("record"), F.octet_length("record").cast("long").alias("n"))
 
 
-@query(f"WITH {ENV} SELECT CAST(key % 16 AS VARCHAR) || '.pcap' AS file, row_number() OVER (PARTITION BY key % 16 ORDER BY ts_ns, sequence) - 1 AS pkt_index, ts_ns, payload FROM env")
+@query(f"WITH {ENV} SELECT CAST(key % 16 AS VARCHAR) AS file, row_number() OVER (PARTITION BY key % 16 ORDER BY ts_ns, sequence) - 1 AS pkt_index, ts_ns, payload FROM env")
 def capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as UDP frames in capture files, 16 of them, written, read back and parsed."""
+    """Events as UDP frames in 16 groups of capture files, committed together, of 100,000 bytes at most, read back as one sequence a group."""
     out = lineage.new_path(spark, "captures")
     frame = codecs.udp_frame(F.encode("payload", "utf-8"), F.lit(9000))
-    packets = events(spark, sf_dir).select(F.concat((F.col("key") % 16).cast("string"), F.lit(".pcap")).alias("path"), F.col("sequence").alias("pkt_index"), "ts_ns", frame.alias("data"))
-    pcap.write(pcap.blobs(packets, nanoseconds=True), out)
-    read = pcap.read(spark, out).withColumn("m", codecs.udp_parse(F.col("data")))
-    return read.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "pkt_index", "ts_ns", F.decode("m.payload", "utf-8").alias("payload"))
+    pcap.save(events(spark, sf_dir).select((F.col("key") % 16).alias("path"), F.col("sequence").alias("pkt_index"), "ts_ns", frame.alias("data")), out, nanoseconds=True, roll=100_000)
+    read = pcap.load(spark, out).withColumn("m", codecs.udp_parse(F.col("data")))
+    return read.select(F.col("path").alias("file"), "pkt_index", "ts_ns", F.decode("m.payload", "utf-8").alias("payload"))
 
 
 # ---------------------------------------------------------------- routing
@@ -229,7 +228,7 @@ def route_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_sums_sql(SINK_OF.format("(sequence_place % 4)")).replace("FROM env", "FROM (SELECT *, row_number() OVER (ORDER BY sequence) - 1 AS sequence_place FROM env WHERE NOT suspect)"))
 def route_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only rows that reach placement move the turn on."""
-    return _sums(routing.round_robin(events(spark, sf_dir).filter("NOT suspect"), SINKS, width=1000))
+    return _sums(routing.round_robin(events(spark, sf_dir).filter("NOT suspect"), SINKS))
 
 
 @query(f"WITH {ENV} SELECT sequence, CAST({SINK_OF.format('schema_id % 4')} AS BIGINT) AS sink_id FROM env WHERE schema_id % 4 NOT IN (0, 1)")
@@ -257,12 +256,13 @@ def batch_oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {ENV}, r AS (SELECT *, schema_id % 2 + 1 AS s, (row_number() OVER (ORDER BY sequence) - 1) // 100 AS b FROM env), k AS (SELECT *, row_number() OVER (PARTITION BY b, s ORDER BY sequence) AS i FROM r) "
-    "SELECT CAST(CASE WHEN i <= 40 THEN s ELSE 9 END AS BIGINT) AS sink_id, count(*) AS n, CAST(sum(price) AS BIGINT) AS total FROM k GROUP BY 1"
+    f"WITH {ENV}, r AS (SELECT *, schema_id % 2 + 1 AS s, (row_number() OVER (ORDER BY sequence) - 1) // 100 AS b FROM env), k AS (SELECT *, row_number() OVER (PARTITION BY b, s ORDER BY sequence) AS i FROM r), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY b, i <= 30 ORDER BY sequence) AS j FROM k) "
+    "SELECT CAST(CASE WHEN i <= 30 THEN s WHEN j <= 30 THEN 9 ELSE 0 END AS BIGINT) AS sink_id, count(*) AS n, CAST(sum(price) AS BIGINT) AS total FROM o GROUP BY 1"
 )
 def bp_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Back-pressure as a setting of a pipeline: batches of 100, of which a sink takes 40 and the overflow sink the rest."""
-    config = RuntimeConfig(batch_size=100, capacity=40, backpressure="overflow", overflow_sink=9)
+    """Back-pressure as a setting of a pipeline: batches of 100, of which every sink takes 30, the overflow sink too; what finds it full drops."""
+    config = RuntimeConfig(batch_size=100, capacity=30, backpressure="overflow", overflow_sink=9)
     made = Pipeline().read(events(spark, sf_dir)).route(lambda df: df.withColumn("sink_id", (F.col("schema_id") % 2 + 1).cast("long"))).configured(config)
     return _sums(made.routed())
 

@@ -72,7 +72,7 @@ def test_bounded_queue_is_the_recurrence(spark):
 
 def test_routing(spark):
     rows = spark.range(1, 5).select(F.col("id").alias("sequence"))
-    rr = routing.round_robin(rows, [1, 2], width=2).groupBy("sink_id").count().orderBy("sink_id").collect()
+    rr = routing.round_robin(rows, [1, 2], per_range=2).groupBy("sink_id").count().orderBy("sink_id").collect()
     assert [(r.sink_id, r["count"]) for r in rr] == [(1, 2), (2, 2)]
     even = routing.by_callback(rows, lambda df: F.when(F.col("sequence") % 2 == 0, 1))
     assert sorted(r.sequence for r in routing.split(even, [1])[1].collect()) == [2, 4]
