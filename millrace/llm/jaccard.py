@@ -26,8 +26,8 @@ class Settings:
 
     k: int = 4
     percent: int = 85
-    block: int = 3_000
-    shingles: int = 5_000_000
+    block: int = 16_000
+    shingles: int = 4_000_000
 
 
 class Classes:
