@@ -27,7 +27,7 @@ class Settings:
     k: int = 4
     percent: int = 85
     block: int = 16_000
-    shingles: int = 4_000_000
+    shingles: int = 2_000_000
 
 
 class Classes:
@@ -167,7 +167,7 @@ class Lists:
     def __init__(self, sets: list[np.ndarray], percent: int) -> None:
         self.sets, self.sizes, self.percent = sets, np.array([len(s) for s in sets]), percent
         flat = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)
         order = np.argsort(flat, kind="stable")  # owners stay in order within a list
         self.owner = owner[order]
         flat = flat[order]
@@ -266,6 +266,16 @@ def search_block(left: list[tuple], right: list[tuple] | None, percent: int, sch
     return np.array(out, np.int64), np.array([root(x) for x in out], np.int64), np.array([degree[x] for x in out], np.int64)
 
 
+def _views(column: pa.ChunkedArray) -> Iterator[np.ndarray]:
+    """The sets of a binary column where they lie, without a copy."""
+    for chunk in column.chunks:
+        if len(chunk):
+            _, offsets, data = chunk.buffers()
+            ends = np.frombuffer(offsets, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1] // 8
+            flat = np.frombuffer(data, np.uint64, count=int(ends[-1]))
+            yield from (flat[a:z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+
+
 def join(docs: DataFrame, settings: Settings = Settings(), text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, class_id, n_links: a row per row of ``docs``.
 
@@ -360,10 +370,10 @@ def _links(docs: DataFrame, groups: DataFrame, classes: DataFrame, settings: Set
     def run(table: pa.Table) -> pa.Table:
         seen, sides = set(), ([], [])
         scheme, i, j = (table.column(c)[0].as_py() for c in ("scheme", "i", "j"))
-        for b, cid, copies, data in zip(*(table.column(c).to_pylist() for c in ("block", "cid", "copies", "data")), strict=True):
+        for b, cid, copies, s in zip(*(table.column(c).to_pylist() for c in ("block", "cid", "copies")), _views(table.column("data")), strict=True):
             if cid not in seen:
                 seen.add(cid)
-                sides[int(b != i)].append((cid, copies, np.frombuffer(data, np.uint64)))
+                sides[int(b != i)].append((cid, copies, s))
         if not sides[0] or (i != j and not sides[1]):
             return pa.table({"cid": pa.array([], pa.int64()), "root": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
         got = search_block(sides[0], None if i == j else sides[1], settings.percent, scheme, size_classes)
