@@ -16,6 +16,7 @@ NET = {
     "net.bytes_received": "counter",
     "net.batches_polled": "counter",
     "net.batch_size": "histogram",
+    "net.rx_ring_occupancy": "gauge",
     "net.parse_failures": "counter",
     "net.sink_write_failures": "counter",
 }
@@ -25,6 +26,18 @@ STORAGE = {
     "storage.parse_errors": "counter",
     "storage.eof_reached": "counter",
     "storage.loop_count": "counter",
+    "storage.replay_lag_ns": "gauge",
+    "storage.read_latency_ns": "histogram",
+}
+RUNTIME = {
+    "runtime.steps": "counter",
+    "runtime.messages_out": "counter",
+    "runtime.messages_dropped": "counter",
+    "runtime.backpressure_events": "counter",
+    "runtime.idle_skips": "counter",
+    "runtime.step_duration_ns": "histogram",
+    "runtime.phase": "gauge",
+    "runtime.workers": "gauge",
 }
 MEMORY = {
     "memory.messages_written": "counter",
@@ -44,7 +57,8 @@ def report(rows: DataFrame, kinds: dict[str, str], values: dict[str, Column]) ->
 def net(packets: DataFrame, batch_size: int, failed: Column, refused: Column, data: str = "data", order: str = "sequence") -> DataFrame:
     """What a packet source reports of packets polled in batches in their order: ``failed`` to parse, ``refused`` by a full sink.
 
-    Batches are added up first, so the whole is one row a batch. A histogram's value is its median.
+    Batches are added up first, so the whole is one row a batch. A histogram's value is its median; the ring's
+    occupancy, a gauge, is that of the last batch.
     """
     batched = routing.numbered(packets, order, name="__place").groupBy(F.floor(F.col("__place") / batch_size).alias("__batch"))
     by_batch = batched.agg(F.count("*").alias("n"), F.sum(F.octet_length(data)).alias("bytes"), F.count(F.when(failed, 1)).alias("failed"), F.count(F.when(refused, 1)).alias("refused"))
@@ -54,6 +68,7 @@ def net(packets: DataFrame, batch_size: int, failed: Column, refused: Column, da
         "net.bytes_received": F.sum("bytes"),
         "net.batches_polled": F.count("*"),
         "net.batch_size": F.median("n"),
+        "net.rx_ring_occupancy": F.max_by("n", "__batch") / batch_size,
         "net.parse_failures": F.sum("failed"),
         "net.sink_write_failures": F.sum("refused"),
     }
@@ -78,6 +93,28 @@ def memory(rows: DataFrame, slots: int, max_bytes: int, payload: str = "payload"
     return one.unionByName(report(offered, MEMORY, {"memory.oversized": F.count(F.when(F.col("__large"), 1))}))
 
 
+def runtime(routed: DataFrame, batch_size: int, refused: Column, workers: int = 1, order: str = "sequence") -> DataFrame:
+    """What a run reports that takes rows (sink_id 0: dropped) in batches in their order, a step a batch; ``refused``: a full sink was met.
+
+    Durations and phases are those of a running query, see streaming.telemetry.
+    """
+    batched = routing.numbered(routed, order, name="__place").groupBy(F.floor(F.col("__place") / batch_size).alias("__batch"))
+    by_batch = batched.agg(F.count(F.when(F.col("sink_id") != routing.DROP, 1)).alias("out"), F.count(F.when(F.col("sink_id") == routing.DROP, 1)).alias("dropped"), F.count(F.when(refused, 1)).alias("refused"))
+    values = {
+        "runtime.steps": F.count("*"),
+        "runtime.messages_out": F.sum("out"),
+        "runtime.messages_dropped": F.sum("dropped"),
+        "runtime.backpressure_events": F.sum("refused"),
+        "runtime.workers": F.lit(workers),
+    }
+    return report(by_batch, RUNTIME, values)
+
+
+def storage_replay(released: DataFrame, clock_ns: int) -> DataFrame:
+    """The lag of a replay that stands at ``clock_ns``: behind the latest row that it has let go (release_ns)."""
+    return report(released.filter(F.col("release_ns") <= clock_ns), STORAGE, {"storage.replay_lag_ns": clock_ns - F.max("release_ns")})
+
+
 def counters(events: DataFrame, kind: str = "kind", weight: Column | None = None) -> DataFrame:
     """(metric, kind, value): how often each kind came, or the sum of ``weight``."""
     value = F.count("*") if weight is None else F.sum(weight)

@@ -53,3 +53,40 @@ def single_step(rows: DataFrame, advances: int, order: str = "sequence") -> Data
 
 def release_tick(tick_ns: int) -> Column:
     return F.ceil(F.col("release_ns") / tick_ns).cast("long")
+
+
+def paused(released: DataFrame, controls: DataFrame, source: str = "source", keep_distances: bool = False, per_range: int = routing.PER_RANGE) -> DataFrame:
+    """``released`` (with release_ns) under pauses of its source's clock: when each row is really let go; null if its pause never ends.
+
+    ``controls`` has the source, ``at_ns`` and ``paused`` (true to pause, false to
+    resume); of several at one time the last by ``place`` counts, if they have
+    that column; a second pause changes nothing. Nothing is let go from a pause on
+    until the source is resumed. By default the clock runs on, as a paused replay
+    does: what fell due meanwhile goes at once, in its order. With
+    ``keep_distances`` the clock stands still, and distances stay as they were.
+    Controls join by time, as settings do (see timeline.as_of()): a key's rows
+    are dealt over tasks, and no pairs are made.
+    """
+    from . import timeline
+
+    place = F.col("place") if "place" in controls.columns else F.lit(0)
+    by_time = W.partitionBy("__src").orderBy("at_ns", "__place")
+    told = controls.select(F.col(source).alias("__src"), F.col("at_ns").cast("long").alias("at_ns"), F.col("paused").alias("__on"), place.cast("long").alias("__place"))
+    # Only controls that change something, in turn: pause, resume, pause; of those at one time the last.
+    told = told.withColumn("__next", F.lead("at_ns").over(by_time)).filter(F.col("__next").isNull() | (F.col("__next") > F.col("at_ns"))).drop("__next")
+    told = told.withColumn("__was", F.coalesce(F.lag("__on").over(by_time), F.lit(False))).filter(F.col("__on") != F.col("__was"))
+    pauses = told.withColumn("__until", F.lead("at_ns").over(by_time)).filter("__on")
+    if not keep_distances:
+        stops = pauses.select("__src", "at_ns", F.col("__until"), F.lit(True).alias("__stopped"))
+        met = timeline.as_of(released.withColumn("__src", F.col(source)), stops.withColumnRenamed("at_ns", "release_ns"), "__src", "release_ns", ["__until", "__stopped"], per_range)
+        held = F.col("__stopped") & (F.col("__until").isNull() | (F.col("release_ns") < F.col("__until")))
+        now = F.when(F.coalesce(held, F.lit(False)), F.col("__until")).otherwise(F.col("release_ns"))
+        return met.withColumn("release_ns", now).drop("__src", "__until", "__stopped")
+    before = by_time.rowsBetween(W.unboundedPreceding, -1)
+    lasted = F.col("__until") - F.col("at_ns")
+    # By the source's own clock a pause has no length: it stands where the clock stood, and moves all that is due from there on.
+    stood = pauses.withColumn("__moved", F.coalesce(F.sum(lasted).over(before), F.lit(0)))
+    stops = stood.select("__src", (F.col("at_ns") - F.col("__moved")).alias("release_ns"), (F.col("__moved") + lasted).alias("__by"), F.lit(True).alias("__stopped"), F.col("at_ns").alias("place"))
+    met = timeline.as_of(released.withColumn("__src", F.col(source)), stops, "__src", "release_ns", ["__by", "__stopped"], per_range)
+    now = F.when(F.col("__stopped"), F.col("release_ns") + F.col("__by")).otherwise(F.col("release_ns"))
+    return met.withColumn("release_ns", now).drop("__src", "__by", "__stopped")

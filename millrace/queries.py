@@ -409,6 +409,31 @@ def replay_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.original_timing(events(spark, sf_dir), "key", factor=2.5).select("sequence", "key", "release_ns")
 
 
+_PAUSES = f"p AS (SELECT user_id AS key, hour * {HOUR_NS} AS from_ns, (hour + 30) * {HOUR_NS} AS to_ns FROM (SELECT DISTINCT user_id FROM events), (SELECT unnest([24, 100, 400]) AS hour) WHERE user_id % 3 = 0)"
+_DUE = "d AS (SELECT sequence, key, max(greatest(ts_ns - first_ns, 0)) OVER (PARTITION BY key ORDER BY sequence) AS due FROM (SELECT *, first_value(ts_ns) OVER (PARTITION BY key ORDER BY sequence) AS first_ns FROM env))"
+
+
+def _pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third user's replay is paused for thirty hours, three times."""
+    users = events(spark, sf_dir).select("key").distinct().filter("key % 3 = 0")
+    at = F.explode(F.array(*[F.struct(F.lit(h * HOUR_NS).alias("at_ns"), F.lit(on).alias("paused")) for start in (24, 100, 400) for h, on in ((start, True), (start + 30, False))]))
+    return users.select("key", at.alias("c")).select("key", "c.*")
+
+
+@query(f"WITH {ENV}, {_DUE}, {_PAUSES} SELECT sequence, d.key, coalesce(to_ns, due) AS release_ns FROM d LEFT JOIN p ON p.key = d.key AND due >= from_ns AND due < to_ns")
+def replay_paused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A paused replay lets nothing go; resumed, what fell due goes at once."""
+    due = replay.original_timing(events(spark, sf_dir), "key").select("sequence", "key", "release_ns")
+    return replay.paused(due, _pauses(spark, sf_dir), "key")
+
+
+@query(f"WITH {ENV}, {_DUE}, {_PAUSES} SELECT sequence, d.key, due + CAST(30 * {HOUR_NS} * (SELECT count(*) FROM p WHERE p.key = d.key AND from_ns - CASE from_ns // {HOUR_NS} WHEN 24 THEN 0 WHEN 100 THEN 30 ELSE 60 END * {HOUR_NS} <= due) AS BIGINT) AS release_ns FROM d")
+def replay_paused_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A paused clock: resumed, distances are as they were recorded."""
+    due = replay.original_timing(events(spark, sf_dir), "key").select("sequence", "key", "release_ns")
+    return replay.paused(due, _pauses(spark, sf_dir), "key", keep_distances=True)
+
+
 @query(f"WITH {ENV} SELECT sequence, (row_number() OVER (ORDER BY sequence) - 1) // 100 * 3000000 AS release_ns FROM env")
 def replay_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.burst(events(spark, sf_dir), 100, 2_500_000, 1_000_000).select("sequence", "release_ns")
@@ -439,7 +464,7 @@ def _metrics_sql(rows: dict[str, tuple[str, str]], source: str) -> str:
 
 @query(
     f"WITH {ENV}, p AS (SELECT suspect, price < 1000 AS refused, CASE WHEN suspect THEN 20 ELSE 42 + strlen(payload) END AS b, (row_number() OVER (ORDER BY sequence) - 1) // 64 AS batch FROM env), "
-    "g AS (SELECT count(*) AS n, sum(b) AS b, sum(CAST(suspect AS INT)) AS f, sum(CAST(refused AS INT)) AS r FROM p GROUP BY batch) "
+    "g AS (SELECT batch, count(*) AS n, sum(b) AS b, sum(CAST(suspect AS INT)) AS f, sum(CAST(refused AS INT)) AS r FROM p GROUP BY batch) "
     + _metrics_sql(
         {
             "net.packets_received": ("counter", "SELECT sum(n) FROM g"),
@@ -447,6 +472,7 @@ def _metrics_sql(rows: dict[str, tuple[str, str]], source: str) -> str:
             "net.bytes_received": ("counter", "SELECT sum(b) FROM g"),
             "net.batches_polled": ("counter", "SELECT count(*) FROM g"),
             "net.batch_size": ("histogram", "SELECT median(n) FROM g"),
+            "net.rx_ring_occupancy": ("gauge", "SELECT max_by(n, batch) / 64.0 FROM g"),
             "net.parse_failures": ("counter", "SELECT sum(f) FROM g"),
             "net.sink_write_failures": ("counter", "SELECT sum(r) FROM g"),
         },
@@ -495,6 +521,32 @@ def metrics_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.memory(_ticked(spark, sf_dir), 4, 8)
 
 
+@query(
+    f"WITH {ENV}, r AS (SELECT *, schema_id % 2 + 1 AS s, (row_number() OVER (ORDER BY sequence) - 1) // 100 AS b FROM env), k AS (SELECT *, row_number() OVER (PARTITION BY b, s ORDER BY sequence) AS i FROM r) "
+    + _metrics_sql(
+        {
+            "runtime.steps": ("counter", "SELECT count(DISTINCT b) FROM k"),
+            "runtime.messages_out": ("counter", "SELECT count(*) FROM k WHERE i <= 30"),
+            "runtime.messages_dropped": ("counter", "SELECT count(*) FROM k WHERE i > 30"),
+            "runtime.backpressure_events": ("counter", "SELECT count(*) FROM k WHERE i > 30"),
+            "runtime.workers": ("gauge", "SELECT 4"),
+        },
+        "",
+    )
+)
+def metrics_runtime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a pipeline of batches of 100 reports, whose sinks take 30 rows of each; a row that is dropped met a full sink."""
+    config = RuntimeConfig(batch_size=100, capacity=30, backpressure="drop_newest")
+    made = Pipeline().read(events(spark, sf_dir)).route(lambda df: df.withColumn("sink_id", (F.col("schema_id") % 2 + 1).cast("long"))).configured(config)
+    return metrics.runtime(made.routed(), 100, F.col("sink_id") == 0, workers=4)
+
+
+@query(f"WITH {ENV}, {_DUE} SELECT 'storage.replay_lag_ns' AS metric, 'gauge' AS kind, CAST({24 * 7} * {HOUR_NS} - max(due) AS DOUBLE) AS value FROM d WHERE due <= {24 * 7} * {HOUR_NS}")
+def metrics_replay_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far a replay of all users' events lags behind its clock after a week."""
+    return metrics.storage_replay(replay.original_timing(events(spark, sf_dir), "key"), 24 * 7 * HOUR_NS)
+
+
 @query(f"WITH {ENV}, t AS (SELECT schema_id, ts_ns // {HOUR_NS} AS tick, count(*) AS n FROM env GROUP BY 1, 2), c AS (SELECT CAST(schema_id AS INTEGER) AS schema_id, tick, CAST(sum(n) OVER (PARTITION BY schema_id ORDER BY tick) AS BIGINT) AS total FROM t) SELECT schema_id, tick, total, CAST(total - coalesce(lag(total) OVER (PARTITION BY schema_id ORDER BY tick), 0) AS BIGINT) AS delta FROM c")
 def pps_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_tick = _ticked(spark, sf_dir).groupBy("schema_id", "tick").agg(F.count("*").alias("n"))
