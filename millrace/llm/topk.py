@@ -53,18 +53,33 @@ class Metric:
     """Inner products as distances: x gets one more component that brings it to the largest norm, a query gets 0 there.
 
     Then |q - x|^2 = |q|^2 + top - 2 <q, x>: nearest is largest product, and the triangle inequality holds.
+    Vectors so large that squares would leave the doubles are scaled by 2^-``shift`` first, all of them alike;
+    ``top`` is in that scale, and so are the scores that bounds are taken from (near()). What is far smaller
+    than the largest then lies within the slack of everything: its bounds spare nothing, and lose nothing.
     """
 
-    def __init__(self, top: float) -> None:
-        self.top, self.slack = top, _SLACK * np.sqrt(top)
+    def __init__(self, top: float, shift: int = 0) -> None:
+        self.top, self.shift, self.unit, self.slack = top, shift, 2.0**-shift, _SLACK * np.sqrt(top)
+
+    @staticmethod
+    def shift_of(most: float) -> int:
+        """The shift for components of up to ``most``: none while squares and their sums are far from the end of the doubles."""
+        return int(np.frexp(most)[1]) if most >= 2.0**400 else 0
 
     def extended(self, v: np.ndarray) -> np.ndarray:
+        v = v * self.unit
         norm = np.einsum("ij,ij->i", v, v)
         return np.hstack([v, np.sqrt(np.maximum(self.top - norm, 0.0))[:, None]])
 
-    @staticmethod
-    def flat(q: np.ndarray) -> np.ndarray:
-        return np.hstack([q, np.zeros((len(q), 1))])
+    def flat(self, q: np.ndarray) -> np.ndarray:
+        return np.hstack([q * self.unit, np.zeros((len(q), 1))])
+
+    def near(self, score: np.ndarray) -> np.ndarray:
+        """Products as doubles in the scale of the bounds; they never change places."""
+        if score.dtype != object:
+            return score * (self.unit * self.unit)
+        whole = 1 << 2 * self.shift
+        return np.array([int(x) / whole for x in score], float)
 
     @staticmethod
     def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -72,7 +87,8 @@ class Metric:
         return np.sqrt(np.maximum(d, 0.0))
 
     def reach(self, q: np.ndarray, score: np.ndarray) -> np.ndarray:
-        """The distance within which all products of ``score`` or more lie; without a score everything lies within."""
+        """The distance within which all products of ``score`` (see near()) or more lie; without a score everything lies within."""
+        q = q * self.unit
         norm = np.einsum("ij,ij->i", q, q)
         d = np.sqrt(np.maximum(norm + self.top - 2 * np.where(np.isfinite(score), score, 0), 0.0))
         return np.where(np.isfinite(score) & np.isfinite(d), d + self.slack + _SLACK * np.sqrt(norm), np.inf)
@@ -87,6 +103,14 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.array([sum(a * int(b) for a, b in zip(own, row, strict=True)) for row in x.tolist()], object)
 
 
+def _beyond(score: int) -> str | None:
+    """Of a product beyond 64 bits, a text that sorts as the products do (of one sign); else null."""
+    if -(1 << 63) <= score < 1 << 63:
+        return None
+    digits = str(abs(score))
+    return f"{len(digits):05d}{digits}" if score > 0 else f"{99_999 - len(digits):05d}" + "".join(str(9 - int(c)) for c in digits)
+
+
 @dataclass
 class Tree:
     """Routing levels: top pivots over leaf pivots, which hold the distance to their parent; leaves' covering radii."""
@@ -132,8 +156,9 @@ def search(table: DataFrame, is_query: F.Column, settings: Settings = Settings()
 
     Candidates are all rows but those with the query's own vec_id. Vectors meet
     only vectors of their own length. Repeated rows are candidates, and ask, each
-    for itself. A product beyond 64 bits is ranked as it is and returned as the
-    nearest 64-bit number. Other columns are ignored; an empty table gives no rows.
+    for itself. Finite components of any size take part. A product beyond 64 bits
+    is ranked as it is and returned as the nearest 64-bit number. Each length of
+    vectors is searched by itself, one after the other. Other columns are ignored; an empty table gives no rows.
 
     The tree: vectors go down routing pivots (a bounded sample, broadcast); a node
     of more than a page is split by pivots of its own, level by level, until
@@ -174,7 +199,15 @@ def _split(entries: DataFrame, sizes: DataFrame, metric: Metric, settings: Setti
     key = F.xxhash64("vec_id", F.lit(level))
     picked = own.withColumn("rank", F.row_number().over(W.partitionBy("node").orderBy(key, "vec_id", "v"))).filter(F.col("rank") <= settings.fanout)
     heads = picked.groupBy("node").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("rank", "v", "dist"))).alias("pivots"))
-    heads = common.cut(heads.withColumn("alike", F.size(F.array_distinct("pivots.v")) == 1), "pivots")
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pivots within the slack of each other part nothing."""
+        for b in batches:
+            pivots = [metric.extended(_matrix(x.values.field("v"))) for x in b.column("pivots")]
+            alike = [bool(Metric.distances(x, x).max(initial=0) <= metric.slack) for x in pivots]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(alike, pa.bool_())], [*b.schema.names, "alike"])
+
+    heads = common.cut(heads.mapInArrow(told, "node string, n long, pivots array<struct<rank: int, v: array<double>, dist: double>>, alike boolean"), "pivots")
     parts = F.ceil(F.col("n") / settings.deal).cast("int")
     head_rows = heads.select("node", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("kind"), "n", "alike", "pivots.v", F.lit(None).cast("long").alias("vec_id"))
     entry_rows = own.select("node", F.pmod(F.xxhash64("vec_id", F.lit(7)), parts).cast("int").alias("part"), F.lit(1).alias("kind"), "n", F.lit(False).alias("alike"), F.array("v").alias("v"), "vec_id")
@@ -209,8 +242,11 @@ def _split(entries: DataFrame, sizes: DataFrame, metric: Metric, settings: Setti
 
 def _search(given: DataFrame, queries: DataFrame, settings: Settings, computed: Accumulator | None) -> DataFrame:
     spark, k = given.sparkSession, settings.k
-    top = given.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))).first()[0]
-    metric = Metric(top)
+    largest = lambda df: df.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 0.0
+    shift = Metric.shift_of(max(largest(given), largest(queries)))
+    in_unit = lambda a, c: a + (c * 2.0**-shift) * (c * 2.0**-shift)
+    top = given.agg(F.max(F.aggregate("v", F.lit(0.0), in_unit))).first()[0]
+    metric = Metric(top, shift)
     # The sample is held by a hash of the id, so reruns agree.
     picked = given.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(settings.pivots).select("v").toArrow()
     tree = build_tree(metric.extended(_matrix(picked.column("v").combine_chunks())))
@@ -230,16 +266,13 @@ def _search(given: DataFrame, queries: DataFrame, settings: Settings, computed:
     while True:
         fit = sizes.filter(F.col("n") <= settings.page).select("node")
         ready.append(entries.join(common.small(fit), "node"))
-        if sizes.filter(F.col("n") > settings.page).limit(1).count() == 0 or len(levels) == 40:
+        if sizes.filter(F.col("n") > settings.page).limit(1).count() == 0:  # ends: pivots that are not alike part their node
             break
         entries, sizes = _split(entries, sizes, metric, settings, len(levels))
         levels.append(sizes)
     at_pages = ready[0]
     for more in ready[1:]:
         at_pages = at_pages.unionByName(more)
-    if len(levels) == 40:  # vectors that no pivots part: whatever is left is dealt by hash
-        at_pages = at_pages.unionByName(entries.join(common.small(sizes.filter(F.col("n") > settings.page).select("node")), "node"))
-
     def pack(page: pa.Table) -> pa.Table:
         dist = page.column("dist").to_numpy()
         order = np.argsort(dist, kind="stable")
@@ -276,15 +309,15 @@ def _search(given: DataFrame, queries: DataFrame, settings: Settings, computed:
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         """Distances of queries to the pivots of nodes that the parent's distance has not ruled out."""
-        flat, pivot = metric.flat(_matrix(batch.column("v"))), metric.extended(_matrix(batch.column("pivot")))
-        reach = metric.reach(flat[:, :-1], batch.column("least").to_numpy(zero_copy_only=False).astype(float))
+        q, pivot = _matrix(batch.column("v")), metric.extended(_matrix(batch.column("pivot")))
+        flat, reach = metric.flat(q), metric.reach(q, batch.column("least").to_numpy(zero_copy_only=False).astype(float))
         dq = np.sqrt(np.maximum(np.einsum("ij,ij->i", flat, flat) + np.einsum("ij,ij->i", pivot, pivot) - 2 * np.einsum("ij,ij->i", flat, pivot), 0))
         bound = dq - batch.column("radius").to_numpy()
         keep = pa.array(~(bound > reach + metric.slack))
         return pa.RecordBatch.from_arrays([batch.column("q").filter(keep), batch.column("node").filter(keep), pa.array(dq).filter(keep), pa.array(bound).filter(keep)], ["q", "node", "dq", "bound"])
 
     # The reach of a query as a column, with the slack of both its ends; without end where it has no score yet.
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), in_unit))
     reached = F.sqrt(F.greatest(norm * norm + F.lit(top) - 2 * F.col("least"), F.lit(0.0))) + F.lit(3 * float(metric.slack)) + 2 * _SLACK * norm
     found_schema = "q long, node string, dq double, bound double"
 
@@ -320,11 +353,11 @@ def _search(given: DataFrame, queries: DataFrame, settings: Settings, computed:
                     s, own = products(q[i], x[lo[i] : hi[i]]), ids[lo[i] : hi[i]]
                     if computed is not None:
                         computed.add(len(own))
-                    at = np.flatnonzero((s >= least[i]) & (own != a["vec_id"]))
+                    at = np.flatnonzero((metric.near(s) >= least[i]) & (own != a["vec_id"]))
                     best = sorted((-int(s[j]), int(own[j])) for j in at.tolist())[:k] if len(at) <= 4 * k or s.dtype == object else [(-int(s[j]), int(own[j])) for j in at[np.lexsort((own[at], -s[at]))[:k]].tolist()]
-                    out += [(a["q"], i_, min(max(-s_, -(1 << 63)), (1 << 63) - 1), float(-s_), n) for n, (s_, i_) in enumerate(best)]
-            names = ("q", "vec_id", "score", "near", "nth")
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32()))], list(names))
+                    out += [(a["q"], i_, min(max(-s_, -(1 << 63)), (1 << 63) - 1), -s_ / (1 << 2 * metric.shift), _beyond(-s_), n) for n, (s_, i_) in enumerate(best)]
+            names = ("q", "vec_id", "score", "near", "beyond", "nth")
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.int32()))], list(names))
 
     def visits(pairs: DataFrame, asked: DataFrame) -> DataFrame:
         """What queries find in the pages of ``pairs`` (q, node, dq): k rows a query and page at most."""
@@ -332,13 +365,13 @@ def _search(given: DataFrame, queries: DataFrame, settings: Settings, computed:
         count = held.groupBy("node").agg(F.count("*").alias("m"))
         blocks = held.join(common.small(count), "node").withColumn("block", F.col("block") % F.ceil(F.col("m") / settings.queries))
         met = blocks.groupBy("node", "block").agg(F.collect_list(F.struct("q", "vec_id", "v", "least", "dq")).alias("asked"))
-        return met.join(pages, "node").select("ids", "dists", "vectors", "asked").mapInArrow(visit, "q long, vec_id long, score long, near double, nth int")
+        return met.join(pages, "node").select("ids", "dists", "vectors", "asked").mapInArrow(visit, "q long, vec_id long, score long, near double, beyond string, nth int")
 
-    by_rank = W.partitionBy("q").orderBy(F.desc("near"), F.desc("score"), "vec_id")
+    by_rank = W.partitionBy("q").orderBy(F.desc("near"), F.desc("score"), F.desc("beyond"), "vec_id")
 
     def best(found: DataFrame) -> DataFrame:
         """The k best of each query: the window drops the rest before the shuffle."""
-        return found.withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= k).select("q", "vec_id", "score", "near", "rank")
+        return found.withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= k).select("q", "vec_id", "score", "near", "beyond", "rank")
 
     def bounded(found: DataFrame, before: DataFrame) -> DataFrame:
         """The queries with the score that each is sure to reach, and the distance that goes with it."""

@@ -451,3 +451,21 @@ def test_blocks_follow_shingles(spark):
     want = brute.jaccard(rows, 4, 85)
     for s in (jaccard.Settings(), jaccard.Settings(shingles=2_000), jaccard.Settings(block=7, shingles=100)):
         assert Counter((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard.join(df, s).collect()) == want
+
+
+@pytest.mark.parametrize("huge", [[1e200, -1e200, 1e140], [1.7e305] * 3])
+def test_top_k_of_huge_vectors(spark, huge):
+    """Finite vectors of any norm among ordinary ones: exact, for ordinary and for huge queries."""
+    r = np.random.default_rng(8)
+    v = np.round(r.normal(size=(160, 4)), 3)
+    for i, x in enumerate(huge):
+        v[50 * (i + 1) if i % 2 == 0 else 50 * i + 7] = [x, 1.0, -x / 3, 0.5]
+    v[11] = v[50]
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    whole = [[int(np.floor(256 * c)) for c in row] for row in v.tolist()]
+    want = []
+    for q in range(0, 160, 50):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], x, strict=True)), i) for i, x in enumerate(whole) if i != q)[:5]
+        want += [(q, k + 1, i, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for k, (s, i) in enumerate(scores)]
+    for settings in (topk.Settings(), topk.Settings(pivots=8, page=20, fanout=4, deal=50, first=2)):
+        assert sorted(map(tuple, topk.search(df, topk.every_nth(50), settings).collect())) == want
