@@ -30,17 +30,28 @@ def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if n <= most else df
 
 
-def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``f`` over each Arrow batch; batches for which it returns None give no rows."""
+def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, most: int | None = None) -> DataFrame:
+    """``f`` over each Arrow batch, or slices of it of about ``most`` bytes (a larger row alone); where it returns None there are no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows and (out := f(b)) is not None:
-                yield out
+            for part in slices(b, most) if most else (b,):
+                if part.num_rows and (out := f(part)) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``most`` bytes, halved until they fit; what is made of a slice is then bounded as well."""
+    if batch.num_rows > 1 and batch.nbytes > most:
+        half = batch.num_rows // 2
+        yield from slices(batch.slice(0, half), most)
+        yield from slices(batch.slice(half), most)
+    else:
+        yield batch
+
+
 def frequent(df: DataFrame, n: str, most: int) -> DataFrame:
     """The rows of ``df`` with the largest ``n``, ``most`` at most: all above a bound found from counts by size.
 

@@ -18,6 +18,10 @@ from .components import components
 from .shingles import mix, shingle_set
 
 
+#: Bytes of text whose sets and hashes a task makes at once.
+SLICE = 4 << 20
+
+
 @dataclass(frozen=True)
 class Settings:
     """Shingles of ``k`` words; link at 100 * intersection >= percent * union; ``block`` and ``shingles``: sets, and shingles
@@ -87,7 +91,7 @@ def document_sets(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(full, pa.binary()), pa.array(node, pa.int64())], ["doc_id", "text_hash", "n_shingles", "set_hash", "node"])
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    return common.map_arrow(given, run, "doc_id long, text_hash long, n_shingles long, set_hash binary, node long")
+    return common.map_arrow(given, run, "doc_id long, text_hash long, n_shingles long, set_hash binary, node long", SLICE)
 
 
 def _node(s: np.ndarray) -> int:
@@ -152,7 +156,7 @@ def candidate_groups(docs: DataFrame, settings: Settings, text: str = "text") ->
                 key = np.unique(np.stack([scheme[tie].astype(np.int64), node[tie], lead[tie]]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(key[0].astype(np.int32)), pa.array(key[1]), pa.array(key[2])], ["scheme", "x", "y"])
 
-    sent = common.map_arrow(docs.select(F.col(text).alias("text")), emit, "sig long, node long, scheme int")
+    sent = common.map_arrow(docs.select(F.col(text).alias("text")), emit, "sig long, node long, scheme int", 2 * SLICE)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = sent.repartition(n, "sig").sortWithinPartitions("sig", "node").mapInArrow(ties, "scheme int, x long, y long").distinct()
     # A node of the tie graph is a set in a scheme: its hash with the scheme mixed in.
@@ -344,7 +348,7 @@ def _links(docs: DataFrame, groups: DataFrame, classes: DataFrame, settings: Set
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()  # a task hands on each set once, however often its text is repeated
-        for batch in batches:
+        for batch in (part for b in batches for part in common.slices(b, SLICE)):
             data, full = [], []
             for t in batch.column("text").to_pylist():
                 s = shingle_set(t, k)

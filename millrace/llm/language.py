@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from . import common
 
 UNKNOWN = "und"
+#: Bytes of text that a task looks at at once.
+SLICE = 8 << 20
 #: Runs of letters are words; digits, marks and signs say nothing about a language.
 _WORD = regex.compile(r"\p{L}+")
 
@@ -171,7 +173,7 @@ def predict(docs: DataFrame, model: Model, columns: dict[str, str] | None = None
         return pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*columns, "lang_pred", "score"])
 
     given = docs.select(*columns, F.col(text).alias("__text"))
-    return common.map_arrow(given, run, ", ".join([*[f"`{c}` {t}" for c, t in columns.items()], "lang_pred string, score double"]))
+    return common.map_arrow(given, run, ", ".join([*[f"`{c}` {t}" for c, t in columns.items()], "lang_pred string, score double"]), SLICE)
 
 
 #: Of three folds by crc32 of the doc_id as text, the one held out.
@@ -214,7 +216,7 @@ def keep_known(docs: DataFrame, settings: Settings = Settings(), least: float =
         got = [scorer.text(t) for t in batch.column("text").to_pylist()]
         return batch.filter(pa.array([g[0] != UNKNOWN and g[1] >= least for g in got], pa.bool_()))
 
-    return common.map_arrow(docs, run, docs.schema)
+    return common.map_arrow(docs, run, docs.schema, SLICE)
 
 
 def crc32_fold(doc_id: int, n: int) -> int:
