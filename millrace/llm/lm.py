@@ -512,11 +512,12 @@ def score(docs: DataFrame, learn: F.Column, settings: Settings = Settings(), tex
     counts are a table, of which the ``hot`` most frequent words reach the tasks
     by broadcast and the rest by a join of (word, document, frequency) rows. The
     score comes from the mixer: texts are coded byte by byte as decisions of a
-    prefix code; for each, predictors in contexts of several orders, counted over
-    all training texts, are combined by weights that the decision's gate picks
-    and refined by a table of what came true. Weights and table begin alike for
-    every ``window`` of a text and move after each of its decisions; contexts go
-    on across windows. Both scores are log10 probabilities of the tokens; the
+    prefix code; for each, two predictors (in the context of the four bytes before,
+    and of the word so far), counted over all training texts, are combined by
+    weights that the decision's gate picks and refined by a scale and a shift.
+    Weights and refinement begin alike for every ``window`` bytes of a text, and
+    at the pieces of a text that is longer than a unit, and move after each
+    decision; contexts go on across windows. Both scores are log10 probabilities of the tokens; the
     mixer's text is the words with one blank between and an end mark.
 
     Null text is empty: one token, the end. Without any training row N and V are
