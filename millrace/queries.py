@@ -15,6 +15,7 @@ from .operators import batches, faults, framing, metrics, pacing, queueing, repl
 from .plans import scenario
 from .plans.pipeline import Pipeline, RuntimeConfig
 from .sources import files, pcap
+from .streaming import pipelines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -601,3 +602,22 @@ def session_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     out = rows.groupBy("user_id", F.session_window("ts", "1 hour")).agg(F.count("*").alias("n"))
     return out.select("user_id", F.unix_micros("session_window.start").alias("start_us"), "n")
+
+
+@query(
+    """WITH b AS (SELECT event_type, ts, event_id * 4 // (SELECT max(event_id) + 1 FROM events) AS k, (epoch_us(ts) // 21600000000 + 1) * 21600000 AS window_end FROM events),
+    m AS (SELECT k, max(epoch_us(ts)) // 1000 - 86400000 AS seen FROM b GROUP BY k),
+    w AS (SELECT k, max(seen) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM m)
+    SELECT event_type, window_end, count(*) AS n FROM b JOIN w USING (k) WHERE (mark IS NULL OR window_end > mark) AND window_end <= (SELECT max(seen) FROM m) GROUP BY 1, 2"""
+)
+def late_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream in four parts, a query each from one checkpoint: counts by six hours and type, rows over a day late are dropped, windows come out when they are closed."""
+    given = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    parts = given.agg(F.max("event_id") + 1).first()[0]
+    folder = lineage.new_path(spark, "late")
+    for k in range(4):
+        given.filter(F.floor(F.col("event_id") * 4 / parts) == k).drop("event_id").write.mode("append").parquet(f"{folder}/in")
+        rows = spark.readStream.schema("event_type string, ts timestamp").parquet(f"{folder}/in")
+        counts = pipelines.windowed_counts(rows, "ts", "6 hours", "1 day", ["event_type"]).select("event_type", F.unix_millis(F.col("window.end")).alias("window_end"), "n")
+        counts.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.schema("event_type string, window_end long, n long").parquet(f"{folder}/out")

@@ -270,7 +270,8 @@ def length_prefixed(spark: SparkSession, path: str, prefix: int = 1, max_payload
     gives the way through it from any place that it may be entered at (see
     ways()); the ways of blocks are joined (see entered()), which tells where the
     first record of each block starts and which index it has; then all blocks
-    are framed in parallel. A block has at least as many bytes as a record may have.
+    are framed in parallel. A block has at least as many bytes as a record may
+    have, and the way through it has an entry a byte of these: ``max_payload`` should be near what records have.
     A payload over ``max_payload`` bytes is an error where the file really has it.
     """
     if prefix not in (1, 2, 4):
