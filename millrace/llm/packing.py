@@ -16,6 +16,9 @@ from pyspark.sql import Window as W
 from . import common
 from .tokens import encoder
 
+#: Bytes of text that a task encodes at once.
+SLICE = 8 << 20
+
 
 @dataclass(frozen=True)
 class Run:
@@ -78,9 +81,9 @@ def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 2048, te
         enc, task = encoder(path), common.partition_id()
         seen = np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], enc.wide).tobytes()
-        for batch in batches:
+        for batch in (part for b in batches for part in common.slices(b, SLICE)):
             at, piece, start, length, crc, rank = [], [], [], [], [], []
-            for i, got in enumerate(enc.encode([t or "" for t in batch.column("text").to_pylist()])):
+            for i, got in enumerate(enc.encode([t or "" for t in batch.column("text").to_pylist()], SLICE // 4)):
                 ids = np.frombuffer(got + end, enc.wide).astype("<u4")
                 for p, s in enumerate(range(0, len(ids), capacity)):
                     part = ids[s : s + capacity]
