@@ -20,6 +20,8 @@ from .shingles import mix, shingle_set
 
 #: Bytes of text whose sets and hashes a task makes at once.
 SLICE = 4 << 20
+#: Shingles that a task reads, and pairs of sets that it may meet, when the block pairs of large groups are dealt.
+TASK_SHINGLES, TASK_PAIRS = 4_000_000, 128_000_000
 
 
 @dataclass(frozen=True)
@@ -293,8 +295,9 @@ def join(docs: DataFrame, settings: Settings = Settings(), text: str = "text") -
        see Classes); sets of no group link with none;
     3. in each group, a T-occurrence search with DivideSkip over the group's
        inverted lists finds all links. A group of more than ``block`` sets or
-       ``shingles`` shingles is cut by hash into blocks, and a task gets a pair of blocks: no list, group or
-       hot shingle is ever whole in one task;
+       ``shingles`` shingles is cut by hash into blocks, written once to the
+       shared folder, and a task gets pairs of blocks and reads them: no list,
+       group or hot shingle is ever whole in one task;
     4. a task returns a spanning forest of its verified links and the number of
        links per set, never the pairs; components() joins the forests.
 
@@ -341,10 +344,7 @@ def _placed(docs: DataFrame, sets: DataFrame, settings: Settings, text: str) ->
 def _links(docs: DataFrame, groups: DataFrame, classes: DataFrame, settings: Settings, text: str) -> DataFrame:
     """(cid, root, links) of all search tasks."""
     k, block = settings.k, settings.block
-    # The sets of the groups' members: a text of each class, read again and hashed again, which is cheaper than storing all sets.
-    member = common.cut(classes.join(groups.select("node").distinct(), "node", "left_semi").select("best.doc_id", "set_hash", "cid", "copies", "node", "n_shingles"), "members")
-    wanted = common.small(member.select(F.col("doc_id").alias("__id")).distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("__doc"), F.col(text).alias("text")).join(wanted, F.col("__doc").eqNullSafe(F.col("__id")), "left_semi").select("text")
+    members = classes.select("best.doc_id", "set_hash", "cid", "copies", "node", "n_shingles")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()  # a task hands on each set once, however often its text is repeated
@@ -358,32 +358,72 @@ def _links(docs: DataFrame, groups: DataFrame, classes: DataFrame, settings: Set
                     full.append(h)
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.binary()), pa.array(data, pa.binary())], ["set_hash", "data"])
 
-    # An equal or null doc_id may hold other texts: the set's hash decides.
-    own = texts.mapInArrow(build, "set_hash binary, data binary").join(common.small(member.drop("doc_id", "n_shingles")), "set_hash").drop("set_hash")
-    # Of rows that are all alike, one is enough; each brings the same set, so the search may also see it twice without harm to the forest.
+    def with_sets(placed: DataFrame) -> DataFrame:
+        """``placed`` with cid, copies and set of each node: a text of each class, read again and hashed again, which is cheaper than storing all sets."""
+        member = common.cut(members.join(placed.select("node").distinct(), "node", "left_semi"), "members")
+        wanted = common.small(member.select(F.col("doc_id").alias("__id")).distinct())
+        texts = docs.select(F.col("doc_id").cast("long").alias("__doc"), F.col(text).alias("text")).join(wanted, F.col("__doc").eqNullSafe(F.col("__id")), "left_semi").select("text")
+        # An equal or null doc_id may hold other texts: the set's hash decides.
+        own = texts.mapInArrow(build, "set_hash binary, data binary").join(common.small(member.select("set_hash", "cid", "copies", "node")), "set_hash").drop("set_hash")
+        # Of rows that are all alike, one is enough; the search leaves out what it has met.
+        return placed.join(own, "node").drop("node")
+
     # Blocks follow the shingles as well as the sets: what a task holds does not grow with the length of the texts.
-    weighed = groups.join(common.small(member.select("node", "n_shingles").dropDuplicates(["node"])), "node")
-    count = weighed.groupBy("scheme", "grp").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / settings.shingles)).cast("int").alias("blocks"))
-    sized = groups.join(common.small(count), ["scheme", "grp"])
-    placed = sized.withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
-    # Block pairs (i, j), i <= j, that a set's block takes part in.
-    pairs = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("scheme", "grp", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rows = pairs.join(own, "node").select("scheme", "grp", "i", "j", "block", "cid", "copies", "data")
+    weighed = groups.join(common.small(members.select("node", "n_shingles").dropDuplicates(["node"])), "node")
+    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / settings.shingles)).cast("int")
+    large = common.cut(weighed.groupBy("scheme", "grp").agg(blocks.alias("blocks"), F.count("*").alias("sets"), F.sum("n_shingles").alias("n")).filter("blocks > 1"), "large")
+    pairs, work = large.selectExpr("blocks * (blocks + 1D) / 2 AS p", f"greatest(n * (blocks + 1D) / {TASK_SHINGLES}, sets * (sets + 1D) / 2 / {TASK_PAIRS}) AS w").agg(F.sum("p"), F.sum("w")).first()
     size_classes = Classes(settings.percent)
 
-    def run(table: pa.Table) -> pa.Table:
-        seen, sides = set(), ([], [])
-        scheme, i, j = (table.column(c)[0].as_py() for c in ("scheme", "i", "j"))
-        for b, cid, copies, s in zip(*(table.column(c).to_pylist() for c in ("block", "cid", "copies")), _views(table.column("data")), strict=True):
-            if cid not in seen:
-                seen.add(cid)
-                sides[int(b != i)].append((cid, copies, s))
-        if not sides[0] or (i != j and not sides[1]):
-            return pa.table({"cid": pa.array([], pa.int64()), "root": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
-        got = search_block(sides[0], None if i == j else sides[1], settings.percent, scheme, size_classes)
-        return pa.table(dict(zip(("cid", "root", "links"), map(pa.array, got), strict=True)))
-
-    return rows.groupBy("scheme", "grp", "i", "j").applyInArrow(run, "cid long, root long, links long")
+    def links(scheme: int, left: list[tuple], right: list[tuple] | None) -> dict[str, pa.Array]:
+        if not left or right == []:
+            return {c: pa.array([], pa.int64()) for c in ("cid", "root", "links")}
+        return dict(zip(("cid", "root", "links"), map(pa.array, search_block(left, right, settings.percent, scheme, size_classes)), strict=True))
+
+    def within(table: pa.Table) -> pa.Table:
+        return pa.table(links(table.column("scheme")[0].as_py(), _rows(table), None))
+
+    out = "cid long, root long, links long"
+    fit = groups.join(common.small(large.select("scheme", "grp")), ["scheme", "grp"], "left_anti")
+    found = with_sets(fit).groupBy("scheme", "grp").applyInArrow(within, out)
+    if not pairs:
+        return found
+
+    # Sets of larger groups are written once, a folder a block; tasks get pairs of blocks and read them there, so no set is sent once a pair.
+    folder = common.new_path(docs.sparkSession, "blocks")
+    cut = groups.join(common.small(large.select("scheme", "grp", "blocks")), ["scheme", "grp"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")))
+    part = F.concat_ws("_", "scheme", "grp", "block").alias("part")
+    with_sets(cut.select("node", part)).repartition("part").write.partitionBy("part").parquet(folder)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for scheme, grp, i, j in zip(*(b.column(c).to_pylist() for c in ("scheme", "grp", "i", "j")), strict=True):
+                left, right = (_rows(_block(folder, f"{scheme}_{grp}_{x}")) if x is not None else None for x in (i, None if i == j else j))
+                yield pa.RecordBatch.from_pydict(links(scheme, left, right))
+
+    tasks = min(pairs, max(work, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = large.withColumn("i", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("j", F.explode(F.expr("sequence(i, blocks - 1)")))
+    return found.unionByName(dealt.select("scheme", "grp", "i", "j").repartition(math.ceil(tasks)).mapInArrow(across, out))
+
+
+def _rows(table: pa.Table) -> list[tuple]:
+    """(cid, copies, set) of the sets of a table, each once."""
+    seen: set[int] = set()
+    rows = zip(table.column("cid").to_pylist(), table.column("copies").to_pylist(), _views(table.column("data")), strict=True)
+    return [r for r in rows if not (r[0] in seen or seen.add(r[0]))]
+
+
+def _block(folder: str, part: str) -> pa.Table:
+    """A block's sets from the shared folder; a block that no set was dealt to has no folder."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    from .tokens import _fs
+
+    store, base = _fs(f"{folder}/part={part}")
+    files = sorted(f.path for f in store.get_file_info(fs.FileSelector(base, allow_not_found=True)) if f.path.endswith(".parquet"))
+    schema = pa.schema([("cid", pa.int64()), ("copies", pa.int64()), ("data", pa.binary())])
+    return pa.concat_tables([schema.empty_table(), *(pq.read_table(f, filesystem=store, columns=schema.names, partitioning=None).cast(schema) for f in files)])
 
 
 def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
