@@ -33,7 +33,7 @@ class Settings:
     k: int = 4
     percent: int = 85
     block: int = 16_000
-    shingles: int = 2_000_000
+    shingles: int = 1_000_000
 
 
 class Classes:
@@ -177,6 +177,7 @@ class Lists:
         order = np.argsort(flat, kind="stable")  # owners stay in order within a list
         self.owner = owner[order]
         flat = flat[order]
+        del order, owner
         self.starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
         self.keys = flat[self.starts]
         self.ends = np.append(self.starts[1:], len(flat))
@@ -378,6 +379,7 @@ def _links(docs: DataFrame, groups: DataFrame, classes: DataFrame, settings: Set
     def links(scheme: int, left: list[tuple], right: list[tuple] | None) -> dict[str, pa.Array]:
         if not left or right == []:
             return {c: pa.array([], pa.int64()) for c in ("cid", "root", "links")}
+        common.claim("search", lambda: None)  # the words that this worker remembers are of no use here
         return dict(zip(("cid", "root", "links"), map(pa.array, search_block(left, right, settings.percent, scheme, size_classes)), strict=True))
 
     def within(table: pa.Table) -> pa.Table:
@@ -423,7 +425,7 @@ def _block(folder: str, part: str) -> pa.Table:
     store, base = _fs(f"{folder}/part={part}")
     files = sorted(f.path for f in store.get_file_info(fs.FileSelector(base, allow_not_found=True)) if f.path.endswith(".parquet"))
     schema = pa.schema([("cid", pa.int64()), ("copies", pa.int64()), ("data", pa.binary())])
-    return pa.concat_tables([schema.empty_table(), *(pq.read_table(f, filesystem=store, columns=schema.names, partitioning=None).cast(schema) for f in files)])
+    return pa.concat_tables([schema.empty_table(), *(pq.read_table(f, filesystem=store, columns=schema.names, partitioning=None, use_threads=False, pre_buffer=False).cast(schema) for f in files)])
 
 
 def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
