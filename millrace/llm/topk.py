@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,8 @@ from . import common
 class Settings:
     """k: neighbours; scale: components become floor(scale * x); pivots: routing vectors on top of the tree, a bounded
     sample whose size does not follow the data; page: vectors of a leaf page; fanout: pivots that a fuller node is split
-    by; deal: vectors of one node that a task splits; first: pages that a query visits before its bound is looked at
-    again; queries: queries that meet a page at once.
+    by; deal: vectors of one node that a task splits, and of a block of pages; first: pages that queries visit before
+    their reaches are looked at again; queries: queries of a block, which meet a page at once.
     """
 
     k: int = 5
@@ -151,6 +152,143 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+@dataclass
+class Page:
+    """Entries by their distance to the page's pivot."""
+
+    ids: np.ndarray
+    dists: np.ndarray
+    vectors: bytes
+
+    def matrix(self) -> np.ndarray:
+        return np.frombuffer(self.vectors).reshape(len(self.ids), -1)
+
+
+class Asked:
+    """Some queries (rows with q, vec_id, v and least, a score that each is sure to reach) with the k best that each has met."""
+
+    def __init__(self, rows: list[dict], metric: Metric, k: int) -> None:
+        self.metric, self.k, self.computed = metric, k, 0
+        self.q, self.own, self.v = [r["q"] for r in rows], np.array([r["vec_id"] for r in rows], np.int64), np.array([r["v"] for r in rows])
+        self.least = np.array([r["least"] for r in rows], float)
+        self.best: list[list[tuple[int, int]]] = [[] for _ in rows]
+        self.flat, self.most = metric.flat(self.v), float(np.abs(self.v).max(initial=0)) * self.v.shape[1]
+
+    def visit(self, page: Page, dq: np.ndarray, among: np.ndarray | None = None) -> None:
+        """The queries meet the entries of a page at a distance from its pivot that the triangle inequality allows."""
+        at = np.arange(len(self.q)) if among is None else among
+        reach = self.metric.reach(self.v[at], self.least[at]) + self.metric.slack
+        lo, hi = np.searchsorted(page.dists, dq[at] - reach, "left"), np.searchsorted(page.dists, dq[at] + reach, "right")
+        at, lo, hi = at[lo < hi], lo[lo < hi], hi[lo < hi]
+        if not len(at):
+            return
+        x = page.matrix()
+        if self.most * float(np.abs(x).max(initial=0)) < 2**52:
+            # Queries that are allowed about as many entries are multiplied together; all products are exact.
+            order = np.argsort(hi - lo, kind="stable")
+            for part in np.array_split(order, -(-len(order) // 64)):
+                a, z = int(lo[part].min()), int(hi[part].max())
+                scores = x[a:z] @ self.v[at[part]].T
+                self.computed += scores.size
+                good = (self.metric.near(scores) >= self.least[at[part]]) & (page.ids[a:z, None] != self.own[at[part]])
+                for c in np.flatnonzero(good.any(0)).tolist():
+                    rows = np.flatnonzero(good[:, c])
+                    self._keep(int(at[part[c]]), scores[rows, c], page.ids[a:z][rows])
+        else:
+            for i, a, z in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                scores, ids = products(self.v[i], x[a:z]), page.ids[a:z]
+                self.computed += len(ids)
+                rows = np.flatnonzero((self.metric.near(scores) >= self.least[i]) & (ids != self.own[i]))
+                if len(rows):
+                    self._keep(i, scores[rows], ids[rows])
+
+    def _keep(self, i: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        if len(ids) > 4 * self.k and scores.dtype != object:
+            first = np.lexsort((ids, -scores))[: self.k]
+            scores, ids = scores[first], ids[first]
+        best = self.best[i] = sorted(self.best[i] + [(-int(s), n) for s, n in zip(scores.tolist(), ids.tolist(), strict=True)])[: self.k]
+        if len(best) == self.k:
+            self.least[i] = max(self.least[i], self._near(-best[-1][0]))
+
+    def _near(self, score: int) -> float:
+        return score / (1 << 2 * self.metric.shift)
+
+    def sweep(self, block: pa.Table, tree: Tree, first: int) -> None:
+        """All pages of a block within reach, by their bounds, ``first`` of them before the reaches are looked at again.
+
+        From the routing pivots down, the stored distance to the parent spares
+        the distances to nodes that it alone rules out.
+        """
+        reach = self.metric.reach(self.v, self.least) + self.metric.slack
+        up, met = Metric.distances(self.flat, tree.top), {}
+
+        def below(name: str, d_parent: np.ndarray, alive: np.ndarray, pivot: np.ndarray, radius: float, to_parent: float) -> tuple[np.ndarray, np.ndarray]:
+            """(distances, whether within reach) of a node; distances are known where the parent is within reach and does not rule it out."""
+            if name not in met:
+                at = np.flatnonzero(alive & ~(np.abs(d_parent - to_parent) - radius > reach))
+                d = np.full(len(self.q), np.inf)
+                d[at] = Metric.distances(self.flat[at], pivot[None])[:, 0]
+                met[name] = d, ~(d - radius > reach)
+            return met[name]
+
+        pages, names, ways = [], block.column("node").to_pylist(), block.column("way").to_pylist()
+        everyone = np.ones(len(self.q), bool)
+        for n, (name, way) in enumerate(zip(names, ways, strict=True)):
+            parts = name.split(".")
+            leaf = int(parts[0])
+            radius = float(tree.radius[leaf])
+            d, alive = below(parts[0], up[:, tree.parent[leaf]], everyone, tree.leaves[leaf], radius, float(tree.to_parent[leaf]))
+            for level, node in enumerate(way or []):
+                if not alive.any():
+                    break
+                radius = node["radius"]
+                d, alive = below(".".join(parts[: level + 2]), d, alive, self.metric.extended(np.array([node["pivot"]]))[0], radius, node["to_parent"])
+            if alive.any():
+                pages.append((float((d[alive] - radius).min()), n, d, radius))
+        pages.sort(key=lambda p: p[:2])
+        for at in range(0, len(pages), first):
+            reach = self.metric.reach(self.v, self.least) + self.metric.slack
+            for _, n, d, radius in pages[at : at + first]:
+                among = np.flatnonzero(np.isfinite(d) & ~(d - radius > reach))
+                if len(among):
+                    self.visit(Page(np.frombuffer(block.column("ids")[n].as_buffer(), np.int64), np.frombuffer(block.column("dists")[n].as_buffer()), block.column("vectors")[n].as_buffer()), d, among)
+
+    def found(self) -> list[tuple]:
+        """Rows (q, vec_id, score, near, beyond, nth)."""
+        return [(q, i, min(max(-s, -(1 << 63)), (1 << 63) - 1), self._near(-s), _beyond(-s), n) for q, best in zip(self.q, self.best, strict=True) for n, (s, i) in enumerate(best)]
+
+
+_FOUND = "q long, vec_id long, score long, near double, beyond string, nth int"
+_WAY = "array<struct<pivot: array<double>, radius: double, to_parent: double>>"
+#: Nodes whose ways are broadcast.
+_WAYS = 20_000
+
+
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["q", "vec_id", "score", "near", "beyond", "nth"])
+
+
+def _in_blocks(rows: DataFrame, n: int, name: str, *by: str) -> str:
+    """Rows written to the shared folder by ranges of ``by``, a folder a block; returns the folder."""
+    folder = common.new_path(rows.sparkSession, name)
+    rows.repartitionByRange(max(1, n), *by).withColumn("block", F.spark_partition_id()).write.partitionBy("block").parquet(folder)
+    return folder
+
+
+def _block(folder: str, block: int, columns: list[str]) -> pa.Table:
+    """A block as a table; one that no row was dealt to has no folder."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    from .tokens import _fs
+
+    store, base = _fs(f"{folder}/block={block}")
+    files = sorted(f.path for f in store.get_file_info(fs.FileSelector(base, allow_not_found=True)) if f.path.endswith(".parquet"))
+    parts = [pq.read_table(f, filesystem=store, columns=columns, partitioning=None, use_threads=False, pre_buffer=False) for f in files]
+    return pa.concat_tables(parts) if parts else pa.table({c: [] for c in columns})
+
+
 def search(table: DataFrame, is_query: F.Column, settings: Settings = Settings(), computed: Accumulator | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: for each query row its k largest integer inner products, ties to the smaller vec_id.
 
@@ -166,12 +304,16 @@ def search(table: DataFrame, is_query: F.Column, settings: Settings = Settings()
     distance of its pivot to its parent's, and a page its entries by distance to
     its pivot. The search is best first, in steps that all queries take
     together: down to the page nearest to the query, which gives a score that
-    it is sure to reach; then over the nodes that lie within that reach, where
-    the stored distance to the parent spares the distances to nodes that it
-    alone rules out; the pages found are visited in the order of their bounds,
-    ``first`` of them before the reach is tightened and the others measured
-    against it. In a page only entries are multiplied whose stored distance the
-    triangle inequality allows. All bounds are safe, so results are exact.
+    it is sure to reach. Pages are written in blocks, and queries, those with near
+    pages side by side, in blocks too; a task takes a block of queries through
+    blocks of pages, over the nodes that lie within reach, where the stored
+    distance to the parent spares the distances to nodes that it alone rules
+    out; the pages found are visited in the order of their bounds, and every
+    ``first`` pages the reaches are tightened. In a page only entries are
+    multiplied whose stored distance the triangle inequality allows for some of
+    the queries that it is multiplied with. All bounds are safe, so results are
+    exact. What a query may meet is neither written nor shuffled, only the k best
+    of each task, so disk follows vectors and queries and not their pairs.
     ``computed`` adds up the products that were computed.
     """
     spark = table.sparkSession
@@ -279,93 +421,65 @@ def _search(given: DataFrame, queries: DataFrame, settings: Settings, computed:
         v = _matrix(page.column("v").combine_chunks())[order]
         return pa.table({"node": page.column("node")[:1], "dists": pa.array([dist[order].tobytes()], pa.binary()), "ids": pa.array([page.column("vec_id").to_numpy()[order].tobytes()], pa.binary()), "vectors": pa.array([np.ascontiguousarray(v).tobytes()], pa.binary())})
 
-    pages = common.cut(at_pages.groupBy("node").applyInArrow(pack, "node string, dists binary, ids binary, vectors binary"), "pages")
-
-    def routes(nearest_only: bool):
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            """(q, node, dq, bound): each query and the nodes under the routing pivots that are nearest, or within its reach."""
-            t, q = known.value, _matrix(batch.column("v"))
-            flat = metric.flat(q)
-            reach = metric.reach(q, batch.column("least").to_numpy(zero_copy_only=False).astype(float))
-            if nearest_only:
-                d = Metric.distances(flat, t.leaves)
-                d[:, np.isinf(t.radius)] = np.inf
-                rows, cols = np.arange(len(q)), d.argmin(1)
-                dq = d[rows, cols]
-            else:
-                # The stored distance to the parent spares the distance to leaves that it alone rules out.
-                up = Metric.distances(flat, t.top)
-                near = np.isfinite(t.radius)[None] & ~(np.abs(up[:, t.parent] - t.to_parent[None]) - t.radius[None] > reach[:, None] + metric.slack)
-                rows, cols = np.nonzero(near)
-                dq = np.empty(len(rows))
-                for c in np.unique(cols):
-                    at = np.flatnonzero(cols == c)
-                    dq[at] = Metric.distances(flat[rows[at]], t.leaves[c : c + 1])[:, 0]
-            bound = dq - t.radius[cols]
-            keep = ~(bound > reach[rows] + metric.slack)
-            return pa.RecordBatch.from_arrays([batch.column("q").take(pa.array(rows[keep])), pa.array([str(c) for c in cols[keep].tolist()], pa.string()), pa.array(dq[keep]), pa.array(bound[keep])], ["q", "node", "dq", "bound"])
-
-        return run
+    # Pages lie in blocks of about ``deal`` vectors, each with the nodes on its way down from its routing pivot.
+    ways, above = [], None
+    for nodes in levels:
+        own = nodes.select("node", "parent", F.array(F.struct("pivot", "radius", "to_parent")).alias("own"))
+        above = own.select("node", F.col("own").alias("way")) if above is None else own.join(common.small(above.withColumnRenamed("node", "parent"), most=_WAYS), "parent").select("node", F.concat("way", "own").alias("way"))
+        ways.append(above)
+    n_blocks = -(-given.count() // settings.deal)
+    packed = at_pages.groupBy("node").applyInArrow(pack, "node string, dists binary, ids binary, vectors binary")
+    with_way = packed.withColumn("way", F.lit(None).cast(_WAY))
+    if ways:
+        with_way = packed.join(common.small(reduce(DataFrame.unionByName, ways), most=_WAYS), "node", "left")
+    folder = _in_blocks(with_way, n_blocks, "pages", "node")
+    pages = spark.read.schema(f"node string, dists binary, ids binary, vectors binary, way {_WAY}").parquet(folder)
+
+    def routes(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """(q, node, dq): each query and the node under the routing pivots that is nearest."""
+        t, flat = known.value, metric.flat(_matrix(batch.column("v")))
+        d = Metric.distances(flat, t.leaves)
+        d[:, np.isinf(t.radius)] = np.inf
+        near = d.argmin(1)
+        return pa.RecordBatch.from_arrays([batch.column("q"), pa.array([str(c) for c in near.tolist()], pa.string()), pa.array(d[np.arange(len(d)), near])], ["q", "node", "dq"])
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """Distances of queries to the pivots of nodes that the parent's distance has not ruled out."""
-        q, pivot = _matrix(batch.column("v")), metric.extended(_matrix(batch.column("pivot")))
-        flat, reach = metric.flat(q), metric.reach(q, batch.column("least").to_numpy(zero_copy_only=False).astype(float))
+        """Distances of queries to the pivots of nodes."""
+        flat, pivot = metric.flat(_matrix(batch.column("v"))), metric.extended(_matrix(batch.column("pivot")))
         dq = np.sqrt(np.maximum(np.einsum("ij,ij->i", flat, flat) + np.einsum("ij,ij->i", pivot, pivot) - 2 * np.einsum("ij,ij->i", flat, pivot), 0))
-        bound = dq - batch.column("radius").to_numpy()
-        keep = pa.array(~(bound > reach + metric.slack))
-        return pa.RecordBatch.from_arrays([batch.column("q").filter(keep), batch.column("node").filter(keep), pa.array(dq).filter(keep), pa.array(bound).filter(keep)], ["q", "node", "dq", "bound"])
-
-    # The reach of a query as a column, with the slack of both its ends; without end where it has no score yet.
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), in_unit))
-    reached = F.sqrt(F.greatest(norm * norm + F.lit(top) - 2 * F.col("least"), F.lit(0.0))) + F.lit(3 * float(metric.slack)) + 2 * _SLACK * norm
-    found_schema = "q long, node string, dq double, bound double"
-
-    def descend(asked: DataFrame, nearest_only: bool) -> DataFrame:
-        """(q, node, dq, bound) of the pages to visit: ``asked`` has q, vec_id, v and least."""
-        now = common.cut(common.map_arrow(asked, routes(nearest_only), found_schema), "frontier")
+        return pa.RecordBatch.from_arrays([batch.column("q"), batch.column("node"), pa.array(dq)], ["q", "node", "dq"])
+
+    def nearest(asked: DataFrame) -> DataFrame:
+        """(q, node, dq) of the page at the end of each query's way down the nearest nodes."""
+        now = common.cut(common.map_arrow(asked.select("q", "v"), routes, "q long, node string, dq double"), "frontier")
         out = now
         for nodes in levels:
-            below = nodes.select(F.col("parent").alias("node_up"), "node", "pivot", "to_parent", "radius")
-            met = now.select("q", F.col("node").alias("node_up"), "dq").join(below, "node_up").join(common.small(asked.select("q", "v", "least")), "q")
-            # |q - pivot| is no less than the difference of the two distances to the parent's pivot.
-            ruled_out = F.abs(F.col("dq") - F.col("to_parent")) - F.col("radius") > reached
-            now = common.cut(common.map_arrow(met.filter(~ruled_out | F.isnan(reached)).select("q", "v", "least", "node", "pivot", "radius"), measure, found_schema), "frontier")
-            if nearest_only:
-                now = common.cut(now.groupBy("q").agg(F.min_by(F.struct("node", "dq", "bound"), "dq").alias("x")).select("q", "x.*"), "frontier")
+            below = nodes.select(F.col("parent").alias("node_up"), "node", "pivot")
+            met = now.select("q", F.col("node").alias("node_up")).join(below, "node_up").join(common.small(asked.select("q", "v")), "q")
+            now = common.map_arrow(met.select("q", "v", "node", "pivot"), measure, "q long, node string, dq double")
+            now = common.cut(now.groupBy("q").agg(F.min_by(F.struct("node", "dq"), "dq").alias("x")).select("q", "x.*"), "frontier")
             out = out.unionByName(now)
-        return out.join(common.small(pages.select("node")), "node", "left_semi").select("q", "node", "dq", "bound")
+        return out.join(common.small(pages.select("node")), "node", "left_semi").select("q", "node", "dq")
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for r in batch.to_pylist():
-                ids, dists = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["dists"])
-                x = np.frombuffer(r["vectors"]).reshape(len(ids), -1)
-                q = np.array([a["v"] for a in r["asked"]])
-                least = np.array([a["least"] for a in r["asked"]])
-                reach, dq = metric.reach(q, least), np.array([a["dq"] for a in r["asked"]])
-                # Only entries at a distance from the pivot that the triangle inequality allows.
-                lo, hi = np.searchsorted(dists, dq - reach - metric.slack, "left"), np.searchsorted(dists, dq + reach + metric.slack, "right")
-                for i, a in enumerate(r["asked"]):
-                    if lo[i] >= hi[i]:
-                        continue
-                    s, own = products(q[i], x[lo[i] : hi[i]]), ids[lo[i] : hi[i]]
-                    if computed is not None:
-                        computed.add(len(own))
-                    at = np.flatnonzero((metric.near(s) >= least[i]) & (own != a["vec_id"]))
-                    best = sorted((-int(s[j]), int(own[j])) for j in at.tolist())[:k] if len(at) <= 4 * k or s.dtype == object else [(-int(s[j]), int(own[j])) for j in at[np.lexsort((own[at], -s[at]))[:k]].tolist()]
-                    out += [(a["q"], i_, min(max(-s_, -(1 << 63)), (1 << 63) - 1), -s_ / (1 << 2 * metric.shift), _beyond(-s_), n) for n, (s_, i_) in enumerate(best)]
-            names = ("q", "vec_id", "score", "near", "beyond", "nth")
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.int32()))], list(names))
+                page = Page(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["dists"]), r["vectors"])
+                asked = Asked(r["asked"], metric, k)
+                asked.visit(page, np.array([a["dq"] for a in r["asked"]]))
+                out += asked.found()
+                if computed is not None:
+                    computed.add(asked.computed)
+            yield _found(out)
 
     def visits(pairs: DataFrame, asked: DataFrame) -> DataFrame:
-        """What queries find in the pages of ``pairs`` (q, node, dq): k rows a query and page at most."""
+        """What queries find in the pages of ``pairs`` (q, node, dq), one page a query: k rows a query at most."""
         held = pairs.join(common.small(asked.select("q", "vec_id", "v", "least")), "q").withColumn("block", F.pmod(F.xxhash64("q"), F.lit(1 << 20)))
         count = held.groupBy("node").agg(F.count("*").alias("m"))
         blocks = held.join(common.small(count), "node").withColumn("block", F.col("block") % F.ceil(F.col("m") / settings.queries))
         met = blocks.groupBy("node", "block").agg(F.collect_list(F.struct("q", "vec_id", "v", "least", "dq")).alias("asked"))
-        return met.join(pages, "node").select("ids", "dists", "vectors", "asked").mapInArrow(visit, "q long, vec_id long, score long, near double, beyond string, nth int")
+        return met.join(pages.drop("way"), "node").select("ids", "dists", "vectors", "asked").mapInArrow(visit, _FOUND)
 
     by_rank = W.partitionBy("q").orderBy(F.desc("near"), F.desc("score"), F.desc("beyond"), "vec_id")
 
@@ -373,21 +487,33 @@ def _search(given: DataFrame, queries: DataFrame, settings: Settings, computed:
         """The k best of each query: the window drops the rest before the shuffle."""
         return found.withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= k).select("q", "vec_id", "score", "near", "beyond", "rank")
 
-    def bounded(found: DataFrame, before: DataFrame) -> DataFrame:
-        """The queries with the score that each is sure to reach, and the distance that goes with it."""
-        more = found.filter(F.col("rank") == k).select("q", F.col("near").alias("more"))
-        least = F.greatest("least", F.coalesce("more", F.lit(float("-inf"))))
-        known = before.select("q", "vec_id", "v", "least").join(common.small(more), "q", "left").select("q", "vec_id", "v", least.alias("least"))
-        return common.cut(known.withColumn("reach", reached), "asked")
-
-    # Down to the nearest page; then all pages within that reach, the nearest few of them first.
-    plain = common.cut(queries.withColumn("least", F.lit(float("-inf"))), "asked")
-    asked = bounded(common.cut(best(visits(descend(plain, True), plain)), "found"), plain)
-    plan = common.cut(descend(asked, False).withColumn("nth", F.row_number().over(W.partitionBy("q").orderBy("bound", "node"))), "plan")
-    early = common.cut(best(visits(plan.filter(F.col("nth") <= settings.first), asked)), "found")
-    again = bounded(early, asked)
-    late = plan.filter(F.col("nth") > settings.first).join(common.small(again.select("q", "reach")), "q").filter(~(F.col("bound") > F.col("reach")))
-    found = best(early.drop("rank").unionByName(best(visits(late.drop("reach"), again)).drop("rank")))
+    # Down to the nearest page: a score that each query is sure to reach.
+    plain = queries.withColumn("least", F.lit(float("-inf")))
+    plan = common.cut(nearest(plain), "plan")
+    sure = best(visits(plan, plain)).filter(F.col("rank") == k).select("q", F.col("near").alias("sure"))
+    asked = queries.join(common.small(common.cut(sure, "sure")), "q", "left").join(common.small(plan.select("q", "node")), "q", "left")
+    asked = asked.select("q", "vec_id", "v", F.coalesce("sure", F.lit(float("-inf"))).alias("least"), "node")
+    # Queries with near pages side by side, in blocks of their own; a task takes a block through a share of the blocks of pages.
+    n_asking = -(-queries.count() // settings.queries)
+    if not n_asking:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    asking = _in_blocks(asked, n_asking, "asking", "node", "q")
+    shares = min(n_blocks, max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // n_asking)))
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for task in (t for b in batches for t in b.column("id").to_pylist()):
+            rows = _block(asking, task // shares, ["q", "vec_id", "v", "least"]).to_pylist()
+            if not rows:
+                continue
+            asked = Asked(rows, metric, k)
+            for block in range(task % shares, n_blocks, shares):
+                asked.sweep(_block(folder, block, ["node", "way", "dists", "ids", "vectors"]), known.value, settings.first)
+            if computed is not None:
+                computed.add(asked.computed)
+            yield _found(asked.found())
+
+    tasks = n_asking * shares
+    found = best(spark.range(0, tasks, 1, min(tasks, 4096)).mapInArrow(sweep, _FOUND))
     return found.join(common.small(queries.select("q", F.col("vec_id").alias("query_id"))), "q").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

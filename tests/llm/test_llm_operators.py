@@ -1,8 +1,10 @@
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import brute
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -469,3 +471,16 @@ def test_top_k_of_huge_vectors(spark, huge):
         want += [(q, k + 1, i, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for k, (s, i) in enumerate(scores)]
     for settings in (topk.Settings(), topk.Settings(pivots=8, page=20, fanout=4, deal=50, first=2)):
         assert sorted(map(tuple, topk.search(df, topk.every_nth(50), settings).collect())) == want
+
+
+def test_top_k_writes_no_pairs(spark):
+    """Where no page can be spared, the tables that a search writes still have rows by vectors and queries, not by pairs of queries and pages."""
+    r = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in r.normal(0, 1, 24)]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    shared = Path(common.shared_dir(spark).removeprefix("file://"))
+    before = set(shared.glob("**/*.parquet"))
+    got = topk.search(df, topk.every_nth(5), topk.Settings(pivots=16, page=8, fanout=4, deal=300, queries=100)).collect()
+    assert sorted(map(tuple, got)) == brute_top(rows, lambda i: i % 5 == 0, 5)
+    written = sum(pq.ParquetFile(f).metadata.num_rows for f in set(shared.glob("**/*.parquet")) - before if f.is_file())
+    assert written < 30 * len(rows)
