@@ -91,18 +91,54 @@ def length_prefixed(blobs: DataFrame, prefix: int = 1, max_payload: int = 4096)
     if prefix not in (1, 2, 4):
         raise ConfigError("a prefix has 1, 2 or 4 bytes")
 
-    def make() -> Framer:
-        def next_len(rest: memoryview) -> int | None:
-            if len(rest) < prefix:
-                return None
-            n = int.from_bytes(rest[:prefix], "big")
+    def ends_of(data: bytes) -> list[int]:
+        """Where the records of a file end, after 0."""
+        at, ends = 0, [0]
+        while at + prefix <= len(data):
+            n = data[at] if prefix == 1 else int.from_bytes(data[at : at + prefix], "big")
             if n > max_payload:
                 raise DecodeError(f"payload of {n} bytes is over {max_payload}")
-            return prefix + n if len(rest) >= prefix + n else None
+            at += prefix + n
+            if at > len(data):
+                break
+            ends.append(at)
+        return ends
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Files are many and may be small: what is handed on are batches of records and not of files.
+        held: list[tuple[str, list[int], bytes]] = []
+        n = size = 0
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                data = content.as_py() if content.is_valid else b""
+                ends = ends_of(data)
+                if len(ends) > 1:
+                    held.append((path, ends, data))
+                    n, size = n + len(ends) - 1, size + len(data)
+                if n >= 65_536 or size >= 16 << 20:
+                    yield from _records(held)
+                    held, n, size = [], 0, 0
+        yield from _records(held)
+
+    return blobs.select("path", "content").mapInArrow(run, FRAMED)
 
-        return next_len
 
-    return custom(blobs, make)
+def _records(held: list[tuple[str, list[int], bytes]]) -> Iterator[pa.RecordBatch]:
+    """Records of files, each a path, where its records end (after 0), and its bytes."""
+    if not held:
+        return
+    counts = np.array([len(ends) - 1 for _, ends, _ in held])
+    starts = np.concatenate([ends[:-1] for _, ends, _ in held]).astype(np.int64)
+    lengths = np.concatenate([np.diff(ends) for _, ends, _ in held])
+    index = np.arange(len(starts)) - np.repeat(np.cumsum(counts) - counts, counts)
+    data = np.frombuffer(b"".join(memoryview(d)[: ends[-1]] for _, ends, d in held), np.uint8)
+    edges = np.concatenate([[0], np.cumsum(lengths)])
+    paths = pa.array([path for path, _, _ in held], pa.string()).take(pa.array(np.repeat(np.arange(len(held)), counts)))
+    for k in range(0, len(starts), 65_536):
+        at = edges[k : k + 65_537]
+        record = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at - at[0]).astype(np.int32)), pa.py_buffer(data[at[0] : at[-1]])])
+        cut = slice(k, k + len(at) - 1)
+        yield pa.RecordBatch.from_arrays([paths[cut], pa.array(index[cut]), pa.array(starts[cut]), record], ["path", "record_index", "file_offset", "record"])
 
 
 def looped(records: DataFrame, loops: int) -> DataFrame:

@@ -106,7 +106,7 @@ def frame_delim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return framing.delimited(_document_blobs(spark, sf_dir), 10, 1 << 20).select("path", "record_index", "file_offset", F.decode("record", "utf-8").alias("record"))
 
 
-def _framed_by_key(rows: DataFrame, width: int = 1 << 14) -> DataFrame:
+def _framed_by_key(rows: DataFrame, width: int = 1 << 17) -> DataFrame:
     """The records of a file per key, framed from blobs of ``width`` values of the sequence each.
 
     A blob's place in its file is the prefix sum of the blobs before it, so no
@@ -115,14 +115,17 @@ def _framed_by_key(rows: DataFrame, width: int = 1 << 14) -> DataFrame:
     body = F.encode("payload", "utf-8")
     record = F.concat(codecs.uint_be(F.length(body), 1), body)
     at = F.coalesce(F.floor(F.col("sequence") / width), F.lit(-1)).cast("long")
-    ranged = rows.select(F.col("key").cast("string").alias("of"), at.alias("at"), "sequence", record.alias("r")).withColumn("path", F.concat_ws("/", F.col("at").cast("string"), "of"))
-    ordered = F.array_sort(F.collect_list(F.struct("sequence", "r")))
-    blobs = ranged.groupBy("path").agg(F.unhex(F.array_join(F.transform(ordered, lambda x: F.hex(x["r"])), "")).alias("content"))
+    ranged = rows.select(F.col("key").cast("string").alias("of"), at.alias("at"), "sequence", record.alias("r"))
+    blobs = ranged.groupBy("of", "at").agg(F.expr("listagg(r) WITHIN GROUP (ORDER BY sequence, r)").alias("content"))
     before = W.partitionBy("of").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
-    sizes = ranged.groupBy("path", "of", "at").agg(F.count("r").alias("n"), F.sum(F.length("r")).alias("size"))
-    bases = sizes.select("path", "of", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("size"))
-    out = framing.length_prefixed(blobs, 1, 255).join(bases, "path")
-    return out.select(F.col("of").alias("path"), (F.col("record_index") + F.col("n")).alias("record_index"), (F.col("file_offset") + F.col("size")).alias("file_offset"), F.decode(F.expr("substring(record, 2)"), "utf-8").alias("record"))
+    sizes = ranged.groupBy("of", "at").agg(F.count("r").alias("n"), F.sum(F.length("r")).alias("size"))
+    bases = sizes.select("of", "at", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("size"))
+    # A blob's name holds its place, so what is joined are blobs and not their records.
+    same = F.col("b.of").eqNullSafe(F.col("s.of")) & (F.col("b.at") == F.col("s.at"))
+    named = blobs.alias("b").join(bases.alias("s"), same).select(F.concat_ws("/", "s.n", "s.size", "b.of").alias("path"), "content")
+    part = lambda k: F.get(F.split("path", "/", 3), F.lit(k))
+    out = framing.length_prefixed(named, 1, 255)
+    return out.select(part(2).alias("path"), (F.col("record_index") + part(0).cast("long")).alias("record_index"), (F.col("file_offset") + part(1).cast("long")).alias("file_offset"), F.decode(F.expr("substring(record, 2)"), "utf-8").alias("record"))
 
 
 @query(
