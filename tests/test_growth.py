@@ -3,8 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from millrace import queries
+from millrace import lineage, queries
 from millrace.operators import framing
+from millrace.sources import files, ranges
 
 
 def test_blobs_are_joined_and_not_their_records(spark):
@@ -31,3 +32,14 @@ def test_small_prefixed_files_share_batches(spark):
     assert sorted((x.path, x.record_index, x.file_offset, bytes(x.record)) for x in framed.collect()) == sorted(want)
     batches = framed.mapInArrow(lambda bs: (b.slice(0, 1).select(["path"]) for b in bs if b.num_rows), "path string").count()
     assert batches < 20
+
+
+def test_short_ranges_share_tasks(spark):
+    """As many tasks as the bytes need and not one a range."""
+    folder = lineage.new_path(spark, "shared")
+    files.file_sink(spark.createDataFrame([("a", bytearray(b"some words\n" * 20_000))], "path string, content binary"), folder)
+    cut = ranges.ranges(spark, folder, 1000)
+    assert cut.count() == 220
+    assert ranges._dealt(cut).rdd.getNumPartitions() == 4
+    got = files.read(spark, folder, split=1000)
+    assert got.select(F.count("*"), F.max("record_index"), F.countDistinct("file_offset")).first()[:] == (20_000, 19_999, 20_000)
