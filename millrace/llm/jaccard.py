@@ -20,6 +20,8 @@ from .shingles import mix, shingle_set
 
 #: Bytes of text whose sets and hashes a task makes at once.
 SLICE = 4 << 20
+#: Shingles, about, whose bucket hashes one task sorts.
+PART_SHINGLES = 4_000_000
 #: Shingles that a task reads, and pairs of sets that it may meet, when the block pairs of large groups are dealt.
 TASK_SHINGLES, TASK_PAIRS = 4_000_000, 128_000_000
 
@@ -81,7 +83,7 @@ class Classes:
 
 
 def document_sets(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
-    """doc_id, text_hash, n_shingles, set_hash (128 bits of the whole set; null if empty) and node (64 of them): a row per row."""
+    """doc_id, text_hash, n_shingles, set_hash (128 bits of the whole set; null if empty) and node (48 of them): a row per row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, full, node = [], [], []
@@ -89,18 +91,37 @@ def document_sets(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
             s = shingle_set(t, k)
             n.append(len(s))
             full.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            node.append(int.from_bytes(full[-1][:8], "little", signed=True) if len(s) else None)
+            node.append(_node(full[-1]) if len(s) else None)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(full, pa.binary()), pa.array(node, pa.int64())], ["doc_id", "text_hash", "n_shingles", "set_hash", "node"])
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     return common.map_arrow(given, run, "doc_id long, text_hash long, n_shingles long, set_hash binary, node long", SLICE)
 
 
-def _node(s: np.ndarray) -> int:
-    return int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True)
+def _node(full: bytes) -> int:
+    """48 bits of a set's hash. Sets that share them are placed together, which the search tells apart."""
+    return int.from_bytes(full[:6], "little")
 
 
-def candidate_groups(docs: DataFrame, settings: Settings, text: str = "text") -> DataFrame:
+def pack_rows(sig: np.ndarray, node: np.ndarray, scheme: np.ndarray) -> bytes:
+    """Bucket hashes by their low 48 bits, nodes and schemes in 14 bytes each; hashes that fall together only add candidates."""
+    return b"".join([sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), node.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), scheme.astype("<u2").tobytes()])
+
+
+def unpack_rows(packed: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What pack_rows() was given, of all parts one after the other."""
+    n = [len(p) // 14 for p in packed]
+    wide = np.zeros((2, sum(n), 8), np.uint8)
+    scheme, at = np.empty(sum(n), np.uint16), 0
+    for p, m in zip(packed, n, strict=True):
+        b = np.frombuffer(p, np.uint8)
+        wide[0, at : at + m, :6], wide[1, at : at + m, :6] = b[: 6 * m].reshape(m, 6), b[6 * m : 12 * m].reshape(m, 6)
+        scheme[at : at + m] = b[12 * m :].view("<u2")
+        at += m
+    return wide[0].view("<u8")[:, 0], wide[1].view("<i8")[:, 0], scheme
+
+
+def candidate_groups(docs: DataFrame, n_shingles: int, settings: Settings, text: str = "text") -> DataFrame:
     """(scheme, node, grp): sets that any linked partner is in one group with.
 
     Each set sends its bucket hashes; equal hashes tie sets of one scheme
@@ -110,22 +131,23 @@ def candidate_groups(docs: DataFrame, settings: Settings, text: str = "text") ->
     """
     classes = Classes(settings.percent)
 
-    def emit(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def emit(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         nodes, schemes, sigs = [], [], []
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for t in batch.column("text").to_pylist():
             s = shingle_set(t, settings.k)
-            if len(s) and (node := _node(s)) not in seen:
-                seen.add(node)
+            if len(s) and (full := xxhash.xxh3_128_digest(s.tobytes())) not in seen:
+                seen.add(full)
+                node = _node(full)
                 c = int(classes.of(len(s)))
                 for scheme in (c, c - 1) if c else (c,):
                     g = classes.signatures(s, scheme)
                     sigs.append(g)
                     nodes.append(np.full(len(g), node))
-                    schemes.append(np.full(len(g), scheme, np.int32))
+                    schemes.append(np.full(len(g), scheme, np.uint16))
         if not sigs:
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2 + [pa.array([], pa.int32())], ["sig", "node", "scheme"])
-        sig, node, scheme = np.concatenate(sigs).view(np.int64), np.concatenate(nodes), np.concatenate(schemes)
+            return None
+        sig, node, scheme = np.concatenate(sigs), np.concatenate(nodes), np.concatenate(schemes)
         order = np.argsort(sig, kind="stable")
         sig, node, scheme = sig[order], node[order], scheme[order]
         first = np.concatenate([[True], sig[1:] != sig[:-1]])
@@ -133,34 +155,32 @@ def candidate_groups(docs: DataFrame, settings: Settings, text: str = "text") ->
         # A follower keeps only its tie to the leader: a hash of both, once.
         tie = (~first) & (node != lead)
         key = np.unique(np.stack([scheme[tie].astype(np.int64), node[tie], lead[tie]]), axis=1)
-        tied = np.full(key.shape[1] * 2, 0, np.int64)
-        tie_sig = mix(mix(key[1].view(np.uint64)) + mix(mix(key[2].view(np.uint64))) + key[0].view(np.uint64)).view(np.int64)
-        tied[: key.shape[1]], tied[key.shape[1] :] = key[1], key[2]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([sig[first], tie_sig, tie_sig])), pa.array(np.concatenate([node[first], tied])), pa.array(np.concatenate([scheme[first], key[0].astype(np.int32), key[0].astype(np.int32)]))],
-            ["sig", "node", "scheme"],
-        )
-
-    def ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of equal hashes in sorted rows: each later row is tied to the run's first; memory is a batch."""
-        last: tuple[int, int] | None = None
-        for b in batches:
-            sig, node, scheme = (b.column(c).to_numpy() for c in ("sig", "node", "scheme"))
-            if not len(sig):
-                continue
-            first = np.concatenate([[last is None or sig[0] != last[0]], sig[1:] != sig[:-1]])
-            start = np.maximum.accumulate(np.where(first, np.arange(len(sig)), -1))
-            lead = np.where(start >= 0, node[np.maximum(start, 0)], last[1] if last else 0)
-            last = (int(sig[-1]), int(lead[-1]))
-            tie = (~first) & (node != lead)
-            if tie.any():
-                # One row a tie and batch: two near copies share most of their hashes.
-                key = np.unique(np.stack([scheme[tie].astype(np.int64), node[tie], lead[tie]]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(key[0].astype(np.int32)), pa.array(key[1]), pa.array(key[2])], ["scheme", "x", "y"])
-
-    sent = common.map_arrow(docs.select(F.col(text).alias("text")), emit, "sig long, node long, scheme int", 2 * SLICE)
+        tie_sig = mix(mix(key[1].view(np.uint64)) + mix(mix(key[2].view(np.uint64))) + key[0].view(np.uint64))
+        sig, node = np.concatenate([sig[first], tie_sig, tie_sig]), np.concatenate([node[first], key[1], key[2]])
+        scheme = np.concatenate([scheme[first], key[0].astype(np.uint16), key[0].astype(np.uint16)])
+        part = ((sig >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
+        held = [(i, pack_rows(sig[order[a:z]], node[order[a:z]], scheme[order[a:z]])) for i, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < z]
+        return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int32()), pa.array([h[1] for h in held], pa.binary())], ["part", "rows"])
+
+    def ties(table: pa.Table) -> pa.Table:
+        """Runs of equal hashes in one part: each later row is tied to the run's first."""
+        sig, node, scheme = unpack_rows([r.as_buffer() for r in table.column("rows")])
+        order = np.lexsort((node, sig))
+        sig, node, scheme = sig[order], node[order], scheme[order]
+        first = np.concatenate([[True], sig[1:] != sig[:-1]])
+        lead = node[first][np.cumsum(first) - 1]
+        tie = (~first) & (node != lead)
+        # One row a tie: two near copies share most of their hashes.
+        key = np.unique(np.stack([scheme[tie].astype(np.int64), node[tie], lead[tie]]), axis=1)
+        return pa.table({"scheme": pa.array(key[0].astype(np.int32)), "x": pa.array(key[1]), "y": pa.array(key[2])})
+
+    # A part is what one task sorts, so their number follows the shingles; hashes are spread evenly over them.
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = sent.repartition(n, "sig").sortWithinPartitions("sig", "node").mapInArrow(ties, "scheme int, x long, y long").distinct()
+    parts = min(1 << 16, max(n, -(-n_shingles // PART_SHINGLES)))
+    sent = common.map_arrow(docs.select(F.col(text).alias("text")), emit, "part int, rows binary", 2 * SLICE)
+    met = sent.groupBy("part").applyInArrow(ties, "scheme int, x long, y long").distinct()
     # A node of the tie graph is a set in a scheme: its hash with the scheme mixed in.
     met = common.cut(met.select("scheme", "x", "y", F.xxhash64("scheme", "x").alias("a"), F.xxhash64("scheme", "y").alias("b")), "ties")
     members = met.selectExpr("scheme", "x AS node", "a AS id").unionByName(met.selectExpr("scheme", "y AS node", "b AS id")).distinct()
@@ -332,7 +352,8 @@ def _placed(docs: DataFrame, sets: DataFrame, settings: Settings, text: str) ->
     by_class = sets.filter("set_hash IS NOT NULL").groupBy("set_hash").agg(F.first("node").alias("node"), F.first("n_shingles").alias("n_shingles"), F.min(first_row).alias("best"), F.count("*").alias("copies"))
     # Classes get numbers of their own, which no two share, however many there are; the written table keeps them.
     classes = common.cut(by_class.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    groups = common.cut(candidate_groups(docs, settings, text), "groups")
+    n_shingles = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    groups = common.cut(candidate_groups(docs, n_shingles, settings, text), "groups")
     links = common.cut(_links(docs, groups, classes, settings, text), "links")
     comps = components(links.selectExpr("cid AS a", "root AS b"))
     degree = links.groupBy("cid").agg(F.sum("links").alias("links"))
@@ -364,10 +385,10 @@ def _links(docs: DataFrame, groups: DataFrame, classes: DataFrame, settings: Set
         member = common.cut(members.join(placed.select("node").distinct(), "node", "left_semi"), "members")
         wanted = common.small(member.select(F.col("doc_id").alias("__id")).distinct())
         texts = docs.select(F.col("doc_id").cast("long").alias("__doc"), F.col(text).alias("text")).join(wanted, F.col("__doc").eqNullSafe(F.col("__id")), "left_semi").select("text")
-        # An equal or null doc_id may hold other texts: the set's hash decides.
-        own = texts.mapInArrow(build, "set_hash binary, data binary").join(common.small(member.select("set_hash", "cid", "copies", "node")), "set_hash").drop("set_hash")
+        # An equal or null doc_id may hold other texts: the set's hash decides. Places are joined to hashes first, so sets move once, to their places.
+        at = common.small(common.cut(member.select("set_hash", "cid", "copies", "node").join(placed, "node").drop("node"), "at"))
         # Of rows that are all alike, one is enough; the search leaves out what it has met.
-        return placed.join(own, "node").drop("node")
+        return texts.mapInArrow(build, "set_hash binary, data binary").join(at, "set_hash").drop("set_hash")
 
     # Blocks follow the shingles as well as the sets: what a task holds does not grow with the length of the texts.
     weighed = groups.join(common.small(members.select("node", "n_shingles").dropDuplicates(["node"])), "node")
