@@ -22,8 +22,8 @@ from .. import lineage
 from ..envelope import ConfigError, DecodeError
 from ..operators.framing import FRAMED
 
-#: Bytes of a range, of a block of a length-prefixed file, and of the short ranges of a task; tasks that ranges are dealt to at most.
-SPLIT, BLOCK, SHARE, TASKS = 64 << 20, 4 << 20, 16 << 20, 4096
+#: Bytes of a range, of a block of a length-prefixed file, and of the short ranges of a task; tasks that ranges are dealt to where there are as many, and at most.
+SPLIT, BLOCK, SHARE, FEW, TASKS = 64 << 20, 4 << 20, 16 << 20, 64, 4096
 _RECORDS = pa.schema([("path", pa.string()), ("record_index", pa.int64()), ("file_offset", pa.int64()), ("record", pa.binary())])
 
 
@@ -56,11 +56,11 @@ def ranges(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
 def _dealt(rows: DataFrame) -> DataFrame:
     """Rows that stand for ranges, one by one over tasks: they are few bytes, so what they stand for decides, not their size.
 
-    Short ranges share a task, up to ``SHARE`` bytes of the files, once every partition has some.
+    Beyond ``FEW`` tasks, or one a partition, short ranges share a task, up to ``SHARE`` bytes of the files.
     """
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0))).first()
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(max(1, min(n, TASKS, max(parts, -(-size // SHARE)))))
+    return rows.repartition(max(1, min(n, TASKS, max(parts, FEW, -(-size // SHARE)))))
 
 
 def _batches(path: str, index: int, starts: np.ndarray, ends: np.ndarray, null: np.ndarray, data: np.ndarray, base: int) -> Iterator[pa.RecordBatch]:
