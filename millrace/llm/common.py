@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import cut, new_path, shared_dir
 
-__all__ = ["claim", "cut", "frequent", "map_arrow", "new_path", "shared_dir", "small", "tables"]
+__all__ = ["bounded", "claim", "cut", "frequent", "give_back", "map_arrow", "new_path", "shared_dir", "small", "tables"]
 
 #: Deletes nothing but A-Z -> a-z: the case folding that the word operators use.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -30,6 +30,19 @@ def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if n <= most else df
 
 
+#: Bytes of an Arrow batch for Python, where the session has Spark's own bound; a batch of texts is ten times that else, in the JVM and in Python.
+BATCH = 7 << 20
+_BOUND, _UNSET = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose session from here on makes Arrow batches of about BATCH bytes (a larger row alone); a bound that the user set stays."""
+    conf = df.sparkSession.conf
+    if conf.get(_BOUND, _UNSET) == _UNSET:
+        conf.set(_BOUND, f"{BATCH}b")
+    return df
+
+
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, most: int | None = None) -> DataFrame:
     """``f`` over each Arrow batch, or slices of it of about ``most`` bytes (a larger row alone); where it returns None there are no rows."""
 
@@ -38,8 +51,9 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
             for part in slices(b, most) if most else (b,):
                 if part.num_rows and (out := f(part)) is not None:
                     yield out
+        give_back()
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 def slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
@@ -77,13 +91,13 @@ def claim(name: str, forget: Callable[[], None]) -> None:
     if _holder[0] != name:
         if _holder[1] is not None:
             _holder[1]()
-            _give_back()
+            gc.collect()
+            give_back()
         _holder[:] = [name, forget]
 
 
-def _give_back() -> None:
-    """Hand memory that is free to the system, where the C library can: else the process keeps it."""
-    gc.collect()
+def give_back() -> None:
+    """Hand memory that is free to the system, where the C library can: else an idle worker keeps it beside the JVM's own stages."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:

@@ -174,6 +174,8 @@ def candidate_groups(docs: DataFrame, n_shingles: int, settings: Settings, text:
         tie = (~first) & (node != lead)
         # One row a tie: two near copies share most of their hashes.
         key = np.unique(np.stack([scheme[tie].astype(np.int64), node[tie], lead[tie]]), axis=1)
+        del sig, node, scheme, order, first, lead, tie
+        common.give_back()
         return pa.table({"scheme": pa.array(key[0].astype(np.int32)), "x": pa.array(key[1]), "y": pa.array(key[2])})
 
     # A part is what one task sorts, so their number follows the shingles; hashes are spread evenly over them.
@@ -379,6 +381,7 @@ def _links(docs: DataFrame, groups: DataFrame, classes: DataFrame, settings: Set
                     data.append(s.tobytes())
                     full.append(h)
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.binary()), pa.array(data, pa.binary())], ["set_hash", "data"])
+        common.give_back()
 
     def with_sets(placed: DataFrame) -> DataFrame:
         """``placed`` with cid, copies and set of each node: a text of each class, read again and hashed again, which is cheaper than storing all sets."""
@@ -388,7 +391,7 @@ def _links(docs: DataFrame, groups: DataFrame, classes: DataFrame, settings: Set
         # An equal or null doc_id may hold other texts: the set's hash decides. Places are joined to hashes first, so sets move once, to their places.
         at = common.small(common.cut(member.select("set_hash", "cid", "copies", "node").join(placed, "node").drop("node"), "at"))
         # Of rows that are all alike, one is enough; the search leaves out what it has met.
-        return texts.mapInArrow(build, "set_hash binary, data binary").join(at, "set_hash").drop("set_hash")
+        return common.bounded(texts).mapInArrow(build, "set_hash binary, data binary").join(at, "set_hash").drop("set_hash")
 
     # Blocks follow the shingles as well as the sets: what a task holds does not grow with the length of the texts.
     weighed = groups.join(common.small(members.select("node", "n_shingles").dropDuplicates(["node"])), "node")
@@ -423,6 +426,7 @@ def _links(docs: DataFrame, groups: DataFrame, classes: DataFrame, settings: Set
             for scheme, grp, i, j in zip(*(b.column(c).to_pylist() for c in ("scheme", "grp", "i", "j")), strict=True):
                 left, right = (_rows(_block(folder, f"{scheme}_{grp}_{x}")) if x is not None else None for x in (i, None if i == j else j))
                 yield pa.RecordBatch.from_pydict(links(scheme, left, right))
+        common.give_back()
 
     tasks = min(pairs, max(work, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     dealt = large.withColumn("i", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("j", F.explode(F.expr("sequence(i, blocks - 1)")))
