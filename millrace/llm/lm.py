@@ -44,7 +44,8 @@ ORDERS = {"four": 32, "word": 40}
 #: Bytes that a context may look back; what stands before a text are end marks.
 LEAD = 24
 END = 10
-_GATES = 2
+#: Decisions that all windows take before their bits are added up.
+_STEPS = 64
 #: Stretched probabilities go through the shuffle in eighths.
 _FINE = 8.0
 #: Bytes whose decisions are laid out in one go.
@@ -260,60 +261,60 @@ def bits_of(look: Lookup, values: list[np.ndarray], code: Code, settings: Settin
         done += len(run)
     if not done:
         return np.zeros(len(look.sizes))
-    return _advance([np.concatenate(d) for d in decisions], np.concatenate(ends), settings)
+    # Some more stand behind the last ones, so that _STEPS can be read from any place.
+    pad = np.zeros(_STEPS, np.int8)
+    return _advance([np.concatenate([*decisions.pop(0), pad]) for _ in values], np.concatenate(ends), settings)
 
 
 def _advance(st: list[np.ndarray], ends: np.ndarray, settings: Settings) -> np.ndarray:
-    """Bits of windows whose decisions stand one after the other, parted at ``ends``; predictions as predictions() gives them."""
+    """Bits of windows whose decisions stand one after the other, parted at ``ends``; predictions as predictions() gives them, and _STEPS more values."""
     total = np.diff(ends)
     order = np.argsort(-total, kind="stable")
     start, total = ends[:-1][order], total[order]
-    lanes, kinds = len(order), len(st)
-    # A gate's weights meet zeros where another gate is open: no window's weights are ever looked up.
-    w = np.full((_GATES * kinds, lanes), settings.start, np.float32)
-    scale, shift, cost = np.ones(lanes, np.float32), np.zeros(lanes, np.float32), np.zeros(lanes)
-    rate, refine = np.float32(settings.rate), np.float32(settings.refine)
-    for t in range(0, int(total[0]), 64):
-        # Those that still decide are always the first ones.
-        alive = np.searchsorted(-total, -np.arange(t, min(t + 64, int(total[0])))).tolist()
-        live, steps = alive[0], len(alive)
-        at = np.minimum(start[None, :live] + np.arange(t, t + steps)[:, None], len(st[0]) - 1)
-        own = [v.take(at) for v in st]
+    lanes = len(order)
+    # A gate's weights meet zeros where another gate is open: no window's weights are ever looked up. The shut gate's
+    # weights of the word, which says nothing then, would meet zeros alone and are left out.
+    w, scale, shift = np.full((3, lanes), -settings.start, np.float32), np.ones(lanes, np.float32), np.zeros(lanes, np.float32)
+    cost, steps_of = np.zeros(lanes), np.array([[settings.rate], [settings.refine]], np.float32)
+    four, word = (np.lib.stride_tricks.sliding_window_view(v, _STEPS) for v in st)
+    for t in range(0, int(total[0]), _STEPS):
+        # Those that still decide are always the first ones; who ends within these steps goes on with what does not count.
+        live = int(np.searchsorted(-total, -t))
+        steps, at = min(_STEPS, int(total[0]) - t), start[:live] + t
+        own = np.ascontiguousarray(four[at].T[:steps]), np.ascontiguousarray(word[at].T[:steps])
         bs = (own[0] & 1).astype(np.float32)
-        own = [(v >> 1).astype(np.float32) for v in own]
-        gate = own[1] != 0
-        xs = np.empty((steps, _GATES * kinds, live), np.float32)
-        for g in range(_GATES):
-            here = (gate == g) * np.float32(1 / _FINE)
-            for k, x in enumerate(own):
-                np.multiply(x, here, out=xs[:, g * kinds + k])
-        rated = bs * rate
-        chance = np.zeros((steps, live), np.float32)
-        for i, m in enumerate(alive):
-            x, b, wm = xs[i, :, :m], bs[i, :m], w[:, :m]
-            dot = np.add.reduce(wm * x, 0)
-            p = np.exp(-dot)
-            p += 1
-            np.divide(rate, p, out=p)
-            np.subtract(rated[i, :m], p, out=p)
-            x *= p
-            wm += x
-            r = dot * scale[:m]
-            r += shift[:m]
-            np.maximum(r, -60, out=r)
-            np.negative(r, out=r)
-            np.exp(r, out=r)
-            r += 1
-            r = np.reciprocal(r, out=chance[i, :m])
-            error = b - r
-            error *= refine
-            shift[:m] += error
-            error *= dot
-            scale[:m] += error
+        x = np.empty((steps, 3, live), np.float32)
+        np.multiply(own[0] >> 1, np.float32(1 / _FINE), out=x[:, 0])
+        np.multiply(own[1] >> 1, np.float32(1 / _FINE), out=x[:, 2])
+        np.multiply(x[:, 0], x[:, 2] != 0, out=x[:, 1])
+        x[:, 0] -= x[:, 1]
+        # Weights, shift and sums are kept with the other sign, which is the one that the exponential takes.
+        w, scale, shift = w[:, :live], scale[:live], shift[:live]
+        error, sums, product, moved = np.empty((steps, 2, live), np.float32), np.empty((2, live), np.float32), np.empty((3, live), np.float32), np.empty((2, live), np.float32)
+        dot, refined = sums
+        with np.errstate(over="ignore"):  # an endless exponential is a chance of nothing
+            for own_x, b, e in zip(x, bs, error, strict=True):
+                np.multiply(w, own_x, out=product)
+                np.add.reduce(product, 0, out=dot)
+                np.multiply(dot, scale, out=refined)
+                refined += shift
+                np.exp(sums, out=e)
+                e += 1
+                np.reciprocal(e, out=e)
+                np.subtract(b, e, out=e)
+                np.multiply(e, steps_of, out=moved)
+                np.multiply(own_x, moved[0], out=product)
+                w -= product
+                shift -= moved[1]
+                moved[1] *= dot
+                scale -= moved[1]
         # Neither bit is ever out of the question.
-        chance = np.log2((1 - np.abs(bs - chance)) * (1 - 2 * _LEAST) + _LEAST, dtype=np.float64)
-        chance[np.arange(t, t + steps)[:, None] >= total[None, :live]] = 0
-        cost[:live] -= chance.sum(0)
+        chance = np.abs(error[:, 1])
+        np.multiply(chance, np.float32(2 * _LEAST - 1), out=chance)
+        chance += np.float32(1 - _LEAST)
+        chance[np.arange(t, t + steps)[:, None] >= total[None, :live]] = 1
+        # _STEPS chances of _LEAST at least are no smaller together than a double can be.
+        cost[:live] -= np.log2(np.multiply.reduce(chance, 0, dtype=np.float64))
     out = np.zeros(lanes)
     out[order] = cost
     return out
@@ -410,7 +411,7 @@ def pack(given: DataFrame, settings: Settings) -> DataFrame:
         if held:
             yield unit()
 
-    return given.select("doc_id", "text", "learn").mapInArrow(run, _UNIT)
+    return common.bounded(given.select("doc_id", "text", "learn")).mapInArrow(run, _UNIT)
 
 
 def unpack(text: bytes, sizes: list[int]) -> list[bytes]:

@@ -112,3 +112,16 @@ def test_weights_and_refinement_move_within_a_short_text():
     moving = lm.unit_bits(odd, values, code, lm.Settings())[0]
     frozen = lm.unit_bits(odd, values, code, lm.Settings(rate=0.0, refine=0.0))[0]
     assert moving < frozen - 50
+
+
+def test_few_calls_a_decision(monkeypatch):
+    """Both chances of a decision come of one exponential, and a window's bits of one logarithm for many decisions."""
+    calls = Counter()
+    for name in ("exp", "log2"):
+        own = getattr(np, name)
+        monkeypatch.setattr(np, name, lambda *a, f=own, name=name, **k: (calls.update([name]), f(*a, **k))[1])
+    decisions, pad = 1000, np.zeros(64, np.int8)
+    st = [np.concatenate([np.random.default_rng(k).integers(-100, 100, 2 * decisions).astype(np.int8), pad]) for k in range(2)]
+    st[1][: 2 * decisions] = st[1][: 2 * decisions] & ~1 | st[0][: 2 * decisions] & 1
+    bits = lm._advance(st, np.array([0, decisions, 2 * decisions]), lm.Settings())
+    assert (bits > 0).all() and calls["exp"] == decisions and calls["log2"] == -(-decisions // 64)
